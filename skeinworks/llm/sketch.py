@@ -13,12 +13,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_BITS = 18
 #: Items that a task gathers before it sends them on.
 FLUSH = 1 << 21
+SENT = pa.schema([("shard", pa.int32()), ("once", pa.binary()), ("cells", pa.binary()), ("counts", pa.binary())])
 
 
 def width_bits(items: int, per_cell: float, least: int = 16, most: int = 26) -> int:
@@ -41,23 +43,23 @@ def _send(cells: list[np.ndarray], bits: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["shard", "once", "cells", "counts"])
 
 
-def fill(df: DataFrame, items: Callable[[pd.DataFrame], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+def fill(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
     """The merged sketch of all items(batch) hashes (uint64 arrays) of df: a uint8 array of 2**bits cells."""
     mask = np.uint64((1 << bits) - 1)
     spark = df.sparkSession
 
     def partial(batches):
         held, n = [], 0
-        for pdf in batches:
-            for h in items(pdf):
+        for batch in batches:
+            for h in items(batch):
                 if len(h):
                     held.append((h & mask).astype(np.uint32))
                     n += len(h)
                 if n >= FLUSH:
-                    yield _send(held, bits)
+                    yield pa.RecordBatch.from_pandas(_send(held, bits), SENT, preserve_index=False)
                     held, n = [], 0
         if held:
-            yield _send(held, bits)
+            yield pa.RecordBatch.from_pandas(_send(held, bits), SENT, preserve_index=False)
 
     def merge(batches):
         got: dict[int, np.ndarray] = {}
@@ -76,7 +78,7 @@ def fill(df: DataFrame, items: Callable[[pd.DataFrame], Iterator[np.ndarray]], b
     shards = 1 << max(0, bits - SHARD_BITS)
     n = max(shards, 1) if shards < int(spark.conf.get("spark.sql.shuffle.partitions")) else int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged = (
-        df.mapInPandas(partial, "shard int, once binary, cells binary, counts binary")
+        df.mapInArrow(partial, "shard int, once binary, cells binary, counts binary")
         .repartition(n, F.col("shard"))
         .mapInPandas(merge, "shard int, counts binary")
     )

@@ -1,9 +1,11 @@
-"""Words, 64-bit word hashes and hashes of word windows, with numpy."""
+"""Words, 64-bit word hashes and hashes of word windows, with numpy on Arrow's own text buffers."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xBF58476D1CE4E5B9)
@@ -14,23 +16,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash. A cache that starts anew when it has `limit` words, so memory is bounded."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (multiply and shift)."""
     x = x * _A
@@ -72,3 +57,77 @@ def sliding_min(v: np.ndarray, k: int) -> np.ndarray:
         cur = np.minimum(cur[: len(cur) - width], cur[width:])
         width *= 2
     return np.minimum(cur[:n], cur[k - width : k - width + n])
+
+
+# Fixed pseudo-random value of each byte; separators count nothing.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_BYTE[_SPACE] = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_POW = np.full(4096, 0x9FB21C651E98DF25, np.uint64)
+_POW[0] = 1
+_POW = np.cumprod(_POW, dtype=np.uint64)
+CHUNK = 1 << 21
+
+
+def _powers(n: int) -> np.ndarray:
+    global _POW
+    while len(_POW) < n:
+        _POW = np.concatenate([_POW, _POW * (_POW[-1] * _POW[1])])
+    return _POW
+
+
+def hash_words(raw: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of the first word of each text) of adjacent texts raw[bounds[i]:bounds[i + 1]].
+
+    A word's hash depends on its bytes alone. Work is done in chunks that end at separators or text ends, so memory
+    follows CHUNK, not a text's length (a single longer word excepted).
+    """
+    if lower:
+        raw = _LOWER[raw]
+    blank = _SPACE[raw]
+    start = ~blank
+    start[1:] &= blank[:-1]
+    edges = bounds[:-1]
+    edges = edges[edges < len(raw)]
+    start[edges] = ~blank[edges]
+    starts = np.flatnonzero(start)
+    first = np.searchsorted(starts, bounds)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = int(np.searchsorted(starts, starts[at] + CHUNK))
+        to = max(to, at + 1)
+        a, b = starts[at], starts[to] if to < len(starts) else len(raw)
+        own = starts[at:to] - a
+        span = np.diff(np.append(own, b - a))
+        k = np.arange(b - a, dtype=np.int32) - np.repeat(own, span).astype(np.int32)
+        v = _BYTE[raw[a:b]]
+        v *= _powers(int(span.max()))[k]
+        out[at:to] = np.add.reduceat(v, own)
+        at = to
+    return mix(out), first
+
+
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of a string column; a null is an empty text."""
+    column = column.cast(pa.large_string()).fill_null("")
+    if len(column) == 0:
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def slices(column: pa.Array, lower: bool = False, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, next row, word hashes, first word of each text and the end) of runs of texts of about `size` bytes."""
+    raw, bounds = texts_of(column)
+    row = 0
+    while row < len(column):
+        to = max(row + 1, int(np.searchsorted(bounds, bounds[row] + size, side="right")) - 1)
+        h, first = hash_words(raw[bounds[row] : bounds[to]], bounds[row : to + 1] - bounds[row], lower)
+        yield row, to, h, first
+        row = to
