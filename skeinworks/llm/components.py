@@ -20,14 +20,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     key = _sum(e)
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = stage(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "low")  # staged: a join of two scans, whose hot keys Spark can split
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stage(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        drop(low)
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         new = stage(small.filter("u <> v").distinct(), "small")
         drop(e)
         drop(large)
+        drop(low)
         e, was, key = new, key, _sum(new)
         if key == was:
             break

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD_BITS = 18
+SHARD_BITS = 16
 #: Items that a task gathers before it sends them on.
 FLUSH = 1 << 21
 SENT = pa.schema([("shard", pa.int32()), ("once", pa.binary()), ("cells", pa.binary()), ("counts", pa.binary())])
@@ -36,7 +36,7 @@ def _send(cells: list[np.ndarray], bits: int) -> pd.DataFrame:
     at = [0, *cut.tolist(), len(cell)]
     rows = []
     for a, b in zip(at, at[1:], strict=False):
-        low = (cell[a:b] & ((1 << SHARD_BITS) - 1)).astype(np.uint32)
+        low = (cell[a:b] & ((1 << SHARD_BITS) - 1)).astype(np.uint16)
         once = n[a:b] == 1
         more = ~once
         rows.append((int(shard[a]), low[once].tobytes(), low[more].tobytes(), n[a:b][more].tobytes()))
@@ -69,7 +69,7 @@ def fill(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
                 if shard not in got:
                     got[shard] = np.zeros(size, np.uint8)
                 a = got[shard]
-                for at, by in ((np.frombuffer(once, np.uint32), np.uint8(1)), (np.frombuffer(cells, np.uint32), np.frombuffer(counts, np.uint8))):
+                for at, by in ((np.frombuffer(once, np.uint16), np.uint8(1)), (np.frombuffer(cells, np.uint16), np.frombuffer(counts, np.uint8))):
                     v = a[at]
                     a[at] = np.where(v > 255 - by, 255, v + by)
         for shard, a in got.items():
