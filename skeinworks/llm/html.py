@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.plans.stage import bounded_batches
+
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
@@ -212,6 +214,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     out = pages.drop("text", "n_chars") if html_col != "text" else pages.drop("n_chars").withColumnRenamed("text", "html")
     col = "html" if html_col == "text" else html_col
 
+    bounded_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text_of(pages: pd.Series) -> pd.Series:
         return pages.map(main_text)

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinworks.plans.stage import bounded_batches
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -82,6 +84,8 @@ def train(docs: DataFrame, size: int = 400, longest: int = 3) -> dict[str, list[
     Tasks sum n-gram counts of their rows by language, so a hot language costs each task one row to an n-gram.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def count(batches):
         total: dict[str, Counter] = {}
         for pdf in batches:
@@ -124,6 +128,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], size: int = 400, l
     rank = np.full((len(names), len(fixed) + 1), -1, np.int64)
     for k, name in enumerate(names):
         rank[k, [at[g] for g in profiles[name]]] = np.arange(len(profiles[name]))
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((names, fixed, rank))
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

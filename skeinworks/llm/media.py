@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from skeinworks.plans.stage import new_path
+from skeinworks.plans.stage import bounded_batches, new_path
 
 TILE, WIDTH, FILL = 576, 24, 255
 LIST = "archives.json"
@@ -229,6 +229,7 @@ def media_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
     feature, error. A member that can't be read or decoded keeps its row, with nulls and the reason in error.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     members = read_archives(spark, write_archives(docs, path)).select("member", "media", "error")
 
     def columns(batches):

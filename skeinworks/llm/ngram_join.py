@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from skeinworks.llm import sketch
 from skeinworks.llm.components import components
 from skeinworks.llm.words import U, mix, slices, windows
-from skeinworks.plans.stage import stage
+from skeinworks.plans.stage import bounded_batches, stage
 
 #: Seeds of the orders' hashes.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
@@ -177,6 +177,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     result. Returns doc_id, n_shingles, component_id: the least doc_id that links reach.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = sketch.width_bits(size // 6, 1.0)

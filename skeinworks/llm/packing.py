@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.llm.tokens import crc32_ids, encoder
-from skeinworks.plans.stage import stage
+from skeinworks.plans.stage import bounded_batches, stage
 
 
 def patterns(seq_len: int, depth: int = 3, used: np.ndarray | None = None) -> np.ndarray:
@@ -172,6 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 2,
     the pieces of a sequence lie gapless from offset 0. depth: the most lengths of a fitted pattern.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     pieces = stage(cut_pieces(docs, tokenizer, seq_len, end_id), "pieces")
     hist = np.zeros(seq_len + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most seq_len rows

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from skeinworks.llm import sketch
 from skeinworks.llm.words import U, mix, slices, sliding_min, windows, words_of
-from skeinworks.plans.stage import stage
+from skeinworks.plans.stage import bounded_batches, stage
 
 GRAM = 8
 #: Candidate windows that a task sums up before it sends them on, and that a grouping task gets on average at most.
-FLUSH, GROUP = 1 << 20, 1 << 20
+FLUSH, GROUP = 1 << 19, 1 << 20
 _POS = U((1 << 20) - 1)
 
 
@@ -110,6 +110,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", b
     2**26 at most (64 MB, the largest broadcast); a tighter sketch only means more windows to group.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     # About six characters a word, one anchor for some eleven windows, two cells for each.
     bits = bits or sketch.width_bits(size // 33, 0.28)
@@ -153,15 +154,33 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", b
             lone = order[~(same | np.append(False, same[:-1]))]
             lone = lone[lone < n]
             row, at = np.concatenate(row)[lone], np.concatenate(at)[lone]
+            yield from packed(row, at)
+
+    def packed(row, at):
+        """Places by bucket of their rows, a row to a bucket: as many rows as there are buckets, however many places."""
+        bucket = (mix(row.view(np.uint64)) >> U(20)) % U(shards)
+        order = np.argsort(bucket, kind="stable")
+        row, at, bucket = row[order], at[order], bucket[order]
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(row) else []
+        if cut:
+            yield pd.DataFrame([(int(bucket[a]), row[a:b].tobytes(), at[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(row)], strict=True)], columns=["bucket", "row", "at"])
+
+    def unpack(batches):
+        """One row to a document."""
+        got: dict[int, list] = {}
+        for pdf in batches:
+            for b, row, at in pdf.itertuples(index=False):
+                got.setdefault(b, []).append((np.frombuffer(row, np.int64), np.frombuffer(at, np.uint32)))
+        for parts in got.values():
+            row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(row, kind="stable")
             row, at = row[order], at[order]
-            cut = np.flatnonzero(np.append(True, row[1:] != row[:-1])).tolist() if len(row) else []
-            if cut:
-                yield pd.DataFrame({"__row": row[cut], "at": [at[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(row)], strict=True)]})
+            cut = np.flatnonzero(np.append(True, row[1:] != row[:-1])).tolist()
+            yield pd.DataFrame({"__row": row[cut], "__lone": [at[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(row)], strict=True)]})
 
     blocks = keyed.select("__row", "text").mapInArrow(candidates, "shard int, many binary, once binary, row binary, at binary")
-    lone = blocks.repartition(shards, "shard").mapInPandas(group, "__row long, at binary")
-    lone = stage(lone.groupBy("__row").agg(F.collect_list("at").alias("__lone")), "lone-windows")
+    lone = blocks.repartition(shards, "shard").mapInPandas(group, "bucket int, row binary, at binary")
+    lone = stage(lone.repartition(shards, "bucket").mapInPandas(unpack, "__row long, __lone binary"), "lone-windows")
     names = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, n_removed long, kept string"])
 
@@ -177,7 +196,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", b
                     w = words_of(t)
                     own = at[where[k] : where[k + 1]] - first[k]
                     if len(own) and lone[a + k]:
-                        own = np.setdiff1d(own, np.concatenate([np.frombuffer(x, np.uint32) for x in lone[a + k]]), assume_unique=True)
+                        own = np.setdiff1d(own, np.frombuffer(lone[a + k], np.uint32), assume_unique=True)
                     gone = covered(own, len(w), window) if len(own) else None
                     n_words.append(len(w))
                     n_removed.append(0 if gone is None else int(gone.sum()))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.plans.stage import stage
+from skeinworks.plans.stage import bounded_batches, stage
 
 _SEP = "<|endoftext|>"
 
@@ -162,6 +162,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int |
     the second encodes them, so only coded bytes are shuffled, once, by range of doc_id.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = id_counts(docs, tokenizer, end_id)
     order = np.lexsort((np.arange(len(counts)), -counts)).astype(np.uint32)

@@ -69,7 +69,7 @@ _LOWER[65:91] += 32
 _POW = np.full(4096, 0x9FB21C651E98DF25, np.uint64)
 _POW[0] = 1
 _POW = np.cumprod(_POW, dtype=np.uint64)
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def _powers(n: int) -> np.ndarray:
@@ -122,7 +122,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(column: pa.Array, lower: bool = False, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, lower: bool = False, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(row, next row, word hashes, first word of each text and the end) of runs of texts of about `size` bytes."""
     raw, bounds = texts_of(column)
     row = 0
