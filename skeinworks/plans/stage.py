@@ -57,6 +57,6 @@ def parts_for(df: DataFrame, rows: int, per_part: int) -> int:
 def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 1 << 23) -> None:
     """Let Arrow batches to and from Python hold `rows` rows and about `size` bytes at most, so long texts don't fill memory."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = str(spark.conf.get(key, "0")).removesuffix("b")
+        now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, most)
