@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinworks.llm.words import trimmed
 from skeinworks.plans.stage import bounded_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -106,7 +107,7 @@ def train(docs: DataFrame, size: int = 400, longest: int = 3) -> dict[str, list[
             rows += [(lang, g, k) for g, k in n.items()]
         return pd.DataFrame(rows, columns=["lang", "gram", "n"])
 
-    n = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    n = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInPandas(trimmed(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     out: dict[str, list[str]] = {}
     for r in n.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= size).orderBy("lang", "r").toLocalIterator():  # size rows a language
@@ -154,7 +155,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], size: int = 400, l
                 score.append(float(max(0.0, 1 - far[k] / (size * len(top)))))
             yield pdf.assign(lang_pred=pred, score=score)
 
-    return docs.mapInPandas(predict, schema)
+    return docs.mapInPandas(trimmed(predict), schema)
 
 
 def held_out(doc_id: str | Column) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from skeinworks.llm.words import trimmed
 from skeinworks.plans.stage import bounded_batches, new_path
 
 TILE, WIDTH, FILL = 576, 24, 255
@@ -111,7 +112,7 @@ def write_archives(docs: DataFrame, path: str | None = None, most: int = 1 << 28
             close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["archive"])
 
-    names = sorted(r["archive"] for r in docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(write, "archive string").toLocalIterator())
+    names = sorted(r["archive"] for r in docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(write), "archive string").toLocalIterator())
     with fs.open_output_stream(f"{base}/{LIST}") as f:
         f.write(json.dumps(names).encode())
     return path
@@ -249,7 +250,7 @@ def media_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
     def over(batches):
         return columns(b.to_pandas() for b in batches if b.num_rows)
 
-    return members.mapInArrow(over, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+    return members.mapInArrow(trimmed(over), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])

@@ -6,8 +6,8 @@ n - ceil(t n) + 1 of each under every global order. So candidates must share suc
 one (found by grouping prefix tokens), and then under the other orders, before two sets are compared.
 
 Linking needs no list of all pairs. Equal sets are one class from the start. In the first round the members of
-a token's group are compared with the group's least member alone, so a group of g costs g - 1 comparisons.
-The second round finishes the job: all pairs of a group that are still in different components, and share
+a token's group are compared with one member alone, the one whose prefix is shared most, so a group of g costs
+g - 1 comparisons at most. The second round finishes the job: all pairs of a group that are still in different components, and share
 enough prefix tokens that t is within reach, are compared too. A pair left out is one whose ends are linked.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.llm import sketch
 from skeinworks.llm.components import components
-from skeinworks.llm.words import U, mix, slices, windows
+from skeinworks.llm.words import U, mix, slices, trimmed, windows
 from skeinworks.plans.stage import bounded_batches, stage
 
 #: Seeds of the orders' hashes.
@@ -75,11 +75,11 @@ def _set_key(tokens: np.ndarray) -> int:
 
 
 SENT = pa.schema([("shard", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
-ROWS = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("lead", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64())])
+ROWS = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64())])
 
 
 def _prefixes(docs: DataFrame, orders: Broadcast, n: int, percent: int, shards: int) -> DataFrame:
-    """Rows of documents (doc_id, key, n) and, for each prefix token of two sets or more, of its sets (token, key, lead, n)."""
+    """Rows of documents (doc_id, key, n) and, for each prefix token of two sets or more, of its sets (token, key, n)."""
 
     def send(batches):
         held, seen, size = [], set(), 0
@@ -120,7 +120,7 @@ def _prefixes(docs: DataFrame, orders: Broadcast, n: int, percent: int, shards:
                 key, size = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sizes"], np.int32)
                 if r["docs"]:
                     m = len(key)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(key), pa.nulls(m, pa.int64()), pa.array(size), pa.array(np.frombuffer(r["docs"], np.int64))], schema=ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(key), pa.array(size), pa.array(np.frombuffer(r["docs"], np.int64))], schema=ROWS)
                 elif len(key):
                     got.setdefault(r["shard"], []).append((np.frombuffer(r["tokens"], np.uint64), key, size))
         for parts in got.values():
@@ -131,14 +131,13 @@ def _prefixes(docs: DataFrame, orders: Broadcast, n: int, percent: int, shards:
             t, key, size = t[keep], key[keep], size[keep]
             start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             span = np.diff(np.append(start, len(t)))
-            lead = np.repeat(key[start], span)
             more = np.repeat(span > 1, span)
             for a in range(0, int(more.sum()), 100_000):
                 at = np.flatnonzero(more)[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(t[at].view(np.int64)), pa.array(key[at]), pa.array(lead[at]), pa.array(size[at]), pa.nulls(len(at), pa.int64())], schema=ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(t[at].view(np.int64)), pa.array(key[at]), pa.array(size[at]), pa.nulls(len(at), pa.int64())], schema=ROWS)
 
-    sent = docs.mapInArrow(send, "shard int, tokens binary, keys binary, sizes binary, docs binary")
-    return sent.repartition(shards, "shard").mapInArrow(group, "token long, key long, lead long, n int, doc_id long")
+    sent = docs.mapInArrow(trimmed(send), "shard int, tokens binary, keys binary, sizes binary, docs binary")
+    return sent.repartition(shards, "shard").mapInArrow(trimmed(group), "token long, key long, n int, doc_id long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, orders: Broadcast, n: int, percent: int) -> DataFrame:
@@ -164,7 +163,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, orders: Broadcast, n: int, percen
             out = pa.Table.from_batches([batch.select([0, 1])]).filter(pa.array(keep, pa.bool_()))
             yield from out.to_batches()
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -198,7 +197,17 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     def with_docs(pairs: DataFrame) -> DataFrame:
         return pairs.join(doc.select(F.col("key").alias("a"), F.col("doc").alias("da")), "a").join(doc.select(F.col("key").alias("b"), F.col("doc").alias("db")), "b").select("a", "b", "da", "db")
 
-    tried = stage(with_docs(tokens.filter("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()), "first-pairs")
+    def in_reach(pairs: DataFrame) -> DataFrame:
+        """Of pairs with c shared prefix tokens and sizes na, nb, those whose overlap can still suffice: beyond the prefix that ends first, at most the rest of its set is shared."""
+        rest = F.greatest(*(F.ceil(F.col(x) * percent / 100) - 1 for x in ("na", "nb")))
+        fit = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+        return pairs.filter(fit).filter((100 + percent) * (F.col("c") + rest) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+    share = tokens.groupBy("key").agg((F.count("*") / F.first("n")).alias("share"))
+    lead = tokens.join(share, "key").groupBy("token").agg(F.max(F.struct("share", "key", "n")).alias("lead")).select("token", "lead.key", "lead.n").toDF("token", "a", "na")
+    # Here c counts groups that a leads: less than all the pair shares, so some pairs are left to the second round.
+    first = tokens.select("token", F.col("key").alias("b"), F.col("n").alias("nb")).join(lead, "token").filter("a <> b")
+    tried = stage(with_docs(in_reach(first.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")))), "first-pairs")
     links = stage(_verify(tried, docs, orders, n, percent), "first-links")
     comp = stage(components(links), "first-components")
 
@@ -206,12 +215,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     mixed = t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     t = stage(t.join(mixed, "token"), "mixed-tokens")
     a, b = (t.select("token", *(F.col(c).alias(c + x) for c in ("key", "n", "comp"))) for x in "ab")
-    reach = F.col("c") + F.greatest(*(F.ceil(F.col(x) * percent / 100) - 1 for x in ("na", "nb")))
-    more = (
+    more = in_reach(
         a.join(b, "token").filter("compa < compb").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         .groupBy(F.col("keya").alias("a"), F.col("keyb").alias("b")).agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        .filter((100 + percent) * reach >= percent * (F.col("na") + F.col("nb")))
-        .select("a", "b")
     )
     for x, y in (("a", "b"), ("b", "a")):
         more = more.join(tried.select(F.col("a").alias(x), F.col("b").alias(y)), ["a", "b"], "left_anti")

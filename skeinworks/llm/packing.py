@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.llm.tokens import crc32_ids, encoder
+from skeinworks.llm.words import trimmed
 from skeinworks.plans.stage import bounded_batches, stage
 
 
@@ -160,7 +161,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int) -> Da
                     crc.append(crc32_ids(ids[a:b]))
             yield pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "piece": np.array(piece, np.int32), "start": np.array(start, np.int64), "length": np.array(length, np.int64), "ids_crc32": np.array(crc, np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(trimmed(cut), PIECE)
 
 
 def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 2, depth: int = 3) -> DataFrame:
@@ -192,4 +193,4 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 2,
             seq, at = shared.value.of(pdf["length"].to_numpy(np.int64), pdf["r"].to_numpy(np.int64))
             yield pdf.drop(columns="r").assign(sequence_id=seq, offset=at)
 
-    return ranked.mapInPandas(place, PIECE + ", sequence_id long, offset long")
+    return ranked.mapInPandas(trimmed(place), PIECE + ", sequence_id long, offset long")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.llm.words import trimmed
+
 SHARD_BITS = 16
 #: Items that a task gathers before it sends them on.
 FLUSH = 1 << 21
@@ -78,9 +80,9 @@ def fill(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
     shards = 1 << max(0, bits - SHARD_BITS)
     n = max(shards, 1) if shards < int(spark.conf.get("spark.sql.shuffle.partitions")) else int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged = (
-        df.mapInArrow(partial, "shard int, once binary, cells binary, counts binary")
+        df.mapInArrow(trimmed(partial), "shard int, once binary, cells binary, counts binary")
         .repartition(n, F.col("shard"))
-        .mapInPandas(merge, "shard int, counts binary")
+        .mapInPandas(trimmed(merge), "shard int, counts binary")
     )
     out = np.zeros(1 << bits, np.uint8)
     size = 1 << min(SHARD_BITS, bits)

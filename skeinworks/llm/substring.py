@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm import sketch
-from skeinworks.llm.words import U, mix, slices, sliding_min, windows, words_of
+from skeinworks.llm.words import U, mix, slices, sliding_min, trimmed, windows, words_of
 from skeinworks.plans.stage import bounded_batches, stage
 
 GRAM = 8
@@ -61,6 +61,10 @@ def cells_of(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return key & U((1 << bits) - 1), (key >> U(32)) & U((1 << bits) - 1)
 
 
+def set_in(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
 def window_sketch(docs: DataFrame, window: int, bits: int) -> np.ndarray:
     def items(batch: pa.RecordBatch):
         for _, _, h, first in slices(batch.column(0)):
@@ -107,14 +111,15 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", b
     are documents of their own and lose each other's windows. An empty table gives an empty result.
     Added columns (taking the place of input columns of these names): n_words, n_removed, and kept, the words
     kept joined by one space. bits: cells of the sketch as a power of two; by default by the size of the texts,
-    2**26 at most (64 MB, the largest broadcast); a tighter sketch only means more windows to group.
+    2**26 at most (8 MB are broadcast); a tighter sketch only means more windows to group.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     # About six characters a word, one anchor for some eleven windows, two cells for each.
     bits = bits or sketch.width_bits(size // 33, 0.28)
-    cells = spark.sparkContext.broadcast(window_sketch(docs, window, bits))
+    # What is broadcast is one bit to a cell: whether it counted two or more.
+    cells = spark.sparkContext.broadcast(np.packbits(window_sketch(docs, window, bits) >= 2, bitorder="little"))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 12 // GROUP)
     docs = docs.drop("n_words", "n_removed", "kept")
     keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col("text")))
@@ -123,7 +128,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", b
         """Starts of the windows whose estimate is two or more."""
         start = starts_in(first, window)
         a, b = cells_of(keys(anchors(h, window)[start]), bits)
-        return start[(cells.value[a.astype(np.int64)] >= 2) & (cells.value[b.astype(np.int64)] >= 2)]
+        return start[set_in(cells.value, a) & set_in(cells.value, b)]
 
     def candidates(batches):
         held, n = [], 0
@@ -178,9 +183,9 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", b
             cut = np.flatnonzero(np.append(True, row[1:] != row[:-1])).tolist()
             yield pd.DataFrame({"__row": row[cut], "__lone": [at[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(row)], strict=True)]})
 
-    blocks = keyed.select("__row", "text").mapInArrow(candidates, "shard int, many binary, once binary, row binary, at binary")
-    lone = blocks.repartition(shards, "shard").mapInPandas(group, "bucket int, row binary, at binary")
-    lone = stage(lone.repartition(shards, "bucket").mapInPandas(unpack, "__row long, __lone binary"), "lone-windows")
+    blocks = keyed.select("__row", "text").mapInArrow(trimmed(candidates), "shard int, many binary, once binary, row binary, at binary")
+    lone = blocks.repartition(shards, "shard").mapInPandas(trimmed(group), "bucket int, row binary, at binary")
+    lone = stage(lone.repartition(shards, "bucket").mapInPandas(trimmed(unpack), "__row long, __lone binary"), "lone-windows")
     names = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, n_removed long, kept string"])
 
@@ -203,4 +208,4 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", b
                     kept.append(b" ".join(w if gone is None else compress(w, (~gone).tolist())).decode())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    return keyed.join(lone, "__row", "left").select(*names, "__lone").mapInArrow(remove, schema)
+    return keyed.join(lone, "__row", "left").select(*names, "__lone").mapInArrow(trimmed(remove), schema)

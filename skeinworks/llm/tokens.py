@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.llm.words import trimmed
 from skeinworks.plans.stage import bounded_batches, stage
 
 _SEP = "<|endoftext|>"
@@ -148,7 +149,7 @@ def id_counts(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> np.nda
         yield pd.DataFrame({"id": some.astype(np.int32), "n": n[some]})
 
     total = np.zeros(1 << 16, np.int64)
-    for r in docs.select("text").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select("text").mapInPandas(trimmed(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         total[r["id"]] = r["n"]
     return total
 
@@ -205,11 +206,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int |
         if held:
             yield row()
 
-    coded = docs.mapInPandas(encode, "shard int, doc_id long, n long, control binary, data binary")
+    coded = docs.mapInPandas(trimmed(encode), "shard int, doc_id long, n long, control binary, data binary")
     files = (
         coded.repartitionById(len(bounds) + 1, F.col("shard"))
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "data")
-        .mapInPandas(pack, "shard int, block int, base long, tokens long, docs binary, nulls binary, counts binary, control binary, data binary")
+        .mapInPandas(trimmed(pack), "shard int, block int, base long, tokens long, docs binary, nulls binary, counts binary, control binary, data binary")
     )
     table = spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(order), dtype=np.int32), "id": order.astype(np.int32)})).coalesce(1)
     return stage(files, "token-blocks"), stage(table, "token-ids")
@@ -247,4 +248,4 @@ def read_tokens(files: DataFrame, table: DataFrame, keep_ids: bool = False) -> D
                 out = pd.DataFrame({"doc_id": doc, "start": start, "n_tokens": n, "ids_crc32": np.array(crc, np.int64)})
                 yield out.assign(ids=kept) if keep_ids else out
 
-    return files.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
+    return files.mapInPandas(trimmed(decode), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import ctypes.util
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,3 +133,17 @@ def slices(column: pa.Array, lower: bool = False, size: int = 1 << 20) -> Iterat
         h, first = hash_words(raw[bounds[row] : bounds[to]], bounds[row : to + 1] - bounds[row], lower)
         yield row, to, h, first
         row = to
+
+
+def trimmed(f: Callable) -> Callable:
+    """f (batches -> iterator) that gives freed memory back to the system when its task ends, as idle workers keep theirs."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if name := ctypes.util.find_library("c"):
+                getattr(ctypes.CDLL(name), "malloc_trim", lambda _: 0)(0)
+
+    return run
