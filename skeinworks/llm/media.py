@@ -112,7 +112,7 @@ def write_archives(docs: DataFrame, path: str | None = None, most: int = 1 << 28
             close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["archive"])
 
-    names = sorted(r["archive"] for r in docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(write), "archive string").toLocalIterator())
+    names = sorted(r["archive"] for r in docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(write), "archive string").collect())  # a name or two a task
     with fs.open_output_stream(f"{base}/{LIST}") as f:
         f.write(json.dumps(names).encode())
     return path

@@ -13,71 +13,152 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.llm.words import trimmed
+from skeinworks.llm.words import ONLY_SPACE, U, hash_words, mix, texts_of, trimmed
 from skeinworks.plans.stage import bounded_batches, stage
 
-_SEP = "<|endoftext|>"
-
-
 class Encoder:
     """Ids of whole texts, exactly as the tokenizers library gives them, with a cache of space-separated pieces.
 
-    The byte-level pre-tokenizer never puts a space behind a non-space into one token, so a text may be cut
-    before each single space between two non-space characters and its pieces encoded apart. Pieces that the
-    cache lacks go to the library together, parted by a special token. The cache starts anew at `limit`.
+    The byte-level pre-tokenizer never puts a space behind a non-space into one token, so a text whose spaces all
+    stand between two characters other than white space may be cut before each, and " " + piece encoded by
+    itself. Pieces are known by 64-bit hash and length, in a hash table of numpy arrays (some 20 bytes a piece);
+    those that it lacks go to the library together: their ids part where a token begins with a space.
+    Other texts, and those with a special token's string, are encoded whole. The table starts anew at `limit`.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    ODD = 0xFFFF
+
+    def __init__(self, path: str, limit: int = 2_400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.sep = self.tok.token_to_id(_SEP)
-        if self.tok.get_vocab_size() > 1 << 16:
+        vocabulary = self.tok.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids of over 16 bits are not supported")
+        self.opens = np.zeros(1 << 16, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self._empty(16)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint16)
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode " " + piece for each new piece. Pieces with white space at an end aren't kept: they mark odd texts."""
-        if len(self.known) + len(pieces) > self.limit:
-            self.known.clear()
-        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p]
-        for a in range(0, len(plain), 4000):
-            part = plain[a : a + 4000]
-            ids = np.array(self.tok.encode(" " + f"{_SEP} ".join(part), add_special_tokens=False).ids, np.uint16)
-            cut = np.flatnonzero(ids == self.sep)
-            if len(cut) != len(part) - 1:
-                raise AssertionError("pieces and ids differ")
-            at = [0, *(cut + 1).tolist()]
-            to = [*cut.tolist(), len(ids)]
-            raw = ids.tobytes()
-            self.known.update(zip(part, (raw[2 * x : 2 * y] for x, y in zip(at, to, strict=True)), strict=True))
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+
+    def _empty(self, bits: int) -> None:
+        self.bits, self.n, self.used = bits, 0, 0
+        self.key = np.zeros(1 << bits, np.uint64)
+        self.at = np.zeros(1 << bits, np.uint32)
+        self.count = np.zeros(1 << bits, np.uint16)
+        self.ids = np.empty(1 << 18, np.uint16)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> U(64 - self.bits)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Slots, -1 for what is missing."""
+        slot, mask = self._slots(h), (1 << self.bits) - 1
+        got = self.key[slot]
+        slot[got == 0] = -1
+        todo = np.flatnonzero((got != h) & (got != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & mask
+            got = self.key[slot[todo]]
+            slot[todo[got == 0]] = -1
+            todo = todo[(got != h[todo]) & (got != 0)]
+        return slot
+
+    def _put(self, h: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        slot, mask, todo = self._slots(h), (1 << self.bits) - 1, np.arange(len(h))
+        while len(todo):
+            free = self.key[slot[todo]] == 0
+            self.key[slot[todo[free]]] = h[todo[free]]
+            won = self.key[slot[todo]] == h[todo]
+            done = todo[won]
+            self.at[slot[done]], self.count[slot[done]] = at[done], count[done]
+            todo = todo[~won]
+            slot[todo] = (slot[todo] + 1) & mask
+        self.n += len(h)
+
+    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
+        """Encode " " + piece for distinct pieces. Those with white space at an end or a special string are marked odd."""
+        odd = np.array([p[0].isspace() or p[-1].isspace() or any(s in p for s in self.special) for p in pieces], bool)
+        plain = [p for p, o in zip(pieces, odd.tolist(), strict=True) if not o]
+        count = np.full(len(pieces), self.ODD, np.uint16)
+        parts, sizes = [], []
+        for a in range(0, len(plain), 4096):
+            part = plain[a : a + 4096]
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            cut = np.flatnonzero(self.opens[ids])
+            if len(cut) != len(part) or cut[0] != 0:
+                one = [self.whole(" " + p) for p in part]
+                ids, cut = np.concatenate(one), np.cumsum([0, *(len(x) for x in one)])[:-1]
+            parts.append(ids)
+            sizes.append(np.diff(np.append(cut, len(ids))))
+        new = np.concatenate(parts) if parts else np.empty(0, np.uint16)
+        size = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
+        if self.n + len(h) > self.limit:
+            self._empty(self.bits)
+        while (self.n + len(h)) * 5 > (3 << self.bits):
+            key, at, n = self.key, self.at, self.count
+            old, ids, used = key != 0, self.ids, self.used
+            self._empty(self.bits + 2)
+            self.ids, self.used = ids, used
+            self._put(key[old], at[old], n[old])
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        at = np.zeros(len(h), np.uint32)
+        fits = size < self.ODD
+        at[~odd] = self.used + np.cumsum(size) - size
+        count[~odd] = np.where(fits, size, self.ODD)
+        self.ids[self.used : self.used + len(new)] = new
+        self.used += len(new)
+        self._put(h, at, count)
 
     def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """uint16 ids of each text (None: empty), in order."""
-        for a in range(0, len(texts), 256):
-            split = [(t or "").split(" ") for t in texts[a : a + 256]]
-            new = set().union(*(x[1:] for x in split)) - self.known.keys()
-            if new:
-                self._learn(new)
-            for t, parts in zip(texts[a : a + 256], split, strict=True):
-                if not t:
-                    yield np.empty(0, np.uint16)
-                    continue
-                try:
-                    if parts[0] == "" or parts[0][-1].isspace():
-                        raise KeyError
-                    rest = b"".join(map(self.known.__getitem__, parts[1:]))
-                except KeyError:  # odd white space, a special token's string, or a cache that has just started anew
-                    yield self.whole(t)
-                    continue
-                yield np.concatenate([self.whole(parts[0]), np.frombuffer(rest, np.uint16)])
+        column = pa.array(texts, pa.large_string(), from_pandas=True)
+        raw, bounds = texts_of(column)
+        row = 0
+        while row < len(column):
+            to = max(row + 1, int(np.searchsorted(bounds, bounds[row] + (1 << 20), side="right")) - 1)
+            yield from self._run(raw[bounds[row] : bounds[to]], bounds[row : to + 1] - bounds[row])
+            row = to
+
+    def _run(self, raw: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        h, first, start, end = hash_words(raw, bounds, gaps=ONLY_SPACE, places=True)
+        size = end - start
+        h = mix(h + size.astype(np.uint64)) | U(1)
+        inner = np.ones(len(h), bool)
+        inner[first[:-1][np.diff(first) > 0]] = False
+        at = np.flatnonzero(inner)
+        slot = self._find(h[at])
+        lost = at[slot < 0]
+        if len(lost):
+            new, where = np.unique(h[lost], return_index=True)
+            self._learn(new, [raw[start[i] : end[i]].tobytes().decode() for i in lost[where].tolist()])
+            slot = self._find(h[at])
+        off, n = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        off[at], n[at] = self.at[slot], np.where(slot < 0, self.ODD, self.count[slot])
+        odd = np.append(0, np.cumsum(n == self.ODD))
+        n[n == self.ODD] = 0
+        total = np.append(0, np.cumsum(n))
+        ids = self.ids[np.repeat(off - total[:-1], n) + np.arange(total[-1])]
+        used = np.append(0, np.cumsum(size))
+        for k in range(len(bounds) - 1):
+            a, b, bytes_ = first[k], first[k + 1], bounds[k + 1] - bounds[k]
+            if bytes_ == 0:
+                yield np.empty(0, np.uint16)
+                continue
+            spaces = bytes_ - (used[b] - used[a])
+            head = raw[start[a] : end[a]].tobytes().decode() if b > a else ""
+            if b == a or spaces != b - a - 1 or odd[b] > odd[a] or (b - a > 1 and head[-1].isspace()):
+                yield self.whole(raw[bounds[k] : bounds[k + 1]].tobytes().decode())
+            else:
+                yield np.concatenate([self.whole(head), ids[total[a] : total[b]]])
 
 
 _ENCODERS: dict[str, Encoder] = {}

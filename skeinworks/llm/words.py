@@ -65,7 +65,8 @@ def sliding_min(v: np.ndarray, k: int) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_BYTE[_SPACE] = 0
+ONLY_SPACE = np.zeros(256, bool)
+ONLY_SPACE[0x20] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POW = np.full(4096, 0x9FB21C651E98DF25, np.uint64)
@@ -81,15 +82,17 @@ def _powers(n: int) -> np.ndarray:
     return _POW
 
 
-def hash_words(raw: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of the first word of each text) of adjacent texts raw[bounds[i]:bounds[i + 1]].
+def hash_words(raw: np.ndarray, bounds: np.ndarray, lower: bool = False, gaps: np.ndarray = _SPACE, places: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash of each word, index of the first word of each text[, starts, ends]) of adjacent texts raw[bounds[i]:bounds[i + 1]].
+
+    gaps: which bytes part words.
 
     A word's hash depends on its bytes alone. Work is done in chunks that end at separators or text ends, so memory
     follows CHUNK, not a text's length (a single longer word excepted).
     """
     if lower:
         raw = _LOWER[raw]
-    blank = _SPACE[raw]
+    blank = gaps[raw]
     start = ~blank
     start[1:] &= blank[:-1]
     edges = bounds[:-1]
@@ -97,6 +100,7 @@ def hash_words(raw: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tupl
     start[edges] = ~blank[edges]
     starts = np.flatnonzero(start)
     first = np.searchsorted(starts, bounds)
+    value = np.where(gaps, U(0), _BYTE)
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -106,10 +110,17 @@ def hash_words(raw: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tupl
         own = starts[at:to] - a
         span = np.diff(np.append(own, b - a))
         k = np.arange(b - a, dtype=np.int32) - np.repeat(own, span).astype(np.int32)
-        v = _BYTE[raw[a:b]]
+        v = value[raw[a:b]]
         v *= _powers(int(span.max()))[k]
         out[at:to] = np.add.reduceat(v, own)
         at = to
+    if places:
+        last = ~blank
+        last[:-1] &= blank[1:]
+        edges = bounds[1:]
+        edges = edges[edges > 0] - 1
+        last[edges] = ~blank[edges]
+        return mix(out), first, starts, np.flatnonzero(last) + 1
     return mix(out), first
 
 
