@@ -74,12 +74,12 @@ def _set_key(tokens: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(tokens)) ^ np.add.reduce(mix(tokens ^ U(ORDERS[1])) * U(3))) if len(tokens) else 0
 
 
-SENT = pa.schema([("shard", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
-ROWS = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64())])
+SENT = pa.schema([("shard", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("docs", pa.binary())])
+ROWS = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("doc_id", pa.int64())])
 
 
 def _prefixes(docs: DataFrame, orders: Broadcast, n: int, percent: int, shards: int) -> DataFrame:
-    """Rows of documents (doc_id, key, n) and, for each prefix token of two sets or more, of its sets (token, key, n)."""
+    """Rows of documents (doc_id, key, n) and, for each prefix token of two sets or more, of its sets (token, key, n, pos: its place in the order)."""
 
     def send(batches):
         held, seen, size = [], set(), 0
@@ -96,22 +96,22 @@ def _prefixes(docs: DataFrame, orders: Broadcast, n: int, percent: int, shards:
                         continue
                     seen.add(key)
                     p = orders.value.prefix(tokens, 0, percent)
-                    held.append((p, np.full(len(p), key), np.full(len(p), len(tokens), np.int32)))
+                    held.append((p, np.full(len(p), key), np.full(len(p), len(tokens), np.int32), np.minimum(np.arange(len(p)), 0xFFFF).astype(np.uint16)))
                     size += len(p)
                     if size >= FLUSH:
                         yield from _send(held, shards)
                         held, seen, size = [], set(), 0
-            yield pa.RecordBatch.from_pylist([{"shard": (k * 31 + int(ids[0] if len(ids) else 0)) % shards, "tokens": b"", "keys": keys.tobytes(), "sizes": sizes.tobytes(), "docs": ids.astype(np.int64).tobytes()}], SENT)
+            yield pa.RecordBatch.from_pylist([{"shard": (k * 31 + int(ids[0] if len(ids) else 0)) % shards, "tokens": b"", "keys": keys.tobytes(), "sizes": sizes.tobytes(), "places": b"", "docs": ids.astype(np.int64).tobytes()}], SENT)
         if held:
             yield from _send(held, shards)
 
     def _send(held, shards):
-        t, key, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        t, key, size, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         shard = (mix(t) >> U(20)) % U(shards)
         order = np.lexsort((t, shard))
-        t, key, size, shard = t[order], key[order], size[order], shard[order]
+        t, key, size, pos, shard = t[order], key[order], size[order], pos[order], shard[order]
         cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
-        yield pa.RecordBatch.from_pylist([{"shard": int(shard[a]), "tokens": t[a:b].tobytes(), "keys": key[a:b].tobytes(), "sizes": size[a:b].tobytes(), "docs": b""} for a, b in zip(cut, [*cut[1:], len(t)], strict=True)], SENT)
+        yield pa.RecordBatch.from_pylist([{"shard": int(shard[a]), "tokens": t[a:b].tobytes(), "keys": key[a:b].tobytes(), "sizes": size[a:b].tobytes(), "places": pos[a:b].tobytes(), "docs": b""} for a, b in zip(cut, [*cut[1:], len(t)], strict=True)], SENT)
 
     def group(batches):
         got: dict[int, list] = {}
@@ -120,24 +120,24 @@ def _prefixes(docs: DataFrame, orders: Broadcast, n: int, percent: int, shards:
                 key, size = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sizes"], np.int32)
                 if r["docs"]:
                     m = len(key)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(key), pa.array(size), pa.array(np.frombuffer(r["docs"], np.int64))], schema=ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(key), pa.array(size), pa.nulls(m, pa.int32()), pa.array(np.frombuffer(r["docs"], np.int64))], schema=ROWS)
                 elif len(key):
-                    got.setdefault(r["shard"], []).append((np.frombuffer(r["tokens"], np.uint64), key, size))
+                    got.setdefault(r["shard"], []).append((np.frombuffer(r["tokens"], np.uint64), key, size, np.frombuffer(r["places"], np.uint16)))
         for parts in got.values():
-            t, key, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            t, key, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((key, t))
-            t, key, size = t[order], key[order], size[order]
+            t, key, size, pos = t[order], key[order], size[order], pos[order]
             keep = np.append(True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]))
-            t, key, size = t[keep], key[keep], size[keep]
+            t, key, size, pos = t[keep], key[keep], size[keep], pos[keep]
             start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             span = np.diff(np.append(start, len(t)))
             more = np.repeat(span > 1, span)
             for a in range(0, int(more.sum()), 100_000):
                 at = np.flatnonzero(more)[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(t[at].view(np.int64)), pa.array(key[at]), pa.array(size[at]), pa.nulls(len(at), pa.int64())], schema=ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(t[at].view(np.int64)), pa.array(key[at]), pa.array(size[at]), pa.array(pos[at].astype(np.int32)), pa.nulls(len(at), pa.int64())], schema=ROWS)
 
-    sent = docs.mapInArrow(trimmed(send), "shard int, tokens binary, keys binary, sizes binary, docs binary")
-    return sent.repartition(shards, "shard").mapInArrow(trimmed(group), "token long, key long, n int, doc_id long")
+    sent = docs.mapInArrow(trimmed(send), "shard int, tokens binary, keys binary, sizes binary, places binary, docs binary")
+    return sent.repartition(shards, "shard").mapInArrow(trimmed(group), "token long, key long, n int, pos int, doc_id long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, orders: Broadcast, n: int, percent: int) -> DataFrame:
@@ -211,14 +211,18 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     links = stage(_verify(tried, docs, orders, n, percent), "first-links")
     comp = stage(components(links), "first-components")
 
-    t = tokens.join(comp.withColumnRenamed("id", "key"), "key", "left").select("token", "key", "n", F.coalesce("comp", "key").alias("comp"))
+    t = tokens.join(comp.withColumnRenamed("id", "key"), "key", "left").select("token", "key", "n", "pos", F.coalesce("comp", "key").alias("comp"))
     mixed = t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     t = stage(t.join(mixed, "token"), "mixed-tokens")
-    a, b = (t.select("token", *(F.col(c).alias(c + x) for c in ("key", "n", "comp"))) for x in "ab")
-    more = in_reach(
-        a.join(b, "token").filter("compa < compb").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        .groupBy(F.col("keya").alias("a"), F.col("keyb").alias("b")).agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    )
+    a, b = (t.select("token", *(F.col(c).alias(c + x) for c in ("key", "n", "pos", "comp"))) for x in "ab")
+    # Two sets of these sizes need `least` tokens in common, so they share one within the first n - least + 1 of each: far
+    # fewer than the prefix that serves all sizes, and rare ones. What a pair shares of its whole prefixes is counted after.
+    least = f"ceil({percent} * (na + nb) / {100 + percent})"
+    fit = f"compa < compb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND posa <= na - {least} AND posb <= nb - {least}"
+    met = a.join(b, "token").filter(fit).select(F.col("keya").alias("a"), F.col("keyb").alias("b"), "na", "nb").distinct()
+    prefix = stage(t.groupBy("key").agg(F.collect_list("token").alias("t")), "mixed-prefixes")
+    met = met.join(prefix.toDF("a", "ta"), "a").join(prefix.toDF("b", "tb"), "b")
+    more = in_reach(met.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("c")))
     for x, y in (("a", "b"), ("b", "a")):
         more = more.join(tried.select(F.col("a").alias(x), F.col("b").alias(y)), ["a", "b"], "left_anti")
     more = stage(with_docs(more), "second-pairs")
