@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.words import ONLY_SPACE, U, hash_words, mix, texts_of, trimmed
-from skeinworks.plans.stage import bounded_batches, stage
+from skeinworks.plans.stage import bounded_batches, drop, stage
 
 class Encoder:
     """Ids of whole texts, exactly as the tokenizers library gives them, with a cache of space-separated pieces.
@@ -209,28 +209,36 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 # --- corpus -------------------------------------------------------------------------------------------
 
 
-def id_counts(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> np.ndarray:
-    """How often each id occurs in all texts (and end_id once a document): bounded by the vocabulary."""
+def text_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, ids): the texts' ids as little-endian 16-bit integers."""
 
-    def count(batches):
+    def encode(batches):
         enc = encoder(tokenizer)
-        n, held, size = np.zeros(1 << 16, np.int64), [], 0
         for pdf in batches:
-            for ids in enc.batch(pdf["text"].tolist()):
-                held.append(ids)
-                size += len(ids)
-                if size > 1 << 20:
-                    n += np.bincount(np.concatenate(held), minlength=1 << 16)
-                    held, size = [], 0
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [x.astype("<u2").tobytes() for x in enc.batch(pdf["text"].tolist())]})
+
+    return docs.mapInPandas(trimmed(encode), "doc_id long, ids binary")
+
+
+def id_counts(coded: DataFrame, end_id: int | None = 0) -> np.ndarray:
+    """How often each id occurs in all rows of text_ids (and end_id once a row): bounded by the vocabulary."""
+
+    def count(batches):
+        n = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            raw = batch.column(0).cast(pa.large_binary())
+            if len(raw):
+                _, offsets, data = raw.buffers()
+                at = np.frombuffer(offsets, np.int64, len(raw) + 1, raw.offset * 8)
+                if at[-1] > at[0]:
+                    n += np.bincount(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<u2"), minlength=1 << 16)
             if end_id is not None:
-                n[end_id] += len(pdf)
-        if held:
-            n += np.bincount(np.concatenate(held), minlength=1 << 16)
+                n[end_id] += len(raw)
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"id": some.astype(np.int32), "n": n[some]})
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["id", "n"])
 
     total = np.zeros(1 << 16, np.int64)
-    for r in docs.select("text").mapInPandas(trimmed(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in coded.select("ids").mapInArrow(trimmed(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         total[r["id"]] = r["n"]
     return total
 
@@ -240,13 +248,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int |
 
     docs: doc_id long, text string; other columns are ignored. A null or empty text has only the end id;
     a null doc_id sorts first; repeated doc_ids stay apart, in the order of their texts. An empty table
-    gives empty files. Two passes over the texts: the first counts ids (bounded by the vocabulary),
-    the second encodes them, so only coded bytes are shuffled, once, by range of doc_id.
+    gives empty files. Texts are encoded once, into a staged table of plain ids, which is counted (bounded by the
+    vocabulary), coded by rank, and deleted; only coded bytes are shuffled, once, by range of doc_id.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = id_counts(docs, tokenizer, end_id)
+    plain = stage(text_ids(docs, tokenizer), "text-ids", compression="zstd")
+    counts = id_counts(plain, end_id)
     order = np.lexsort((np.arange(len(counts)), -counts)).astype(np.uint32)
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -256,13 +265,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int |
     ranks, edges = spark.sparkContext.broadcast(rank), spark.sparkContext.broadcast(bounds)
 
     def encode(batches):
-        enc, of = encoder(tokenizer), ranks.value
+        of = ranks.value
         for pdf in batches:
             ids = pdf["doc_id"]
             shard = np.where(ids.isna(), 0, np.searchsorted(edges.value, ids.fillna(0).astype(np.int64), side="right")).astype(np.int32)
             rows = []
-            for x in enc.batch(pdf["text"].tolist()):
-                r = of[x]
+            for x in pdf["ids"]:
+                r = of[np.frombuffer(x, "<u2")]
                 rows.append((len(r) + 1, *encode_ranks(np.append(r, of[end_id]))))
             out = pd.DataFrame(rows, columns=["n", "control", "data"])
             yield pd.DataFrame({"shard": shard, "doc_id": ids.astype("Int64"), "n": out["n"], "control": out["control"], "data": out["data"]})
@@ -287,14 +296,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int |
         if held:
             yield row()
 
-    coded = docs.mapInPandas(trimmed(encode), "shard int, doc_id long, n long, control binary, data binary")
+    coded = plain.mapInPandas(trimmed(encode), "shard int, doc_id long, n long, control binary, data binary")
     files = (
         coded.repartitionById(len(bounds) + 1, F.col("shard"))
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "data")
         .mapInPandas(trimmed(pack), "shard int, block int, base long, tokens long, docs binary, nulls binary, counts binary, control binary, data binary")
     )
     table = spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(order), dtype=np.int32), "id": order.astype(np.int32)})).coalesce(1)
-    return stage(files, "token-blocks"), stage(table, "token-ids")
+    files = stage(files, "token-blocks")
+    drop(plain)
+    return files, stage(table, "token-ids")
 
 
 def read_tokens(files: DataFrame, table: DataFrame, keep_ids: bool = False) -> DataFrame:
