@@ -53,15 +53,22 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 class Orders:
-    """Ranks of tokens under each order. counts: merged sketch; load: mean items to a cell, what noise adds to a count."""
+    """Ranks of tokens under each order, by four levels of estimated frequency, two bits to a cell of the sketch.
+
+    counts: merged sketch; load: mean items to a cell, what noise adds to a count.
+    """
 
     def __init__(self, counts: np.ndarray, load: float):
-        level = np.maximum(np.arange(256) - 2 * load, 0) / 4
-        self.level = np.minimum(np.floor(np.log2(1 + level)), 15).astype(np.uint64) << U(60)
-        self.counts, self.mask = counts, U(len(counts) - 1)
+        of = np.minimum(np.floor(np.log2(1 + np.maximum(np.arange(256) - 2 * load, 0) / 4)), 3).astype(np.uint8)
+        self.mask = U(len(counts) - 1)
+        self.levels = of[counts[::4]]
+        for k in (1, 2, 3):
+            self.levels |= of[counts[k::4]] << np.uint8(2 * k)
 
     def rank(self, tokens: np.ndarray, order: int) -> np.ndarray:
-        return self.level[self.counts[(tokens & self.mask).astype(np.int64)]] | (mix(tokens ^ U(ORDERS[order])) >> U(4))
+        cell = tokens & self.mask
+        level = (self.levels[(cell >> U(2)).astype(np.int64)].astype(np.uint64) >> (U(2) * (cell & U(3)))) & U(3)
+        return (level << U(62)) | (mix(tokens ^ U(ORDERS[order])) >> U(2))
 
     def prefix(self, tokens: np.ndarray, order: int, percent: int) -> np.ndarray:
         """Ranks of the prefix, sorted; ranks identify tokens."""
@@ -187,7 +194,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
             yield windows(h, n)[np.flatnonzero(np.arange(len(end)) + n <= end)]
 
     counts = sketch.fill(docs.select("text"), items, bits)
-    orders = spark.sparkContext.broadcast(Orders(counts, min(float(counts.mean()), 60.0)))
+    orders = spark.sparkContext.broadcast(Orders(counts, min(float(counts.mean(dtype=np.float64)), 60.0)))  # 16 MB at most
+    del counts
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 24 // GROUP)
     rows = stage(_prefixes(docs, orders, n, percent, shards), "prefixes")
     members = rows.filter("token IS NULL").select("doc_id", "key", "n")
