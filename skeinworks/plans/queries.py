@@ -24,7 +24,6 @@ def query(sql: str | None = None):
     return add
 
 
-FILE = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
 SQL_FILES = "files AS (SELECT coalesce(source, 'none') || '/' || doc_id || '.txt' AS file, coalesce(text, '') AS text, source, doc_id, lang FROM documents)"
 SQL_LINES = SQL_FILES + r", counted AS (SELECT *, CAST(len(regexp_extract_all(text, '\r\n|\r|\n')) + CASE WHEN text <> '' AND NOT regexp_matches(text, '[\r\n]$') THEN 1 ELSE 0 END AS BIGINT) AS lines FROM files)"
 SQL_TOKENS = r"""toks AS (SELECT *, list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all(regexp_replace(replace(replace(text, '->', ' '), '::', ' '), 'G-[Cc]ode', 'gcode', 'g'), '[A-Za-z_][\p{L}\p{N}_]*|\p{Nd}+'),
@@ -32,7 +31,8 @@ SQL_TOKENS = r"""toks AS (SELECT *, list_distinct(list_filter(list_transform(fla
 
 
 def files(t) -> DataFrame:
-    return t("documents").select(FILE.alias("file"), F.coalesce("text", F.lit("")).alias("text"), "source", "doc_id", "lang")
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return t("documents").select(name.alias("file"), F.coalesce("text", F.lit("")).alias("text"), "source", "doc_id", "lang")
 
 
 # --- scans and profiles -------------------------------------------------------------------------------
@@ -324,10 +324,10 @@ def history_tail(t):
     return t("events").select("user_id", "event_id", r.cast("long").alias("r")).filter("r <= 5")
 
 
-@query("WITH d AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, n, n - lag(n) OVER (ORDER BY day) AS delta FROM d")
+@query("WITH d AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, n, n - lag(n, 1, 0) OVER (ORDER BY day) AS delta FROM d")
 def sync_delta(t):
     d = t("events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return d.select(F.col("day").cast("string").alias("day"), "n", (F.col("n") - F.lag("n").over(Window.orderBy("day"))).alias("delta"))  # a row to a day
+    return d.select(F.col("day").cast("string").alias("day"), "n", (F.col("n") - F.lag("n", 1, 0).over(Window.orderBy("day"))).alias("delta"))  # a row to a day
 
 
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1), f(stat, p) AS (VALUES ('p50', 0.5), ('p95', 0.95), ('p99', 0.99)) SELECT event_type, stat, v[CAST(floor(len(v) * p) AS BIGINT) + 1] AS value FROM s, f""")
