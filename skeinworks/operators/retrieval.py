@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.functions.text import tokens
+from skeinworks.functions.text import lines, tokens
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -74,3 +74,68 @@ def chunk_at(probes: DataFrame, chunks: DataFrame, order: list[Column]) -> DataF
     """The chunk of each probe (file, line) by the given order, among those of its file whose range has the line."""
     hit = probes.join(chunks, "file").filter("line BETWEEN start AND end")
     return hit.withColumn("__r", F.row_number().over(Window.partitionBy("file", "line").orderBy(*order))).filter("__r = 1").drop("__r")
+
+
+def scan_top_files(docs: DataFrame, scores: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "item_id", n_files: int = 12, n_patterns: int = 8, n_lines: int = 40) -> DataFrame:
+    """(query, key, n_lines, first_line): lines of each query's best files that hold one of its longest tokens in any case, at most n_lines of a file.
+
+    The files come from other channels' scores (query, key, score). A text is tested where it lies; lines are not exploded.
+    """
+    top = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))
+    best = scores.groupBy(query, key).agg(F.max("score").alias("score")).withColumn("r", top).filter(F.col("r") <= n_files).select(query, key)
+    words = F.filter(tokens(F.col("text")), lambda w: F.length(w) >= 3)
+    ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    patterns = queries.select(query, F.transform(F.slice(ranked, 1, n_patterns), lambda x: x["w"]).alias("patterns"))
+    met = best.join(patterns, query).join(docs.select(key, F.transform(lines(F.col("text")), F.lower).alias("lines")), key)
+    places = F.filter(F.transform("lines", lambda line, i: F.when(F.exists("patterns", lambda p: F.contains(line, p)), i + 1)), lambda i: i.isNotNull())
+    return met.select(query, key, F.slice(places, 1, n_lines).alias("at")).filter(F.size("at") > 0).select(query, key, F.size("at").cast("long").alias("n_lines"), F.element_at("at", 1).cast("long").alias("first_line"))
+
+
+def by_channel(hits: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
+    """A column of summed scores for each channel, 0 where it is silent."""
+    return hits.groupBy(*keys).agg(*(F.round(F.coalesce(F.sum(F.when(F.col("channel") == c, F.col("score"))), F.lit(0.0)), 6).alias(c) for c in channels))
+
+
+def expand_bundle(primary: DataFrame, companions: DataFrame, query: list[str], chunk: str) -> DataFrame:
+    """Primary hits (query, chunk, score, rank) and their companions (chunk, other, role, place, factor), each chunk once in a query.
+
+    A chunk that is primary stays so; else the companion of the best-ranked hit, then of the least place, gives role and
+    score, which is the hit's times factor, to two decimals.
+    """
+    own = primary.select(*query, chunk, F.lit("primary").alias("role"), "score", F.struct(F.lit(0).alias("a"), F.col("rank").cast("long").alias("b"), F.lit(0).alias("c")).alias("o"))
+    more = primary.join(companions, chunk).select(*query, F.col("other").alias(chunk), "role", F.round(F.col("score") * F.col("factor"), 2).alias("score"), F.struct(F.lit(1).alias("a"), F.col("rank").cast("long").alias("b"), F.col("place").cast("int").alias("c")).alias("o"))
+    return own.unionByName(more).groupBy(*query, chunk).agg(F.min_by(F.struct("role", "score"), "o").alias("x")).select(*query, chunk, "x.role", "x.score")
+
+
+def graph_extras(primary: DataFrame, mentions: DataFrame, query: str, chunk: str, file: str, k: int = 3, weight: float = 25.0) -> DataFrame:
+    """(query, chunk, file, score): chunks of other files that mention the primary hits' symbols, `weight` for each such hit; one a file, best k.
+
+    primary has (query, chunk, file, symbol), mentions (symbol, chunk, file). Ties go to the lesser chunk.
+    """
+    met = primary.filter("symbol <> ''").select(query, "symbol").join(mentions, "symbol").groupBy(query, chunk, file).agg((F.count("*") * weight).alias("score"))
+    other = met.join(primary.select(query, file).distinct(), [query, file], "left_anti")
+    one = F.row_number().over(Window.partitionBy(query, file).orderBy(F.desc("score"), chunk))
+    best = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), chunk))
+    return other.withColumn("r", one).filter("r = 1").withColumn("r", best).filter(F.col("r") <= k).select(query, chunk, file, "score")
+
+
+def dispatch_scores(asked: DataFrame, entries: DataFrame, query: str, chunk: str) -> DataFrame:
+    """(query, chunk, score, focus): 140 and 8 (pattern in the text) or 4 points for chunks that handle an asked command; focus is the last entry's line.
+
+    asked has (query, command); entries (command, chunk, line, sure).
+    """
+    met = asked.distinct().join(entries, "command")
+    return met.groupBy(query, chunk).agg((F.lit(140.0) + F.max(F.when(F.col("sure"), 8.0).otherwise(4.0))).alias("score"), F.max("line").alias("focus"))
+
+
+def unique_names(symbols: DataFrame, name: str, key: str, score: float = 125.0) -> DataFrame:
+    """Symbols whose lower-cased name exactly one key has."""
+    n = symbols.groupBy(F.lower(name).alias("name")).agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    return n.filter("a = b").select("name", F.col("a").alias(key), F.lit(score).alias("score"))
+
+
+def context(hits: DataFrame, query: str, most: int = 8) -> DataFrame:
+    """The hits (query, score, role, ord) of an answer's context: all if at most `most`, else primary ones by score, then others."""
+    w = Window.partitionBy(query)
+    r = F.row_number().over(w.orderBy(F.when(F.col("role") == "primary", 0).otherwise(1), F.desc("score"), "ord"))
+    return hits.withColumn("n", F.count("*").over(w)).withColumn("r", r).filter(F.col("r") <= most).withColumn("place", F.when(F.col("n") <= most, F.row_number().over(w.orderBy("ord"))).otherwise(F.col("r"))).drop("n", "r")
