@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from skeinworks.functions import text as T
 from skeinworks.functions.rules import HEADER, IMPLEMENTATION, suffix
@@ -84,7 +85,7 @@ def brace_end(lines: list[str], line: int) -> int:
     return min(line + UNCLOSED, len(lines))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def _brace_ends(lines: pd.Series, starts: pd.Series) -> pd.Series:
     return pd.Series([[brace_end(list(t), int(s)) for s in at] for t, at in zip(lines, starts)])
 

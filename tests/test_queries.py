@@ -1,9 +1,10 @@
 """Each query against its SQL at sf0.001."""
 
 import duckdb
+import pandas as pd
 import pytest
 
-from skeinworks.plans.queries import ORACLE_SQL, QUERIES
+from skeinworks.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(p, columns):
     p = p[columns].astype(object)
-    return sorted((tuple(None if v is None or v != v else round(v, 6) if isinstance(v, float) else v for v in r) for r in p.values.tolist()), key=repr)
+    return sorted((tuple(None if pd.isna(v) else round(v, 6) if isinstance(v, float) else v for v in r) for r in p.values.tolist()), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
