@@ -122,7 +122,7 @@ def has_needle(blob: Column, needles: Column) -> Column:
 
 def excludes(text: Column) -> Column:
     """Distinct non-empty trimmed parts of a comma-separated list."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda p: p != ""))
 
 
 def note_map(note: Column) -> Column:
@@ -149,7 +149,7 @@ def plan(reply: Column, question: Column) -> Column:
     ok = p.isNotNull() & F.startswith(F.trim(text), F.lit("{")) & F.try_parse_json(text).isNotNull()
 
     def strings(a):
-        return F.coalesce(F.filter(F.transform(a, F.trim), lambda s: s != ""), F.array().cast("array<string>"))
+        return F.coalesce(F.filter(F.transform(a, lambda x: F.trim(x)), lambda s: s != ""), F.array().cast("array<string>"))
 
     asked = strings(p["search_queries"])
     return F.struct(
@@ -163,7 +163,7 @@ def plan(reply: Column, question: Column) -> Column:
 
 def sub_queries(question: Column, asked: Column, symbols: Column, most: int = 10) -> Column:
     """The question, the planned queries and the symbols, trimmed, without repeats that differ in case only, the first `most`."""
-    every = F.filter(F.transform(F.concat(F.array(question), asked, symbols), F.trim), lambda q: q != "")
+    every = F.filter(F.transform(F.concat(F.array(question), asked, symbols), lambda x: F.trim(x)), lambda q: q != "")
     return F.slice(F.filter(every, lambda q, i: ~F.exists(F.slice(every, 1, i), lambda p: F.lower(p) == F.lower(q))), 1, most)
 
 

@@ -119,7 +119,7 @@ def header(file: Column, symbol: Column, kind: Column, start: Column, end: Colum
 def overview(file: Column, top_dir: Column, lines: Column, listed: Column, n_symbols: Column) -> Column:
     """The text of a file's overview: counts, 15 includes of its head, the listed symbols, its head of 40 lines."""
     head = F.slice(lines, 1, HEAD)
-    inc = F.filter(F.transform(head, F.trim), lambda x: F.startswith(x, F.lit("#include")))
+    inc = F.filter(F.transform(head, lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("#include")))
     return F.concat_ws(
         "\n", F.lit("// [file overview]"), F.concat(F.lit("// file:    "), file), F.concat(F.lit("// top_dir: "), top_dir), F.concat(F.lit("// lines:   "), F.size(lines).cast("string")), F.lit("//"),
         F.concat(F.lit("// includes ("), F.size(inc).cast("string"), F.lit("):")), F.transform(F.slice(inc, 1, 15), lambda x: F.concat(F.lit("//   "), x)), F.lit("//"),
