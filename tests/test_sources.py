@@ -1,15 +1,15 @@
 from pyspark.sql import functions as F
 
-from skeinworks.sources import files
+from skeinworks.sources import files, store
 from skeinworks.streaming import log
 
 
 def test_scan(spark, tmp_path):
     (tmp_path / "a/skip").mkdir(parents=True)
-    for name, data in (("m.cpp", b"x\ny"), ("a/n.h", b"\xff\n"), ("a/skip/o.cpp", b""), ("a/p.CPP", b""), ("q.txt", b"")):
+    for name, data in (("m.cpp", b"x\ny"), ("a/n.h", b"\xff\n"), ("a/skip/o.cpp", b""), ("a/p.CPP", b""), ("q.txt", b""), ("a/e e.h", b"")):
         (tmp_path / name).write_bytes(data)
     got = {r["path"]: (r["size_bytes"], r["lines"], r["top_dir"]) for r in files.scan(spark, str(tmp_path), [".cpp", ".h"], ["skip"]).collect()}
-    assert got == {"m.cpp": (3, 2, "."), "a/n.h": (2, 1, "a")}
+    assert got == {"m.cpp": (3, 2, "."), "a/n.h": (2, 1, "a"), "a/e e.h": (0, 0, "a")}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -21,3 +21,35 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = sorted(map(tuple, spark.table("counts").collect()), key=lambda r: r[:2])
     assert got == sorted(map(tuple, log.windowed_counts(e, "ts", "event_type", "value").collect()), key=lambda r: r[:2])
+
+
+def test_probe(spark, tmp_path):
+    for name, data in (("a.c", b""), ("b.C", b"a\0"), ("c.h", "é".encode()), ("d.h", b"\xb0\xa1"), ("e.h", b"\xe9"), ("f.h", b"\x10\x01")):
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"]: r["encoding"] for r in files.probe(spark, str(tmp_path), [".c", ".h"]).collect()}
+    assert got == {"a.c": "empty", "b.C": "binary", "c.h": "utf-8", "d.h": "gb18030", "e.h": "latin-1", "f.h": "utf-8"}
+
+
+def test_tag_and_count_files(spark, tmp_path):
+    (tmp_path / "tags").write_text('{"_type": "tag", "name": "f", "path": "a.c", "kind": "function", "line": 2, "end": 5, "scope": "K", "scopeKind": "class"}\nnot json\n{"_type": "tag", "name": "v", "path": "a.c", "kind": "variable", "line": 1}\n')
+    assert [tuple(r) for r in files.tags(spark, str(tmp_path / "tags")).collect()] == [("a.c", "f", "function", 2, 5, "K")]
+    (tmp_path / "loc.csv").write_text("language,filename,blank,comment,code\nC,a.c,1,2,3\nSUM,,1,2,3\n")
+    assert [tuple(r) for r in files.line_counts(spark, str(tmp_path / "loc.csv")).collect()] == [("C", "a.c", 1, 2, 3)]
+    (tmp_path / "chunks.jsonl").write_text('{"id": "x", "start_line": 1}\n\n{"oops"\n')
+    assert [(r["id"], r["start_line"], r["text"]) for r in files.chunks(spark, str(tmp_path / "chunks.jsonl")).collect()] == [("x", 1, None)]
+
+
+def test_store(spark, tmp_path):
+    f = spark.createDataFrame([("a", 3), ("b", 4)], "path string, lines long")
+    where = store.snapshot(f, str(tmp_path), "r1")
+    store.snapshot(f.limit(1), str(tmp_path), "r1")
+    assert spark.read.parquet(where).count() == 2
+    m = store.manifest(f, f, f.limit(1))
+    assert tuple(m.first()) == (2, 7, 2, 1)
+    assert store.problems(m, f).count() == 0 and [tuple(r) for r in store.problems(m, f.limit(1)).collect()] == [("chunk count", 2, 1)]
+    log = spark.createDataFrame([("t1", 5), ("t2", 9)], "time_utc string, file_count long")
+    store.append_log(log, str(tmp_path / "log"))
+    store.append_log(log.filter("time_utc = 't3'"), str(tmp_path / "log"))
+    assert [tuple(r) for r in store.recent(spark, str(tmp_path / "log"), "time_utc string, file_count long", "time_utc", 1).collect()] == [("t2", 9)]
+    assert store.recent(spark, str(tmp_path / "none"), "time_utc string", "time_utc", 1).count() == 0
+    assert [r["delta_files"] for r in store.sync_history(log).orderBy("time_utc").collect()] == [None, 4]
