@@ -16,9 +16,11 @@ def tokens(text: Column) -> Column:
     t = F.regexp_replace(F.replace(F.replace(text, F.lit("->"), F.lit(" ")), F.lit("::"), F.lit(" ")), "G-[Cc]ode", "gcode")
 
     def parts(w):
-        return F.concat(F.array(w), F.split(F.regexp_replace(w, "([a-z])([A-Z])", "$1 $2"), " "), F.split(w, "_"))
+        rest = F.substring(w, 2, 1 << 30)
+        whole = (F.lower(rest) == rest) & ~F.contains(w, F.lit("_"))  # most words: nothing to split, so no pattern runs
+        return F.when(whole, F.array(w)).otherwise(F.concat(F.array(w), F.split(F.regexp_replace(w, "([a-z])([A-Z])", "$1 $2"), " "), F.split(w, "_")))
 
-    every = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(WORD), 1), parts))
+    every = F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(WORD), 1)), parts))
     return F.array_distinct(F.filter(F.transform(every, F.lower), lambda w: F.length(w) >= 2))
 
 

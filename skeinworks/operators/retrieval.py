@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.functions.text import lines, tokens
+from skeinworks.plans.stage import blocks, spread, stage
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,8 +22,9 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str =
 
     A negative inverse document frequency becomes epsilon times the mean of all. Rows without a query token don't appear.
     """
-    p = postings(docs, key, "text")
-    n = docs.select(F.count("*").alias("n_docs"), F.sum(F.size(tokens(F.col("text")))).alias("n_tokens")).filter("n_docs > 0")
+    # Texts are cut into tokens once: the postings are written, and read for counts and for matches.
+    p = stage(postings(spread(docs), key, "text"), "postings", "lz4")
+    n = docs.select(F.count("*").alias("n_docs")).join(F.broadcast(p.select(F.count("*").alias("n_tokens")))).filter("n_docs > 0")
     df = p.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(n)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # n: one row
     floor = idf.agg((F.avg("idf") * epsilon).alias("floor"))
@@ -34,21 +38,27 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str =
     return kept.select(query, key, F.round(10 * F.col("raw") / F.max("raw").over(Window.partitionBy(query)), 6).alias("score"))
 
 
-def dense(vectors: DataFrame, is_query: Column, k: int = 50, weight: float = 20.0, most: int = 50_000) -> DataFrame:
+def dense(vectors: DataFrame, is_query: Column, k: int = 50, weight: float = 20.0, most: int = 10_000) -> DataFrame:
     """(query_id, vec_id, score): brute-force inner products of the query rows with all others, best k, scaled by the best.
 
-    The query side is broadcast up to `most` rows; more is refused, as it would be no query set.
+    Queries are broadcast in blocks of about `most` rows; of each task's scores only the best k of a query are shuffled.
     """
     q = vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    if q.count() > most:
-        raise ValueError(f"over {most} queries")
     dot = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    s = vectors.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot, 6).alias("s"))
-    kept = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))).filter(F.col("r") <= k)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))
+    found = [vectors.join(F.broadcast(b), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot, 6).alias("s")).withColumn("r", best).filter(F.col("r") <= k) for b in blocks(q, "query_id", most)]
+    kept = reduce(DataFrame.unionByName, found)
     top = F.max("s").over(Window.partitionBy("query_id"))
     return kept.withColumn("top", top).filter("top > 0").select("query_id", "vec_id", "r", F.round(weight * F.col("s") / F.col("top"), 4).alias("score"))
 
 
+def holding(docs: DataFrame, passages: DataFrame, key: str = "doc_id", query: str = "item_id", score: float = 50.0, most: int = 10_000) -> DataFrame:
+    """(query, key, score, channel 'exact'): rows whose text has a whole passage in it. Passages are broadcast in blocks of about `most`."""
+    wanted = passages.filter("text <> ''").select(query, F.col("text").alias("passage"))
+    met = [docs.select(key, "text").join(F.broadcast(b), F.contains("text", "passage")).select(query, key) for b in blocks(wanted, query, most)]
+    return reduce(DataFrame.unionByName, met).select(query, key, F.lit(score).alias("score"), F.lit("exact").alias("channel"))
+
+
 def fuse(channels: list[DataFrame], keys: list[str]) -> DataFrame:
     """Sum of all channels' scores and the channels' names, for each (query, row)."""
     every = channels[0]

@@ -9,6 +9,7 @@ from skeinworks.functions import rules
 from skeinworks.functions import text as T
 from skeinworks.operators import code, evaluate, graph, retrieval, stats
 from skeinworks.plans.queries import ORACLE_SQL, SQL_BM25, SQL_EVAL, SQL_FILES, SQL_FUSED, SQL_LINES, SQL_LINKS, SQL_TOKENS, evaluated, files, fused, links, query, search_fused
+from skeinworks.plans.stage import spread, stage
 
 # --- intents and hints --------------------------------------------------------------------------------
 
@@ -159,7 +160,7 @@ SQL_NOISE = f"WITH {SQL_TOKENS.replace('{}', 'documents')}, e AS (SELECT doc_id,
 
 
 def low_noise(t):
-    e = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).filter(F.length("token") >= 4)
+    e = stage(spread(t("documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).filter(F.length("token") >= 4), "tokens", "lz4")
     return e, e.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n <= 30")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions import text as T
 from skeinworks.operators import graph, retrieval, stats
+from skeinworks.plans.stage import spread, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,13 +105,13 @@ def calibration_diff(t):
 
 @query(f"WITH {SQL_TOKENS.replace('{}', 'documents')} SELECT doc_id, CAST(coalesce(len(t), 0) AS BIGINT) AS n_tokens, coalesce(md5(array_to_string(list_sort(t), ' ')), 'none') AS digest FROM toks")
 def tokenize_documents(t):
-    d = t("documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    d = spread(t("documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.md5(F.array_join(F.array_sort("t"), " ")), F.lit("none")).alias("digest"))
 
 
 @query(f"WITH {SQL_TOKENS.replace('{}', 'documents')}, e AS (SELECT unnest(t) AS token FROM toks) SELECT token, count(*) AS n_docs FROM e GROUP BY token")
 def token_frequency(t):
-    return t("documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n_docs"))
+    return spread(t("documents").select("text")).select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n_docs"))
 
 
 @query(r"""WITH f AS (SELECT conv_id, turn, unnest(regexp_extract_all(coalesce(text, ''), '(?i)\b([GM])\s*[-:]?\s*(\d+(?:\.\d+)?)\b')) AS m FROM conversations UNION ALL SELECT -1, 0, unnest(regexp_extract_all('G28 homing M104/M109 g-28.10', '(?i)\b([GM])\s*[-:]?\s*(\d+(?:\.\d+)?)\b')))
@@ -177,10 +178,10 @@ def chunk_type_counts(t):
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS line, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) AS line_no FROM documents WHERE text <> ''),
   m AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM l WHERE regexp_matches(line, '(?i)licen[sc]e|secret|password|copyright|@')) SELECT doc_id, line_no FROM m WHERE r <= 40""")
 def regex_scan(t):
-    d = t("documents").filter("text <> ''").filter(F.col("text").rlike("(?i)licen[sc]e|secret|password|copyright|@"))
-    line = d.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("p", "line")).filter(F.col("line").rlike("(?i)licen[sc]e|secret|password|copyright|@"))
-    r = F.row_number().over(Window.partitionBy("doc_id").orderBy("p"))
-    return line.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), r.alias("r")).filter("r <= 40").select("doc_id", "line_no")
+    wanted = "(?i)licen[sc]e|secret|password|copyright|@"
+    d = t("documents").filter("text <> ''").filter(F.col("text").rlike(wanted))
+    at = F.filter(F.transform(T.lines(F.col("text")), lambda line, i: F.when(line.rlike(wanted), (i + 1).cast("long"))), lambda i: i.isNotNull())
+    return d.select("doc_id", F.explode(F.slice(at, 1, 40)).alias("line_no"))
 
 
 # --- channels and fusion ------------------------------------------------------------------------------
@@ -199,7 +200,7 @@ def bm25_topk(t):
     return retrieval.bm25(t("documents"), t("benchmark")).withColumn("score", F.round("score", 3))
 
 
-SQL_FUSED = SQL_BM25 + """, ex AS (SELECT item_id, doc_id, 50.0 AS score FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+SQL_FUSED = SQL_BM25 + """, ex AS (SELECT item_id, doc_id, 50.0 AS score FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text)),
   u AS (SELECT item_id, doc_id, score, 'bm25' AS channel FROM bm UNION ALL SELECT item_id, doc_id, score, 'exact' FROM ex),
   fu AS (SELECT item_id, doc_id, round(sum(score), 3) AS score, string_agg(DISTINCT channel, '+' ORDER BY channel) AS source FROM u GROUP BY 1, 2),
   b AS (SELECT item_id, doc_id, fu.source AS channels, d.source AS dir, round(fu.score + CASE WHEN n_chars > 2000 THEN 3 WHEN n_chars > 500 THEN 2 ELSE 1 END, 3) AS score FROM fu JOIN documents d USING (doc_id)),
@@ -208,9 +209,7 @@ SQL_FUSED = SQL_BM25 + """, ex AS (SELECT item_id, doc_id, 50.0 AS score FROM be
 
 def fused(t):
     bm = retrieval.bm25(t("documents"), t("benchmark")).select("item_id", "doc_id", "score", F.lit("bm25").alias("channel"))
-    passages = t("benchmark").select("item_id", F.col("text").alias("passage"))
-    # The question set is bounded: a scan meets all passages at once.
-    exact = t("documents").select("doc_id", "text").join(F.broadcast(passages), F.contains("text", "passage")).select("item_id", "doc_id", F.lit(50.0).alias("score"), F.lit("exact").alias("channel"))
+    exact = retrieval.holding(t("documents"), t("benchmark"))
     f = retrieval.fuse([bm, exact], ["item_id", "doc_id"]).withColumnRenamed("source", "channels").withColumn("score", F.round("score", 3))
     bonus = F.when(F.col("n_chars") > 2000, 3).when(F.col("n_chars") > 500, 2).otherwise(1)
     return f.join(t("documents").select("doc_id", F.col("source").alias("dir"), "n_chars"), "doc_id").withColumn("score", F.round(F.col("score") + bonus, 3)).drop("n_chars")
@@ -247,8 +246,9 @@ def smart_merge(t):
 
 @query("""SELECT p_partkey, p_name, CASE WHEN count(*) OVER (PARTITION BY lower(p_name), p_brand) = 1 THEN 125 WHEN p_type IN ('ECONOMY', 'PROMO') THEN 110 ELSE 85 END AS weight FROM part""")
 def symbol_match_weight(t):
-    n = F.count("*").over(Window.partitionBy(F.lower("p_name"), "p_brand"))
-    return t("part").select("p_partkey", "p_name", F.when(n == 1, 125).when(F.col("p_type").isin("ECONOMY", "PROMO"), 110).otherwise(85).alias("weight"))
+    named = t("part").withColumn("k", F.struct(F.lower("p_name"), "p_brand"))
+    p = named.join(named.groupBy("k").agg(F.count("*").alias("n")), "k")
+    return p.select("p_partkey", "p_name", F.when(F.col("n") == 1, 125).when(F.col("p_type").isin("ECONOMY", "PROMO"), 110).otherwise(85).alias("weight"))
 
 
 @query("SELECT p_brand, count(DISTINCT l_orderkey) AS n_orders, count(*) * 108 AS score FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY p_brand")
@@ -278,9 +278,8 @@ SQL_ADJ = """n AS (SELECT coalesce(source, 'none') AS dir, doc_id, lead(doc_id)
 
 @query(f"WITH {SQL_ADJ} SELECT dir, doc_id AS src, nxt AS dst, 0.25 AS weight FROM n WHERE nxt IS NOT NULL")
 def same_dir_adjacent_edges(t):
-    d = t("documents").select(F.coalesce("source", F.lit("none")).alias("dir"), "doc_id")
-    nxt = F.lead("doc_id").over(Window.partitionBy("dir").orderBy("doc_id"))
-    return d.withColumn("dst", nxt).filter("dst IS NOT NULL").select("dir", F.col("doc_id").alias("src"), "dst", F.lit(0.25).alias("weight"))
+    d = t("documents").select(F.coalesce("source", F.lit("none")).alias("dir"), F.col("doc_id").alias("src"))
+    return stats.following(d, "dir", "src", "dst", F.floor(F.col("src") / 100_000)).select("dir", "src", "dst", F.lit(0.25).alias("weight"))
 
 
 @query(f"WITH {SQL_LINKS} SELECT dst, kind, round(sum(weight), 4) AS indegree, count(*) AS n FROM links GROUP BY dst, kind")
@@ -299,7 +298,8 @@ SQL_MENTIONS = f"WITH {SQL_TOKENS.replace('{}', 'documents')}, e AS (SELECT doc_
 
 @query(SQL_MENTIONS + " SELECT doc_id, count(*) AS n_symbols, CAST(sum(n) AS BIGINT) AS n_mentions FROM e JOIN k USING (token) GROUP BY doc_id")
 def mention_edges(t):
-    e = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    # Read twice, by the counts and by the join, so the tokens are written once.
+    e = stage(spread(t("documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")), "tokens", "lz4")
     k = e.filter(F.length("token") >= 4).groupBy("token").agg(F.count("*").alias("n")).filter("n BETWEEN 2 AND 30")
     return e.join(k, "token").groupBy("doc_id").agg(F.count("*").alias("n_symbols"), F.sum("n").alias("n_mentions"))
 
@@ -309,8 +309,8 @@ def mention_edges(t):
 
 @query("""SELECT event_id, user_id, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM events""")
 def dispatch_state_fold(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t("events").select("event_id", "user_id", F.last(F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type")), ignorenulls=True).over(w).alias("state"))
+    e = t("events").select("event_id", "user_id", "ts", F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type")).alias("own"))
+    return stats.running_last(e, "user_id", ["ts", "event_id"], "own", "state", F.date_trunc("month", "ts")).select("event_id", "user_id", "state")
 
 
 @query("SELECT user_id, event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY 1, 2")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,7 +46,13 @@ def drop(df: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below df's scans, from Catalyst's statistics; a default large value when unknown."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, small: int = 1 << 28) -> DataFrame:
+    """df over all cores where its files are small, as one row group is one task; larger inputs have row groups enough and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if input_bytes(df) < small else df
 
 
 def parts_for(df: DataFrame, rows: int, per_part: int) -> int:
@@ -54,6 +61,12 @@ def parts_for(df: DataFrame, rows: int, per_part: int) -> int:
     return max(least, -(-rows // per_part))
 
 
+def blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """df in parts of about `most` rows by a hash of key, so that each can be broadcast however many there are."""
+    n = -(-df.count() // most) or 1
+    return [df] if n == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 1 << 23) -> None:
     """Let Arrow batches to and from Python hold `rows` rows and about `size` bytes at most, so long texts don't fill memory."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
