@@ -27,40 +27,129 @@ BLOCK = frozenset(
     "head header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul caption summary".split()
 )
 #: Elements that are never part of an article.
-PRUNED = frozenset("nav footer aside form button menu dialog".split()) | RAW
+PRUNED = frozenset("nav footer aside button menu dialog".split()) | RAW
 #: Words of class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners cookie cookies consent notice notices sidebar sidebars menu menus nav navbar navigation "
     "breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies promo promos promotion sponsor sponsored social share sharing newsletter subscribe "
     "signup login popup modal related widget widgets pagination toolbar copyright disclaimer contentinfo complementary search".split()
 )
+#: Marks of what may hold the article as well (a layout's name), so the share of text decides, and those that say nothing within an article.
+WEAK = frozenset("banner banners notice notices sidebar sidebars header masthead promo promos promotion social login popup modal widget widgets toolbar copyright disclaimer search".split())
+NOT_INSIDE = frozenset("banner banners notice notices header masthead widget widgets copyright disclaimer search contentinfo complementary".split())
+#: Marks of what readers or other pages say: more text than the article's doesn't make it the article.
+TALK = frozenset("comment comments disqus reply replies related".split())
+#: Marks that any name may follow (ad-top), names of parts that say no more than the mark before them (share-buttons), words that make a
+#: name a layout's (with-sidebar), and those whose header is the article's (post-header).
+LEADS = frozenset("ad ads adv advert adverts advertisement sponsored disqus breadcrumb breadcrumbs navbar nav sidebar comment comments newsletter".split())
+PARTS = frozenset("area bar block box btn button buttons container form icons inner item items links list module outer panel posts articles stories section slot top bottom left right wrap wrapper unit overlay".split())
+LAYOUT = frozenset("with without has have no not is layout".split())
+OWN = frozenset("post entry article content story page section chapter doc title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HARD, STRONG, SOFT = 1, 2, 3
+HOMES = {"article": 1, "main": 2}
 CLOSES_P = BLOCK - frozenset("head html body".split())
 #: A start tag that ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_PART = re.compile(r"[^-_]+")
+
+
+def mark_of(token: str) -> str | None:
+    """The mark that a whole class, id or role names: by itself or as the head of a compound; None if it names none."""
+    parts = [x for x in (y.rstrip("0123456789") for y in _PART.findall(token.lower())) if x]
+    if len(parts) > 1:
+        if not LAYOUT.isdisjoint(parts):
+            return None
+        if parts[0] in LEADS:
+            return parts[0]
+        while len(parts) > 1 and parts[-1] in PARTS:
+            parts.pop()
+        if len(parts) > 1 and (parts[-1].startswith("widget") or (parts[-1] in ("header", "banner", "notice") and not OWN.isdisjoint(parts))):
+            return None
+    return parts[-1] if parts and parts[-1] in MARKS else None
 
 
 class Tree:
-    """Nodes in page order: tag, parent, pruned; texts as (node, block number, string)."""
+    """Nodes in page order: tag, parent, pruned, within an article; texts as (node, block number, string).
+
+    What is never part of an article is pruned at once. An element that only its marks or its being a form tell is
+    pruned when the page is read whole, unless it wraps the article.
+    """
 
     def __init__(self, page: str):
         self.tag, self.parent, self.off = ["#root"], [-1], [False]
+        self.kind, self.home, self.inside = [0], [0], [False]  # home: 1 for an article, 2 for main; inside: one of them or below
         self.texts: list[tuple[int, int, str]] = []
         self.block, self.body = 0, 0
         self._parse(page)
+        self._prune()
 
     def _close_to(self, stack: list[int], depth: int) -> None:
         while len(stack) > depth:
             if self.tag[stack.pop()] in BLOCK:
                 self.block += 1
 
-    def _marked(self, attrs: str) -> bool:
-        return any(w.lower() in MARKS for m in _MARK.finditer(attrs) for w in _WORD.findall(m[2] or m[3] or m[4] or ""))
+    def _marked(self, name: str, attrs: str, up: int) -> tuple[int, int]:
+        """(kind by class, id and role; whether role makes it an article, 1, or main, 2)."""
+        marks, home, section = set(), 0, name == "section"
+        for m in _MARK.finditer(attrs):
+            for token in (m[2] or m[3] or m[4] or "").split():
+                if m[1].lower() == "role":
+                    home = max(home, HOMES.get(token.lower(), 0))
+                section = section or (m[1].lower() == "class" and token.lower() == "section")
+                marks.add(mark_of(token))
+        marks.discard(None)
+        if self.inside[up]:
+            marks = set() if section else marks - NOT_INSIDE
+        if not marks or home or name in ("html", "body", "article", "main") or name in HEADINGS or self.tag[up] in HEADINGS:
+            return 0, home
+        return SOFT if marks <= WEAK or (self.inside[up] and marks.isdisjoint(TALK)) else STRONG, home
+
+    def _add(self, name: str, up: int, kind: int, home: int) -> int:
+        self.tag.append(name)
+        self.parent.append(up)
+        self.kind.append(kind)
+        self.home.append(home)
+        self.inside.append(home > 0 or self.inside[up])
+        self.off.append(kind == HARD or self.off[up])
+        return len(self.tag) - 1
+
+    def _prune(self) -> None:
+        """Marked elements and forms are pruned, but not one that holds main, all articles, or most of the text outside links."""
+        n = len(self.tag)
+        if not any(k > HARD for k in self.kind):
+            return
+        link = [False] * n
+        for k in range(1, n):
+            link[k] = self.tag[k] == "a" or link[self.parent[k]]
+        for level in (STRONG, SOFT):
+            free, mains, articles, blocks, titles = ([0] * n for _ in range(5))
+            for k, _, s in self.texts:
+                if not self.off[k] and not link[k]:
+                    free[k] += len("".join(s.split()))
+            for k in range(n - 1, 0, -1):
+                if not self.off[k]:
+                    p = self.parent[k]
+                    free[p] += free[k]
+                    mains[p] += mains[k] + (self.home[k] == 2)
+                    articles[p] += articles[k] + (self.home[k] == 1)
+                    blocks[p] += blocks[k] + (self.tag[k] in BLOCK)
+                    titles[p] += titles[k] + (self.tag[k] == "h1")
+            for k in range(1, n):
+                if self.off[self.parent[k]]:
+                    self.off[k] = True
+                elif self.kind[k] == level and not self.off[k]:
+                    most, all_of = 2 * free[k] >= free[0] > 0, articles[k] == articles[0] > 0
+                    if level == STRONG:
+                        wraps = mains[k] or (most and (all_of or titles[k]))
+                    else:
+                        wraps = mains[k] or all_of or (most and blocks[k] and (self.inside[k] or not (articles[0] or mains[0])))
+                    self.off[k] = not wraps
 
     def _parse(self, page: str) -> None:
-        stack, at, n, article = [0], 0, len(page), 0
+        stack, at, n = [0], 0, len(page)
         while at < n:
             m = _TAG.search(page, at)
             if m is None or m.start() > at:
@@ -81,9 +170,7 @@ class Tree:
                 continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at) if not m[3].endswith("/") else None
-                self.tag.append(name)
-                self.parent.append(stack[-1])
-                self.off.append(True)
+                self._add(name, stack[-1], HARD, 0)
                 if not m[3].endswith("/"):
                     at = end.end() if end else n
                 continue
@@ -110,12 +197,12 @@ class Tree:
             elif name == "br":
                 self.texts.append((stack[-1], self.block, " "))
             up = stack[-1]
-            inside = any(self.tag[k] in ("article", "main") for k in stack) if name == "header" else False
-            off = self.off[up] or name in PRUNED or name == "head" or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and bool(m[3]) and self._marked(m[3]))
-            self.tag.append(name)
-            self.parent.append(up)
-            self.off.append(off)
-            node = len(self.tag) - 1
+            kind, home = self._marked(name, m[3], up) if m[3] else (0, 0)
+            if name in PRUNED or name == "head" or (name == "header" and not self.inside[up]):
+                kind = HARD
+            elif name == "form":
+                kind = kind or SOFT
+            node = self._add(name, up, kind, max(home, HOMES.get(name, 0)))
             if name == "body":
                 self.body = node
             if name not in VOID and not m[3].endswith("/"):

@@ -158,6 +158,28 @@ def test_html(page, text):
     assert html.main_text(page) == text
 
 
+ONE, TWO = ("Some plain words of an article. " * 6).strip(), ("Other words that follow on them. " * 6).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        ("<div class='layout-with-sidebar'><h1>Head</h1><p>{0}</p><p>{1}</p></div>", ["Head", ONE, TWO]),
+        ("<div class='elementor-widget'><h1>Head</h1><p>{0}</p><p>{1}</p></div>", ["Head", ONE, TWO]),
+        ("<div class='sidebar-right'><article><p>{0}</p></article><div class='left-sidebar'>Else</div></div>", [ONE]),
+        ("<div class='widget'><p>{0}</p><p>{1}</p></div>", [ONE, TWO]),
+        ("<article><p>{0}</p><section id='header-files'><h2 id='related-work'>Related work</h2><p>{1}</p></section></article>", [ONE, "Related work", TWO]),
+        ("<article><p>{0}</p><section id='search'><h2 class='header'>Search</h2><p>{1}</p></section><div class='share-buttons'>Send</div></article>", [ONE, "Search", TWO]),
+        ("<form id='aspnetForm'><div class='menu'>Home</div><p>{0}</p><p>{1}</p></form>", [ONE, TWO]),
+        ("<div><p>{0}</p><p>{1}</p><form><p>Your mail</p></form></div><div class='site-footer'>Us</div><div id='ad-12'>Buy</div>", [ONE, TWO]),
+        ("<article><p>{0}</p></article><div id='comments'><article><p>{1}</p><p>{1}</p></article></div>", [ONE]),
+        ("<div id='text'><p>{0}</p></div><div class='comments-area'><p>{1}</p><p>{1}</p></div>", [ONE]),
+    ],
+)
+def test_html_marks(page, lines):
+    assert html.main_text("<body>" + page.format(ONE, TWO) + "</body>").split("\n") == lines
+
+
 def test_html_columns(spark):
     p = spark.createDataFrame([(1, "u", "<p>é x</p>", "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in html.extract(p).orderBy("page_id").collect()] == [("é x", 3), ("", 0)]
