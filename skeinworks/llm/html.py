@@ -5,6 +5,8 @@ density is C / T times the logarithm, to a base that grows with the share of lin
 (C / LC) * (T / LT); a zero count stands as 1. The node with the greatest sum of its children's densities
 is the main subtree; the least density on its path to the body is the threshold, and other subtrees
 under the body that reach it give their own best subtree. Menus and the like are pruned before.
+An article is more than its densest subtree: what is found brings all of the article or main that it is in;
+on pages without these, all but blocks of links of the ancestor whose link-free text is mostly found.
 """
 
 from __future__ import annotations
@@ -211,8 +213,8 @@ class Tree:
             self.body = next((k for k, t in enumerate(self.tag) if t == "html"), 0)
 
 
-def densities(tree: Tree) -> tuple[list[float], list[float]]:
-    """(composite density, sum of the children's) of every node."""
+def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int]]:
+    """(composite density, sum of the children's, characters, those in links) of every node."""
     n = len(tree.tag)
     c, t, lc, lt, link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
     for k in range(1, n):
@@ -239,7 +241,65 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
             density[k] = c[k] / max(1, t[k]) * math.log(max(x, 1.0)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 + 1e-9 else c[k] / max(1, t[k]) * math.log(max(x, 1.0) + 1)
         if k and tree.tag[k] in BLOCK:  # inline markup is a part of its block's text, not a block beside others
             total[tree.parent[k]] += density[k]
-    return density, total
+    return density, total, c, lc
+
+
+def widen(tree: Tree, kids: list[list[int]], chosen: list[bool], best: int, c: list[int], lc: list[int]) -> set[int]:
+    """Adds to chosen what belongs to the article around the chosen subtrees; returns the text numbers to keep beside them."""
+    n = len(tree.tag)
+    near = [0] * n
+    for k in range(1, n):
+        near[k] = k if tree.home[k] else near[tree.parent[k]]
+        if chosen[k] and near[k] and not tree.off[k]:
+            chosen[near[k]] = True
+    kept, got, up = chosen[:], [0] * n, [best]
+    for k in range(1, n):
+        kept[k] = kept[k] or kept[tree.parent[k]]
+    for k, _, s in tree.texts:
+        got[k] += len("".join(s.split())) if kept[k] and not tree.off[k] else 0
+    link = [False] * n
+    for k in range(1, n):
+        link[k] = tree.tag[k] == "a" or link[tree.parent[k]]
+        got[k] = 0 if link[k] else got[k]
+    for k in range(n - 1, 0, -1):
+        got[tree.parent[k]] += got[k]
+    while up[-1] != tree.body:
+        up.append(tree.parent[up[-1]])
+    most = [k for k in up if 2 * got[k] >= c[k] - lc[k]]
+    if near[best]:
+        hold = next((k for k in reversed(most) if tree.home[k]), near[best])
+        chosen[hold] = True
+        if not any(tree.tag[k] == "h1" and not tree.off[k] and (kept[k] or near[k] == hold) for k in range(n)):  # the title may stand before the article
+            title = next((k for k in range(hold - 1, tree.body, -1) if tree.tag[k] == "h1" and not tree.off[k]), None)
+            if title:
+                chosen[title] = True
+        return set()
+    top = most[-1] if most else best
+    path, loose = set(up[: up.index(top) + 1]), set()
+    todo = [] if top == best else [top]
+    while todo:
+        x = todo.pop()
+        loose.add(x)
+        for y in kids[x]:
+            if chosen[y]:
+                continue
+            if y in path or tree.tag[y] not in BLOCK:
+                todo.append(y)
+            elif tree.tag[y] in HEADINGS or 2 * lc[y] <= c[y]:
+                chosen[y] = True
+            else:  # a block of links, but for a title and paragraphs
+                deep = [y]
+                while deep:
+                    z = deep.pop()
+                    if tree.tag[z] == "h1" or (tree.tag[z] == "p" and 2 * lc[z] <= c[z]):
+                        chosen[z] = True
+                    else:
+                        deep += kids[z]
+    runs: dict[int, list[tuple[int, int, bool]]] = {}
+    for i, (k, block, s) in enumerate(tree.texts):
+        if k in loose:
+            runs.setdefault(block, []).append((i, len("".join(s.split())), link[k]))
+    return {i for run in runs.values() if 2 * sum(m for _, m, a in run if a) <= sum(m for _, m, _ in run) for i, _, _ in run}
 
 
 def main_text(page: str | None) -> str:
@@ -247,7 +307,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = Tree(page)
-    density, total = densities(tree)
+    density, total, c, lc = densities(tree)
     n = len(tree.tag)
     kids: list[list[int]] = [[] for _ in range(n)]
     for k in range(1, n):
@@ -282,11 +342,12 @@ def main_text(page: str | None) -> str:
         if k != tree.body:
             chosen[branch if total[branch] > 0 else k] = True
         todo += kids[k]
+    beside = widen(tree, kids, chosen, best, c, lc)
     for k in range(1, n):
         chosen[k] = chosen[k] or chosen[tree.parent[k]]
     blocks: dict[int, list[str]] = {}
-    for k, block, s in tree.texts:
-        if chosen[k] and not tree.off[k]:
+    for i, (k, block, s) in enumerate(tree.texts):
+        if (chosen[k] or i in beside) and not tree.off[k]:
             blocks.setdefault(block, []).append(s)
     lines = (" ".join(html.unescape("".join(x)).split()) for _, x in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)

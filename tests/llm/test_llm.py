@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -180,6 +181,30 @@ def test_html_marks(page, lines):
     assert html.main_text("<body>" + page.format(ONE, TWO) + "</body>").split("\n") == lines
 
 
+LEAD, LONG, SHORT = "A lead of a few words. " * 6, "<p>" + "A long row of plain words. " * 9 + "</p>", "<p>" + "Only a short row of words. " * 4 + "</p>"
+LINKS = "<ul>" + "<li><a href=x>Another page</a></li>" * 8 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        ("<article><h1>A title of the text</h1><p>{lead}</p><div>{long}</div></article>", ["A title of the text", "{lead}", *["{long}"] * 5]),
+        ("<article><h1>Title</h1><section>{long}</section><section><h2>Part</h2>{short}</section></article>", ["Title", *["{long}"] * 5, "Part", *["{short}"] * 4]),
+        ("<main><h1>Title</h1><p>{lead}</p><article>{long}</article></main>", ["Title", "{lead}", *["{long}"] * 5]),
+        ("<h1>Title</h1><article>{long}</article>{links}", ["Title", *["{long}"] * 5]),
+        ("<div>{links}</div><div><h1><a href=x>Title</a></h1><p>{lead}</p><div>{long}</div></div>", ["Title", "{lead}", *["{long}"] * 5]),
+        ("<div><h1>Title</h1><div>{long}</div><div><h2>Part</h2>{short}</div></div>", ["Title", *["{long}"] * 5, "Part", *["{short}"] * 4]),
+        ("<h1>Title</h1>Some bare <a href=x>lead</a> words.<div><div>{long}</div></div><a href=x>Up</a>", ["Title", "Some bare lead words.", *["{long}"] * 5]),
+        ("<div role=main><h1>Title</h1><div>{long}</div><ul><li><a href=x>A source</a></li></ul></div>{links}", ["Title", *["{long}"] * 5, "A source"]),
+        ("<div><article>{long}</article></div><div>{links}</div>", ["{long}"] * 5),
+    ],
+)
+def test_html_keeps_whole_article(page, lines):
+    text = {"lead": LEAD.strip(), "long": re.sub("</?p>", "", LONG).strip(), "short": re.sub("</?p>", "", SHORT).strip()}
+    page = page.format(lead=LEAD, long=LONG * 5, short=SHORT * 4, links=LINKS)
+    assert html.main_text("<body><nav>Menu</nav>" + page + "</body>").split("\n") == [x.format(**text) for x in lines]
+
+
 def test_html_columns(spark):
     p = spark.createDataFrame([(1, "u", "<p>é x</p>", "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in html.extract(p).orderBy("page_id").collect()] == [("é x", 3), ("", 0)]
