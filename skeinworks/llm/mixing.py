@@ -44,15 +44,32 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], most
 
 
 def route(patterns: dict[tuple, int], quota: dict, most: int = 3) -> dict[tuple, int]:
-    """Words each pattern gives: a min-cost flow pattern -> source -> sink by shortest augmenting paths.
+    """Words each pattern gives, by a min-cost flow over each group of patterns that sources connect: no flow crosses groups."""
+    root: dict = {}
+
+    def find(s):
+        while root.setdefault(s, s) != s:
+            root[s] = s = root[root[s]]
+        return s
+
+    for p in patterns:
+        for s in p[1:]:
+            root[find(s)] = find(p[0])
+    groups: dict = {}
+    for p, n in patterns.items():
+        groups.setdefault(find(p[0]), {})[p] = n
+    out = {}
+    for g in groups.values():
+        out |= {p: sum(times) for p, times in flow(g, quota, most).items()}
+    return {p: out[p] for p in patterns}
+
+
+def flow(patterns: dict[tuple, int], quota: dict, most: int = 3) -> dict[tuple, list[int]]:
+    """Words each pattern gives the first, second, ... time: a min-cost flow pattern -> source -> sink by shortest augmenting paths.
 
     A pattern offers its size `most` times, the k-th time at cost k per word (convex, so units fill in order).
-    Patterns of one source, usually nearly all, need no search: they are routed last, in closed form, where
-    no pattern of several sources feeds the same source.
     """
-    shared = {s for p in patterns if len(p) > 1 for s in p}
-    out = {p: min(most * n, quota[p[0]]) for p, n in patterns.items() if len(p) == 1 and p[0] not in shared}
-    rest = {p: n for p, n in patterns.items() if p not in out and n > 0}
+    rest = {p: n for p, n in patterns.items() if n > 0}
     graph: dict = {}
 
     def arc(a, b, cap, cost):
@@ -82,19 +99,20 @@ def route(patterns: dict[tuple, int], quota: dict, most: int = 3) -> dict[tuple,
             break
         for v in graph:
             potential[v] += min(far.get(v, far["to"]), far["to"])
-        flow, v = float("inf"), "to"
+        units, v = float("inf"), "to"
         while v != "from":
             a, k = by[v]
-            flow, v = min(flow, graph[a][k][1]), a
+            units, v = min(units, graph[a][k][1]), a
         v = "to"
         while v != "from":
             a, k = by[v]
-            graph[a][k][1] -= flow
-            graph[v][graph[a][k][3]][1] += flow
+            graph[a][k][1] -= units
+            graph[v][graph[a][k][3]][1] += units
             v = a
-    for p, n in rest.items():
-        out[p] = most * n - sum(x[1] for x in graph["from"] if x[0] == ("p", p))
-    return {p: out.get(p, 0) for p in patterns}
+    out: dict[tuple, list[int]] = {p: [] for p in patterns}
+    for (_, p), left, _, _ in graph.get("from", []):  # a pattern's arcs come in order of their cost
+        out[p].append(rest[p] - left)
+    return out
 
 
 def mix(docs: DataFrame, sources: Column, size: Column, weight_of=None, most: int = 3, seed: int = 17) -> DataFrame:

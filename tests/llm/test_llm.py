@@ -306,6 +306,17 @@ def test_flow_spreads_repetition():
     assert mixing.targets({"a": 1, "b": 99}, {"a": 1, "b": 1}) == {"a": 3.0, "b": 97.0}
 
 
+def test_single_sources_are_routed_by_the_flow(monkeypatch):
+    seen, flow = [], mixing.flow
+    monkeypatch.setattr(mixing, "flow", lambda g, *a: seen.append(set(g)) or flow(g, *a))
+    sizes = {("a",): 10, ("b",): 10, (None,): 7, ("c",): 0, ("d", "e"): 5, ("e",): 5, **{(i,): 3 for i in range(2000)}}
+    quota = {"a": 25, "b": 4, None: 90, "c": 5, "d": 9, "e": 6} | {i: i % 11 for i in range(2000)}
+    got = mixing.route(sizes, quota)
+    assert got == {p: min(3 * n, quota[p[0]]) if len(p) == 1 and p != ("e",) else got[p] for p, n in sizes.items()} and got["d", "e"] + got["e",] == 15
+    assert len(seen) == len(sizes) - 1 and {("d", "e"), ("e",)} in seen
+    assert flow({("a",): 10}, {"a": 25}, 3) == {("a",): [10, 10, 5]} and flow({("a",): 0}, {"a": 5}, 3) == {("a",): []}
+
+
 def test_languages(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     d = spark.read.parquet(path).select("doc_id", "text", "lang")
