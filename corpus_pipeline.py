@@ -21,11 +21,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id. doc_id is a key of documents."""
-    groups = ngram_join.ngram_jaccard_join(docs, n=5, percent=75)
-    gone = stage(groups.filter("doc_id <> component_id").select("doc_id"), "dropped")
+    """Of each group of linked rows the one with the least doc_id, null last. Rows are told apart by numbers of their own, so repeated and null ids are rows as any other."""
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "numbered")  # written, as numbers may change when computed again
+    groups = ngram_join.ngram_jaccard_join(rows.select(F.col("row").alias("doc_id"), "text"), n=5, percent=75)
+    groups = stage(groups.select(F.col("doc_id").alias("row"), "component_id"), "groups")
+    # A row's group is known by its least row. Only groups of two rows or more have rows to drop.
+    several = groups.filter("row <> component_id").select("component_id").distinct()
+    linked = stage(groups.join(several, "component_id", "left_semi").join(rows.select("row", "doc_id"), "row"), "linked")
+    kept = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select(F.col("least.row").alias("row"))
+    gone = stage(linked.select("row").join(kept, "row", "left_anti"), "dropped")
     few = gone.count() <= MOST_DROPPED
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(F.broadcast(gone) if few else gone, "row", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

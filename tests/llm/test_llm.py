@@ -339,3 +339,52 @@ def test_pipeline(spark, tmp_path):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+def sets_of(text):
+    w = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def without_near_copies(rows):
+    """Of each group of linked rows the first by id, null last; rows are (doc_id, text, ...)."""
+    s, group = [sets_of(r[1]) for r in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
+                group = [group[a] if g == group[b] else g for g in group]
+    return [r for i, r in enumerate(rows) if i == min((j for j in range(len(rows)) if group[j] == group[i]), key=lambda j: (rows[j][0] is None, rows[j][0] or 0, j))]
+
+
+def planted():
+    """Rows with exact, repeated and near copies, equal and null ids, a repeated passage, nulls, and texts without a letter."""
+    r = random.Random(9)
+    known = ["".join(r.choices("abcdeéß", k=5)) for _ in range(300)]
+    text = [" ".join(r.choices(known, k=90)) for _ in range(24)]
+    passage = " ".join(r.choices(known, k=50))
+    text[20] += " " + passage
+    text[21] = passage + "\n" + text[21]
+    near = text[0].split()
+    near[40] = "other"
+    rows = [(i, x) for i, x in enumerate(text, 10)] + [(10, text[0]), (10, text[0]), (3, " ".join(near)), (None, text[1]), (None, text[1]), (None, text[2] + " more"), (11, text[3]), (None, " ".join(known[:60])), (None, " ".join(known[:60])), (50, text[5].upper())]
+    rows += [(60, None), (61, ""), (62, "1 2 ?"), (None, "3 - 4"), (63, " ".join(known[:40]) * 30)]
+    return [(i, x, "en" if k % 2 else "fr", ["s1", "s2", None][k % 3], len(x or "")) for k, (i, x) in enumerate(rows)]
+
+
+def as_list(df):
+    import corpus_pipeline
+
+    return Counter(tuple(x) for x in df.select(*corpus_pipeline.COLUMNS).collect())
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    import corpus_pipeline
+
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got, want = as_list(corpus_pipeline.near_duplicates(spark, df, "")), without_near_copies(rows)
+    both = defaultdict(int), defaultdict(int)
+    for side, c in zip(both, (got, Counter(want)), strict=True):
+        for (i, x, *_), n in c.items():
+            side[i, x] += n
+    assert both[0] == both[1] and set(got) <= set(rows) and len(want) <= len(rows) - 8
