@@ -368,6 +368,7 @@ def planted():
     near[40] = "other"
     rows = [(i, x) for i, x in enumerate(text, 10)] + [(10, text[0]), (10, text[0]), (3, " ".join(near)), (None, text[1]), (None, text[1]), (None, text[2] + " more"), (11, text[3]), (None, " ".join(known[:60])), (None, " ".join(known[:60])), (50, text[5].upper())]
     rows += [(60, None), (61, ""), (62, "1 2 ?"), (None, "3 - 4"), (63, " ".join(known[:40]) * 30)]
+    rows += [(i, " ".join(r.choices(known, k=600))) for i in range(64, 70)]
     return [(i, x, "en" if k % 2 else "fr", ["s1", "s2", None][k % 3], len(x or "")) for k, (i, x) in enumerate(rows)]
 
 
@@ -388,3 +389,82 @@ def test_pipeline_near_duplicates_by_row(spark):
         for (i, x, *_), n in c.items():
             side[i, x] += n
     assert both[0] == both[1] and set(got) <= set(rows) and len(want) <= len(rows) - 8
+
+
+def without_passages(rows, window=35):
+    """Each row, less the words that a window met twice or more covers."""
+    w = [words(r[1]) for r in rows]
+    c = Counter(tuple(x[k : k + window]) for x in w for k in range(len(x) - window + 1))
+    out = []
+    for (i, text, lang, source, n), x in zip(rows, w, strict=True):
+        gone = {j for k in range(len(x) - window + 1) if c[tuple(x[k : k + window])] > 1 for j in range(k, k + window)}
+        text = b" ".join(a for j, a in enumerate(x) if j not in gone).decode() if gone else text
+        out.append((i, text, lang, source, len(text) if gone else n))
+    return out
+
+
+def mixed_by_hand(rows, hashes):
+    """Each row as often as the mix takes it: sources' shares of all words by weights 1, 2, 3, rows of a source in the order of their hashes."""
+    by = defaultdict(list)
+    for r, h in zip(rows, hashes, strict=True):
+        by[r[3]].append((h % mixing.BUCKETS, h, len(words(r[1])), r))
+    order = sorted(x for x in by if x is not None) + [None] * (None in by)
+    size, weight = {x: sum(r[2] for r in by[x]) for x in order}, {x: 1 + k % 3 for k, x in enumerate(order)}
+    share, free = {}, set(order)
+    while free:
+        per = (sum(size.values()) - sum(share.values())) / sum(weight[x] for x in free)
+        full = {x for x in free if per * weight[x] > 3 * size[x]}
+        share |= {x: 3 * size[x] if full else per * weight[x] for x in full or free}
+        free -= full or free
+    out = Counter()
+    for x in order:
+        give = min(3 * size[x], round(share[x]))
+        passes, rest, start = give // size[x], give % size[x], 0
+        for bucket in sorted({r[0] for r in by[x]}):
+            held = sorted(r[1:] for r in by[x] if r[0] == bucket)
+            of, ahead = sum(r[1] for r in held), start
+            for _, n, r in held:
+                more = ahead + n / 2 <= rest if start < rest < start + of else start + of <= rest
+                out[r] += min(3, passes + more)
+                ahead += n
+            start += of
+    return +out
+
+
+def test_pipeline_stages_by_hand(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = planted()
+    texts = lambda rows: Counter((r[0], r[1]) for r in rows)
+    for name, f in corpus_pipeline.STAGES:
+        got = f(spark, spark.createDataFrame(rows, schema).repartition(3), "")
+        if name == "packing":
+            break
+        after = [tuple(r) for r in got.select(*corpus_pipeline.COLUMNS).collect()]
+        if name == "language":
+            assert Counter(after) == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
+        elif name == "near duplicates":
+            assert texts(after) == texts(without_near_copies(rows)) and not Counter(after) - Counter(rows)
+        elif name == "repeated passages":
+            assert Counter(after) == Counter(without_passages(rows))
+        else:
+            assert name == "mixture"
+            order = spark.createDataFrame(rows, schema).select("*", F.xxhash64(F.lit(17), F.struct(*corpus_pipeline.COLUMNS)).alias("h")).collect()
+            assert Counter(after) == mixed_by_hand([tuple(r)[:5] for r in order], [r["h"] for r in order])
+        assert Counter(after) != Counter(rows), name
+        rows = after
+    encode, want = Tokenizer.from_file(queries.tokenizer()), Counter()
+    for i, text, *_ in rows:
+        full = [*encode.encode(text, add_special_tokens=False).ids, 2]
+        cuts = [0, *range((len(full) - 1) % 1024 + 1, len(full) + 1, 1024)]
+        want.update((i, k, a, b - a, crc(full[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    packed, at = got.collect(), defaultdict(list)
+    assert Counter(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in packed) == want and max(r[1] for r in want) > 0
+    for r in packed:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for p in at.values():
+        p.sort()
+        assert all(o == sum(n for _, n in p[:k]) for k, (o, _) in enumerate(p)) and sum(n for _, n in p) <= 1024
