@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skeinworks.plans.stage import drop, stage
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, comp): for each end of an edge (a, b), the smallest id that it reaches.
 
     Alternates two contractions ("large star", "small star"): each node links its larger neighbours, then
@@ -18,7 +18,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     e = stage(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     key = _sum(e)
-    for _ in range(most):
+    while True:  # ends: every round but the last lowers some neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stage(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "low")  # staged: a join of two scans, whose hot keys Spark can split
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -33,8 +33,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         e, was, key = new, key, _sum(new)
         if key == was:
             break
-    else:
-        raise RuntimeError("components did not settle")
     pairs = e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
     return pairs.unionByName(roots)

@@ -1,14 +1,21 @@
 """Similarity join on word n-gram sets by prefixes under several global orders.
 
-A global order sorts all tokens (n-gram hashes) by an estimate of their frequency, rare ones first, then by a
-hash of the order's own. Two sets whose Jaccard similarity reaches t share a token among the first
-n - ceil(t n) + 1 of each under every global order. So candidates must share such a prefix token under order
-one (found by grouping prefix tokens), and then under the other orders, before two sets are compared.
+Three global orders sort all tokens (n-gram hashes), each by a hash of its own. Two sets whose Jaccard similarity
+reaches t share a token among the first n - ceil(t n) + 1 of each under every order. Order one makes candidates:
+prefix tokens are grouped. Orders two and three are tested on the pairs that come out, by prefixes cut to 16 bits
+a token that each set carries (a false match lets a pair through, none is lost), so the filters are intersected
+before a text is fetched or a set compared.
+
+Frequent tokens. A prefix longer by e shares 1 + e tokens, so each set may leave out its e most frequent ones: of
+what a pair shares, the rarest stays in both. Counts are those of the groups, exact, so the order needs no sketch
+and nothing is broadcast. A pair's sizes differ by at most t, and a set leaves out no more than its smallest
+partner's prefix was lengthened by.
 
 Linking needs no list of all pairs. Equal sets are one class from the start. In the first round the members of
 a token's group are compared with one member alone, the one whose prefix is shared most, so a group of g costs
-g - 1 comparisons at most. The second round finishes the job: all pairs of a group that are still in different components, and share
-enough prefix tokens that t is within reach, are compared too. A pair left out is one whose ends are linked.
+g - 1 comparisons at most. The second round finishes the job: members of a group that are still in different
+components, and share enough prefix tokens that t is within reach, are compared too. A pair left out is one whose
+ends are linked.
 """
 
 from __future__ import annotations
@@ -16,18 +23,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.llm import sketch
 from skeinworks.llm.components import components
 from skeinworks.llm.words import U, mix, slices, trimmed, windows
-from skeinworks.plans.stage import bounded_batches, stage
+from skeinworks.plans.stage import bounded_batches, drop, stage
 
 #: Seeds of the orders' hashes.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 FLUSH, GROUP = 1 << 20, 1 << 20
+#: A token of this many sets of one block is hot: its sets are dealt by their own keys, not to the token's task.
+HOT = 256
+#: A set's prefix is longer by a 1 / SLACK of its size, for the frequent tokens that it leaves out.
+SLACK = 8
 #: The most document ids that are broadcast to pick the texts to compare; beyond, a shuffled join does it.
 MOST_IDS = 1_000_000
 _SHORT = 0x452821E638D01377
@@ -52,102 +61,162 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-class Orders:
-    """Ranks of tokens under each order, by four levels of estimated frequency, two bits to a cell of the sketch.
+def slack(n, percent: int):
+    """How many of its most frequent prefix tokens a set of n leaves out: the lengthening of its smallest partner's prefix."""
+    return -(-percent * n // 100) // SLACK
 
-    counts: merged sketch; load: mean items to a cell, what noise adds to a count.
-    """
 
-    def __init__(self, counts: np.ndarray, load: float):
-        of = np.minimum(np.floor(np.log2(1 + np.maximum(np.arange(256) - 2 * load, 0) / 4)), 3).astype(np.uint8)
-        self.mask = U(len(counts) - 1)
-        self.levels = of[counts[::4]]
-        for k in (1, 2, 3):
-            self.levels |= of[counts[k::4]] << np.uint8(2 * k)
+def rank(tokens: np.ndarray, order: int) -> np.ndarray:
+    """Places in an order; a bijection, so ranks identify tokens."""
+    return mix(tokens ^ U(ORDERS[order]))
+
+
+def prefix(tokens: np.ndarray, order: int, percent: int, more: int = 0) -> np.ndarray:
+    """Ranks of the prefix (`more` tokens longer), sorted."""
+    r = rank(tokens, order)
+    p = prefix_size(len(r), percent) + more
+    return np.sort(np.partition(r, p - 1)[:p] if p < len(r) else r)
+
 
-    def rank(self, tokens: np.ndarray, order: int) -> np.ndarray:
-        cell = tokens & self.mask
-        level = (self.levels[(cell >> U(2)).astype(np.int64)].astype(np.uint64) >> (U(2) * (cell & U(3)))) & U(3)
-        return (level << U(62)) | (mix(tokens ^ U(ORDERS[order])) >> U(2))
+def signature(tokens: np.ndarray, percent: int) -> bytes:
+    """The prefixes under the other orders, 16 bits a token: the length of the first, then all."""
+    parts = [np.unique(prefix(tokens, k, percent).astype(np.uint16)) for k in range(1, len(ORDERS))]
+    return np.array([len(x) for x in parts], np.uint32).tobytes() + np.concatenate(parts).tobytes()
 
-    def prefix(self, tokens: np.ndarray, order: int, percent: int) -> np.ndarray:
-        """Ranks of the prefix, sorted; ranks identify tokens."""
-        r = self.rank(tokens, order)
-        p = prefix_size(len(r), percent)
-        return np.sort(np.partition(r, p - 1)[:p] if p < len(r) else r)
+
+def orders_meet(x: bytes, y: bytes) -> bool:
+    """Whether two sets share a prefix token under each of the other orders, as far as 16 bits tell."""
+    k = len(ORDERS) - 1
+    cuts = []
+    for s in (x, y):
+        n = np.cumsum(np.frombuffer(s, np.uint32, k))
+        cuts.append(np.split(np.frombuffer(s, np.uint16, offset=4 * k), n[:-1]))
+    return all(np.intersect1d(p, q, assume_unique=True).size for p, q in zip(*cuts, strict=True))
 
 
 def _set_key(tokens: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(tokens)) ^ np.add.reduce(mix(tokens ^ U(ORDERS[1])) * U(3))) if len(tokens) else 0
 
 
-SENT = pa.schema([("shard", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("docs", pa.binary())])
-ROWS = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("doc_id", pa.int64())])
+SENT = pa.schema([("shard", pa.int32()), ("kind", pa.int8()), ("tokens", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
+ROWS = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("count", pa.int64())])
+PLAIN, SPREAD = 0, 1
 
 
-def _prefixes(docs: DataFrame, orders: Broadcast, n: int, percent: int, shards: int) -> DataFrame:
-    """Rows of documents (doc_id, key, n) and, for each prefix token of two sets or more, of its sets (token, key, n, pos: its place in the order)."""
+def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, key, n, sig) of each document; n is 0 without words. A block gives the signature of equal sets once."""
 
-    def send(batches):
-        held, seen, size = [], set(), 0
-        for k, batch in enumerate(batches):
-            ids = batch.column(0).to_numpy()
-            keys, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
+    def sets(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            m = len(batch)
+            keys, sizes, sigs = np.zeros(m, np.int64), np.zeros(m, np.int32), [None] * m
             for a, _, h, first in slices(batch.column(1), lower=True):
                 for i, tokens in enumerate(ngrams(h, first, n), a):
+                    if len(tokens):
+                        keys[i], sizes[i] = np.uint64(_set_key(tokens)).view(np.int64), len(tokens)
+                        if int(keys[i]) not in seen:
+                            seen.add(int(keys[i]))
+                            sigs[i] = signature(tokens, percent)
+            if len(seen) > FLUSH:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes), pa.array(sigs, pa.binary())], ["doc_id", "key", "n", "sig"])
+
+    return docs.mapInArrow(trimmed(sets), "doc_id long, key long, n int, sig binary")
+
+
+def _prefixes(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
+    """For each prefix token of two sets or more, its sets: (token, key, n, pos: its place in the order, count: of its sets, null if it is hot)."""
+
+    def send(batches):
+        held, seen, size = [], set(), 0
+        for batch in batches:
+            for _, _, h, first in slices(batch.column(0), lower=True):
+                for tokens in ngrams(h, first, n):
                     if len(tokens) == 0:
                         continue
                     key = np.uint64(_set_key(tokens)).view(np.int64)
-                    keys[i], sizes[i] = key, len(tokens)
                     if key in seen:
                         continue
                     seen.add(key)
-                    p = orders.value.prefix(tokens, 0, percent)
-                    held.append((p, np.full(len(p), key), np.full(len(p), len(tokens), np.int32), np.minimum(np.arange(len(p)), 0xFFFF).astype(np.uint16)))
+                    p = prefix(tokens, 0, percent, len(tokens) // SLACK)
+                    held.append((p, np.full(len(p), key), np.full(len(p), len(tokens), np.int32), np.arange(len(p), dtype=np.int32)))
                     size += len(p)
                     if size >= FLUSH:
-                        yield from _send(held, shards)
+                        yield from _send(held)
                         held, seen, size = [], set(), 0
-            yield pa.RecordBatch.from_pylist([{"shard": (k * 31 + int(ids[0] if len(ids) else 0)) % shards, "tokens": b"", "keys": keys.tobytes(), "sizes": sizes.tobytes(), "places": b"", "docs": ids.astype(np.int64).tobytes()}], SENT)
         if held:
-            yield from _send(held, shards)
+            yield from _send(held)
 
-    def _send(held, shards):
+    def _send(held):
         t, key, size, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        shard = (mix(t) >> U(20)) % U(shards)
-        order = np.lexsort((t, shard))
-        t, key, size, pos, shard = t[order], key[order], size[order], pos[order], shard[order]
-        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
-        yield pa.RecordBatch.from_pylist([{"shard": int(shard[a]), "tokens": t[a:b].tobytes(), "keys": key[a:b].tobytes(), "sizes": size[a:b].tobytes(), "places": pos[a:b].tobytes(), "docs": b""} for a, b in zip(cut, [*cut[1:], len(t)], strict=True)], SENT)
+        order = np.argsort(t, kind="stable")
+        t, key, size, pos = t[order], key[order], size[order], pos[order]
+        start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        span = np.diff(np.append(start, len(t)))
+        hot = np.repeat(span >= HOT, span)
+        mark = t[start[span >= HOT]]  # tells the token's task that it is shared and hot
+        yield from _rows(SPREAD, (mix(key[hot].view(np.uint64)) >> U(20)) % U(shards), t[hot], key[hot], size[hot], pos[hot])
+        t, key, size, pos = (np.concatenate(x) for x in ((t[~hot], mark), (key[~hot], np.zeros(len(mark), np.int64)), (size[~hot], np.zeros(len(mark), np.int32)), (pos[~hot], np.zeros(len(mark), np.int32))))
+        yield from _rows(PLAIN, (mix(t) >> U(20)) % U(shards), t, key, size, pos)
+
+    def _rows(kind, shard, t, key, size, pos):
+        if len(t):
+            order = np.lexsort((t, shard))
+            t, key, size, pos, shard = t[order], key[order], size[order], pos[order], shard[order]
+            cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
+            yield pa.RecordBatch.from_pylist([{"shard": int(shard[a]), "kind": kind, "tokens": t[a:b].tobytes(), "keys": key[a:b].tobytes(), "sizes": size[a:b].tobytes(), "places": pos[a:b].tobytes()} for a, b in zip(cut, [*cut[1:], len(t)], strict=True)], SENT)
 
     def group(batches):
-        got: dict[int, list] = {}
+        got: dict[tuple, list] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                key, size = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sizes"], np.int32)
-                if r["docs"]:
-                    m = len(key)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(key), pa.array(size), pa.nulls(m, pa.int32()), pa.array(np.frombuffer(r["docs"], np.int64))], schema=ROWS)
-                elif len(key):
-                    got.setdefault(r["shard"], []).append((np.frombuffer(r["tokens"], np.uint64), key, size, np.frombuffer(r["places"], np.uint16)))
-        for parts in got.values():
+                got.setdefault((r["shard"], r["kind"]), []).append((np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["places"], np.int32)))
+        for (_, kind), parts in got.items():
             t, key, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((key, t))
+            order = np.lexsort((key, size, t))
             t, key, size, pos = t[order], key[order], size[order], pos[order]
-            keep = np.append(True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]))
+            keep = np.append(True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (size[1:] != size[:-1]))
             t, key, size, pos = t[keep], key[keep], size[keep], pos[keep]
             start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             span = np.diff(np.append(start, len(t)))
-            more = np.repeat(span > 1, span)
-            for a in range(0, int(more.sum()), 100_000):
-                at = np.flatnonzero(more)[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(t[at].view(np.int64)), pa.array(key[at]), pa.array(size[at]), pa.array(pos[at].astype(np.int32)), pa.nulls(len(at), pa.int64())], schema=ROWS)
+            count = np.repeat(np.where(size[start] == 0, 0, span), span)  # a mark comes first, as its size is 0
+            if kind == SPREAD:
+                count = np.zeros(len(t), np.int64)
+            shared = np.flatnonzero((size > 0) & ((np.repeat(span, span) > 1) | (kind == SPREAD)))
+            for a in range(0, len(shared), 100_000):
+                at = shared[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(t[at].view(np.int64)), pa.array(key[at]), pa.array(size[at]), pa.array(pos[at]), pa.array(count[at], mask=count[at] == 0)], schema=ROWS)
+
+    sent = docs.select("text").mapInArrow(trimmed(send), "shard int, kind byte, tokens binary, keys binary, sizes binary, places binary")
+    return sent.repartition(shards, "shard").mapInArrow(trimmed(group), "token long, key long, n int, pos int, count long")
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    """tokens with the counts of hot ones, and each set of theirs once."""
+    hot = tokens.filter("count IS NULL")
+    if not hot.head(1):
+        return tokens
+    hot = stage(hot.drop("count").dropDuplicates(["token", "key"]), "hot-tokens")
+    n = hot.groupBy("token").agg(F.count("*").alias("count"))  # summed before the shuffle
+    return stage(tokens.filter("count IS NOT NULL").unionByName(hot.join(n, "token").filter("count > 1")), "counted")
+
+
+def _meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose prefixes meet under the other orders too."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sig = stage(sets.filter("sig IS NOT NULL").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("sig").alias("sig")), "signatures")
+
+    def meet(batches):
+        for batch in batches:
+            ok = [orders_meet(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield from pa.Table.from_batches([batch.select([0, 1])]).filter(pa.array(ok, pa.bool_())).to_batches()
 
-    sent = docs.mapInArrow(trimmed(send), "shard int, tokens binary, keys binary, sizes binary, places binary, docs binary")
-    return sent.repartition(shards, "shard").mapInArrow(trimmed(group), "token long, key long, n int, pos int, doc_id long")
+    both = pairs.join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(meet, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, orders: Broadcast, n: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (a, b, da, db: keys and one document of each), those whose sets reach the threshold."""
     need = stage(pairs.select(F.explode(F.array("da", "db")).alias("id")).distinct(), "wanted")
     few = need.count() <= MOST_IDS
@@ -155,22 +224,19 @@ def _verify(pairs: DataFrame, docs: DataFrame, orders: Broadcast, n: int, percen
     both = pairs.join(texts.select(F.col("doc_id").alias("db"), F.col("text").alias("tb")), "db").join(texts.select(F.col("doc_id").alias("da"), F.col("text").alias("ta")), "da")
 
     def compare(batches):
-        o = orders.value
         for batch in batches:
             keep = []
             sets = [[x for _, _, h, first in slices(batch.column(c), lower=True) for x in ngrams(h, first, n)] for c in (2, 3)]
             for x, y in zip(*sets, strict=True):
-                ok = len(x) > 0 and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
-                for k in range(1, len(ORDERS)):  # the other orders' filters, before the sets are compared
-                    ok = ok and bool(np.intersect1d(o.prefix(x, k, percent), o.prefix(y, k, percent), assume_unique=True).size)
-                if ok:
-                    both = np.intersect1d(x, y, assume_unique=True).size
-                    ok = 100 * both >= percent * (len(x) + len(y) - both)
-                keep.append(ok)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                keep.append(len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             out = pa.Table.from_batches([batch.select([0, 1])]).filter(pa.array(keep, pa.bool_()))
             yield from out.to_batches()
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(trimmed(compare), "a long, b long")
+    out = stage(both.select("a", "b", "ta", "tb").mapInArrow(trimmed(compare), "a long, b long"), "links")
+    drop(texts)
+    drop(need)
+    return out
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -186,28 +252,21 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = sketch.width_bits(size // 6, 1.0)
-
-    def items(batch: pa.RecordBatch):
-        for _, _, h, first in slices(batch.column(0), lower=True):
-            end = np.repeat(first[1:], np.diff(first))
-            yield windows(h, n)[np.flatnonzero(np.arange(len(end)) + n <= end)]
-
-    counts = sketch.fill(docs.select("text"), items, bits)
-    orders = spark.sparkContext.broadcast(Orders(counts, min(float(counts.mean(dtype=np.float64)), 60.0)))  # 16 MB at most
-    del counts
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 24 // GROUP)
-    rows = stage(_prefixes(docs, orders, n, percent, shards), "prefixes")
-    members = rows.filter("token IS NULL").select("doc_id", "key", "n")
-    tokens = rows.filter("token IS NOT NULL")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 16 // GROUP)
+    tokens = _counted(stage(_prefixes(docs, n, percent, shards), "prefixes"))
+    sets = stage(_sets(docs, n, percent), "sets")
+    members = sets.select("doc_id", "key", "n")
     doc = stage(members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc")), "classes")
 
     def with_docs(pairs: DataFrame) -> DataFrame:
         return pairs.join(doc.select(F.col("key").alias("a"), F.col("doc").alias("da")), "a").join(doc.select(F.col("key").alias("b"), F.col("doc").alias("db")), "b").select("a", "b", "da", "db")
 
+    def least(x: str) -> str:
+        return f"ceil({percent} * {x} / 100)"
+
     def in_reach(pairs: DataFrame) -> DataFrame:
         """Of pairs with c shared prefix tokens and sizes na, nb, those whose overlap can still suffice: beyond the prefix that ends first, at most the rest of its set is shared."""
-        rest = F.greatest(*(F.ceil(F.col(x) * percent / 100) - 1 for x in ("na", "nb")))
+        rest = F.greatest(F.lit(0), *(F.expr(f"{least(x)} - 1 - floor({x} / {SLACK})") for x in ("na", "nb")))
         fit = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
         return pairs.filter(fit).filter((100 + percent) * (F.col("c") + rest) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -215,27 +274,31 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     lead = tokens.join(share, "key").groupBy("token").agg(F.max(F.struct("share", "key", "n")).alias("lead")).select("token", "lead.key", "lead.n").toDF("token", "a", "na")
     # Here c counts groups that a leads: less than all the pair shares, so some pairs are left to the second round.
     first = tokens.select("token", F.col("key").alias("b"), F.col("n").alias("nb")).join(lead, "token").filter("a <> b")
-    tried = stage(with_docs(in_reach(first.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")))), "first-pairs")
-    links = stage(_verify(tried, docs, orders, n, percent), "first-links")
+    tried = stage(in_reach(first.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))), "first-pairs")
+    links = _verify(stage(with_docs(_meeting(tried, sets)), "first-meeting"), docs, n, percent)
     comp = stage(components(links), "first-components")
 
-    t = tokens.join(comp.withColumnRenamed("id", "key"), "key", "left").select("token", "key", "n", "pos", F.coalesce("comp", "key").alias("comp"))
-    mixed = t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    # The most frequent of a set's prefix tokens, as many as the slack allows, make no pairs.
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("count"), "token"))
+    cold = tokens.withColumn("cold", place > F.expr(f"floor({least('n')} / {SLACK})"))
+    t = cold.join(comp.withColumnRenamed("id", "key"), "key", "left").select("token", "key", "n", "pos", "cold", F.coalesce("comp", "key").alias("comp"))
+    mixed = tokens.join(comp.withColumnRenamed("id", "key"), "key", "left").groupBy("token").agg(F.min(F.coalesce("comp", "key")).alias("lo"), F.max(F.coalesce("comp", "key")).alias("hi")).filter("lo <> hi").select("token")
     t = stage(t.join(mixed, "token"), "mixed-tokens")
-    a, b = (t.select("token", *(F.col(c).alias(c + x) for c in ("key", "n", "pos", "comp"))) for x in "ab")
-    # Two sets of these sizes need `least` tokens in common, so they share one within the first n - least + 1 of each: far
-    # fewer than the prefix that serves all sizes, and rare ones. What a pair shares of its whole prefixes is counted after.
-    least = f"ceil({percent} * (na + nb) / {100 + percent})"
-    fit = f"compa < compb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND posa <= na - {least} AND posb <= nb - {least}"
+    a, b = (t.filter("cold").select("token", *(F.col(c).alias(c + x) for c in ("key", "n", "pos", "comp"))) for x in "ab")
+    # Two sets of these sizes need `least` tokens in common, so they share 1 + more within the first n - least + 1 + more of
+    # each: fewer than the prefix that serves all sizes. What a pair shares of its whole prefixes is counted after.
+    both = f"ceil({percent} * (na + nb) / {100 + percent})"
+    more = f"floor(greatest({least('na')}, {least('nb')}) / {SLACK})"
+    fit = f"compa < compb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND posa <= na - {both} + {more} AND posb <= nb - {both} + {more}"
     met = a.join(b, "token").filter(fit).select(F.col("keya").alias("a"), F.col("keyb").alias("b"), "na", "nb").distinct()
-    prefix = stage(t.groupBy("key").agg(F.collect_list("token").alias("t")), "mixed-prefixes")
-    met = met.join(prefix.toDF("a", "ta"), "a").join(prefix.toDF("b", "tb"), "b")
-    more = in_reach(met.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("c")))
+    held = stage(t.groupBy("key").agg(F.collect_list("token").alias("t")), "mixed-prefixes")
+    met = met.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b")
+    left = in_reach(met.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("c")))
     for x, y in (("a", "b"), ("b", "a")):
-        more = more.join(tried.select(F.col("a").alias(x), F.col("b").alias(y)), ["a", "b"], "left_anti")
-    more = stage(with_docs(more), "second-pairs")
-    if more.head(1):
-        links = stage(links.unionByName(_verify(more, docs, orders, n, percent)), "links")
+        left = left.join(tried.select(F.col("a").alias(x), F.col("b").alias(y)), ["a", "b"], "left_anti")
+    left = stage(left, "second-pairs")
+    if left.head(1):
+        links = links.unionByName(_verify(stage(with_docs(_meeting(left, sets)), "second-meeting"), docs, n, percent))
         comp = stage(components(links), "components")
     named = members.join(comp.withColumnRenamed("id", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     names = named.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

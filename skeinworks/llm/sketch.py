@@ -1,91 +1,37 @@
 """A count-min sketch that every partition fills by itself and whose shards are merged by addition.
 
-The sketch has `width` cells of one row of counters; a key's cell is its hash modulo width. The
-sum over partitions of a cell is at least the number of items counted with any of its keys.
-Counters saturate at 255 when merged. A partition sends its filled cells only, in shards by range
-of cells, so that no task holds more than one dense shard row per shard it merges; the merged
-sketch has `width` bytes, bounded by the caller, and may be broadcast.
+Keys are 64-bit hashes. Their upper bits name a shard, the lower 32 a cell of the shard's wide row; a partition's
+sketch is sparse, the cells that it filled once and those that it filled more often, cut by shard. The task of a
+shard adds the partitions' sketches up in two dense rows, as wide as the cells that were sent ask for, so the
+sketch grows with the input and neither the driver nor a broadcast holds any of it. The smaller of a key's two
+counters is never below the number of its places.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from skeinworks.llm.words import trimmed
-
-SHARD_BITS = 16
-#: Items that a task gathers before it sends them on.
-FLUSH = 1 << 21
-SENT = pa.schema([("shard", pa.int32()), ("once", pa.binary()), ("cells", pa.binary()), ("counts", pa.binary())])
-
 
-def width_bits(items: int, per_cell: float, least: int = 16, most: int = 26) -> int:
-    """Bits of a width with about per_cell items to a cell; `most` bounds the broadcast (2**26: 64 MB)."""
-    return int(np.clip(np.ceil(np.log2(max(items, 1) / per_cell)), least, most))
+from skeinworks.llm.words import U, mix
 
+#: Counters to a filled cell.
+SPARSE = 6
 
-def _send(cells: list[np.ndarray], bits: int) -> pd.DataFrame:
-    cell, n = np.unique(np.concatenate(cells), return_counts=True)
-    n = np.minimum(n, 255).astype(np.uint8)
-    shard = cell >> SHARD_BITS
-    cut = np.flatnonzero(np.diff(shard)) + 1
-    at = [0, *cut.tolist(), len(cell)]
-    rows = []
-    for a, b in zip(at, at[1:], strict=False):
-        low = (cell[a:b] & ((1 << SHARD_BITS) - 1)).astype(np.uint16)
-        once = n[a:b] == 1
-        more = ~once
-        rows.append((int(shard[a]), low[once].tobytes(), low[more].tobytes(), n[a:b][more].tobytes()))
-    return pd.DataFrame(rows, columns=["shard", "once", "cells", "counts"])
 
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return (key >> U(36)) % U(shards)
 
-def fill(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """The merged sketch of all items(batch) hashes (uint64 arrays) of df: a uint8 array of 2**bits cells."""
-    mask = np.uint64((1 << bits) - 1)
-    spark = df.sparkSession
 
-    def partial(batches):
-        held, n = [], 0
-        for batch in batches:
-            for h in items(batch):
-                if len(h):
-                    held.append((h & mask).astype(np.uint32))
-                    n += len(h)
-                if n >= FLUSH:
-                    yield pa.RecordBatch.from_pandas(_send(held, bits), SENT, preserve_index=False)
-                    held, n = [], 0
-        if held:
-            yield pa.RecordBatch.from_pandas(_send(held, bits), SENT, preserve_index=False)
+def cell_of(key: np.ndarray) -> np.ndarray:
+    return key.astype(np.uint32)
 
-    def merge(batches):
-        got: dict[int, np.ndarray] = {}
-        size = 1 << min(SHARD_BITS, bits)
-        for pdf in batches:
-            for shard, once, cells, counts in zip(pdf["shard"], pdf["once"], pdf["cells"], pdf["counts"], strict=True):
-                if shard not in got:
-                    got[shard] = np.zeros(size, np.uint8)
-                a = got[shard]
-                for at, by in ((np.frombuffer(once, np.uint16), np.uint8(1)), (np.frombuffer(cells, np.uint16), np.frombuffer(counts, np.uint8))):
-                    v = a[at]
-                    a[at] = np.where(v > 255 - by, 255, v + by)
-        for shard, a in got.items():
-            yield pd.DataFrame({"shard": [shard], "counts": [a.tobytes()]})
 
-    shards = 1 << max(0, bits - SHARD_BITS)
-    n = max(shards, 1) if shards < int(spark.conf.get("spark.sql.shuffle.partitions")) else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = (
-        df.mapInArrow(trimmed(partial), "shard int, once binary, cells binary, counts binary")
-        .repartition(n, F.col("shard"))
-        .mapInPandas(trimmed(merge), "shard int, counts binary")
-    )
-    out = np.zeros(1 << bits, np.uint8)
-    size = 1 << min(SHARD_BITS, bits)
-    for shard, counts in merged.toLocalIterator():  # width bytes in all, a shard at a time
-        out[shard * size : (shard + 1) * size] = np.frombuffer(counts, np.uint8)
+def repeated(once: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Which cells of `once` (each filled once by one partition) are estimated to be filled twice or more in all; `more` were filled twice or more by one."""
+    width = 1 << int(np.ceil(np.log2(max(16, SPARSE * (len(once) + len(more))))))
+    out = np.ones(len(once), bool)
+    for row in (0, 1):
+        at = [(mix(x.astype(np.uint64) + U(row << 40)) >> U(24)).astype(np.int64) & (width - 1) for x in (once, more)]
+        counts = np.bincount(at[0], minlength=width)
+        counts[at[1]] += 2
+        out &= counts[at[0]] >= 2
     return out

@@ -94,6 +94,49 @@ def test_ngram_join(spark, docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in twice.collect()} == got
 
 
+def test_ngram_join_deals_hot_tokens_and_leaves_out_frequent_ones(spark, monkeypatch):
+    """Half of every text is one of three boilerplates: the same components with hot tokens from 2 and from 10 ** 6 sets on, equal to brute force."""
+    r = random.Random(7)
+    parts = [[f"b{k}-{i}" for i in range(30)] for k in range(3)]
+    rows = []
+    for i in range(240):
+        own = [f"o{i // 4}-{j}" for j in range(40)]
+        for _ in range(r.randint(0, 3)):
+            own[r.randrange(40)] = f"x{r.random()}"
+        rows.append((i, " ".join(parts[i % 3] + own)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    s = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    comp = {i: i for i in s}
+    for _ in range(4):
+        for i in s:
+            comp[i] = min(comp[j] for j in s if 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]))
+    for hot in (2, 10**6):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        got = {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_jaccard_join(d).collect()}
+        assert got == comp, hot
+    assert 1 < len(set(comp.values())) < 240
+
+
+def test_prefixes_meet_without_the_frequent_tokens():
+    """Any two sets in reach share a prefix token that neither leaves out, whatever the counts, and meet under the other orders."""
+    r = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(r.integers(1, 120))
+        x = r.choice(1 << 20, n, replace=False).astype(np.uint64)
+        y = np.unique(np.concatenate([x[r.random(n) < r.uniform(0.8, 1)], r.choice(1 << 20, int(r.integers(0, 1 + n // 6)), replace=False).astype(np.uint64)]))
+        both = np.intersect1d(x, y).size
+        if len(y) == 0 or 100 * both < 75 * (n + len(y) - both):
+            continue
+        kept = []
+        for z in (x, y):
+            p = ngram_join.prefix(z, 0, 75, len(z) // ngram_join.SLACK)
+            count = {int(t): int(t) % 7 for t in p}  # the same for both sets
+            kept.append(set(sorted(count, key=lambda t: (-count[t], t))[ngram_join.slack(len(z), 75) :]))
+        assert kept[0] & kept[1]
+        assert ngram_join.orders_meet(ngram_join.signature(x, 75), ngram_join.signature(y, 75))
+    assert not ngram_join.orders_meet(ngram_join.signature(np.arange(40, dtype=np.uint64), 75), ngram_join.signature(np.arange(40, 80, dtype=np.uint64), 75))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (5, 5), (200, 202)]
     got = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -283,6 +326,47 @@ def test_substrings(spark, docs):
     assert substring.substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_sketch_estimates_are_never_below_and_rarely_above(monkeypatch):
+    """Cells of four times as many anchors as a shard is meant to have: none that repeats is missed, at least nine tenths of the rest are filtered."""
+    r = np.random.default_rng(6)
+    for n in (10, 1000, 4 * substring.ANCHORS):
+        once = r.integers(0, 1 << 32, n, np.uint32)
+        once[: n // 5] = once[n // 5 : 2 * (n // 5)]
+        more = r.integers(0, 1 << 32, n // 10, np.uint32)
+        more[: n // 20] = once[-(n // 20) :] if n >= 20 else more[: n // 20]
+        c = Counter(once.tolist())
+        truth = np.array([c[x] > 1 for x in once.tolist()]) | np.isin(once, more)
+        met = substring.sketch.repeated(once, more)
+        assert met[truth].all() and met[~truth].mean() < 0.1
+
+
+@pytest.mark.parametrize("anchors", [64, 1 << 18])
+def test_substrings_in_many_shards(spark, monkeypatch, anchors):
+    """The result doesn't depend on the number of shards, and few windows that occur once pass the prefilter."""
+    monkeypatch.setattr(substring, "ANCHORS", anchors)
+    monkeypatch.setattr(substring, "FLUSH", 2000)
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(50)]
+    rows = [(i, " ".join([f"{i}-{j}" for j in range(r.randint(0, 300))] + (passage if i % 3 == 0 else []) + [f"{i}+{j}" for j in range(40)])) for i in range(150)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substring.substring_dedup(d).collect()}
+    assert got == {i: (len(t.split()), 50 if i % 3 == 0 else 0) for i, t in rows}
+    found = substring.estimated(d.withColumn("__row", F.col("doc_id")), 35, max(4, 200 // anchors), 4).collect()
+    places = sum(int(np.frombuffer(x["__n"], np.uint16).sum()) for x in found)
+    assert 50 * 16 <= places < 50 * 16 + 0.2 * sum(len(t.split()) for _, t in rows)
+
+
+def test_substrings_of_a_long_text(spark):
+    """Over 2 ** 20 words, a passage at both ends, ids null and repeated, and a window of over 65,535 words."""
+    w = [f"{i:x}" for i in range((1 << 20) + 50_000)]
+    long = " ".join(w + w[:100])
+    d = spark.createDataFrame([(None, long, 1), (None, "a b", 2), (7, "c " * 80, 3), (7, "d", 4)], "doc_id long, text string, kept long")
+    got = sorted((x["n_words"], x["n_removed"], len(x["kept"])) for x in substring.substring_dedup(d).collect())
+    assert got == [(1, 0, 1), (2, 0, 3), (80, 80, 0), (len(w) + 100, 200, len(" ".join(w[100:])))]
+    big = spark.createDataFrame([(1, " ".join(w[:70_000])), (2, "x " + " ".join(w[:70_000]))], "doc_id long, text string")
+    assert [(x["n_removed"], x["kept"]) for x in substring.substring_dedup(big, window=66_000).orderBy("doc_id").collect()] == [(70_000, ""), (70_000, "x")]
+
+
 def test_mixing(spark, docs):
     d = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
     run = lambda: {r["doc_id"]: r for r in mixing.mix(d, F.array("source"), F.col("size")).collect()}
