@@ -1,15 +1,12 @@
 """Similarity join on word n-gram sets by prefixes under several global orders.
 
-Three global orders sort all tokens (n-gram hashes), each by a hash of its own. Two sets whose Jaccard similarity
-reaches t share a token among the first n - ceil(t n) + 1 of each under every order. Order one makes candidates:
-prefix tokens are grouped. Orders two and three are tested on the pairs that come out, by prefixes cut to 16 bits
-a token that each set carries (a false match lets a pair through, none is lost), so the filters are intersected
-before a text is fetched or a set compared.
-
-Frequent tokens. A prefix longer by e shares 1 + e tokens, so each set may leave out its e most frequent ones: of
-what a pair shares, the rarest stays in both. Counts are those of the groups, exact, so the order needs no sketch
-and nothing is broadcast. A pair's sizes differ by at most t, and a set leaves out no more than its smallest
-partner's prefix was lengthened by.
+A global order sorts all tokens (n-gram hashes). Two sets whose Jaccard similarity reaches t share a token among
+the first n - ceil(t n) + 1 of each, under every global order. Order one is by frequency, rare tokens first: each
+token's sets are counted in its shard, exactly, and what is shared comes back to the set. Tokens of one set alone
+come first and are never sent back; a set with too many of them has no partner. Orders two and three are by hash;
+each set carries its prefixes under them, cut to 16 bits a token (a false match lets a pair through, none is
+lost). A pair must share prefix tokens under order one (found by grouping) and then under the others, before a text is
+fetched or a set compared.
 
 Linking needs no list of all pairs. Equal sets are one class from the start. In the first round the members of
 a token's group are compared with one member alone, the one whose prefix is shared most, so a group of g costs
@@ -23,7 +20,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.components import components
@@ -33,10 +31,11 @@ from skeinworks.plans.stage import bounded_batches, drop, stage
 #: Seeds of the orders' hashes.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 FLUSH, GROUP = 1 << 20, 1 << 20
-#: A token of this many sets of one block is hot: its sets are dealt by their own keys, not to the token's task.
-HOT = 256
-#: A set's prefix is longer by a 1 / SLACK of its size, for the frequent tokens that it leaves out.
-SLACK = 8
+#: A token of this many sets of one block is hot: its sets are dealt by their own keys, not to the token's task, and it ranks after all others.
+HOT = 64
+_MOST = (1 << 32) - 1
+#: Buckets in which a partition's sets get their counts back.
+PARTS = 8
 #: The most document ids that are broadcast to pick the texts to compare; beyond, a shuffled join does it.
 MOST_IDS = 1_000_000
 _SHORT = 0x452821E638D01377
@@ -61,21 +60,11 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def slack(n, percent: int):
-    """How many of its most frequent prefix tokens a set of n leaves out: the lengthening of its smallest partner's prefix."""
-    return -(-percent * n // 100) // SLACK
-
-
-def rank(tokens: np.ndarray, order: int) -> np.ndarray:
-    """Places in an order; a bijection, so ranks identify tokens."""
-    return mix(tokens ^ U(ORDERS[order]))
-
-
-def prefix(tokens: np.ndarray, order: int, percent: int, more: int = 0) -> np.ndarray:
-    """Ranks of the prefix (`more` tokens longer), sorted."""
-    r = rank(tokens, order)
-    p = prefix_size(len(r), percent) + more
-    return np.sort(np.partition(r, p - 1)[:p] if p < len(r) else r)
+def prefix(tokens: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The prefix under an order by hash, as ranks; a rank identifies its token."""
+    r = mix(tokens ^ U(ORDERS[order]))
+    p = prefix_size(len(r), percent)
+    return np.partition(r, p - 1)[:p] if p < len(r) else r
 
 
 def signature(tokens: np.ndarray, percent: int) -> bytes:
@@ -98,108 +87,159 @@ def _set_key(tokens: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(tokens)) ^ np.add.reduce(mix(tokens ^ U(ORDERS[1])) * U(3))) if len(tokens) else 0
 
 
-SENT = pa.schema([("shard", pa.int32()), ("kind", pa.int8()), ("tokens", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
-ROWS = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("count", pa.int64())])
-PLAIN, SPREAD = 0, 1
+_BINARY = ["t4", "t2", "r4", "r2", "counts"]
+SENT = pa.schema([("at", pa.int32()), ("kind", pa.int8()), ("part", pa.int32()), *((c, pa.binary()) for c in _BINARY), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())])
+SENT_SQL = "at int, kind byte, part int, t4 binary, t2 binary, r4 binary, r2 binary, counts binary, doc_id long, key long, n int, sig binary"
+#: Kinds of messages: tokens for their shard, hot ones dealt by set, marks of hot ones, a block's sets, documents; tokens that come back.
+PLAIN, SPREAD, MARK, SETS, DOC, BACK = range(6)
+
+
+def _halves(x: np.ndarray) -> tuple[bytes, bytes]:
+    """48 bits as arrays of 32 and 16."""
+    return x.astype(np.uint32).tobytes(), (x >> U(32)).astype(np.uint16).tobytes()
+
+
+def _whole(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << U(32))
+
+
+_48 = U((1 << 48) - 1)
+
+
+def _ranges(x: np.ndarray) -> list[tuple[int, int]]:
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])).tolist()
+    return list(zip(at, [*at[1:], len(x)], strict=True)) if len(x) else []
+
 
+def _counted(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
+    """Rows of documents (kind DOC: doc_id, key, n, sig), of sets (SETS) and of tokens that several sets share (BACK), by partition and bucket of the set."""
 
-def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, key, n, sig) of each document; n is 0 without words. A block gives the signature of equal sets once."""
+    def row(at, kind, part, *binary):
+        return {"at": int(at), "kind": kind, "part": int(part), **dict(zip(_BINARY, binary, strict=False))}
 
-    def sets(batches):
-        seen: set[int] = set()
+    def send(batches):
+        part = TaskContext.get().partitionId()
+        held, seen, size, k = [], set(), 0, 0
         for batch in batches:
             m = len(batch)
             keys, sizes, sigs = np.zeros(m, np.int64), np.zeros(m, np.int32), [None] * m
             for a, _, h, first in slices(batch.column(1), lower=True):
                 for i, tokens in enumerate(ngrams(h, first, n), a):
                     if len(tokens):
-                        keys[i], sizes[i] = np.uint64(_set_key(tokens)).view(np.int64), len(tokens)
-                        if int(keys[i]) not in seen:
-                            seen.add(int(keys[i]))
+                        key = np.uint64(_set_key(tokens))
+                        keys[i], sizes[i] = key.view(np.int64), len(tokens)
+                        if key not in seen:
+                            seen.add(key)
                             sigs[i] = signature(tokens, percent)
-            if len(seen) > FLUSH:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes), pa.array(sigs, pa.binary())], ["doc_id", "key", "n", "sig"])
-
-    return docs.mapInArrow(trimmed(sets), "doc_id long, key long, n int, sig binary")
-
-
-def _prefixes(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
-    """For each prefix token of two sets or more, its sets: (token, key, n, pos: its place in the order, count: of its sets, null if it is hot)."""
-
-    def send(batches):
-        held, seen, size = [], set(), 0
-        for batch in batches:
-            for _, _, h, first in slices(batch.column(0), lower=True):
-                for tokens in ngrams(h, first, n):
-                    if len(tokens) == 0:
-                        continue
-                    key = np.uint64(_set_key(tokens)).view(np.int64)
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    p = prefix(tokens, 0, percent, len(tokens) // SLACK)
-                    held.append((p, np.full(len(p), key), np.full(len(p), len(tokens), np.int32), np.arange(len(p), dtype=np.int32)))
-                    size += len(p)
-                    if size >= FLUSH:
-                        yield from _send(held)
-                        held, seen, size = [], set(), 0
+                            held.append((tokens, key))
+                            size += len(tokens)
+                if size >= FLUSH:
+                    yield flush(held, part)
+                    held, seen, size = [], set(), 0
+            k += 1
+            nulls = {c: pa.nulls(m, pa.binary()) for c in _BINARY}
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.full(m, (part * 31 + k) % shards, np.int32)), "kind": pa.array(np.full(m, DOC, np.int8)), "part": pa.array(np.full(m, part, np.int32)), **nulls, "doc_id": batch.column(0), "key": pa.array(keys), "n": pa.array(sizes), "sig": pa.array(sigs, pa.binary())}, schema=SENT)
         if held:
-            yield from _send(held)
+            yield flush(held, part)
 
-    def _send(held):
-        t, key, size, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+    def flush(held, part):
+        """A block's messages. A set is known in its partition by 48 bits of its key, a token in its shard by 48 bits of its hash."""
+        sizes = np.array([len(t) for t, _ in held])
+        keys = np.array([k for _, k in held], np.uint64)
+        t, ref = mix(np.concatenate([t for t, _ in held])), np.repeat(mix(keys) & _48, sizes)
         order = np.argsort(t, kind="stable")
-        t, key, size, pos = t[order], key[order], size[order], pos[order]
+        t, ref = t[order], ref[order]
         start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         span = np.diff(np.append(start, len(t)))
         hot = np.repeat(span >= HOT, span)
-        mark = t[start[span >= HOT]]  # tells the token's task that it is shared and hot
-        yield from _rows(SPREAD, (mix(key[hot].view(np.uint64)) >> U(20)) % U(shards), t[hot], key[hot], size[hot], pos[hot])
-        t, key, size, pos = (np.concatenate(x) for x in ((t[~hot], mark), (key[~hot], np.zeros(len(mark), np.int64)), (size[~hot], np.zeros(len(mark), np.int32)), (pos[~hot], np.zeros(len(mark), np.int32))))
-        yield from _rows(PLAIN, (mix(t) >> U(20)) % U(shards), t, key, size, pos)
-
-    def _rows(kind, shard, t, key, size, pos):
-        if len(t):
-            order = np.lexsort((t, shard))
-            t, key, size, pos, shard = t[order], key[order], size[order], pos[order], shard[order]
-            cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
-            yield pa.RecordBatch.from_pylist([{"shard": int(shard[a]), "kind": kind, "tokens": t[a:b].tobytes(), "keys": key[a:b].tobytes(), "sizes": size[a:b].tobytes(), "places": pos[a:b].tobytes()} for a, b in zip(cut, [*cut[1:], len(t)], strict=True)], SENT)
-
-    def group(batches):
+        mark = t[start[span >= HOT]]
+        rows = []
+        for kind, x, r, by in ((PLAIN, t[~hot], ref[~hot], t[~hot]), (SPREAD, t[hot], ref[hot], mix(ref[hot])), (MARK, mark, mark, mark)):
+            shard = by % U(shards)
+            order = np.argsort(shard, kind="stable")
+            x, r, shard = x[order], r[order], shard[order]
+            for a, b in _ranges(shard):
+                # A hot token is dealt to a shard of its sets, so its own shard goes along.
+                counts = (x[a:b] % U(shards)).astype(np.uint32).tobytes() if kind == SPREAD else b""
+                rows.append(row(shard[a], kind, part, *_halves(x[a:b] & _48), *(_halves(r[a:b]) if kind != MARK else (b"", b"")), counts))
+        r = mix(keys) & _48
+        order = np.argsort(r % U(PARTS), kind="stable")
+        r, keys, sizes = r[order], keys[order], sizes[order]
+        for a, b in _ranges(r % U(PARTS)):
+            rows.append(row((part * PARTS + int(r[a] % U(PARTS))) % shards, SETS, part, keys[a:b].tobytes(), b"", *_halves(r[a:b]), sizes[a:b].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_pylist(rows, SENT)
+
+    def count(batches):
         got: dict[tuple, list] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                got.setdefault((r["shard"], r["kind"]), []).append((np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["places"], np.int32)))
-        for (_, kind), parts in got.items():
-            t, key, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((key, size, t))
-            t, key, size, pos = t[order], key[order], size[order], pos[order]
-            keep = np.append(True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (size[1:] != size[:-1]))
-            t, key, size, pos = t[keep], key[keep], size[keep], pos[keep]
+            kind = batch.column(1).to_numpy()
+            if (kind >= SETS).any():
+                yield from pa.Table.from_batches([batch]).filter(pa.array(kind >= SETS)).to_batches()
+            if (kind < SETS).any():
+                for r in pa.Table.from_batches([batch]).filter(pa.array(kind < SETS)).select(range(8)).to_pylist():
+                    t, ref = _whole(r["t4"], r["t2"]), _whole(r["r4"], r["r2"])
+                    ref = ref if len(ref) else np.zeros(len(t), np.uint64)
+                    own = np.frombuffer(r["counts"], np.uint32) if r["kind"] == SPREAD else np.full(len(t), r["at"], np.uint32)
+                    got.setdefault((r["at"], r["kind"] == SPREAD), []).append((t, ref, np.full(len(t), -1 if r["kind"] == MARK else r["part"], np.int32), own))
+        for (_, spread), parts in got.items():
+            t, ref, part, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((ref, part, t))
+            t, ref, part, own = t[order], ref[order], part[order], own[order]
+            keep = np.append(True, (t[1:] != t[:-1]) | (ref[1:] != ref[:-1]) | (part[1:] != part[:-1]))
+            t, ref, part, own = t[keep], ref[keep], part[keep], own[keep]
             start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             span = np.diff(np.append(start, len(t)))
-            count = np.repeat(np.where(size[start] == 0, 0, span), span)  # a mark comes first, as its size is 0
-            if kind == SPREAD:
-                count = np.zeros(len(t), np.int64)
-            shared = np.flatnonzero((size > 0) & ((np.repeat(span, span) > 1) | (kind == SPREAD)))
-            for a in range(0, len(shared), 100_000):
-                at = shared[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(t[at].view(np.int64)), pa.array(key[at]), pa.array(size[at]), pa.array(pos[at]), pa.array(count[at], mask=count[at] == 0)], schema=ROWS)
-
-    sent = docs.select("text").mapInArrow(trimmed(send), "shard int, kind byte, tokens binary, keys binary, sizes binary, places binary")
-    return sent.repartition(shards, "shard").mapInArrow(trimmed(group), "token long, key long, n int, pos int, count long")
-
-
-def _counted(tokens: DataFrame) -> DataFrame:
-    """tokens with the counts of hot ones, and each set of theirs once."""
-    hot = tokens.filter("count IS NULL")
-    if not hot.head(1):
-        return tokens
-    hot = stage(hot.drop("count").dropDuplicates(["token", "key"]), "hot-tokens")
-    n = hot.groupBy("token").agg(F.count("*").alias("count"))  # summed before the shuffle
-    return stage(tokens.filter("count IS NOT NULL").unionByName(hot.join(n, "token").filter("count > 1")), "counted")
+            many = np.repeat(np.where(part[start] == -1, _MOST, np.minimum(span, _MOST - 1)), span)  # a mark comes first
+            many = np.full(len(t), _MOST) if spread else many
+            at = np.flatnonzero((part >= 0) & (many > 1))
+            # Known everywhere by one number, made of its shard and 48 bits.
+            name, many, ref, part = mix(t[at] | (mix(own[at].astype(np.uint64)) & ~_48)), many[at].astype(np.uint32), ref[at], part[at]
+            bucket = part.astype(np.int64) * PARTS + (ref % U(PARTS)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            name, many, ref, part, bucket = name[order], many[order], ref[order], part[order], bucket[order]
+            rows = [row(bucket[a] % shards, BACK, part[a], name[a:b].tobytes(), b"", *_halves(ref[a:b]), many[a:b].tobytes()) for a, b in _ranges(bucket)]
+            for a in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_pylist(rows[a : a + 1000], SENT)
+
+    return docs.select("doc_id", "text").mapInArrow(trimmed(send), SENT_SQL).repartition(shards, "at").mapInArrow(trimmed(count), SENT_SQL)
+
+
+def _prefixes(counted: DataFrame, percent: int, shards: int) -> DataFrame:
+    """(token, key, n, pos) of the shared tokens in each set's prefix; pos is the place under the order by frequency."""
+
+    def cut(batches):
+        got: dict[tuple, tuple[list, list]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                ref = _whole(r["r4"], r["r2"])
+                if len(ref):
+                    x = (np.frombuffer(r["t4"], np.uint64), ref, np.frombuffer(r["counts"], np.uint32))
+                    got.setdefault((r["part"], int(ref[0] % U(PARTS))), ([], []))[r["kind"] == BACK].append(x)
+        for sets, back in got.values():
+            if not back:
+                continue
+            key, own, size = (np.concatenate(x) for x in zip(*sets, strict=True))
+            own, first = np.unique(own, return_index=True)
+            key, size = key[first], size[first].astype(np.int64)
+            name, ref, many = (np.concatenate(x) for x in zip(*back, strict=True))
+            order = np.lexsort((name, many, ref))
+            name, ref = name[order], ref[order]
+            start = np.flatnonzero(np.append(True, ref[1:] != ref[:-1]))
+            span = np.diff(np.append(start, len(ref)))
+            of = np.searchsorted(own, ref[start])
+            n = size[of]
+            alone = n - span
+            keep = n - -(-percent * n // 100) + 1 - alone
+            rank = np.arange(len(ref)) - np.repeat(start, span)
+            at = np.flatnonzero(rank < np.repeat(keep, span))
+            of = np.repeat(of, span)[at]
+            pos = rank[at] + np.repeat(alone, span)[at]
+            for a in range(0, len(at), 100_000):
+                b = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(name[at[b]].view(np.int64)), pa.array(key[of[b]].view(np.int64)), pa.array(size[of[b]].astype(np.int32)), pa.array(pos[b].astype(np.int32))], ["token", "key", "n", "pos"])
+
+    back = counted.filter(F.col("kind").isin(SETS, BACK)).select("at", "kind", "part", "t4", "r4", "r2", "counts")
+    return back.repartition(shards, "at").mapInArrow(trimmed(cut), "token long, key long, n int, pos int").dropDuplicates(["token", "key"])
 
 
 def _meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -252,21 +292,20 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 16 // GROUP)
-    tokens = _counted(stage(_prefixes(docs, n, percent, shards), "prefixes"))
-    sets = stage(_sets(docs, n, percent), "sets")
+    # About one token for six characters.
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // GROUP)
+    counted = stage(_counted(docs, n, percent, shards), "counted")
+    sets = counted.filter(F.col("kind") == DOC).select("doc_id", "key", "n", "sig")
+    tokens = stage(_prefixes(counted, percent, shards), "prefixes")
     members = sets.select("doc_id", "key", "n")
     doc = stage(members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc")), "classes")
 
     def with_docs(pairs: DataFrame) -> DataFrame:
         return pairs.join(doc.select(F.col("key").alias("a"), F.col("doc").alias("da")), "a").join(doc.select(F.col("key").alias("b"), F.col("doc").alias("db")), "b").select("a", "b", "da", "db")
 
-    def least(x: str) -> str:
-        return f"ceil({percent} * {x} / 100)"
-
     def in_reach(pairs: DataFrame) -> DataFrame:
         """Of pairs with c shared prefix tokens and sizes na, nb, those whose overlap can still suffice: beyond the prefix that ends first, at most the rest of its set is shared."""
-        rest = F.greatest(F.lit(0), *(F.expr(f"{least(x)} - 1 - floor({x} / {SLACK})") for x in ("na", "nb")))
+        rest = F.greatest(*(F.ceil(F.col(x) * percent / 100) - 1 for x in ("na", "nb")))
         fit = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
         return pairs.filter(fit).filter((100 + percent) * (F.col("c") + rest) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -278,18 +317,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     links = _verify(stage(with_docs(_meeting(tried, sets)), "first-meeting"), docs, n, percent)
     comp = stage(components(links), "first-components")
 
-    # The most frequent of a set's prefix tokens, as many as the slack allows, make no pairs.
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("count"), "token"))
-    cold = tokens.withColumn("cold", place > F.expr(f"floor({least('n')} / {SLACK})"))
-    t = cold.join(comp.withColumnRenamed("id", "key"), "key", "left").select("token", "key", "n", "pos", "cold", F.coalesce("comp", "key").alias("comp"))
-    mixed = tokens.join(comp.withColumnRenamed("id", "key"), "key", "left").groupBy("token").agg(F.min(F.coalesce("comp", "key")).alias("lo"), F.max(F.coalesce("comp", "key")).alias("hi")).filter("lo <> hi").select("token")
+    t = tokens.join(comp.withColumnRenamed("id", "key"), "key", "left").select("token", "key", "n", "pos", F.coalesce("comp", "key").alias("comp"))
+    mixed = t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     t = stage(t.join(mixed, "token"), "mixed-tokens")
-    a, b = (t.filter("cold").select("token", *(F.col(c).alias(c + x) for c in ("key", "n", "pos", "comp"))) for x in "ab")
-    # Two sets of these sizes need `least` tokens in common, so they share 1 + more within the first n - least + 1 + more of
-    # each: fewer than the prefix that serves all sizes. What a pair shares of its whole prefixes is counted after.
-    both = f"ceil({percent} * (na + nb) / {100 + percent})"
-    more = f"floor(greatest({least('na')}, {least('nb')}) / {SLACK})"
-    fit = f"compa < compb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND posa <= na - {both} + {more} AND posb <= nb - {both} + {more}"
+    a, b = (t.select("token", *(F.col(c).alias(c + x) for c in ("key", "n", "pos", "comp"))) for x in "ab")
+    # Two sets of these sizes need `least` tokens in common, so they share one within the first n - least + 1 of each: fewer
+    # than the prefix that serves all sizes, and rarer. What a pair shares of its whole prefixes is counted after.
+    least = f"ceil({percent} * (na + nb) / {100 + percent})"
+    fit = f"compa < compb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND posa <= na - {least} AND posb <= nb - {least}"
     met = a.join(b, "token").filter(fit).select(F.col("keya").alias("a"), F.col("keyb").alias("b"), "na", "nb").distinct()
     held = stage(t.groupBy("key").agg(F.collect_list("token").alias("t")), "mixed-prefixes")
     met = met.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b")
