@@ -4,9 +4,13 @@ For every node of the DOM: C characters, T tags, LC characters in links, LT link
 density is C / T times the logarithm, to a base that grows with the share of link text, of
 (C / LC) * (T / LT); a zero count stands as 1. The node with the greatest sum of its children's densities
 is the main subtree; the least density on its path to the body is the threshold, and other subtrees
-under the body that reach it give their own best subtree. Menus and the like are pruned before.
+under the body that reach it give their own best subtree. The tree holds all but scripts and form controls: menus,
+adverts and footers are left out because the main subtree isn't there. Where elements or their classes name a part
+of a page (a nav, an aside, comments), its density counts a part only, so it must be so much denser.
 An article is more than its densest subtree: what is found brings all of the article or main that it is in;
-on pages without these, all but blocks of links of the ancestor whose link-free text is mostly found.
+on pages without these, all but blocks of links of the ancestor whose link-free text is mostly found. Named parts
+beside the main subtree's path stay only if their density sums are a share of the main one's.
+All steps take time in proportion to the page.
 """
 
 from __future__ import annotations
@@ -23,13 +27,14 @@ from skeinworks.plans.stage import bounded_batches
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object select".split())
 BLOCK = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul caption summary".split()
 )
-#: Elements that are never part of an article.
-PRUNED = frozenset("nav footer aside button menu dialog".split()) | RAW
+#: Form controls, and elements that name a part of a page that no article has.
+CONTROLS = frozenset("button datalist option optgroup".split())
+ASIDE = frozenset("nav footer aside menu dialog".split())
 #: Words of class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners cookie cookies consent notice notices sidebar sidebars menu menus nav navbar navigation "
@@ -49,11 +54,14 @@ LAYOUT = frozenset("with without has have no not is layout".split())
 OWN = frozenset("post entry article content story page section chapter doc title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HARD, STRONG, SOFT = 1, 2, 3
+#: What a named part's density counts, and the share of the main subtree's density sum that keeps one.
+COUNTS = {0: 1.0, HARD: 0.0, STRONG: 0.25, SOFT: 0.5}
+SHARE = 0.25
 HOMES = {"article": 1, "main": 2}
 CLOSES_P = BLOCK - frozenset("head html body".split())
 #: A start tag that ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
 _MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[^-_]+")
 
@@ -74,24 +82,21 @@ def mark_of(token: str) -> str | None:
 
 
 class Tree:
-    """Nodes in page order: tag, parent, pruned, within an article; texts as (node, block number, string).
-
-    What is never part of an article is pruned at once. An element that only its marks or its being a form tell is
-    pruned when the page is read whole, unless it wraps the article.
-    """
+    """Nodes in page order: tag, parent, off (scripts and controls), kind of named part, within an article; texts as (node, block number, string)."""
 
     def __init__(self, page: str):
         self.tag, self.parent, self.off = ["#root"], [-1], [False]
         self.kind, self.home, self.inside = [0], [0], [False]  # home: 1 for an article, 2 for main; inside: one of them or below
         self.texts: list[tuple[int, int, str]] = []
         self.block, self.body = 0, 0
+        self.open: dict[str, int] = {}  # open elements by tag
         self._parse(page)
-        self._prune()
 
     def _close_to(self, stack: list[int], depth: int) -> None:
         while len(stack) > depth:
-            if self.tag[stack.pop()] in BLOCK:
-                self.block += 1
+            name = self.tag[stack.pop()]
+            self.open[name] -= 1
+            self.block += name in BLOCK
 
     def _marked(self, name: str, attrs: str, up: int) -> tuple[int, int]:
         """(kind by class, id and role; whether role makes it an article, 1, or main, 2)."""
@@ -118,38 +123,6 @@ class Tree:
         self.off.append(kind == HARD or self.off[up])
         return len(self.tag) - 1
 
-    def _prune(self) -> None:
-        """Marked elements and forms are pruned, but not one that holds main, all articles, or most of the text outside links."""
-        n = len(self.tag)
-        if not any(k > HARD for k in self.kind):
-            return
-        link = [False] * n
-        for k in range(1, n):
-            link[k] = self.tag[k] == "a" or link[self.parent[k]]
-        for level in (STRONG, SOFT):
-            free, mains, articles, blocks, titles = ([0] * n for _ in range(5))
-            for k, _, s in self.texts:
-                if not self.off[k] and not link[k]:
-                    free[k] += len("".join(s.split()))
-            for k in range(n - 1, 0, -1):
-                if not self.off[k]:
-                    p = self.parent[k]
-                    free[p] += free[k]
-                    mains[p] += mains[k] + (self.home[k] == 2)
-                    articles[p] += articles[k] + (self.home[k] == 1)
-                    blocks[p] += blocks[k] + (self.tag[k] in BLOCK)
-                    titles[p] += titles[k] + (self.tag[k] == "h1")
-            for k in range(1, n):
-                if self.off[self.parent[k]]:
-                    self.off[k] = True
-                elif self.kind[k] == level and not self.off[k]:
-                    most, all_of = 2 * free[k] >= free[0] > 0, articles[k] == articles[0] > 0
-                    if level == STRONG:
-                        wraps = mains[k] or (most and (all_of or titles[k]))
-                    else:
-                        wraps = mains[k] or all_of or (most and blocks[k] and (self.inside[k] or not (articles[0] or mains[0])))
-                    self.off[k] = not wraps
-
     def _parse(self, page: str) -> None:
         stack, at, n = [0], 0, len(page)
         while at < n:
@@ -163,10 +136,8 @@ class Tree:
                 continue
             name = m[2].lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        self._close_to(stack, k)
-                        break
+                if self.open.get(name):
+                    self._close_to(stack, next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name))
                 else:
                     self.block += name in BLOCK
                 continue
@@ -176,16 +147,14 @@ class Tree:
                 if not m[3].endswith("/"):
                     at = end.end() if end else n
                 continue
-            if name in ("html", "head", "body") and name in (self.tag[k] for k in stack):
+            if name in ("html", "head", "body") and self.open.get(name):
                 continue
-            if name == "body":
-                head = next((k for k, x in enumerate(stack) if self.tag[x] == "head"), None)
-                if head:
-                    self._close_to(stack, head)
+            if name == "body" and self.open.get("head"):
+                self._close_to(stack, next(k for k, x in enumerate(stack) if self.tag[x] == "head"))
             close = None
-            if name in CLOSES_P:
+            if name in CLOSES_P and self.open.get("p"):
                 close = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == "p"), None)
-            if name in ENDS:
+            if name in ENDS and any(self.open.get(x) for x in ENDS[name]):
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] in ("ul", "ol", "dl", "table"):
                         break
@@ -200,15 +169,18 @@ class Tree:
                 self.texts.append((stack[-1], self.block, " "))
             up = stack[-1]
             kind, home = self._marked(name, m[3], up) if m[3] else (0, 0)
-            if name in PRUNED or name == "head" or (name == "header" and not self.inside[up]):
+            if name in CONTROLS or name == "head":
                 kind = HARD
-            elif name == "form":
+            elif name in ASIDE:
+                kind = STRONG
+            elif name == "form" or (name == "header" and not self.inside[up]):
                 kind = kind or SOFT
             node = self._add(name, up, kind, max(home, HOMES.get(name, 0)))
             if name == "body":
                 self.body = node
             if name not in VOID and not m[3].endswith("/"):
                 stack.append(node)
+                self.open[name] = self.open.get(name, 0) + 1
         if self.body == 0:
             self.body = next((k for k, t in enumerate(self.tag) if t == "html"), 0)
 
@@ -216,9 +188,10 @@ class Tree:
 def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int]]:
     """(composite density, sum of the children's, characters, those in links) of every node."""
     n = len(tree.tag)
-    c, t, lc, lt, link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
+    c, t, lc, lt, link, counts = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n, [1.0] * n
     for k in range(1, n):
         link[k] = tree.tag[k] == "a" or link[tree.parent[k]]
+        counts[k] = min(COUNTS[tree.kind[k]], counts[tree.parent[k]])
     for k, _, s in tree.texts:
         if not tree.off[k]:
             size = len("".join(s.split()))
@@ -239,11 +212,29 @@ def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int
             base = math.log(c[k] / plain * lc[k] + body_lc / body_c * c[k] + math.e)
             x = c[k] / max(1, lc[k]) * (max(1, t[k]) / max(1, lt[k]))
             density[k] = c[k] / max(1, t[k]) * math.log(max(x, 1.0)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 + 1e-9 else c[k] / max(1, t[k]) * math.log(max(x, 1.0) + 1)
+            density[k] *= counts[k]
         if k and tree.tag[k] in BLOCK:  # inline markup is a part of its block's text, not a block beside others
             total[tree.parent[k]] += density[k]
     return density, total, c, lc
 
 
+def drop_parts(tree: Tree, best: int, total: list[float], c: list[int], lc: list[int]) -> None:
+    """Named parts that don't hold the main subtree go, but for those (a form, a banner) that density says are of weight, and comments never."""
+    path, k = set(), best
+    while k >= 0:
+        path.add(k)
+        k = tree.parent[k]
+    weight = total[:]  # the greatest density sum in a subtree
+    for k in range(len(weight) - 1, 0, -1):
+        weight[tree.parent[k]] = max(weight[tree.parent[k]], weight[k])
+    for k in range(1, len(tree.tag)):
+        if tree.off[tree.parent[k]]:
+            tree.off[k] = True
+        elif k not in path and tree.kind[k] in (STRONG, SOFT):
+            heavy = weight[k] >= SHARE * total[best] > 0 and 2 * lc[k] < c[k]
+            tree.off[k] = tree.kind[k] == STRONG or not heavy
+
+
 def widen(tree: Tree, kids: list[list[int]], chosen: list[bool], best: int, c: list[int], lc: list[int]) -> set[int]:
     """Adds to chosen what belongs to the article around the chosen subtrees; returns the text numbers to keep beside them."""
     n = len(tree.tag)
@@ -270,9 +261,12 @@ def widen(tree: Tree, kids: list[list[int]], chosen: list[bool], best: int, c: l
         hold = next((k for k in reversed(most) if tree.home[k]), near[best])
         chosen[hold] = True
         if not any(tree.tag[k] == "h1" and not tree.off[k] and (kept[k] or near[k] == hold) for k in range(n)):  # the title may stand before the article
-            title = next((k for k in range(hold - 1, tree.body, -1) if tree.tag[k] == "h1" and not tree.off[k]), None)
+            title = next((k for k in range(hold - 1, tree.body, -1) if tree.tag[k] == "h1" and (not tree.off[k] or tree.tag[tree.parent[k]] == "header")), None)
             if title:
                 chosen[title] = True
+                tree.off[title] = False
+                for k in range(title + 1, hold):
+                    tree.off[k] = tree.off[k] and (tree.kind[k] == HARD or tree.off[tree.parent[k]])
         return set()
     top = most[-1] if most else best
     path, loose = set(up[: up.index(top) + 1]), set()
@@ -309,38 +303,46 @@ def main_text(page: str | None) -> str:
     tree = Tree(page)
     density, total, c, lc = densities(tree)
     n = len(tree.tag)
-    kids: list[list[int]] = [[] for _ in range(n)]
-    for k in range(1, n):
-        if not tree.off[k]:
-            kids[tree.parent[k]].append(k)
     under = [False] * n
     for k in range(tree.body, n):
         under[k] = k == tree.body or (k > 0 and under[tree.parent[k]])
     inside = [k for k in range(n) if under[k] and not tree.off[k]]
     if not inside:
         return ""
-    best = max(inside, key=lambda k: (total[k], -k))
+    aside = [False] * n
+    for k in range(1, n):
+        aside[k] = aside[tree.parent[k]] or tree.kind[k] == STRONG
+    # Comments and the like hold the main subtree only if nothing else has text in blocks and they have an article.
+    best = max(inside, key=lambda k: (total[k] if not aside[k] else 0, total[k] if tree.inside[k] else 0, -k))
+    homes = [k for k in inside if tree.home[k] and not aside[k]]
+    if homes and not tree.inside[best]:  # on short pages the body outweighs its article
+        heavy = max(homes, key=lambda k: (total[k], -k))
+        best = heavy if total[heavy] >= SHARE * total[best] else best
     threshold, k = density[best], best
     while k != tree.body:
         k = tree.parent[k]
         threshold = min(threshold, density[k])
-    chosen, todo = [False] * n, [tree.body]
     if total[best] <= 0:
         best = tree.body
+    drop_parts(tree, best, total, c, lc)
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for k in range(1, n):
+        if not tree.off[k]:
+            kids[tree.parent[k]].append(k)
+    branch = list(range(n))  # the node of the greatest density sum in a subtree
+    for k in range(n - 1, 0, -1):
+        if not tree.off[k] and total[branch[k]] >= total[branch[tree.parent[k]]] and total[branch[k]] > total[tree.parent[k]]:
+            branch[tree.parent[k]] = branch[k]
+    chosen, todo = [False] * n, [tree.body]
     chosen[best] = True
     while todo:
         k = todo.pop()
-        if density[k] < threshold or chosen[k]:
+        if density[k] < threshold or (chosen[k] and k != tree.body):
             continue
-        branch, queue = k, [k]
-        while queue:
-            x = queue.pop()
-            if total[x] > total[branch]:
-                branch = x
-            queue += kids[x]
-        # A leaf of text has no children to sum: it stands for itself.
-        if k != tree.body:
-            chosen[branch if total[branch] > 0 else k] = True
+        # A leaf of text has no children to sum: it stands for itself. What is beside the path must have weight of its own.
+        weight = total[branch[k]] or density[k]
+        if k != tree.body and (branch[k] == best or weight >= SHARE * total[best]):
+            chosen[branch[k] if total[branch[k]] > 0 else k] = True
         todo += kids[k]
     beside = widen(tree, kids, chosen, best, c, lc)
     for k in range(1, n):

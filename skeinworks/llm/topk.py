@@ -1,12 +1,14 @@
 """Exact top-k inner products by the no-random-access algorithm, on integer vectors.
 
-For a query each dimension has a list of the vectors sorted by their contribution q_d * x_d, and lists are
-read in order only. A vector's lower bound counts its unread contributions as the list's last one, its
-upper bound as the last one read, which no unread one exceeds. Reading stops when no vector outside a
-query's k best lower bounds has an upper bound that reaches them; then the scores of those left are resolved.
+For a query each dimension has a list of the vectors sorted by their contribution q_d * x_d, read from its top.
+A vector's upper bound takes the last contribution read of a list for what was not read of it, and is at most
+what was read plus the product of the norms of the unread parts, whichever is less. Its lower bound takes a list's
+last contribution, or minus that product. Reading stops, for each query by itself, when no vector outside the best
+has an upper bound that reaches the k-th best score known; then the scores of those left are resolved. That
+score comes from lower bounds, from the vectors with the best upper bounds, which are resolved first, and from the
+segments of rows that were read before; the first segment is small.
 All queries of a block advance together: at a depth, what is read of a list depends on the sign of q_d
-alone, so bounds of all pairs are two matrix products of clipped columns. Lists are those of a segment of
-rows; the k best so far of the segments a task has read are lower bounds for its next ones.
+alone, so the bounds of all pairs are products of matrices of what was read.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from skeinworks.plans.stage import stage
 
 #: Fractions of each list that are read before bounds are compared.
-DEPTHS = (0.15, 0.5)
-SEGMENT, QUERIES = 8192, 1024
+DEPTHS = (0.45, 0.6, 0.75)
+SEGMENT, FIRST, QUERIES = 8192, 512, 1024
+#: Vectors with the best upper bounds that are resolved at a depth, as a multiple of k.
+RESOLVED = 4
 
 
 def _number(x: np.ndarray, top: int) -> np.ndarray:
@@ -29,62 +33,70 @@ def _number(x: np.ndarray, top: int) -> np.ndarray:
     return x.astype(np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64)
 
 
-def nra(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, row position, score) of every row that may be among a query's k best of x; exact scores, no other rows' ids than q_ids' own left out.
+def nra(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, row position, score) of every row that may be among a query's k best of x, exact, its own id left out; and how many list entries each query read, those of resolved rows too.
 
     floor: for each query a score that its k-th best is known to reach.
     """
-    if len(x) == 0 or len(q) == 0:
-        return (np.empty(0, np.int64),) * 3
-    top = int(np.abs(q).max(initial=1)) * int(np.abs(x).max(initial=1)) * max(1, q.shape[1])
+    n, dim = len(x), q.shape[1]
+    read = np.zeros(len(q), np.int64)
+    if n == 0 or len(q) == 0:
+        return *((np.empty(0, np.int64),) * 3), read
+    top = int(np.abs(q).max(initial=1)) * int(np.abs(x).max(initial=1)) * max(1, dim)
     qn, xn = _number(q, top), _number(x, top)
-    up, down = np.maximum(qn, 0), np.minimum(qn, 0)
-    signed = np.concatenate([up, down], 1)
+    signed = np.concatenate([np.maximum(qn, 0), np.minimum(qn, 0)], 1)
     asc = np.sort(xn, axis=0)
-    low, high = asc[0], asc[-1]
     least = np.full(len(q), -np.inf) if floor is None else floor.astype(np.float64)
-    open_ = np.arange(len(q))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    own = {int(v): i for i, v in enumerate(ids)} if len(np.intersect1d(q_ids, ids)) else {}
-    own_at = np.array([own.get(int(v), -1) for v in q_ids])
-    n = len(x)
-    for depth in (*DEPTHS, 1.0):
-        if len(open_) == 0:
-            break
-        s = signed[open_]
-        mine = own_at[open_]
+    order = np.argsort(ids, kind="stable")
+    place = np.minimum(np.searchsorted(ids[order], q_ids), n - 1)
+    own = np.where(ids[order[place]] == q_ids, order[place], -1)
+    open_, found = np.arange(len(q)), []
+
+    def resolve(a, b):
+        """Exact scores of pairs, a few at a time."""
+        step = max(1, (1 << 22) // max(1, dim))
+        return np.concatenate([np.einsum("ij,ij->i", q[a[i : i + step]].astype(np.int64), x[b[i : i + step]].astype(np.int64)) for i in range(0, len(a), step)] or [np.empty(0, np.int64)])
+
+    for depth in DEPTHS if n > RESOLVED * k else ():
+        r = max(1, int(depth * n))
+        up, down = asc[n - r], asc[r - 1]  # the last values read of the falling and of the rising list
+        got_up, got_down = xn >= up, xn <= down
+        bound = signed[open_] @ np.concatenate([np.where(got_up, xn, up), np.where(got_down, xn, down)], 1).T
+        seen = signed[open_] @ np.concatenate([np.where(got_up, xn, 0), np.where(got_down, xn, 0)], 1).T
+        squares = (signed[open_] ** 2).astype(np.float64) @ np.concatenate([~got_up, ~got_down], 1).T.astype(np.float64)
+        rest = np.maximum((xn.astype(np.float64) ** 2).sum(1) - np.minimum(*(np.where(g, xn, 0).astype(np.float64) ** 2 for g in (got_up, got_down))).sum(1), 0)
+        reach = np.sqrt(squares * rest) * (1 + 1e-9) + 1e-6
+        lower, upper = seen - reach, np.minimum(bound, seen + reach)
+        mine = own[open_]
         has = np.flatnonzero(mine >= 0)
-        if depth < 1:
-            r = max(1, int(depth * n))
-            f_up, f_down = asc[n - r], asc[r - 1]  # the last values read of the falling and of the rising list
-            seen_up, seen_down = xn >= f_up, xn <= f_down
-            upper = s @ np.concatenate([np.where(seen_up, xn, f_up), np.where(seen_down, xn, f_down)], 1).T
-            lower = s @ np.concatenate([np.where(seen_up, xn, low), np.where(seen_down, xn, high)], 1).T
-            lower[has, mine[has]] = -np.inf if lower.dtype != np.int64 else np.iinfo(np.int64).min
-        else:
-            upper = lower = qn[open_] @ xn.T  # all lists read: both bounds are the score
-        if depth == 1:
-            lower = lower.copy() if len(has) else lower
-            if len(has):
-                lower[has, mine[has]] = -np.inf if lower.dtype != np.int64 else np.iinfo(np.int64).min
-            upper = lower
-        kth = np.partition(lower, n - k, axis=1)[:, n - k].astype(np.float64) if n > k else np.full(len(open_), -np.inf)
-        least[open_] = np.maximum(least[open_], kth)
+        lower[has, mine[has]] = upper[has, mine[has]] = -np.inf
+        best_few = np.argpartition(upper, n - RESOLVED * k, axis=1)[:, n - RESOLVED * k :]
+        a = np.repeat(np.arange(len(open_)), RESOLVED * k)
+        score = resolve(open_[a], best_few.ravel()).astype(np.float64).reshape(len(open_), -1)
+        score[best_few == mine[:, None]] = -np.inf
+        known = np.partition(score, RESOLVED * k - k, axis=1)[:, RESOLVED * k - k]
+        least[open_] = np.maximum(least[open_], np.maximum(known, np.partition(lower, n - k, axis=1)[:, n - k]))
         alive = upper >= least[open_][:, None]
-        if depth == 1:
-            a, b = np.nonzero(alive & (np.arange(n) != mine[:, None]) if len(has) else alive)
-            found.append((open_[a], b, lower[a, b].astype(np.int64)))
-            break
-        few = alive.sum(axis=1) <= max(4 * k, n // 64)
+        n_alive = alive.sum(axis=1)
+        few = n_alive <= max(RESOLVED * k, n // 4)
         done = np.flatnonzero(few)
-        if len(done):
-            a, b = np.nonzero(alive[done])
-            keep = mine[done][a] != b
-            a, b = a[keep], b[keep]
-            score = np.einsum("ij,ij->i", q[open_[done][a]].astype(np.int64), x[b].astype(np.int64))
-            found.append((open_[done][a], b, score))
-            open_ = open_[~few]
-    return tuple(np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        a, b = np.nonzero(alive[done])
+        found.append((open_[done[a]], b, resolve(open_[done[a]], b)))
+        read[open_[done]] = r * dim + (n_alive[done] + RESOLVED * k) * (dim - int(depth * dim))
+        open_ = open_[~few]
+        if len(open_) == 0:
+            break
+    if len(open_):  # all lists read: the bounds are the score
+        read[open_] = n * dim
+        score = qn[open_] @ xn.T
+        alive = score >= least[open_][:, None]
+        has = np.flatnonzero(own[open_] >= 0)
+        alive[has, own[open_][has]] = False
+        if n > k + 1:
+            alive &= score >= np.partition(score, n - k - 1, axis=1)[:, n - k - 1][:, None]
+        a, b = np.nonzero(alive)
+        found.append((open_[a], b, score[a, b].astype(np.int64)))
+    return *(np.concatenate(p) for p in zip(*found, strict=True)), read
 
 
 def best(qp: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -111,6 +123,18 @@ def top_k(rows: DataFrame, is_query, k: int = 20, vector: str = "embedding", vec
     Fewer than k others: all. Empty: empty. Queries meet all rows in blocks: blocks of up to 1,024 queries, segments
     of up to 8,192 rows; a task answers a query block over its segments and sends on k rows a query.
     """
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found(rows, is_query, k, vector, vec_id, scale).filter("vec_id IS NOT NULL").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def read_share(rows: DataFrame, is_query, k: int = 20, vector: str = "embedding", vec_id: str = "vec_id", scale: int = 64) -> DataFrame:
+    """(query_id, share): what share of all list entries the search reads for each query."""
+    reads = found(rows, is_query, k, vector, vec_id, scale).filter("vec_id IS NULL")
+    return reads.groupBy("query_id").agg((F.sum("score") / F.sum("entries")).alias("share"))
+
+
+def found(rows: DataFrame, is_query, k: int, vector: str, vec_id: str, scale: int) -> DataFrame:
+    """(query_id, vec_id, score, entries): the best of each task, and for each query and task a row without vec_id: entries read as the score, of how many."""
     v = stage(quantized(rows, vector, vec_id, scale), "vectors")
     queries = v.filter(is_query(F.col("vec_id")))
     n_rows, n_queries, dim = v.count(), queries.count(), v.agg(F.max(F.size("v"))).first()[0] or 0
@@ -151,21 +175,28 @@ def top_k(rows: DataFrame, is_query, k: int = 20, vector: str = "embedding", vec
             order = np.argsort(x_ids, kind="stable")
             x_ids, x = x_ids[order], x[order]
             at, got, score = (np.empty(0, np.int64),) * 3
-            for a in range(0, len(x), SEGMENT):
+            read = np.zeros(len(q), np.int64)
+            for a, z in segments(len(x)):
                 floor = np.full(len(q), -np.inf)
                 if len(at):
                     last = np.flatnonzero(np.append(at[1:] != at[:-1], True))
                     full = np.bincount(at, minlength=len(q))[at[last]] >= k
                     floor[at[last[full]]] = score[last[full]]
-                b, c, s = nra(q, q_ids, x[a : a + SEGMENT], x_ids[a : a + SEGMENT], k, floor)
+                b, c, s, r = nra(q, q_ids, x[a:z], x_ids[a:z], k, floor)
+                read += r
                 at, got, score = np.concatenate([at, b]), np.concatenate([got, x_ids[a:][c]]), np.concatenate([score, s])
                 keep = best(at, got, score, k)
                 at, got, score = at[keep], got[keep], score[keep]
-            yield pd.DataFrame({"query_id": q_ids[at], "vec_id": got, "score": score})
+            yield pd.DataFrame({"query_id": q_ids[at], "vec_id": pd.array(got, "Int64"), "score": score, "entries": np.zeros(len(at), np.int64)})
+            yield pd.DataFrame({"query_id": q_ids, "vec_id": pd.array([None] * len(q), "Int64"), "score": read, "entries": np.full(len(q), x.size)})
 
-    part = both.withColumn("task", F.col("block") * strips + F.col("strip")).repartitionById(tasks, F.col("task")).select("block", "strip", "kind", "ids", "m", "size").mapInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.withColumn("task", F.col("block") * strips + F.col("strip")).repartitionById(tasks, F.col("task")).select("block", "strip", "kind", "ids", "m", "size").mapInPandas(search, "query_id long, vec_id long, score long, entries long")
+
+
+def segments(n: int) -> list[tuple[int, int]]:
+    """Bounds of the segments of n rows; the first, which only sets the floor for the rest, is small."""
+    cut = [0, *range(min(FIRST, n), n, SEGMENT), n]
+    return [(a, b) for a, b in zip(cut, cut[1:], strict=False) if b > a]
 
 
 def _small(m: np.ndarray) -> np.ndarray:

@@ -1,12 +1,16 @@
 """The ten operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,15 +62,27 @@ def test_top_k(spark):
 
 
 def test_nra_stops_early_and_stays_exact():
+    """Vectors with and without structure, of any size and sign; with a floor and without."""
     r = np.random.default_rng(0)
-    x = r.integers(-3, 4, (2000, 16))
-    x[:30] += 40
-    q, ids = np.abs(r.integers(1, 9, (5, 16))), np.arange(2000)
-    a, b, s = topk.nra(q, np.full(5, -1), x, ids, 20)
-    keep = topk.best(a, ids[b], s, 20)
-    for k in range(5):
-        full = q[k] @ x.T
-        assert [tuple(p) for p in zip(b[keep][a[keep] == k], s[keep][a[keep] == k])] == [(i, full[i]) for i in np.lexsort((ids, -full))[:20]]
+    for n, dim, spread, heads in ((2000, 16, 4, 30), (3000, 32, 40, 0), (50, 8, 3, 0), (600, 1, 9, 0), (2000, 24, 1 << 40, 5)):
+        x = r.integers(-spread, spread + 1, (n, dim))
+        x[:heads] += 10 * spread
+        q, ids = r.integers(-9, 10, (5, dim)), r.permutation(n)
+        full = q @ x.T
+        for floor in (None, np.sort(full, axis=1)[:, max(0, n - 40)]):
+            a, b, s, read = topk.nra(q, np.array([-1, 3, 7, -1, 9]), x, ids, 20, floor)
+            keep = topk.best(a, ids[b], s, 20)
+            for k, own in enumerate([-1, 3, 7, -1, 9]):
+                want = [i for i in np.lexsort((ids, -full[k])) if ids[i] != own][:20]
+                assert [tuple(p) for p in zip(b[keep][a[keep] == k], s[keep][a[keep] == k])] == [(i, full[k][i]) for i in want]
+            assert (read <= n * dim).all() and (n < 2000 or dim < 16 or read.mean() < 0.9 * n * dim)
+
+
+def test_top_k_leaves_a_part_of_the_lists_unread(spark):
+    """On the driver's embeddings, which have no structure; brute force would read all entries."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    share = [x["share"] for x in topk.read_share(e, lambda c: c % 20 == 0).collect()]
+    assert len(share) == 100 and np.mean(share) < 0.82 and max(share) <= 1
 
 
 def test_ngram_join(spark, docs):
@@ -241,6 +257,94 @@ def test_html_keeps_whole_article(page, lines):
     assert html.main_text("<body><nav>Menu</nav>" + page + "</body>").split("\n") == [x.format(**text) for x in lines]
 
 
+def article_of(page):
+    """The text of a driver page's article, by its known shape: blocks are h1 and p."""
+    parts = re.split("</?(?:h1|p)[^>]*>", re.search("<article>(.*)</article>", page, re.S)[1])
+    lines = [" ".join(unescape(re.sub("</?b>", "", x.replace("<br>", " "))).split()) for x in parts]
+    return "\n".join(x for x in lines if x)
+
+
+def test_html_finds_the_article_by_density_alone(monkeypatch):
+    """Without any name of a part (class, nav, footer) most of the driver's pages give the same texts, and without densities none does."""
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    want = pages.map(article_of)
+    assert (pages.map(html.main_text) == want).all()
+    monkeypatch.setattr(html, "MARKS", frozenset())
+    monkeypatch.setattr(html, "ASIDE", frozenset())
+    assert (pages.map(html.main_text) == want).mean() > 0.85
+    of = html.densities
+
+    def flat(tree):
+        density, total, c, lc = of(tree)
+        return [1.0] * len(density), [float(k == tree.body) for k in range(len(total))], c, lc
+
+    monkeypatch.setattr(html, "densities", flat)
+    assert (pages.map(html.main_text) != want).all()
+
+
+def slow_densities(tree):
+    """Composite densities node by node, each from its own subtree."""
+    n = len(tree.tag)
+    under = [{k} for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        under[tree.parent[k]] |= under[k]
+    linked = [any(tree.tag[j] == "a" for j in range(n) if k in under[j]) for k in range(n)]
+
+    def sums(k):
+        text = [(j, len("".join(s.split()))) for j, _, s in tree.texts if j in under[k]]
+        tags = [j for j in under[k] - {k}]
+        return sum(m for _, m in text), len(tags), sum(m for j, m in text if linked[j]), sum(tree.tag[j] == "a" for j in tags)
+
+    body_c, _, body_lc, _ = sums(tree.body)
+    out = []
+    for k in range(n):
+        c, t, lc, lt = sums(k)
+        base = c / max(1, c - lc) * lc + body_lc / max(1, body_c) * c + math.e
+        ratio = max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))
+        out.append(c / max(1, t) * math.log(ratio) / math.log(base) if c else 0.0)
+    return out
+
+
+def test_html_densities_by_brute_force():
+    r = random.Random(9)
+
+    def made(depth):
+        if depth == 0 or r.random() < 0.3:
+            return "word " * r.randint(0, 9)
+        tag = r.choice(["div", "p", "a", "b", "li", "section"])
+        return f"<{tag}>" + "".join(made(depth - 1) for _ in range(r.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(60):
+        tree = html.Tree("<body>" + made(5) + "</body>")
+        density, total, _, _ = html.densities(tree)
+        want = slow_densities(tree)
+        assert density == pytest.approx(want)
+        for k in range(len(want)):
+            assert total[k] == pytest.approx(sum(want[j] for j in range(1, len(want)) if tree.parent[j] == k and tree.tag[j] in html.BLOCK))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p class='x' don't>Hello there</p>", "Hello there"),
+        ("<article><p>A formula <math><mi>x</mi></math> here.</p></article>", "A formula x here."),
+        ("<header><h1>A title</h1></header><article><p>" + ONE + "</p></article>", "A title\n" + ONE),
+        ("<article><p>" + ONE + "</p><section class='related-work'><h2 id='search'>Part</h2><p>Else.</p></section></article>", ONE + "\nPart\nElse."),
+        ("<nav><a href=x>Menu</a></nav><article><p>" + ONE + "</p><div class='ad'>Buy</div></article><aside><p>Beside</p></aside>", ONE),
+    ],
+)
+def test_html_odd_markup(page, text):
+    assert html.main_text("<body>" + page + "</body>") == text
+
+
+def test_html_deep_pages_take_linear_time():
+    n = 50_000
+    began = time.perf_counter()
+    for page in ("<div>" * n + "text", "<div>" * n + "<li>x" * n, "<p>a</x>" * n, "<span>" * n + "</b>" * n, "<a =\"" * n):
+        html.main_text(page)
+    assert time.perf_counter() - began < 30
+
+
 def test_html_columns(spark):
     p = spark.createDataFrame([(1, "u", "<p>é x</p>", "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in html.extract(p).orderBy("page_id").collect()] == [("é x", 3), ("", 0)]
