@@ -8,7 +8,7 @@ pattern gives is then selected document by document, in a seeded order.
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from skeinworks.plans.stage import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets of the seeded order: only the bucket at the edge of a selection is sorted.
-BUCKETS = 4096
-#: Most membership patterns whose sums the driver routes.
-MOST_PATTERNS = 200_000
+#: Buckets of the seeded order at each level: only the rows of the bucket at the edge of a selection are sorted, and they are cut again while they are more than EDGE.
+BUCKETS, EDGE = 4096, 100_000
+#: The most patterns whose plan is broadcast; beyond, a shuffled join does it.
+MOST_BROADCAST = 20_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -65,53 +65,68 @@ def route(patterns: dict[tuple, int], quota: dict, most: int = 3) -> dict[tuple,
 
 
 def flow(patterns: dict[tuple, int], quota: dict, most: int = 3) -> dict[tuple, list[int]]:
-    """Words each pattern gives the first, second, ... time: a min-cost flow pattern -> source -> sink by shortest augmenting paths.
+    """Words each pattern gives the first, second, ... time: a min-cost flow pattern -> source -> sink.
 
-    A pattern offers its size `most` times, the k-th time at cost k per word (convex, so units fill in order).
+    A pattern offers its size `most` times, the k-th time at cost k per word. Costs lie on a pattern's offers alone, so the
+    cheapest flow is reached offer by offer: a maximal flow of the first offers, enlarged by the second ones, and so on,
+    which never takes back a cheaper offer. Each is found by blocking flows in layers.
     """
-    rest = {p: n for p, n in patterns.items() if n > 0}
-    graph: dict = {}
-
-    def arc(a, b, cap, cost):
-        graph.setdefault(a, []).append([b, cap, cost, len(graph.setdefault(b, []))])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
-    for p, n in sorted(rest.items(), key=repr):
-        for k in range(most):
-            arc("from", ("p", p), n, k)
+    names = sorted((p for p, n in patterns.items() if n > 0), key=repr)
+    sources = sorted({s for p in names for s in p}, key=repr)
+    node = {s: len(names) + i for i, s in enumerate(sources)}
+    sink, n = len(names) + len(sources), len(names) + len(sources) + 1
+    to, cap, arcs = [], [], [[] for _ in range(n)]
+
+    def arc(a, b, c):
+        arcs[a].append(len(to))
+        arcs[b].append(len(to) + 1)
+        to.extend((b, a))
+        cap.extend((c, 0))
+
+    for i, p in enumerate(names):
         for s in p:
-            arc(("p", p), ("s", s), most * n, 0)
-    for s in sorted({s for p in rest for s in p}, key=repr):
-        arc(("s", s), "to", quota[s], 0)
-    potential = dict.fromkeys(graph, 0)
-    while "from" in graph:
-        far, by, heap, tick = {"from": 0}, {}, [(0, 0, "from")], 0
-        while heap:
-            d, _, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for k, (b, cap, cost, _) in enumerate(graph[a]):
-                e = d + cost + potential[a] - potential[b]
-                if cap > 0 and e < far.get(b, float("inf")):
-                    far[b], by[b], tick = e, (a, k), tick + 1
-                    heapq.heappush(heap, (e, tick, b))
-        if "to" not in far:
-            break
-        for v in graph:
-            potential[v] += min(far.get(v, far["to"]), far["to"])
-        units, v = float("inf"), "to"
-        while v != "from":
-            a, k = by[v]
-            units, v = min(units, graph[a][k][1]), a
-        v = "to"
-        while v != "from":
-            a, k = by[v]
-            graph[a][k][1] -= units
-            graph[v][graph[a][k][3]][1] += units
-            v = a
-    out: dict[tuple, list[int]] = {p: [] for p in patterns}
-    for (_, p), left, _, _ in graph.get("from", []):  # a pattern's arcs come in order of their cost
-        out[p].append(rest[p] - left)
+            arc(i, node[s], most * patterns[p])
+    for s in sources:
+        arc(node[s], sink, quota[s])
+    out: dict[tuple, list[int]] = {p: [0] * most if patterns[p] > 0 else [] for p in patterns}
+    for k in range(most):
+        left = [patterns[p] for p in names]
+        while True:
+            level, queue = [-1] * n, deque(i for i, x in enumerate(left) if x)
+            for i in queue:
+                level[i] = 0
+            while queue:
+                a = queue.popleft()
+                for e in arcs[a]:
+                    if cap[e] and level[to[e]] < 0:
+                        level[to[e]] = level[a] + 1
+                        queue.append(to[e])
+            if level[sink] < 0:
+                break
+            at = [0] * n
+            for i in range(len(names)):
+                path, a = [], i
+                while left[i]:
+                    if a == sink:
+                        units = min(left[i], *(cap[e] for e in path))
+                        left[i] -= units
+                        for e in path:
+                            cap[e] -= units
+                            cap[e ^ 1] += units
+                        path, a = [], i
+                        continue
+                    while at[a] < len(arcs[a]) and not (cap[arcs[a][at[a]]] and level[to[arcs[a][at[a]]]] == level[a] + 1):
+                        at[a] += 1
+                    if at[a] < len(arcs[a]):
+                        path.append(arcs[a][at[a]])
+                        a = to[path[-1]]
+                    elif path:
+                        a = to[path.pop() ^ 1]
+                        at[a] += 1
+                    else:
+                        break
+        for p, x in zip(names, left, strict=True):
+            out[p][k] = patterns[p] - x
     return out
 
 
@@ -129,15 +144,12 @@ def mix(docs: DataFrame, sources: Column, size: Column, weight_of=None, most: in
     names = docs.columns
     held = stage(
         docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__doc"), F.array_sort(F.array_distinct(F.when(F.size(sources) > 0, sources).otherwise(F.array(F.lit(None).cast("string"))))).alias("pattern"), size.alias("size"))
-        .withColumn("__h", F.xxhash64(F.lit(seed), "__doc" if "map<" not in docs.schema.simpleString() else F.to_json("__doc")))
-        .withColumn("__bucket", F.pmod("__h", F.lit(BUCKETS)).cast("int")),
+        .withColumn("__h", F.xxhash64(F.lit(seed), "__doc" if "map<" not in docs.schema.simpleString() else F.to_json("__doc"))),
         "sized",
     )
     spark = docs.sparkSession
-    by = held.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(by) > MOST_PATTERNS:
-        raise ValueError(f"over {MOST_PATTERNS} membership patterns; join sources into fewer groups first")
-    patterns = {tuple(r["pattern"]): r["n"] for r in by}
+    # A row to a set of sources, whatever the number of documents.
+    patterns = {tuple(r["pattern"]): r["n"] for r in held.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     sizes: dict[str | None, int] = {}
     for p, n in patterns.items():
         for s in p:
@@ -148,20 +160,36 @@ def mix(docs: DataFrame, sources: Column, size: Column, weight_of=None, most: in
     scale = total / max(1, sum(sizes.values()))
     goal = targets({s: n * scale for s, n in sizes.items()}, weights, most) if scale != 1 else targets(sizes, weights, most)
     gives = route(patterns, {s: round(t) for s, t in goal.items()}, most)
-    plan = spark.createDataFrame(
-        [(list(p), sizes[p[0]], float(goal[p[0]]), min(most, g // n) if n else 0, (g - min(most, g // n) * n) if n else 0) for p, g in gives.items() for n in [patterns[p]]],
-        "pattern array<string>, source_size long, target double, passes long, rest long",
-    )
-    # The seeded order: whole buckets up to the edge, then the edge's bucket row by row.
-    before = Window.partitionBy("pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = held.groupBy("pattern", "__bucket").agg(F.sum("size").alias("n")).select("pattern", "__bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    plan = F.broadcast(plan) if len(gives) <= 20_000 else plan
-    inner = Window.partitionBy("pattern", "__bucket").orderBy("__h", F.col("size")).rowsBetween(Window.unboundedPreceding, -1)
-    wide = buckets.select("pattern", "__bucket", F.col("before").alias("start"), F.col("n").alias("of"))
-    row = held.join(wide, ["pattern", "__bucket"]).join(plan, "pattern")
-    on_edge = "start < rest AND start + of > rest"
-    whole = row.filter(f"NOT ({on_edge})").withColumn("more", (F.col("start") + F.col("of") <= F.col("rest")).cast("long"))
-    cut = row.filter(on_edge).withColumn("ahead", F.col("start") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    # The seeded order: whole buckets up to the edge, then the edge's bucket, cut into buckets again or row by row.
+    level, edges = [F.pmod(F.shiftrightunsigned("__h", 12 * k), F.lit(BUCKETS)).cast("int") for k in range(5)], {}
+    plan = [(list(p), sizes[p[0]], float(goal[p[0]]), min(most, g // n) if n else 0, (g - min(most, g // n) * n) if n else 0) for p, g in gives.items() for n in [patterns[p]]]
+    small = len(plan) <= MOST_BROADCAST
+    path = "array<int>"  # the edge's bucket at each level
+
+    def planned(edges: dict) -> DataFrame:
+        rows = [(*x, *edges.get(tuple(x[0]), ([], 0))) for x in plan]
+        out = spark.createDataFrame(rows, f"pattern array<string>, source_size long, target double, passes long, rest long, edge {path}, start long")
+        return F.broadcast(out) if small else out
+
+    for k in range(len(level)):
+        on = held.join(planned(edges).select("pattern", "rest", "edge", "start"), "pattern").filter(F.size("edge") == k)
+        for j in range(k):
+            on = on.filter(level[j] == F.get("edge", F.lit(j)))
+        sums = on.groupBy("pattern", level[k].alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.first("rest").alias("rest"), F.first("edge").alias("edge"), F.first("start").alias("start"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = sums.withColumn("start", F.col("start") + before).filter("start <= rest AND start + n > rest").collect()  # a row to a pattern at most
+        edges |= {tuple(r["pattern"]): ([*r["edge"], r["bucket"]], r["start"]) for r in found}
+        if max((r["rows"] for r in found), default=0) <= EDGE:
+            break
+    row = held.join(planned(edges), "pattern")
+    side = F.lit(0)  # below the edge, on it, or above
+    for k in reversed(range(len(level))):
+        at = F.get("edge", F.lit(k))
+        side = F.when(at.isNull(), side if k else F.lit(1)).when(level[k] < at, -1).when(level[k] > at, 1).otherwise(side)
+    row = row.withColumn("__side", side)
+    whole = row.filter("__side <> 0").withColumn("more", (F.col("__side") < 0).cast("long"))
+    inner = Window.partitionBy("pattern").orderBy("__h", F.col("size")).rowsBetween(Window.unboundedPreceding, -1)
+    cut = row.filter("__side = 0").withColumn("ahead", F.col("start") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     cut = cut.withColumn("more", (F.col("ahead") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("ahead")
     out = whole.unionByName(cut).withColumn("copies", F.least(F.col("passes") + F.col("more"), F.lit(most)))
     keep = [c for c in names if c not in ("size", "pattern", "source_size", "target", "copies", "taken")]

@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -487,6 +488,53 @@ def test_flow_spreads_repetition():
     assert mixing.targets({"a": 1, "b": 99}, {"a": 1, "b": 1}) == {"a": 3.0, "b": 97.0}
 
 
+def cheapest(patterns, quota, most):
+    """(words, least cost) of the largest flow, by trying every amount of every pattern and every way to fill quotas."""
+    names = list(patterns)
+    best = (0, 0)
+    for give in product(*(range(most * patterns[p] + 1) for p in names)):
+        fits = all(sum(g for p, g in zip(names, give) if set(p) <= set(some)) <= sum(quota[s] for s in some) for k in range(1, len(quota) + 1) for some in combinations(quota, k))
+        cost = sum(sum(min(max(g - k * patterns[p], 0), patterns[p]) * k for k in range(most)) for p, g in zip(names, give))
+        if fits and (sum(give), -cost) > (best[0], -best[1]):
+            best = (sum(give), cost)
+    return best
+
+
+def test_flow_is_the_cheapest_of_the_largest():
+    r = random.Random(3)
+    for _ in range(40):
+        patterns = {p: r.randint(0, 4) for p in r.sample([("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "b", "c")], 3)}
+        quota = {s: r.randint(0, 9) for s in "abc"}
+        times = mixing.flow(patterns, quota, 2)
+        assert all(t == sorted(t, reverse=True) and max(t, default=0) <= patterns[p] for p, t in times.items())
+        assert (sum(map(sum, times.values())), sum(k * x for t in times.values() for k, x in enumerate(t))) == cheapest(patterns, quota, 2)
+
+
+def test_flow_of_many_patterns_is_fast():
+    r = random.Random(5)
+    patterns = {tuple(sorted(r.sample(range(200), 3))): r.randint(1, 1000) for _ in range(20_000)}
+    total = sum(patterns.values())
+    began = time.perf_counter()
+    got = mixing.route(patterns, dict.fromkeys(range(200), total // 200))
+    assert sum(got.values()) >= 0.99 * total and time.perf_counter() - began < 60
+
+
+def test_mixing_by_hand_and_in_fine_buckets(spark, monkeypatch):
+    """Weights 1, 2, 3 by code point, null last; the edge's bucket cut twice gives the same words within a document."""
+    rows = [(i, s, 5) for i, s in enumerate(["b"] * 40 + ["a"] * 40 + ["\U0001f600"] * 4 + [None] * 40 + ["\uffff"] * 40)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    # a 1, b 2, \uffff 3, the emoji 1, null 2 of 9 shares; the emoji stops at three times its 20 words.
+    left = (820 - 60) / 8
+    want = {"a": left, "b": 2 * left, "\uffff": 3 * left, "\U0001f600": 60.0, None: 2 * left}
+    for edge, buckets in ((100_000, 4096), (0, 2)):
+        monkeypatch.setattr(mixing, "EDGE", edge)
+        monkeypatch.setattr(mixing, "BUCKETS", buckets)
+        got = mixing.mix(d, F.array("source"), F.col("size")).collect()
+        assert len(got) == len(rows) and {r["source"]: r["target"] for r in got} == pytest.approx(want)
+        for s, t in want.items():
+            assert abs(sum(r["taken"] for r in got if r["source"] == s) - t) <= 3.5
+
+
 def test_single_sources_are_routed_by_the_flow(monkeypatch):
     seen, flow = [], mixing.flow
     monkeypatch.setattr(mixing, "flow", lambda g, *a: seen.append(set(g)) or flow(g, *a))
