@@ -88,10 +88,10 @@ def _set_key(tokens: np.ndarray) -> int:
 
 
 _BINARY = ["t4", "t2", "r4", "r2", "counts"]
-SENT = pa.schema([("at", pa.int32()), ("kind", pa.int8()), ("part", pa.int32()), *((c, pa.binary()) for c in _BINARY), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())])
-SENT_SQL = "at int, kind byte, part int, t4 binary, t2 binary, r4 binary, r2 binary, counts binary, doc_id long, key long, n int, sig binary"
-#: Kinds of messages: tokens for their shard, hot ones dealt by set, marks of hot ones, a block's sets, documents; tokens that come back.
-PLAIN, SPREAD, MARK, SETS, DOC, BACK = range(6)
+SENT = pa.schema([("at", pa.int32()), ("kind", pa.int8()), ("part", pa.int32()), *((c, pa.binary()) for c in _BINARY)])
+SENT_SQL = "at int, kind byte, part int, t4 binary, t2 binary, r4 binary, r2 binary, counts binary"
+#: Kinds of messages: tokens for their shard, hot ones dealt by set, marks of hot ones, a block's sets; tokens that come back.
+PLAIN, SPREAD, MARK, SETS, BACK = range(5)
 
 
 def _halves(x: np.ndarray) -> tuple[bytes, bytes]:
@@ -111,34 +111,49 @@ def _ranges(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(x)], strict=True)) if len(x) else []
 
 
-def _counted(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
-    """Rows of documents (kind DOC: doc_id, key, n, sig), of sets (SETS) and of tokens that several sets share (BACK), by partition and bucket of the set."""
+def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, key, n, sig) of each document: n is 0 without words, and equal sets that follow in a partition have the signature once."""
+
+    def sets(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            m = len(batch)
+            keys, sizes, sigs = np.zeros(m, np.int64), np.zeros(m, np.int32), [None] * m
+            for a, _, h, first in slices(batch.column(1), lower=True):
+                for i, tokens in enumerate(ngrams(h, first, n), a):
+                    if len(tokens):
+                        keys[i], sizes[i] = np.uint64(_set_key(tokens)).view(np.int64), len(tokens)
+                        if int(keys[i]) not in seen:
+                            seen.add(int(keys[i]))
+                            sigs[i] = signature(tokens, percent)
+            if len(seen) > FLUSH:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes), pa.array(sigs, pa.binary())], ["doc_id", "key", "n", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(trimmed(sets), "doc_id long, key long, n int, sig binary")
+
+
+def _counted(docs: DataFrame, n: int, shards: int) -> DataFrame:
+    """Rows of sets (SETS) and of tokens that several sets share (BACK), by partition and bucket of the set."""
 
     def row(at, kind, part, *binary):
         return {"at": int(at), "kind": kind, "part": int(part), **dict(zip(_BINARY, binary, strict=False))}
 
     def send(batches):
         part = TaskContext.get().partitionId()
-        held, seen, size, k = [], set(), 0, 0
+        held, seen, size = [], set(), 0
         for batch in batches:
-            m = len(batch)
-            keys, sizes, sigs = np.zeros(m, np.int64), np.zeros(m, np.int32), [None] * m
-            for a, _, h, first in slices(batch.column(1), lower=True):
-                for i, tokens in enumerate(ngrams(h, first, n), a):
+            for _, _, h, first in slices(batch.column(0), lower=True):
+                for tokens in ngrams(h, first, n):
                     if len(tokens):
                         key = np.uint64(_set_key(tokens))
-                        keys[i], sizes[i] = key.view(np.int64), len(tokens)
                         if key not in seen:
                             seen.add(key)
-                            sigs[i] = signature(tokens, percent)
                             held.append((tokens, key))
                             size += len(tokens)
                 if size >= FLUSH:
                     yield flush(held, part)
                     held, seen, size = [], set(), 0
-            k += 1
-            nulls = {c: pa.nulls(m, pa.binary()) for c in _BINARY}
-            yield pa.RecordBatch.from_pydict({"at": pa.array(np.full(m, (part * 31 + k) % shards, np.int32)), "kind": pa.array(np.full(m, DOC, np.int8)), "part": pa.array(np.full(m, part, np.int32)), **nulls, "doc_id": batch.column(0), "key": pa.array(keys), "n": pa.array(sizes), "sig": pa.array(sigs, pa.binary())}, schema=SENT)
         if held:
             yield flush(held, part)
 
@@ -176,7 +191,7 @@ def _counted(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
             if (kind >= SETS).any():
                 yield from pa.Table.from_batches([batch]).filter(pa.array(kind >= SETS)).to_batches()
             if (kind < SETS).any():
-                for r in pa.Table.from_batches([batch]).filter(pa.array(kind < SETS)).select(range(8)).to_pylist():
+                for r in pa.Table.from_batches([batch]).filter(pa.array(kind < SETS)).to_pylist():
                     t, ref = _whole(r["t4"], r["t2"]), _whole(r["r4"], r["r2"])
                     ref = ref if len(ref) else np.zeros(len(t), np.uint64)
                     own = np.frombuffer(r["counts"], np.uint32) if r["kind"] == SPREAD else np.full(len(t), r["at"], np.uint32)
@@ -201,7 +216,7 @@ def _counted(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
             for a in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_pylist(rows[a : a + 1000], SENT)
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(send), SENT_SQL).repartition(shards, "at").mapInArrow(trimmed(count), SENT_SQL)
+    return docs.select("text").mapInArrow(trimmed(send), SENT_SQL).repartition(shards, "at").mapInArrow(trimmed(count), SENT_SQL)
 
 
 def _prefixes(counted: DataFrame, percent: int, shards: int) -> DataFrame:
@@ -238,8 +253,7 @@ def _prefixes(counted: DataFrame, percent: int, shards: int) -> DataFrame:
                 b = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(name[at[b]].view(np.int64)), pa.array(key[of[b]].view(np.int64)), pa.array(size[of[b]].astype(np.int32)), pa.array(pos[b].astype(np.int32))], ["token", "key", "n", "pos"])
 
-    back = counted.filter(F.col("kind").isin(SETS, BACK)).select("at", "kind", "part", "t4", "r4", "r2", "counts")
-    return back.repartition(shards, "at").mapInArrow(trimmed(cut), "token long, key long, n int, pos int").dropDuplicates(["token", "key"])
+    return counted.drop("t2").repartition(shards, "at").mapInArrow(trimmed(cut), "token long, key long, n int, pos int").dropDuplicates(["token", "key"])
 
 
 def _meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,9 +308,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     # About one token for six characters.
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // GROUP)
-    counted = stage(_counted(docs, n, percent, shards), "counted")
-    sets = counted.filter(F.col("kind") == DOC).select("doc_id", "key", "n", "sig")
-    tokens = stage(_prefixes(counted, percent, shards), "prefixes")
+    sets = stage(_sets(docs, n, percent), "sets")
+    tokens = stage(_prefixes(_counted(docs, n, shards), percent, shards), "prefixes")
     members = sets.select("doc_id", "key", "n")
     doc = stage(members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc")), "classes")
 
