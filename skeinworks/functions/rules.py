@@ -74,7 +74,11 @@ def flow_question(query: Column) -> Column:
 
 def structure_question(query: Column) -> Column:
     h = hints(query)
-    return h["motion_chain"] | h["motion_structure"] | h["module"]
+    return h["motion_structure"] | h["halt"] | h["module"]
+
+
+def entry_question(query: Column) -> Column:
+    return hints(query)["entry"]
 
 
 def suffix(file: Column) -> Column:
@@ -101,13 +105,35 @@ def chunk_bonus(type_: Column, file: Column, symbol: Column, owner: Column, star
     return base + kind + built + F.when(is_entry(symbol, start, symbol_start), ENTRY_BONUS).otherwise(0.0)
 
 
+def holds(name: Column, tokens: Column) -> Column:
+    """A token is the name, or has four letters or more and lies in it."""
+    return (name != "") & F.exists(tokens, lambda t: (name == t) | ((F.length(t) >= 4) & F.contains(name, t)))
+
+
+def own_handler(symbol: Column) -> Column:
+    """An event handler that tells what its class does."""
+    return F.startswith(symbol, F.lit("on_")) & ~symbol.isin(*GENERIC_HANDLERS)
+
+
 def coherence(file: Column, symbol: Column, owner: Column, tokens: Column, names_module: Column) -> Column:
-    """8 if the file's stem or the class is a token or holds one of four letters; -5 for a telling handler of another module than the query's."""
-    def holds(name):
-        return F.exists(tokens, lambda t: (name != "") & ((name == t) | ((F.length(t) >= 4) & F.contains(name, t))))
+    """8 if the file's stem or the class is a token or holds one of four letters; else -5 for a telling handler where the query names a module, -10 for two registrars that were not asked for."""
+    name, other = stem(file), own_handler(F.coalesce(symbol, F.lit(""))) & names_module
+    registers = F.array_contains(tokens, "register_for_event")
+    player = (name == "player") & ~F.array_contains(tokens, "player") & (registers | F.array_contains(tokens, "add_module"))
+    return (
+        F.when(holds(name, tokens) | holds(F.lower(F.coalesce(owner, F.lit(""))), tokens), COHERENT)
+        .when(F.coalesce(other, F.lit(False)), -INCOHERENT)
+        .when(player | ((name == "switch") & registers), -2 * INCOHERENT)
+        .otherwise(0.0)
+    )
+
 
-    other = F.startswith(symbol, F.lit("on_")) & ~symbol.isin(*GENERIC_HANDLERS) & names_module
-    return F.when(holds(stem(file)) | holds(F.lower(F.coalesce(owner, F.lit("")))), COHERENT).when(F.coalesce(other, F.lit(False)), -INCOHERENT).otherwise(0.0)
+def symbol_weight(name: Column, kind: Column, file: Column, owner: Column, line: Column, start: Column, query: Column, tokens: Column) -> Column:
+    """What a symbol that a token names is worth: 85, 110 if no function or class, 92 for a coherent handler where a flow or an entry is asked for."""
+    own = stem(file)
+    coherent = F.array_contains(tokens, own) | F.array_contains(tokens, F.lower(F.coalesce(owner, F.lit("")))) | F.exists(tokens, lambda t: (F.length(t) >= 4) & F.contains(own, t))
+    handler = (entry_question(query) & (name == "on_main_loop")) | (flow_question(query) & own_handler(name) & (start == line))
+    return F.when(kind.isin("macro", "enum", "typedef"), 110.0).when(coherent & handler, 92.0).otherwise(85.0)
 
 
 def header_boost(file: Column, query: Column) -> Column:

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skeinworks.functions.text import lines, tokens
-from skeinworks.plans.stage import blocks, spread, stage
+from skeinworks.plans.stage import blocks, bounded_batches, spread, stage
+
+
+#: The most terms of queries, and bytes of passages, that are broadcast at once.
+MOST_TERMS, PASSAGE_BYTES = 200_000, 1 << 24
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -17,10 +23,14 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.select(F.explode("t").alias("token"), key, F.size("t").alias("len"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "item_id", k: int = 200, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25(
+    docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "item_id", k: int = 200, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, terms: Column | None = None
+) -> DataFrame:
     """(query, key, score): Okapi scores over distinct tokens, the best k of each query, scaled so that the best has 10.
 
     A negative inverse document frequency becomes epsilon times the mean of all. Rows without a query token don't appear.
+    terms: the queries' tokens, by default those of their text. The queries' terms are broadcast while they are few, so
+    that postings are neither shuffled nor gathered by token, however common one is; beyond, a join by token does it.
     """
     # Texts are cut into tokens once: the postings are written, and read for counts and for matches.
     p = stage(postings(spread(docs), key, "text"), "postings", "lz4")
@@ -29,8 +39,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str =
     idf = df.join(F.broadcast(n)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # n: one row
     floor = idf.agg((F.avg("idf") * epsilon).alias("floor"))
     idf = idf.join(F.broadcast(floor)).select("token", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"), (F.col("n_tokens") / F.col("n_docs")).alias("avg_len"))
-    q = queries.select(query, F.explode(tokens(F.col("text"))).alias("token"))
-    hit = q.join(idf, "token").join(p, "token")
+    q = stage(queries.select(query, F.explode(tokens(F.col("text")) if terms is None else terms).alias("token")).join(idf, "token"), "query-terms")
+    hit = p.join(F.broadcast(q) if q.count() <= MOST_TERMS else q, "token")
     one = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     raw = hit.groupBy(query, key).agg(F.sum(one).alias("raw")).filter("raw > 0").withColumn("raw", F.round("raw", 9))
     best = Window.partitionBy(query).orderBy(F.desc("raw"), key)
@@ -52,11 +62,43 @@ def dense(vectors: DataFrame, is_query: Column, k: int = 50, weight: float = 20.
     return kept.withColumn("top", top).filter("top > 0").select("query_id", "vec_id", "r", F.round(weight * F.col("s") / F.col("top"), 4).alias("score"))
 
 
-def holding(docs: DataFrame, passages: DataFrame, key: str = "doc_id", query: str = "item_id", score: float = 50.0, most: int = 10_000) -> DataFrame:
-    """(query, key, score, channel 'exact'): rows whose text has a whole passage in it. Passages are broadcast in blocks of about `most`."""
-    wanted = passages.filter("text <> ''").select(query, F.col("text").alias("passage"))
-    met = [docs.select(key, "text").join(F.broadcast(b), F.contains("text", "passage")).select(query, key) for b in blocks(wanted, query, most)]
-    return reduce(DataFrame.unionByName, met).select(query, key, F.lit(score).alias("score"), F.lit("exact").alias("channel"))
+def holding(docs: DataFrame, passages: DataFrame, key: str = "doc_id", query: str = "item_id", score: float = 50.0) -> DataFrame:
+    """(query, key, score, channel 'exact'): rows whose text has a whole passage in it.
+
+    A text is read once for all passages of a block, by an automaton; blocks hold about PASSAGE_BYTES.
+    """
+    wanted = stage(passages.filter("text <> ''").select(F.col(query).alias("q"), F.col("text").alias("passage")), "passages")
+    size = wanted.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+    n = -(-size // PASSAGE_BYTES) or 1
+    kinds = [docs.schema[key].dataType.simpleString(), wanted.schema["q"].dataType.simpleString()]
+    bounded_batches(docs.sparkSession)
+
+    def found(block: DataFrame) -> DataFrame:
+        of: dict[str, list] = {}
+        for q, text in block.collect():  # PASSAGE_BYTES at most, on average
+            of.setdefault(text, []).append(q)
+        held = docs.sparkSession.sparkContext.broadcast(of)
+
+        def scan(batches):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for text in held.value:
+                automaton.add_word(text, text)
+            automaton.make_automaton()
+            for batch in batches if held.value else ():
+                ids, at, asked = batch.column(0), [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    for passage in {x for _, x in automaton.iter(text)} if text else ():
+                        at += [i] * len(held.value[passage])
+                        asked += held.value[passage]
+                yield pa.RecordBatch.from_arrays([pa.array(asked, wanted_type), ids.take(pa.array(at, pa.int64()))], ["q", "k"])
+
+        return docs.select(key, "text").mapInArrow(scan, f"q {kinds[1]}, k {kinds[0]}")
+
+    wanted_type = to_arrow_type(wanted.schema["q"].dataType)
+    met = [found(wanted if n == 1 else wanted.filter(F.pmod(F.xxhash64("passage"), F.lit(n)) == i)) for i in range(n)]
+    return reduce(DataFrame.unionByName, met).select(F.col("q").alias(query), F.col("k").alias(key), F.lit(score).alias("score"), F.lit("exact").alias("channel"))
 
 
 def fuse(channels: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -67,7 +109,7 @@ def fuse(channels: list[DataFrame], keys: list[str]) -> DataFrame:
     return every.groupBy(*keys).agg(F.round(F.sum("score"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("channel")), "+").alias("source"))
 
 
-def diversify(hits: DataFrame, query: list[str], group: str, order: list[Column], per_group: int, k: int) -> DataFrame:
+def diversify(hits: DataFrame, query: list[str], group: str, order: list[Column], per_group: int | Column, k: int) -> DataFrame:
     """At most per_group hits of a group in rank order, then the best k of each query; adds rank."""
     own = hits.withColumn("__g", F.row_number().over(Window.partitionBy(*query, group).orderBy(*order))).filter(F.col("__g") <= per_group).drop("__g")
     return own.withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy(*order))).filter(F.col("rank") <= k)
@@ -80,9 +122,14 @@ def merge_hits(hits: DataFrame, query: list[str], chunk: str, raw: Column, misse
     return g.select(*query, chunk, "hits", F.round(F.greatest(best, F.lit(0.0)), 4).alias("score"))
 
 
-def chunk_at(probes: DataFrame, chunks: DataFrame, order: list[Column]) -> DataFrame:
-    """The chunk of each probe (file, line) by the given order, among those of its file whose range has the line."""
-    hit = probes.join(chunks, "file").filter("line BETWEEN start AND end")
+def chunk_at(probes: DataFrame, chunks: DataFrame, order: list[Column], step: int = 64) -> DataFrame:
+    """The chunk of each probe (file, line) by the given order, among those of its file whose range has the line.
+
+    They meet by the pieces of `step` lines that a range touches, not by the file alone.
+    """
+    at = probes.withColumn("__at", F.floor(F.col("line") / step))
+    cut = chunks.withColumn("__at", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor(F.greatest("start", "end") / step))))
+    hit = at.join(cut, ["file", "__at"]).filter("line BETWEEN start AND end").drop("__at")
     return hit.withColumn("__r", F.row_number().over(Window.partitionBy("file", "line").orderBy(*order))).filter("__r = 1").drop("__r")
 
 

@@ -39,7 +39,7 @@ SQL_HINTS = {
 }
 
 
-@query(f"WITH {SQL_QUESTIONS} SELECT conv_id, turn, {sql_any('l', rules.FLOW_WORDS)} AS flow, {' OR '.join(SQL_HINTS[k] for k in ('motion_chain', 'motion_structure', 'module'))} AS structure, concat_ws(',', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{k}{chr(39)} END' for k, c in SQL_HINTS.items())}) AS hints FROM low")
+@query(f"WITH {SQL_QUESTIONS} SELECT conv_id, turn, {sql_any('l', rules.FLOW_WORDS)} AS flow, {' OR '.join(SQL_HINTS[k] for k in ('motion_structure', 'halt', 'module'))} AS structure, concat_ws(',', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{k}{chr(39)} END' for k, c in SQL_HINTS.items())}) AS hints FROM low")
 def flow_intent_flags(t):
     q = F.col("text")
     return questions(t).select("conv_id", "turn", rules.flow_question(q).alias("flow"), rules.structure_question(q).alias("structure"), F.array_join(rules.hint_names(q), ",").alias("hints"))
@@ -171,7 +171,7 @@ def low_noise_symbols(t):
 
 @query(
     SQL_NOISE
-    + """, p AS (SELECT label AS q, vec_id AS doc_id FROM embeddings WHERE vec_id % 25 = 0), s AS (SELECT doc_id, arg_min(token, (n, token)) AS symbol FROM e JOIN k USING (token) WHERE n > 1 GROUP BY doc_id), ps AS (SELECT q, doc_id, coalesce(symbol, '') AS symbol FROM p LEFT JOIN s USING (doc_id)),
+    + """, p AS (SELECT label AS q, vec_id AS doc_id FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT doc_id, arg_min(token, (n, token)) AS symbol FROM e JOIN k USING (token) WHERE n > 1 GROUP BY doc_id), ps AS (SELECT q, doc_id, coalesce(symbol, '') AS symbol FROM p LEFT JOIN s USING (doc_id)),
   c AS (SELECT q, e.doc_id, count(*) * 25.0 AS score FROM ps JOIN e ON e.token = ps.symbol GROUP BY 1, 2), f AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.q = c.q AND ps.doc_id = c.doc_id)),
   r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS r FROM f) SELECT q, doc_id, CAST(score AS DOUBLE) AS score FROM r WHERE r <= 3"""
 )
@@ -180,7 +180,7 @@ def graph_extras(t):
     e, k = low_noise(t)
     m = e.join(k.filter("n > 1"), "token")
     symbol = m.groupBy("doc_id").agg(F.min_by("token", F.struct("n", "token")).alias("symbol"))
-    p = t("embeddings").filter("vec_id % 25 = 0").select(F.col("label").alias("q"), F.col("vec_id").alias("doc_id")).join(symbol, "doc_id", "left")
+    p = t("embeddings").filter("vec_id % 50 = 0").select(F.col("label").alias("q"), F.col("vec_id").alias("doc_id")).join(symbol, "doc_id", "left")
     p = p.select("q", "doc_id", F.col("doc_id").alias("file"), F.coalesce("symbol", F.lit("")).alias("symbol"))
     return retrieval.graph_extras(p, m.select(F.col("token").alias("symbol"), "doc_id", F.col("doc_id").alias("file")), "q", "doc_id", "file").select("q", "doc_id", "score")
 
@@ -209,11 +209,11 @@ def pagerank_personalized(t):
     return graph.pagerank(both, rounds=30, seeds=seeds).orderBy(F.desc(F.round("rank", 9)), "id").limit(50).select("id", F.round("rank", 6).alias("rank"))  # the 50 best are the report
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id % 10 AS q, event_type AS command FROM events WHERE event_id % 97 = 0), e AS (SELECT event_type AS command, user_id AS chunk, event_id AS line, value > 50 AS sure FROM events)
+@query("""WITH a AS (SELECT DISTINCT user_id % 10 AS q, event_type AS command FROM events WHERE event_id % 50 = 0), e AS (SELECT event_type AS command, user_id AS chunk, event_id AS line, value > 50 AS sure FROM events)
   SELECT q, chunk, CAST(140 + max(CASE WHEN sure THEN 8 ELSE 4 END) AS DOUBLE) AS score, max(line) AS focus FROM a JOIN e USING (command) GROUP BY 1, 2""")
 def dispatch_lookup(t):
     e = t("events")
-    asked = e.filter("event_id % 97 = 0").select((F.col("user_id") % 10).alias("q"), F.col("event_type").alias("command"))
+    asked = e.filter("event_id % 50 = 0").select((F.col("user_id") % 10).alias("q"), F.col("event_type").alias("command"))
     # One row to a (command, chunk) before the join, as the asked commands repeat them.
     entries = e.groupBy(F.col("event_type").alias("command"), F.col("user_id").alias("chunk")).agg(F.max("event_id").alias("line"), F.max(F.coalesce(F.col("value") > 50, F.lit(False))).alias("sure"))
     return retrieval.dispatch_scores(asked, entries, "q", "chunk")

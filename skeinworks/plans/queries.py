@@ -244,19 +244,6 @@ def smart_merge(t):
     return retrieval.merge_hits(h, ["l_orderkey"], "l_partkey", F.col("l_linenumber") == 1, F.col("l_returnflag") == "R")
 
 
-@query("""SELECT p_partkey, p_name, CASE WHEN count(*) OVER (PARTITION BY lower(p_name), p_brand) = 1 THEN 125 WHEN p_type IN ('ECONOMY', 'PROMO') THEN 110 ELSE 85 END AS weight FROM part""")
-def symbol_match_weight(t):
-    named = t("part").withColumn("k", F.struct(F.lower("p_name"), "p_brand"))
-    p = named.join(named.groupBy("k").agg(F.count("*").alias("n")), "k")
-    return p.select("p_partkey", "p_name", F.when(F.col("n") == 1, 125).when(F.col("p_type").isin("ECONOMY", "PROMO"), 110).otherwise(85).alias("weight"))
-
-
-@query("SELECT p_brand, count(DISTINCT l_orderkey) AS n_orders, count(*) * 108 AS score FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY p_brand")
-def class_expansion(t):
-    j = t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy("p_brand").agg(F.countDistinct("l_orderkey").alias("n_orders"), (F.count("*") * 108).alias("score"))
-
-
 # --- graph --------------------------------------------------------------------------------------------
 
 SQL_LINKS = r"""raw AS (SELECT regexp_replace(url, '^[a-z]+://([^/?#]*).*$', '\1') AS src, regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), '^/', '') AS dst FROM pages),
