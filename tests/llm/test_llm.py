@@ -300,9 +300,10 @@ def slow_densities(tree):
     out = []
     for k in range(n):
         c, t, lc, lt = sums(k)
-        base = c / max(1, c - lc) * lc + body_lc / max(1, body_c) * c + math.e
+        base = math.log(c / max(1, c - lc) * lc + body_lc / max(1, body_c) * c + math.e)
         ratio = max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))
-        out.append(c / max(1, t) * math.log(ratio) / math.log(base) if c else 0.0)
+        # The published base is itself a logarithm; on a page without link text it is 1, which no logarithm has.
+        out.append(c / max(1, t) * (math.log(ratio, base) if base > 1 + 1e-9 else math.log(ratio + 1)) if c else 0.0)
     return out
 
 
