@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from skeinworks.functions import text as T
 from skeinworks.functions.rules import HEADER, IMPLEMENTATION, suffix
@@ -73,36 +72,38 @@ def symbols(lines: DataFrame) -> DataFrame:
     return lines.select("file", "line", found.alias("s")).filter("s IS NOT NULL").select("file", "s.name", "s.kind", "line", "s.class")
 
 
-def brace_end(lines: list[str], line: int) -> int:
-    """The line (from 1) where the braces opened at or after `line` are all closed again; `UNCLOSED` lines on if they never are."""
-    depth, opened = 0, False
-    for at in range(line - 1, len(lines)):
-        for c in re.findall("[{}]", lines[at]):
-            depth += 1 if c == "{" else -1
-            opened = opened or c == "{"
-            if opened and depth == 0 and c == "}":
-                return at + 1
-    return min(line + UNCLOSED, len(lines))
+def closing(lines: DataFrame, at: DataFrame) -> DataFrame:
+    """(file, line, brace) of each place (file, line): the line of the brace that closes the first one opened there or below.
 
-
-@F.pandas_udf(ArrayType(LongType()))
-def _brace_ends(lines: pd.Series, starts: pd.Series) -> pd.Series:
-    return pd.Series([[brace_end(list(t), int(s)) for s in at] for t, at in zip(lines, starts)])
+    A running depth over a file's braces: the closing brace is the first one after that opening that brings the depth
+    back to what it was before the place. Places without one are left out. lines has (file, line, text).
+    """
+    found = F.posexplode(F.regexp_extract_all("text", F.lit("[{}]"), F.lit(0))).alias("i", "c")
+    marks = at.select("file", "line").distinct().select("file", "line", F.lit(-1).alias("i"), F.lit(None).cast("string").alias("c"))
+    every = lines.select("file", "line", found).unionByName(marks)
+    step = F.when(F.col("c") == "{", 1).when(F.col("c") == "}", -1).otherwise(0)
+    down = Window.partitionBy("file").orderBy("line", "i").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("file").orderBy(F.desc("line"), F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct("line", "i")
+    every = every.withColumn("depth", F.sum(step).over(down)).withColumn("opened", F.last(F.when(F.col("c") == "{", place), ignorenulls=True).over(up))
+    ends = every.filter("c = '}' OR (c IS NULL AND opened IS NOT NULL)").withColumn("at", F.when(F.col("c").isNull(), F.col("opened")).otherwise(place))
+    nearest = Window.partitionBy("file", "depth").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("brace", F.last(F.when(F.col("c") == "}", F.col("line")), ignorenulls=True).over(nearest))
+    return ends.filter("c IS NULL AND brace IS NOT NULL").select("file", "line", "brace")
 
 
 def symbol_ends(files: DataFrame, found: DataFrame) -> DataFrame:
     """found (file, name, kind, line, class, end_line or null) with `end`: the stated end if it isn't before the symbol, else the closing brace, before the next symbol.
 
-    files has (file, lines array); a file's own lines and symbols meet in one row.
+    files has (file, lines array). A symbol whose braces never close reaches `UNCLOSED` lines on, or to the file's end.
     """
-    bounded_batches(files.sparkSession)
-    nxt = F.lead("line").over(Window.partitionBy("file").orderBy("line", "name"))
-    s = found.withColumn("next", nxt)
-    one = s.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "name", "kind", "class", "end_line", "next"))).alias("s"))
-    met = files.select("file", "lines").join(one, "file").withColumn("e", _brace_ends("lines", F.transform("s", lambda x: x["line"])))
-    row = met.select("file", F.size("lines").cast("long").alias("n"), F.explode(F.arrays_zip("s", "e")).alias("x")).select("file", "n", "x.s.*", F.col("x.e").alias("brace"))
+    rows = files.select("file", F.posexplode("lines").alias("p", "text")).select("file", (F.col("p") + 1).cast("long").alias("line"), "text")
+    s = found.withColumn("next", F.lead("line").over(Window.partitionBy("file").orderBy("line", "name")))
+    s = s.join(files.select("file", F.size("lines").cast("long").alias("n")), "file").join(closing(rows, found), ["file", "line"], "left")
     stated = (F.col("end_line") > 0) & (F.col("end_line") >= F.col("line"))
-    return row.select("file", "name", "kind", "class", "line", F.when(stated, F.least("end_line", "n")).when(F.col("next") > F.col("line"), F.least(F.col("brace"), F.col("next") - 1)).otherwise(F.col("brace")).alias("end"))
+    last = F.coalesce("brace", F.least(F.col("line") + UNCLOSED, F.col("n")))
+    end = F.when(stated, F.least("end_line", "n")).when(F.col("next") > F.col("line"), F.least(last, F.col("next") - 1)).otherwise(last)
+    return s.select("file", "name", "kind", "class", "line", end.alias("end"))
 
 
 def header(file: Column, symbol: Column, kind: Column, start: Column, end: Column, owner: Column, symbol_start: Column, sub: Column) -> Column:

@@ -25,35 +25,22 @@ void idle()
 HEADER = "class Player {\n  int run(int x);\n};\n"
 
 
-def slow_loc(text):
-    code_n = comment_n = blank_n = 0
-    block = False
-    for line in text.splitlines():
-        i, has_code, has_comment, quote = 0, False, False, None
-        while i < len(line):
-            two = line[i : i + 2]
-            if block:
-                has_comment = True
-                block, i = two != "*/", i + (2 if two == "*/" else 1)
-            elif quote:
-                i, quote = (i + 2, quote) if line[i] == "\\" else (i + 1, None if line[i] == quote else quote)
-            elif line[i] in "'\"":
-                quote, has_code, i = line[i], True, i + 1
-            elif two == "//":
-                has_comment = True
-                break
-            elif two == "/*":
-                has_comment = block = True
-                i += 2
-            else:
-                has_code, i = has_code or not line[i].isspace(), i + 1
-        code_n, comment_n, blank_n = (code_n + has_code, comment_n + (has_comment and not has_code), blank_n + (not has_code and not has_comment))
-    return code_n, comment_n, blank_n
-
-
-@given(st.text(alphabet="a /*\\\"'\n\t\r", max_size=60))
-def test_loc_equals_fold(text):
-    assert code.count_loc(text) == slow_loc(text)
+# Lines of known classes: code (also with comment signs in strings, or a comment after or before it), comments, blanks.
+CODE = ["x = 1;", "  y();", 's = "// no";', "c = '\"'; // yes", 'u = "/* no";', "/* a */ z();", "d = a / b;", "t = \"\\\\\";"]
+COMMENT = ["// a", "  // b \"c", "/* d */", "\t/* e */ // f", "// /* g"]
+BLANK = ["", "   ", "\t"]
+BLOCK = [["/* a", "b", "*/"], ["/* a", "", "// b */"], ["  /*", "\"*/"], ["/* x = 1;", "y = 2;", "z = 3; */"]]
+
+
+@given(st.lists(st.one_of(st.sampled_from(CODE), st.sampled_from(COMMENT), st.sampled_from(BLANK), st.sampled_from(BLOCK)), max_size=12))
+def test_loc_of_lines_of_known_classes(parts):
+    lines = [x for p in parts for x in (p if isinstance(p, list) else [p])]
+    want = [sum(p in kind for p in parts if isinstance(p, str)) for kind in (CODE, COMMENT, BLANK)]
+    for p in parts:
+        if isinstance(p, list):
+            want[1] += sum(x != "" for x in p)
+            want[2] += p.count("")
+    assert code.count_loc("".join(x + "\n" for x in lines)) == tuple(want)
 
 
 def test_loc(spark):
@@ -84,8 +71,16 @@ def test_symbols_and_chunks(spark):
     assert '//   #include "b.h"\n//\n// symbols (3):\n//  macro        LIMIT  line 2\n' in c["a_p_cpp::1-13::overview"]["text"]
 
 
-def test_brace_end():
-    assert code.brace_end(["f() {", "{ }", "} // }", "}"], 1) == 3 and code.brace_end(["f();"] * 5, 2) == 5 and code.brace_end(["x"] * 300, 4) == 104
+def test_closing_braces(spark):
+    texts = {"a": ["f() {", "{ }", "} // }", "}"], "b": ["f();"] * 5, "c": ["x"] * 300, "d": ["} g()", "{ if { } }", "}", "h() { }"], "e": ["k() {"]}
+    f = spark.createDataFrame(list(texts.items()), "file string, lines array<string>")
+    at = [("a", 1), ("a", 2), ("b", 2), ("c", 4), ("d", 1), ("d", 2), ("d", 4), ("e", 1)]
+    s = spark.createDataFrame([(file, f"s{line}", "function", line, "", None) for file, line in at], "file string, name string, kind string, line long, class string, end_line long")
+    got = {(r["file"], r["line"]): r["end"] for r in code.symbol_ends(f, s).collect()}
+    # A symbol ends before the next one: a's first at line 1, d's first before line 2.
+    assert got == {("a", 1): 1, ("a", 2): 2, ("b", 2): 5, ("c", 4): 104, ("d", 1): 1, ("d", 2): 2, ("d", 4): 4, ("e", 1): 1}
+    rows = f.select("file", F.posexplode("lines").alias("p", "text")).select("file", (F.col("p") + 1).cast("long").alias("line"), "text")
+    assert {(r["file"], r["line"]): r["brace"] for r in code.closing(rows, s).collect()} == {("a", 1): 3, ("a", 2): 2, ("d", 1): 2, ("d", 2): 2, ("d", 4): 4}
 
 
 def test_dispatch(spark):
