@@ -34,8 +34,9 @@ FLUSH, GROUP = 1 << 20, 1 << 20
 #: A token of this many sets of one block is hot: its sets are dealt by their own keys, not to the token's task, and it ranks after all others.
 HOT = 64
 _MOST = (1 << 32) - 1
-#: Buckets in which a partition's sets get their counts back.
-PARTS = 8
+#: The most sets of a block, so that a place in it takes two bytes; bits of a block's number in its partition, and how far apart the
+#: blocks of neighbouring partitions are dealt.
+MOST_SETS, BLOCKS, PARTS = 1 << 16, 20, 8
 #: The most document ids that are broadcast to pick the texts to compare; beyond, a shuffled join does it.
 MOST_IDS = 1_000_000
 _SHORT = 0x452821E638D01377
@@ -87,9 +88,9 @@ def _set_key(tokens: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(tokens)) ^ np.add.reduce(mix(tokens ^ U(ORDERS[1])) * U(3))) if len(tokens) else 0
 
 
-_BINARY = ["t4", "t2", "r4", "r2", "counts"]
-SENT = pa.schema([("at", pa.int32()), ("kind", pa.int8()), ("part", pa.int32()), *((c, pa.binary()) for c in _BINARY)])
-SENT_SQL = "at int, kind byte, part int, t4 binary, t2 binary, r4 binary, r2 binary, counts binary"
+_BINARY = ["t4", "t2", "r", "counts"]
+SENT = pa.schema([("at", pa.int32()), ("kind", pa.int8()), ("block", pa.int64()), *((c, pa.binary()) for c in _BINARY)])
+SENT_SQL = "at int, kind byte, block long, t4 binary, t2 binary, r binary, counts binary"
 #: Kinds of messages: tokens for their shard, hot ones dealt by set, marks of hot ones, a block's sets; tokens that come back.
 PLAIN, SPREAD, MARK, SETS, BACK = range(5)
 
@@ -133,55 +134,60 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(trimmed(sets), "doc_id long, key long, n int, sig binary")
 
 
+def _home(block, shards: int):
+    """Where a block's sets and what comes back to them meet; a block is known by its partition and its number there."""
+    return ((block >> BLOCKS) * PARTS + (block & ((1 << BLOCKS) - 1))) % shards
+
+
+def _settled(docs: DataFrame) -> DataFrame:
+    """docs, written if a lost task could get its rows in another order when it runs again, as sets are known by their places."""
+    return stage(docs, "documents") if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
 def _counted(docs: DataFrame, n: int, shards: int) -> DataFrame:
-    """Rows of sets (SETS) and of tokens that several sets share (BACK), by partition and bucket of the set."""
+    """Rows of sets (SETS) and of tokens that several sets share (BACK), by block of sets."""
 
-    def row(at, kind, part, *binary):
-        return {"at": int(at), "kind": kind, "part": int(part), **dict(zip(_BINARY, binary, strict=False))}
+    def row(at, kind, block, *binary):
+        return {"at": int(at), "kind": kind, "block": int(block), **dict(zip(_BINARY, binary, strict=False))}
 
     def send(batches):
-        part = TaskContext.get().partitionId()
-        held, seen, size = [], set(), 0
+        block, held, seen, size = TaskContext.get().partitionId() << BLOCKS, [], set(), 0
         for batch in batches:
             for _, _, h, first in slices(batch.column(0), lower=True):
                 for tokens in ngrams(h, first, n):
-                    if len(tokens):
-                        key = np.uint64(_set_key(tokens))
-                        if key not in seen:
-                            seen.add(key)
-                            held.append((tokens, key))
-                            size += len(tokens)
-                if size >= FLUSH:
-                    yield flush(held, part)
-                    held, seen, size = [], set(), 0
+                    key = np.uint64(_set_key(tokens))
+                    if len(tokens) and key not in seen:
+                        seen.add(key)
+                        held.append((tokens, key))
+                        size += len(tokens)
+                        if size >= FLUSH or len(held) == MOST_SETS:
+                            yield flush(held, block)
+                            block, held, seen, size = block + 1, [], set(), 0
         if held:
-            yield flush(held, part)
+            yield flush(held, block)
 
-    def flush(held, part):
-        """A block's messages. A set is known in its partition by 48 bits of its key, a token in its shard by 48 bits of its hash."""
+    def flush(held, block):
+        """A block's messages. A set is known in its block by its place, a token in its shard by 48 bits of its hash."""
         sizes = np.array([len(t) for t, _ in held])
         keys = np.array([k for _, k in held], np.uint64)
-        t, ref = mix(np.concatenate([t for t, _ in held])), np.repeat(mix(keys) & _48, sizes)
+        t, ref = mix(np.concatenate([t for t, _ in held])), np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
         order = np.argsort(t, kind="stable")
         t, ref = t[order], ref[order]
         start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         span = np.diff(np.append(start, len(t)))
         hot = np.repeat(span >= HOT, span)
         mark = t[start[span >= HOT]]
+        dealt = mix(ref[hot].astype(np.uint64) | U(block << 16))
         rows = []
-        for kind, x, r, by in ((PLAIN, t[~hot], ref[~hot], t[~hot]), (SPREAD, t[hot], ref[hot], mix(ref[hot])), (MARK, mark, mark, mark)):
+        for kind, x, r, by in ((PLAIN, t[~hot], ref[~hot], t[~hot]), (SPREAD, t[hot], ref[hot], dealt), (MARK, mark, mark[:0].astype(np.uint16), mark)):
             shard = by % U(shards)
             order = np.argsort(shard, kind="stable")
-            x, r, shard = x[order], r[order], shard[order]
+            x, r, shard = x[order], r[order] if kind != MARK else r, shard[order]
             for a, b in _ranges(shard):
                 # A hot token is dealt to a shard of its sets, so its own shard goes along.
                 counts = (x[a:b] % U(shards)).astype(np.uint32).tobytes() if kind == SPREAD else b""
-                rows.append(row(shard[a], kind, part, *_halves(x[a:b] & _48), *(_halves(r[a:b]) if kind != MARK else (b"", b"")), counts))
-        r = mix(keys) & _48
-        order = np.argsort(r % U(PARTS), kind="stable")
-        r, keys, sizes = r[order], keys[order], sizes[order]
-        for a, b in _ranges(r % U(PARTS)):
-            rows.append(row((part * PARTS + int(r[a] % U(PARTS))) % shards, SETS, part, keys[a:b].tobytes(), b"", *_halves(r[a:b]), sizes[a:b].astype(np.uint32).tobytes()))
+                rows.append(row(shard[a], kind, block, *_halves(x[a:b] & _48), r[a:b].tobytes(), counts))
+        rows.append(row(_home(block, shards), SETS, block, keys.tobytes(), b"", b"", sizes.astype(np.uint32).tobytes()))
         return pa.RecordBatch.from_pylist(rows, SENT)
 
     def count(batches):
@@ -192,27 +198,26 @@ def _counted(docs: DataFrame, n: int, shards: int) -> DataFrame:
                 yield from pa.Table.from_batches([batch]).filter(pa.array(kind >= SETS)).to_batches()
             if (kind < SETS).any():
                 for r in pa.Table.from_batches([batch]).filter(pa.array(kind < SETS)).to_pylist():
-                    t, ref = _whole(r["t4"], r["t2"]), _whole(r["r4"], r["r2"])
-                    ref = ref if len(ref) else np.zeros(len(t), np.uint64)
+                    t = _whole(r["t4"], r["t2"])
+                    ref = np.frombuffer(r["r"], np.uint16) if r["kind"] != MARK else np.zeros(len(t), np.uint16)
                     own = np.frombuffer(r["counts"], np.uint32) if r["kind"] == SPREAD else np.full(len(t), r["at"], np.uint32)
-                    got.setdefault((r["at"], r["kind"] == SPREAD), []).append((t, ref, np.full(len(t), -1 if r["kind"] == MARK else r["part"], np.int32), own))
+                    got.setdefault((r["at"], r["kind"] == SPREAD), []).append((t, ref, np.full(len(t), -1 if r["kind"] == MARK else r["block"], np.int64), own))
         for (_, spread), parts in got.items():
-            t, ref, part, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((ref, part, t))
-            t, ref, part, own = t[order], ref[order], part[order], own[order]
-            keep = np.append(True, (t[1:] != t[:-1]) | (ref[1:] != ref[:-1]) | (part[1:] != part[:-1]))
-            t, ref, part, own = t[keep], ref[keep], part[keep], own[keep]
+            t, ref, block, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((block, t))
+            t, ref, block, own = t[order], ref[order], block[order], own[order]
+            keep = np.append(True, (t[1:] != t[:-1]) | (block[1:] != -1))  # a token is marked once, by whatever blocks
+            t, ref, block, own = t[keep], ref[keep], block[keep], own[keep]
             start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             span = np.diff(np.append(start, len(t)))
-            many = np.repeat(np.where(part[start] == -1, _MOST, np.minimum(span, _MOST - 1)), span)  # a mark comes first
+            many = np.repeat(np.where(block[start] == -1, _MOST, np.minimum(span, _MOST - 1)), span)  # a mark comes first
             many = np.full(len(t), _MOST) if spread else many
-            at = np.flatnonzero((part >= 0) & (many > 1))
+            at = np.flatnonzero((block >= 0) & (many > 1))
             # Known everywhere by one number, made of its shard and 48 bits.
-            name, many, ref, part = mix(t[at] | (mix(own[at].astype(np.uint64)) & ~_48)), many[at].astype(np.uint32), ref[at], part[at]
-            bucket = part.astype(np.int64) * PARTS + (ref % U(PARTS)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            name, many, ref, part, bucket = name[order], many[order], ref[order], part[order], bucket[order]
-            rows = [row(bucket[a] % shards, BACK, part[a], name[a:b].tobytes(), b"", *_halves(ref[a:b]), many[a:b].tobytes()) for a, b in _ranges(bucket)]
+            name, many, ref, block = mix(t[at] | (mix(own[at].astype(np.uint64)) & ~_48)), many[at].astype(np.uint32), ref[at], block[at]
+            order = np.argsort(block, kind="stable")
+            name, many, ref, block = name[order], many[order], ref[order], block[order]
+            rows = [row(_home(int(block[a]), shards), BACK, block[a], name[a:b].tobytes(), b"", ref[a:b].tobytes(), many[a:b].tobytes()) for a, b in _ranges(block)]
             for a in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_pylist(rows[a : a + 1000], SENT)
 
@@ -223,25 +228,22 @@ def _prefixes(counted: DataFrame, percent: int, shards: int) -> DataFrame:
     """(token, key, n, pos) of the shared tokens in each set's prefix; pos is the place under the order by frequency."""
 
     def cut(batches):
-        got: dict[tuple, tuple[list, list]] = {}
+        got: dict[int, tuple[list, list]] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                ref = _whole(r["r4"], r["r2"])
-                if len(ref):
-                    x = (np.frombuffer(r["t4"], np.uint64), ref, np.frombuffer(r["counts"], np.uint32))
-                    got.setdefault((r["part"], int(ref[0] % U(PARTS))), ([], []))[r["kind"] == BACK].append(x)
+                x = (np.frombuffer(r["t4"], np.uint64), np.frombuffer(r["r"], np.uint16), np.frombuffer(r["counts"], np.uint32))
+                got.setdefault(r["block"], ([], []))[r["kind"] == BACK].append(x)
         for sets, back in got.values():
             if not back:
                 continue
-            key, own, size = (np.concatenate(x) for x in zip(*sets, strict=True))
-            own, first = np.unique(own, return_index=True)
-            key, size = key[first], size[first].astype(np.int64)
+            key, _, size = sets[0]
+            size = size.astype(np.int64)
             name, ref, many = (np.concatenate(x) for x in zip(*back, strict=True))
             order = np.lexsort((name, many, ref))
             name, ref = name[order], ref[order]
             start = np.flatnonzero(np.append(True, ref[1:] != ref[:-1]))
             span = np.diff(np.append(start, len(ref)))
-            of = np.searchsorted(own, ref[start])
+            of = ref[start].astype(np.int64)
             n = size[of]
             alone = n - span
             keep = n - -(-percent * n // 100) + 1 - alone
@@ -304,7 +306,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    docs = _settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL"))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     # About one token for six characters.
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // GROUP)
