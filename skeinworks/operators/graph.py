@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinworks.functions import rules
+from skeinworks.operators import code
+from skeinworks.operators.retrieval import chunk_at
 from skeinworks.plans.stage import drop, stage
 
+# Weights of an edge and of the edge back, between a file's chunks, and what names and files give edges.
+MENTION, INCLUDE, DISPATCH = (3.0, 1.5), (1.0, 0.2), (4.0, 2.0)
+OVERVIEW, ADJACENT = 0.45, 0.25
+LEAST_NAME, NOISY, REPRESENTATIVES = 4, 30, 4
+# Weights of seeds, how many chunks a token seeds, and the score of a chunk that ranks bring in.
+PRIMARY_SEED, EXACT_SEED, TOKEN_SEED, SEEDED = 3.0, 2.0, 0.35, 8
+GRAPH, SCALE = 25.0, 1000.0
+
 
 def weighted_edges(edges: DataFrame) -> DataFrame:
     """Sum of weights by (src, dst, kind); loops and empty ends are dropped."""
@@ -42,3 +53,116 @@ def pagerank(edges: DataFrame, rounds: int = 40, damping: float = 0.85, seeds: D
                 drop(held)
             rank = held = new
     return rank.select("id", F.col("r").alias("rank"))
+
+
+def both_ways(met: DataFrame, kind: str, weights: tuple[float, float]) -> DataFrame:
+    """(src, dst, kind, label, weight): edges (src, dst, label), and edges back as kind_rev."""
+    there = met.select("src", "dst", F.lit(kind).alias("kind"), "label", F.lit(weights[0]).alias("weight"))
+    return there.unionByName(met.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(f"{kind}_rev").alias("kind"), "label", F.lit(weights[1]).alias("weight")))
+
+
+def symbol_targets(symbols: DataFrame, chunks: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(name, chunk): the functions and classes that a name leads to, also as class::name; names that over 30 chunks mention, or that are short, lead nowhere."""
+    noisy = mentions.select("chunk", "name").distinct().groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") > NOISY)
+    own = symbols.filter(F.col("kind").isin("function", "class", "struct") & (F.length("name") >= LEAST_NAME)).join(noisy, "name", "left_anti")
+    first = [F.col("start"), F.col("end"), F.col("chunk")]
+    at = chunk_at(own.select("file", "line").distinct(), chunks.select("chunk", "file", "start", "end", "type"), first).filter("type IN ('function', 'class')")
+    met = own.join(at.select("file", "line", "chunk"), ["file", "line"])
+    names = F.array_distinct(F.array_compact(F.array(F.col("name"), F.when(F.col("class") != "", F.concat("class", F.lit("::"), "name")))))
+    return met.select(F.explode(names).alias("name"), "chunk").distinct()
+
+
+def mention_edges(mentions: DataFrame, targets: DataFrame) -> DataFrame:
+    """From a chunk to the chunks of each name (chunk, name) that it mentions."""
+    plain = targets.filter(~F.contains("name", F.lit("::")))
+    met = mentions.select(F.col("chunk").alias("src"), "name").distinct().join(plain, "name")
+    return both_ways(met.select("src", F.col("chunk").alias("dst"), F.col("name").alias("label")), "mention", MENTION)
+
+
+def file_edges(chunks: DataFrame) -> DataFrame:
+    """Between a file's overview and its functions and classes, and between those that follow each other."""
+    c = chunks.select("chunk", "file", "start", "end", "type")
+    parts = c.filter("type IN ('function', 'class')")
+    over = c.filter("type = 'file_overview'").groupBy("file").agg(F.min(F.struct("start", "end", "chunk")).alias("o")).select("file", F.col("o.chunk").alias("src"))
+    star = parts.join(over, "file").select("src", F.col("chunk").alias("dst"), F.lit(OVERVIEW).alias("weight"))
+    follow = F.lead("chunk").over(Window.partitionBy("file").orderBy("start", "end", "chunk"))
+    line = parts.select(F.col("chunk").alias("src"), follow.alias("dst")).filter("dst IS NOT NULL").withColumn("weight", F.lit(ADJACENT))
+    each = star.unionByName(line)
+    return each.unionByName(each.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).select("src", "dst", F.lit("same_file").alias("kind"), F.lit("").alias("label"), "weight")
+
+
+def representatives(chunks: DataFrame) -> DataFrame:
+    """(file, chunk): a file's first four overviews and classes; its first chunk, if it has none."""
+    order = Window.partitionBy("file").orderBy(F.when(F.col("type").isin("file_overview", "class"), 0).otherwise(1), "start", "end", "chunk")
+    r = chunks.select("file", "chunk", "start", "end", "type").withColumn("r", F.row_number().over(order))
+    return r.filter((F.col("r") == 1) | (F.col("type").isin("file_overview", "class") & (F.col("r") <= REPRESENTATIVES))).select("file", "chunk")
+
+
+def include_edges(includes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """From a chunk to the representatives of the files that it includes (chunk, name)."""
+    files = code.resolve_paths(includes.select("name"), chunks.select("file").distinct()).select("name", F.col("target").alias("file"))
+    met = includes.select(F.col("chunk").alias("src"), "name").join(files, "name").join(representatives(chunks), "file")
+    return both_ways(met.select("src", F.col("chunk").alias("dst"), F.col("name").alias("label")), "include", INCLUDE)
+
+
+def dispatch_edges(entries: DataFrame, chunks: DataFrame, targets: DataFrame) -> DataFrame:
+    """From the chunk of each entry (command, file, line, target) to those of its target, by its whole name and by the last part of it."""
+    first = [F.col("start"), F.col("end"), F.col("chunk")]
+    at = chunk_at(entries.select("file", "line").distinct(), chunks.select("chunk", "file", "start", "end"), first).select("file", "line", F.col("chunk").alias("src"))
+    each = entries.select("command", "file", "line", F.explode(F.array_distinct(F.array(F.col("target"), F.substring_index("target", "::", -1)))).alias("name"))
+    met = each.join(targets, "name").select("command", "file", "line", F.col("chunk").alias("dst")).distinct().join(at, ["file", "line"])
+    return both_ways(met.select("src", "dst", F.col("command").alias("label")), "dispatch", DISPATCH)
+
+
+def code_edges(chunks: DataFrame, targets: DataFrame, mentions: DataFrame, includes: DataFrame, entries: DataFrame) -> DataFrame:
+    """(src, dst, kind, label, weight) of all kinds, equal ones summed, loops left out."""
+    every = mention_edges(mentions, targets).unionByName(file_edges(chunks)).unionByName(include_edges(includes, chunks)).unionByName(dispatch_edges(entries, chunks, targets))
+    return every.filter("src <> dst").groupBy("src", "dst", "kind", "label").agg(F.round(F.sum("weight"), 4).alias("weight"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(src, edges): each node's edges as an array by (to, kind, label)."""
+    return edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct(F.col("dst").alias("to"), "kind", "label", "weight"))).alias("edges"))
+
+
+def seeds(primary: DataFrame, exact: DataFrame, tokens: DataFrame, targets: DataFrame) -> DataFrame:
+    """(query, id, weight): primary hits 3, other exact ones 2, and 0.35 more for each token of four letters (query, token) that names it, for a token's first eight chunks."""
+    own = primary.select("query", F.col("chunk").alias("id"), F.lit(PRIMARY_SEED).alias("w")).unionByName(exact.select("query", F.col("chunk").alias("id"), F.lit(EXACT_SEED).alias("w")))
+    own = own.groupBy("query", "id").agg(F.max("w").alias("weight"))
+    named = targets.select(F.lower("name").alias("token"), "chunk").distinct().withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy("chunk"))).filter(F.col("r") <= SEEDED)
+    more = tokens.filter(F.length("token") >= LEAST_NAME).select("query", "token").distinct().join(named, "token").select("query", F.col("chunk").alias("id"), F.lit(TOKEN_SEED).alias("weight"))
+    return own.unionByName(more).groupBy("query", "id").agg(F.sum("weight").alias("weight"))
+
+
+def personalized(edges: DataFrame, start: DataFrame, rounds: int = 30, damping: float = 0.85) -> DataFrame:
+    """(query, id, rank) after exactly `rounds` steps from each query's seeds (query, id, weight): restart and dangling mass go to them.
+
+    All queries advance together, and only nodes that a query has reached have rows, so a step is one join with the edges.
+    """
+    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    e = stage(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w")), "edges")
+    total = Window.partitionBy("query")
+    base = stage(start.filter("weight > 0").groupBy("query", "id").agg(F.sum("weight").alias("s")).select("query", "id", (F.col("s") / F.sum("s").over(total)).alias("p")), "base")
+    rank, held = base.withColumnRenamed("p", "r"), None
+    for k in range(rounds):
+        flow = rank.join(e, F.col("id") == F.col("src")).groupBy("query", F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("in"))
+        every = flow.select("query", "id", "in", F.lit(0.0).alias("p")).unionByName(base.select("query", "id", F.lit(0.0).alias("in"), "p")).groupBy("query", "id").agg(F.sum("in").alias("in"), F.sum("p").alias("p"))
+        moved = F.sum("in").over(total)  # what did not dangle
+        rank = every.withColumn("m", moved).select("query", "id", (damping * F.col("in") + F.col("p") * (1 - damping + damping * (1 - F.col("m")))).alias("r"))
+        if k % 4 == 3 or k == rounds - 1:
+            new = stage(rank, f"rank-{k}")
+            if held is not None:
+                drop(held)
+            rank = held = new
+    return rank.select("query", "id", F.col("r").alias("rank"))
+
+
+def ranked_extras(ranks: DataFrame, primary: DataFrame, chunks: DataFrame, k: int = 3, most: int = 50) -> DataFrame:
+    """(query, chunk, file, score): of each query's `most` best ranks the first chunk of each file without a primary hit (query, chunk, file), the best k."""
+    best = ranks.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("rank", 9)), "id"))).filter(F.col("r") <= most)
+    j = best.withColumnRenamed("id", "chunk").join(chunks.filter(F.col("type").isin("function", "class", "file_overview")).drop("text"), "chunk")
+    j = j.join(primary.select("query", "file").distinct(), ["query", "file"], "left_anti")
+    j = j.withColumn("g", F.row_number().over(Window.partitionBy("query", "file").orderBy("r"))).filter("g = 1")
+    j = j.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("r"))).filter(F.col("place") <= k)
+    bonus = rules.chunk_bonus(F.col("type"), F.col("file"), F.col("symbol"), F.col("class"), F.col("start"), F.col("symbol_start"))
+    return j.select("query", "chunk", "file", F.round(GRAPH + F.col("rank") * SCALE + bonus, 2).alias("score"))

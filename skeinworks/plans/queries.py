@@ -80,16 +80,6 @@ def encoding_class(t):
     return t("pages").select("page_id", kind.alias("encoding"), F.lower(F.substring(h, 1, 20000)).rlike("do not edit|auto-generated|generated by").alias("generated"))
 
 
-@query(f"""WITH {SQL_LINES}, s AS (SELECT count(*) AS n, count(*) FILTER (lines > 40) AS large, count(*) FILTER (text = '') AS empty, count(*) - count(DISTINCT text) AS dup FROM counted),
-  p AS (SELECT *, CASE WHEN n > 5000 THEN 2 WHEN n > 500 THEN 1 ELSE 0 END + CASE WHEN large * 20 > n THEN 2 ELSE 0 END + CASE WHEN empty > 0 THEN 1 ELSE 0 END + CASE WHEN dup * 10 > n THEN 2 ELSE 0 END AS points FROM s)
-  SELECT n, large, empty, dup, points, CASE WHEN points >= 4 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS risk FROM p""")
-def risk_score(t):
-    s = files(t).agg(F.count("*").alias("n"), F.count_if(T.line_count(F.col("text")) > 40).alias("large"), F.count_if(F.col("text") == "").alias("empty"), F.countDistinct("text").alias("d"))
-    s = s.select("n", "large", "empty", (F.col("n") - F.col("d")).alias("dup"))
-    points = F.when(F.col("n") > 5000, 2).when(F.col("n") > 500, 1).otherwise(0) + F.expr("CASE WHEN large * 20 > n THEN 2 ELSE 0 END + CASE WHEN empty > 0 THEN 1 ELSE 0 END + CASE WHEN dup * 10 > n THEN 2 ELSE 0 END")
-    return s.withColumn("points", points).withColumn("risk", F.when(F.col("points") >= 4, "high").when(F.col("points") >= 2, "medium").otherwise("low"))
-
-
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n_chars AS stated, b.n AS counted, CASE WHEN a.doc_id IS NULL THEN 'counted only' WHEN b.doc_id IS NULL THEN 'stated only' WHEN a.n_chars = b.n THEN 'equal' ELSE 'different' END AS verdict
   FROM (SELECT doc_id, n_chars FROM documents WHERE n_chars IS NOT NULL) a FULL OUTER JOIN (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL) b ON a.doc_id = b.doc_id""")
 def calibration_diff(t):
@@ -328,12 +318,6 @@ def power_fit(t):
     return f.groupBy("l_returnflag").agg(F.round(F.regr_slope("y", "x"), 6).alias("b"), F.round(F.exp(F.regr_intercept("y", "x")), 3).alias("a"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.intent'), 'unknown') AS intent FROM events")
-def plan_parse(t):
-    p = F.from_json("props", "k long, intent string")
-    return t("events").select("event_id", p["k"].alias("k"), F.coalesce(p["intent"], F.lit("unknown")).alias("intent"))
-
-
 # --- evaluation ---------------------------------------------------------------------------------------
 
 SQL_EVAL = """WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents),
@@ -372,19 +356,6 @@ def weight_sweep(t):
     return s.withColumn("best", F.row_number().over(Window.orderBy(F.desc("mean_cov"), "w")) == 1)  # six rows
 
 
-@query("""WITH c AS (SELECT conv_id, turn, 'src/' || (conv_id % 7) || '.cpp' AS path, turn * 3 + 1 AS line FROM conversations WHERE role = 'assistant'), h AS (SELECT DISTINCT conv_id, 'src/' || (conv_id % 7) || '.cpp' AS path, 1 AS a, 8 AS b FROM conversations WHERE turn = 0)
-  SELECT c.conv_id, count(*) AS n_citations, count(h.conv_id) AS n_valid, count(h.conv_id) = count(*) AS ok FROM c LEFT JOIN h ON c.conv_id = h.conv_id AND c.path = h.path AND c.line BETWEEN h.a AND h.b GROUP BY c.conv_id""")
-def citation_validate(t):
-    c = t("conversations")
-    path = F.concat(F.lit("src/"), (F.col("conv_id") % 7).cast("string"), F.lit(".cpp"))
-    answer = c.filter("role = 'assistant'").select("conv_id", F.concat(F.lit("see `"), path, F.lit(":"), (F.col("turn") * 3 + 1).cast("string"), F.lit("`")).alias("answer"))
-    cite = r"`((?:src/)?[\w./-]+\.(?:cpp|hpp|h|c)):(\d+)(?:-\d+)?`"
-    cited = answer.select("conv_id", F.regexp_extract("answer", cite, 1).alias("path"), F.regexp_extract("answer", cite, 2).cast("long").alias("line"))
-    hits = c.filter("turn = 0").select("conv_id", path.alias("path"), F.lit(1).alias("a"), F.lit(8).alias("b")).distinct().withColumn("ok", F.lit(1))
-    j = cited.join(hits, ["conv_id", "path"], "left").groupBy("conv_id").agg(F.count("*").alias("n_citations"), F.count_if((F.col("ok") == 1) & F.col("line").between(F.col("a"), F.col("b"))).alias("n_valid"))
-    return j.withColumn("ok", F.col("n_valid") == F.col("n_citations"))
-
-
 @query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS VARCHAR) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def events_tumbling(t):
     return t("events").groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -1,5 +1,6 @@
 """Code operators, rules and evaluation on small fixtures."""
 
+import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -131,3 +132,36 @@ def test_evaluation(spark):
     assert [tuple(x) for x in evaluate.regressions(r, r.filter("f = 'g'"), ["q", "f"], "m").collect()] == [(1, "f", 1.0, 0.0)]
     places = evaluate.first_place(r, ["q"], "f", [F.desc("m")]).collect()
     assert {(x["f"], x["first"]) for x in places} == {("f", 1), ("g", 2)}
+
+
+def test_answers_of_a_stub(spark):
+    from skeinworks.operators import answer
+
+    asked = spark.createDataFrame([(1, " where? "), (2, "nothing")], "query long, text string")
+    hits = spark.createDataFrame([(1, "src/a.cpp", "function", "run", 4, 4, 9, 12.5, "bm25", "run();", "primary", 1), (1, "src/a.cpp", "file_overview", None, None, 1, 3, 3.0, None, None, "overview", 2)], "query long, file string, type string, symbol string, symbol_start int, start int, end int, score double, source string, snippet string, role string, ord int")
+    p = {r["query"]: r["prompt"] for r in answer.prompts(asked, hits, "{{question}}|{{context_chunks}}|{{primary_checklist}}|{{primary_count}}").collect()}
+    assert p[2] == "nothing|" + answer.NO_HITS + "|" + answer.NO_PRIMARY + "|0"
+    assert p[1].startswith("where?|#### [1] `src/a.cpp:4`  role=primary  type=function  symbol=run  symbol_start=4  chunk_lines=4-9  score=12.5  source=bm25\n```cpp\nrun();\n```\n\n#### [2]") and p[1].endswith("|1. `src/a.cpp` — symbol=run|1")
+
+    def call(prompt):
+        if prompt.startswith("nothing"):
+            raise ValueError("no")
+        return "see `a.cpp:5` and `b.h:1-2`"
+
+    got = answer.answers(answer.prompts(asked, hits, "{{question}}"), call)
+    assert {(r["query"], r["answer"], r["error"]) for r in got.collect()} == {(1, "see `a.cpp:5` and `b.h:1-2`", None), (2, None, "ValueError: no")}
+    assert {tuple(r) for r in answer.cited(got, hits).collect()} == {(1, 2, 1, False), (2, 0, 0, False)}
+
+
+def test_ranks_by_query_keep_their_mass(spark):
+    from skeinworks.operators import graph
+
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 3.0)], "src string, dst string, weight double")
+    s = spark.createDataFrame([(1, "a", 2.0), (2, "c", 1.0), (2, "alone", 1.0)], "query long, id string, weight double")
+    got = {(r["query"], r["id"]): r["rank"] for r in graph.personalized(e, s, rounds=6).collect()}
+    step = np.array([[0, 0.25, 0, 0], [1, 0, 0, 0], [0, 0.75, 0, 0], [0, 0, 0, 0]])  # to a, b, c, alone from each
+    for q, p in ((1, np.array([1.0, 0, 0, 0])), (2, np.array([0, 0, 0.5, 0.5]))):
+        r = p
+        for _ in range(6):
+            r = 0.85 * (step @ r + (r[2] + r[3]) * p) + 0.15 * p
+        assert np.allclose([got.get((q, x), 0.0) for x in ("a", "b", "c", "alone")], r) and abs(r.sum() - 1) < 1e-9
