@@ -1,4 +1,4 @@
-"""The ten queries with their production parameters, and their SQL where SQL can express them."""
+"""The thirteen queries with their production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinworks.llm import chat, html, langid, media, mixing, ngram_join, packing, substring, tokens, topk
+from skeinworks.llm import chat, divergence, html, langid, media, mixing, ngram_join, packing, quality, substring, tokens, topk, trie
 
 
 def tokenizer() -> str:
@@ -82,6 +82,19 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(d.select("doc_id", "text"), profiles).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(_read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("chars_js", 6).alias("chars_js"), F.round("words_js", 6).alias("words_js"))
+
+
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(_read(spark, sf_dir, "conversations"), group=100, heads=6))
+
+
+def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": top_k,
     "op2_ngram_jaccard_join": jaccard,
@@ -93,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substrings,
     "op9_source_mixing": mixed,
     "op10_language_id": languages,
+    "op11_quality_rules": quality_rules,
+    "op12_prefix_trie": prefix_trie,
+    "op13_source_divergence": source_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,4 +126,59 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(length(er) + length(et) + 12 + 1 + 11) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_quality_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8)),
+        met AS (SELECT r, i, least(8, i - lag(i, 1, -8) OVER (PARTITION BY r ORDER BY i)) AS new FROM (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, x) > 1)),
+        rep AS (SELECT r, sum(new) AS n FROM met GROUP BY r),
+        lines AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+        m AS (SELECT d.r, doc_id, lang, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+            coalesce(lines.n, 0) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, length(text) AS n, length(text) - length(regexp_replace(text, '\p{Ll}+', '', 'g')) AS small,
+            length(regexp_replace(text, '\P{Lu}+', '', 'g')) AS capital, length(regexp_replace(text, '\P{Nd}+', '', 'g')) AS digit FROM d LEFT JOIN lines USING (r) LEFT JOIN rep USING (r)),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [small, capital, digit, n - word_chars, n_symbols, word_chars - small - capital - digit - n_symbols] AS c FROM m),
+        fit AS (SELECT * FROM b WHERE lang IS NOT NULL AND n_words >= 50 AND 10 * n_symbols <= n_words AND 5 * len(list_distinct(w)) >= least(n_words, 1000)),
+        sums AS (SELECT lang, sum(n_words) AS n, list_transform([sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6])], lambda x: x / (sum(n))) AS q FROM fit GROUP BY lang HAVING sum(n_words) >= 2000),
+        words AS (SELECT lang, x, count(*) AS k FROM (SELECT lang, unnest(w) AS x FROM fit) WHERE length(x) <= 8 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY k DESC, x) <= 50),
+        bins AS (SELECT lang, x, k / n AS q FROM words JOIN sums USING (lang) UNION ALL SELECT lang, NULL, (any_value(n) - sum(k)) / any_value(n) FROM words JOIN sums USING (lang) GROUP BY lang),
+        held AS (SELECT b.r, b.w, b.c, b.n, b.n_words, sums.lang AS ref, sums.q AS cq FROM b JOIN sums ON b.lang IS NULL OR b.lang = sums.lang WHERE NOT base_failed),
+        tok AS (SELECT held.r, ref, words.x, count(*) AS k FROM (SELECT r, ref, unnest(w) AS x FROM held) AS held JOIN words ON ref = lang AND held.x = words.x GROUP BY 1, 2, 3) ,
+        rest AS (SELECT r, ref, n_words - coalesce((SELECT sum(k) FROM tok WHERE tok.r = held.r AND tok.ref = held.ref), 0) AS k FROM held),
+        hist AS (SELECT held.r, held.ref, bins.q, coalesce(CASE WHEN bins.x IS NULL THEN rest.k ELSE tok.k END, 0) / n_words AS p FROM held JOIN bins ON held.ref = bins.lang LEFT JOIN tok ON tok.r = held.r AND tok.ref = held.ref AND tok.x = bins.x JOIN rest ON rest.r = held.r AND rest.ref = held.ref),
+        wd AS (SELECT r, ref, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS w FROM hist GROUP BY 1, 2),
+        ch AS (SELECT r, ref, unnest(c) / n AS p, unnest(cq) AS q FROM held),
+        cd AS (SELECT r, ref, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS c FROM ch GROUP BY 1, 2),
+        near AS (SELECT r, min(struct_pack(s := c + w, c := c, w := w)) AS x FROM wd JOIN cd USING (r, ref) GROUP BY r)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT coalesce(word_chars >= 100 AND x.c > 0.14 + 0.9 / sqrt(n_words), false) AND NOT coalesce(n_words >= 50 AND x.w > 0.2 + 2.2 / sqrt(n_words), false) AS kept,
+            round(x.c, 6) AS chars_js, round(x.w, 6) AS words_js
+        FROM b LEFT JOIN near USING (r)""",
+    "op12_prefix_trie": r"""
+        WITH RECURSIVE bits(i, k, v) AS (SELECT i, 0, i FROM range(256) AS t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
+        crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+        src AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, role, text FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+        ids AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: xor(a // 256, t[(xor(a, x) % 256) + 1])), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM src), crc),
+        parts AS (SELECT ids.c, 0 AS own, i, role, text FROM ids JOIN src ON src.c = ids.base AND i <= h UNION ALL SELECT ids.c, 1, i, role, text FROM ids JOIN src ON src.c = ids.c AND i > h),
+        turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, text, length(role) || ':' || role || length(text) || ':' || text AS told FROM parts),
+        p AS (SELECT c, 0 AS d, '' AS text, '' AS key FROM ids UNION ALL SELECT c, d, text, sha256(string_agg(told, '') OVER (PARTITION BY c ORDER BY d)) FROM turns),
+        l AS (SELECT c, max(d) AS n FROM p GROUP BY c),
+        node AS (SELECT d, key, min(c) AS c, count(*) AS n, any_value(length(text)) AS chars FROM p GROUP BY d, key),
+        up AS (SELECT node.*, parent.c AS parent, parent.key AS pkey FROM node LEFT JOIN p AS q ON q.c = node.c AND q.d = node.d - 1 LEFT JOIN node AS parent ON parent.d = q.d AND parent.key = q.key),
+        kids AS (SELECT d - 1 AS d, pkey AS key, count(*) AS k FROM up WHERE d > 0 GROUP BY 1, 2),
+        below AS (SELECT q.d, q.key, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * chars) AS saved FROM node JOIN p AS q ON q.c = node.c AND q.d <= node.d LEFT JOIN kids ON kids.d = node.d AND kids.key = node.key GROUP BY 1, 2),
+        ends AS (SELECT p.d, key, string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) AS e FROM p JOIN l ON p.c = l.c AND p.d = l.n GROUP BY 1, 2)
+        SELECT up.c AS conv_id, CAST(up.d AS BIGINT) AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(k, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+        FROM up JOIN below USING (d, key) LEFT JOIN kids USING (d, key) LEFT JOIN ends USING (d, key)""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        t AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS df FROM t GROUP BY 1, 2, 3),
+        k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2 HAVING sum(df) >= 3),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1),
+        g AS (SELECT lang, source, coalesce((SELECT sum(c.n) FROM c JOIN k USING (lang, term) WHERE c.lang = s.lang AND c.source = s.source), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) AS s),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS cnt, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (g.n + v.v) AS HUGEINT) AS p, CAST(1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (v.n + v.v) AS HUGEINT) AS q
+            FROM g JOIN v USING (lang) JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE cnt > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x QUALIFY part = 'pair' OR rank <= 200""",
 }
