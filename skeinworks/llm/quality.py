@@ -101,13 +101,21 @@ def references(docs: DataFrame, common: int = COMMON, longest: int = LONGEST, le
     """
     m = measures(docs.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL"), repeats=False)
     fit = (F.col("n_words") >= LEAST_JUDGED) & (10 * F.col("n_symbols") <= F.col("n_words")) & (5 * F.size(F.array_distinct("__words")) >= F.least("n_words", F.lit(1000)))
-    m = m.filter(fit)
-    sums = m.groupBy("lang").agg(F.sum("n_words").alias("n"), *(F.sum(F.col("__classes")[i]).alias(f"c{i}") for i in range(6)))
-    words = m.select("lang", F.explode("__words").alias("word")).filter(F.char_length("word") <= longest).groupBy("lang", "word").agg(F.count("*").alias("k"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("k"), "word"))).filter(F.col("r") <= common)
-    lists = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "k"))).alias("x"), F.sum("k").alias("in"))  # `common` rows each
+    # One pass: a document gives a row to each word and, behind them, one to each class and one to its number of words.
+    more = F.concat("__classes", F.array("n_words"))
+    m = m.filter(fit).select("lang", "n_words", more.alias("more"), F.posexplode(F.concat("__words", F.array_repeat(F.lit(None).cast("string"), 7))).alias("at", "word"))
+    m = m.filter(F.col("word").isNull() | (F.char_length("word") <= longest))
+    at = F.when(F.col("word").isNull(), F.col("at") - F.col("n_words").cast("int")).otherwise(7)
+    counts = m.groupBy("lang", at.alias("i"), "word").agg(F.sum(F.when(F.col("word").isNull(), F.get("more", F.col("at") - F.col("n_words").cast("int"))).otherwise(1)).alias("k"))
+    order = Window.partitionBy("lang").orderBy(F.when(F.col("i") < 7, F.col("i")).otherwise(7), F.desc("k"), "word")
+    top = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= common + 7)
+    words = F.col("i") == 7
+    sums = top.groupBy("lang").agg(
+        *(F.max(F.when(F.col("i") == i, F.col("k"))).alias(f"c{i}") for i in range(6)), F.max(F.when(F.col("i") == 6, F.col("k"))).alias("n"),
+        F.sort_array(F.collect_list(F.when(words, F.struct("r", "word", "k")))).alias("x"), F.coalesce(F.sum(F.when(words, F.col("k"))), F.lit(0)).alias("in"),
+    )
     total = sum((F.col(f"c{i}") for i in range(1, 6)), F.col("c0"))
-    out = sums.filter(F.col("n") >= least).join(lists, "lang").select(
+    out = sums.filter(F.col("n") >= least).select(
         "lang",
         F.transform("x", lambda x: x["word"]).alias("words"),
         F.concat(F.transform("x", lambda x: x["k"] / F.col("n")), F.array((F.col("n") - F.col("in")) / F.col("n"))).alias("shares"),
