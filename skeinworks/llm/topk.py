@@ -1,14 +1,12 @@
 """Exact top-k inner products by the no-random-access algorithm, on integer vectors.
 
-For a query each dimension has a list of the vectors sorted by their contribution q_d * x_d, read from its top.
-A vector's upper bound takes the last contribution read of a list for what was not read of it, and is at most
-what was read plus the product of the norms of the unread parts, whichever is less. Its lower bound takes a list's
-last contribution, or minus that product. Reading stops, for each query by itself, when no vector outside the best
-has an upper bound that reaches the k-th best score known; then the scores of those left are resolved. That
-score comes from lower bounds, from the vectors with the best upper bounds, which are resolved first, and from the
-segments of rows that were read before; the first segment is small.
-All queries of a block advance together: at a depth, what is read of a list depends on the sign of q_d
-alone, so the bounds of all pairs are products of matrices of what was read.
+For a query each dimension has a list of the vectors sorted by their contribution q_d * x_d. All lists are read from their tops,
+block by block, and never elsewhere: state is kept for vectors that some list has shown, and all others share one bound,
+the sum of the last contributions read. A vector's upper bound adds, for the lists that haven't shown it, their last
+contributions read, or the product of the norms of the unread parts of query and vector (an entry carries its vector's
+norm), whichever is less; its lower bound takes that product away. Reading stops, for each query by itself, when no more
+than k vectors have an upper bound that reaches the k-th best lower bound (or a score that k vectors of an earlier segment
+are known to have); only then are the scores of those k resolved. Where bounds never part, lists are read to their ends.
 """
 
 from __future__ import annotations
@@ -21,84 +19,77 @@ from pyspark.sql import functions as F
 
 from skeinworks.plans.stage import stage
 
-#: Fractions of each list that are read before bounds are compared.
-DEPTHS = (0.45, 0.6, 0.75)
-SEGMENT, FIRST, QUERIES = 8192, 512, 1024
-#: Vectors with the best upper bounds that are resolved at a depth, as a multiple of k.
-RESOLVED = 4
-
-
-def _number(x: np.ndarray, top: int) -> np.ndarray:
-    """A type in which sums of products are exact."""
-    return x.astype(np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64)
+#: Blocks that a list is read in, rows of a segment and of the first one, queries of a block, and bytes of rows that a task holds.
+BLOCKS, SEGMENT, FIRST, QUERIES, STRIP_BYTES = 32, 8192, 512, 1024, 1 << 27
 
 
 def nra(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, row position, score) of every row that may be among a query's k best of x, exact, its own id left out; and how many list entries each query read, those of resolved rows too.
+    """(query position, row position, score) of every row that may be among a query's k best of x, exact, its own id left out; and how many list entries each query read, those of the rows resolved at its end too.
 
-    floor: for each query a score that its k-th best is known to reach.
+    floor: for each query a score that k rows elsewhere are known to reach.
     """
-    n, dim = len(x), q.shape[1]
+    n, dim = x.shape
     read = np.zeros(len(q), np.int64)
-    if n == 0 or len(q) == 0:
-        return *((np.empty(0, np.int64),) * 3), read
-    top = int(np.abs(q).max(initial=1)) * int(np.abs(x).max(initial=1)) * max(1, dim)
-    qn, xn = _number(q, top), _number(x, top)
-    signed = np.concatenate([np.maximum(qn, 0), np.minimum(qn, 0)], 1)
-    asc = np.sort(xn, axis=0)
-    least = np.full(len(q), -np.inf) if floor is None else floor.astype(np.float64)
-    order = np.argsort(ids, kind="stable")
-    place = np.minimum(np.searchsorted(ids[order], q_ids), n - 1)
-    own = np.where(ids[order[place]] == q_ids, order[place], -1)
-    open_, found = np.arange(len(q)), []
-
-    def resolve(a, b):
-        """Exact scores of pairs, a few at a time."""
-        step = max(1, (1 << 22) // max(1, dim))
-        return np.concatenate([np.einsum("ij,ij->i", q[a[i : i + step]].astype(np.int64), x[b[i : i + step]].astype(np.int64)) for i in range(0, len(a), step)] or [np.empty(0, np.int64)])
-
-    for depth in DEPTHS if n > RESOLVED * k else ():
-        r = max(1, int(depth * n))
-        up, down = asc[n - r], asc[r - 1]  # the last values read of the falling and of the rising list
-        got_up, got_down = xn >= up, xn <= down
-        bound = signed[open_] @ np.concatenate([np.where(got_up, xn, up), np.where(got_down, xn, down)], 1).T
-        seen = signed[open_] @ np.concatenate([np.where(got_up, xn, 0), np.where(got_down, xn, 0)], 1).T
-        squares = (signed[open_] ** 2).astype(np.float64) @ np.concatenate([~got_up, ~got_down], 1).T.astype(np.float64)
-        rest = np.maximum((xn.astype(np.float64) ** 2).sum(1) - np.minimum(*(np.where(g, xn, 0).astype(np.float64) ** 2 for g in (got_up, got_down))).sum(1), 0)
-        reach = np.sqrt(squares * rest) * (1 + 1e-9) + 1e-6
-        lower, upper = seen - reach, np.minimum(bound, seen + reach)
-        mine = own[open_]
-        has = np.flatnonzero(mine >= 0)
-        lower[has, mine[has]] = upper[has, mine[has]] = -np.inf
-        best_few = np.argpartition(upper, n - RESOLVED * k, axis=1)[:, n - RESOLVED * k :]
-        a = np.repeat(np.arange(len(open_)), RESOLVED * k)
-        score = resolve(open_[a], best_few.ravel()).astype(np.float64).reshape(len(open_), -1)
-        score[best_few == mine[:, None]] = -np.inf
-        known = np.partition(score, RESOLVED * k - k, axis=1)[:, RESOLVED * k - k]
-        least[open_] = np.maximum(least[open_], np.maximum(known, np.partition(lower, n - k, axis=1)[:, n - k]))
-        alive = upper >= least[open_][:, None]
-        n_alive = alive.sum(axis=1)
-        few = n_alive <= max(RESOLVED * k, n // 4)
-        done = np.flatnonzero(few)
-        a, b = np.nonzero(alive[done])
-        found.append((open_[done[a]], b, resolve(open_[done[a]], b)))
-        read[open_[done]] = r * dim + (n_alive[done] + RESOLVED * k) * (dim - int(depth * dim))
-        open_ = open_[~few]
-        if len(open_) == 0:
-            break
-    if len(open_):  # all lists read: the bounds are the score
-        read[open_] = n * dim
-        score = qn[open_] @ xn.T
-        alive = score >= least[open_][:, None]
-        has = np.flatnonzero(own[open_] >= 0)
-        alive[has, own[open_][has]] = False
-        if n > k + 1:
-            alive &= score >= np.partition(score, n - k - 1, axis=1)[:, n - k - 1][:, None]
-        a, b = np.nonzero(alive)
-        found.append((open_[a], b, score[a, b].astype(np.int64)))
+    found = [(np.empty(0, np.int64),) * 3]
+    if n and len(q):
+        x = x.astype(np.int64)
+        rising = np.argsort(x, axis=0, kind="stable").astype(np.int32)
+        values = np.take_along_axis(x, rising, 0)
+        lists = {1: (rising[::-1], values[::-1]), -1: (rising, values)}
+        order = np.argsort(ids, kind="stable")
+        place = np.minimum(np.searchsorted(ids[order], q_ids), n - 1)
+        own = np.where(ids[order[place]] == q_ids, order[place], -1)
+        exact = float(np.abs(x).max(initial=1)) * float(np.abs(q).max(initial=1)) * max(1, dim) < 1 << 53
+        for j in range(len(q)):
+            rows, score, read[j] = _read(q[j], own[j], x, lists, k, -np.inf if floor is None else float(floor[j]), exact)
+            found.append((np.full(len(rows), j), rows, score))
     return *(np.concatenate(p) for p in zip(*found, strict=True)), read
 
 
+def _read(q: np.ndarray, own: int, x: np.ndarray, lists: dict, k: int, floor: float, exact: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows, scores, entries read) of one query over the sorted lists of one segment."""
+    n = len(x)
+    dims = np.flatnonzero(q)
+    w = q[dims].astype(np.int64)
+    side = [lists[1 if c > 0 else -1] for c in w]
+    square, norm = w.astype(np.float64) ** 2, (x[:, dims].astype(np.float64) ** 2).sum(1)
+    met, seen = np.zeros((n, len(dims))), np.zeros(n, np.float64 if exact else np.int64)
+    column = np.arange(len(dims))
+    step = max(1, -(-n // BLOCKS))
+    at = 0
+    while at < n and len(dims):
+        to = min(n, at + step)
+        shown = np.stack([r[at:to, d] for (r, _), d in zip(side, dims, strict=True)], 1)
+        value = np.stack([v[at:to, d] for (_, v), d in zip(side, dims, strict=True)], 1)
+        if exact:
+            seen += np.bincount(shown.ravel(), (value * w).ravel(), n)
+        else:
+            np.add.at(seen, shown.ravel(), (value * w).ravel())
+        norm -= np.bincount(shown.ravel(), (value.astype(np.float64) ** 2).ravel(), n)
+        met[shown, column] = 1.0
+        at = to
+        # Bounds are compared where the depth has doubled, and from half of the lists on after every block.
+        if at == n or at < k or 2 * at < n and at // step & (at // step - 1):
+            continue
+        last = (value[-1] * w).astype(np.float64)
+        known = met @ np.stack([square, last], 1)
+        reach = np.sqrt(np.maximum(norm, 0) * np.maximum(square.sum() - known[:, 0], 0)) * (1 + 1e-9) + 1e-6
+        any_ = known[:, 0] > 0
+        any_[own] &= own < 0  # the query's own row takes no part
+        lower, upper = seen[any_] - reach[any_], seen[any_] + np.minimum(last.sum() - known[any_, 1], reach[any_])
+        least = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf)
+        unseen = n - int(any_.sum()) - (own >= 0)
+        if (unseen and last.sum() >= least) or np.count_nonzero(upper >= least) > k:
+            continue
+        rows = np.flatnonzero(any_)[upper >= least]
+        return rows, x[rows][:, dims] @ w, at * len(dims) + int((met[rows] == 0).sum())
+    score = seen.astype(np.int64)
+    others = np.flatnonzero(np.arange(n) != own)
+    least = max(floor, np.partition(score[others], len(others) - k)[len(others) - k] if len(others) > k else -np.inf)
+    rows = others[score[others] >= least]
+    return rows, score[rows], n * len(dims)
+
+
 def best(qp: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of each query's k best, ties to the smaller id."""
     order = np.lexsort((ids, -score, qp))
@@ -142,7 +133,7 @@ def found(rows: DataFrame, is_query, k: int, vector: str, vec_id: str, scale: in
     blocks = max(1, -(-n_queries // QUERIES))
     strips = max(1, min(-(-n_rows // SEGMENT), max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)))
     # A strip is the rows that one task meets with one query block; strips grow in number with the rows.
-    strips = max(strips, -(-n_rows // (32 * SEGMENT)))
+    strips = max(strips, -(-n_rows * dim * 8 // STRIP_BYTES))
 
     def pack(batches):
         """One row to a batch: ids and matrix as bytes."""
@@ -165,7 +156,7 @@ def found(rows: DataFrame, is_query, k: int, vector: str, vec_id: str, scale: in
         held: dict[tuple, dict] = {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                m = np.frombuffer(r.m, f"i{r.size}").reshape(-1, dim).astype(np.int64)
+                m = np.frombuffer(r.m, f"i{r.size}").reshape(-1, dim)
                 held.setdefault((r.block, r.strip), {0: [], 1: []})[r.kind].append((np.frombuffer(r.ids, np.int64), m))
         for kinds in held.values():
             if not kinds[0] or not kinds[1]:
@@ -188,7 +179,7 @@ def found(rows: DataFrame, is_query, k: int, vector: str, vec_id: str, scale: in
                 keep = best(at, got, score, k)
                 at, got, score = at[keep], got[keep], score[keep]
             yield pd.DataFrame({"query_id": q_ids[at], "vec_id": pd.array(got, "Int64"), "score": score, "entries": np.zeros(len(at), np.int64)})
-            yield pd.DataFrame({"query_id": q_ids, "vec_id": pd.array([None] * len(q), "Int64"), "score": read, "entries": np.full(len(q), x.size)})
+            yield pd.DataFrame({"query_id": q_ids, "vec_id": pd.array([None] * len(q), "Int64"), "score": read, "entries": len(x) * (q != 0).sum(axis=1)})
 
     return both.withColumn("task", F.col("block") * strips + F.col("strip")).repartitionById(tasks, F.col("task")).select("block", "strip", "kind", "ids", "m", "size").mapInPandas(search, "query_id long, vec_id long, score long, entries long")
 
