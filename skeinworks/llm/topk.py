@@ -1,12 +1,11 @@
 """Exact top-k inner products by the no-random-access algorithm, on integer vectors.
 
-For a query each dimension has a list of the vectors sorted by their contribution q_d * x_d. All lists are read from their tops,
-block by block, and never elsewhere: state is kept for vectors that some list has shown, and all others share one bound,
-the sum of the last contributions read. A vector's upper bound adds, for the lists that haven't shown it, their last
-contributions read, or the product of the norms of the unread parts of query and vector (an entry carries its vector's
-norm), whichever is less; its lower bound takes that product away. Reading stops, for each query by itself, when no more
-than k vectors have an upper bound that reaches the k-th best lower bound (or a score that k vectors of an earlier segment
-are known to have); only then are the scores of those k resolved. Where bounds never part, lists are read to their ends.
+For a query each dimension has a list of the vectors sorted by their contribution q_d * x_d. All lists are read from their tops
+down, from depth to depth, and never elsewhere. What a list hasn't shown of a vector is bounded by the list's last contribution
+read; all of it together by the product of the norms of the unread parts of query and vector, if that is less (entries carry
+their vector's norm). Lower bounds take that product away. Reading stops, for each query by itself, when no more than k
+vectors have an upper bound that reaches the k-th best lower bound, or a score that k vectors of an earlier segment are
+known to have; only then are the scores of those k resolved. Where bounds don't part, lists are read to their ends.
 """
 
 from __future__ import annotations
@@ -19,77 +18,75 @@ from pyspark.sql import functions as F
 
 from skeinworks.plans.stage import stage
 
-#: Blocks that a list is read in, rows of a segment and of the first one, queries of a block, and bytes of rows that a task holds.
-BLOCKS, SEGMENT, FIRST, QUERIES, STRIP_BYTES = 32, 8192, 512, 1024, 1 << 27
+#: Depths of the lists, as shares, at which bounds are compared; rows of a segment and of the first one, queries of a block, and bytes of rows that a task holds.
+DEPTHS = (0.1, 0.5, 0.9, 0.95)
+SEGMENT, FIRST, QUERIES, STRIP_BYTES = 8192, 512, 1024, 1 << 27
+
+
+def _number(x: np.ndarray, top: int) -> np.ndarray:
+    """A type in which sums of products are exact."""
+    return x.astype(np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64)
 
 
 def nra(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query position, row position, score) of every row that may be among a query's k best of x, exact, its own id left out; and how many list entries each query read, those of the rows resolved at its end too.
 
-    floor: for each query a score that k rows elsewhere are known to reach.
+    floor: for each query a score that k rows elsewhere are known to reach. All open queries read on together: which entries
+    of a list lie between two depths depends on the sign of q_d alone, so what they add is a product of matrices.
     """
     n, dim = x.shape
-    read = np.zeros(len(q), np.int64)
-    found = [(np.empty(0, np.int64),) * 3]
-    if n and len(q):
-        x = x.astype(np.int64)
-        rising = np.argsort(x, axis=0, kind="stable").astype(np.int32)
-        values = np.take_along_axis(x, rising, 0)
-        lists = {1: (rising[::-1], values[::-1]), -1: (rising, values)}
-        order = np.argsort(ids, kind="stable")
-        place = np.minimum(np.searchsorted(ids[order], q_ids), n - 1)
-        own = np.where(ids[order[place]] == q_ids, order[place], -1)
-        exact = float(np.abs(x).max(initial=1)) * float(np.abs(q).max(initial=1)) * max(1, dim) < 1 << 53
-        for j in range(len(q)):
-            rows, score, read[j] = _read(q[j], own[j], x, lists, k, -np.inf if floor is None else float(floor[j]), exact)
-            found.append((np.full(len(rows), j), rows, score))
+    read, found = np.zeros(len(q), np.int64), [(np.empty(0, np.int64),) * 3]
+    if n == 0 or len(q) == 0:
+        return *found[0], read
+    top = int(np.abs(q).max(initial=1)) * int(np.abs(x).max(initial=1)) * max(1, dim)
+    xn, q = _number(x, top), q.astype(np.int64)
+    signed = _number(np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], 1), top)
+    side = np.concatenate([q > 0, q < 0], 1).astype(np.float32)
+    length = side.sum(axis=1).astype(np.int64)  # lists that a query reads
+    asc = np.sort(xn, axis=0)
+    least = np.full(len(q), -np.inf) if floor is None else floor.astype(np.float64)
+    order = np.argsort(ids, kind="stable")
+    place = np.minimum(np.searchsorted(ids[order], q_ids), n - 1)
+    own = np.where(ids[order[place]] == q_ids, order[place], -1)
+    open_, seen, had = np.arange(len(q)), np.zeros((len(q), n), xn.dtype), np.zeros((n, 2 * dim), bool)
+    both = np.concatenate([xn, xn], 1)
+    for depth in DEPTHS if n > 4 * k else ():
+        r = max(1, int(depth * n))
+        last = np.concatenate([asc[n - r], asc[r - 1]])  # the last values read of the falling and of the rising lists
+        got = np.concatenate([xn >= last[:dim], xn <= last[dim:]], 1)
+        s = signed[open_]
+        seen = seen + s @ np.where(got & ~had, both, 0).T
+        had = got
+        rest = s @ np.where(got, 0, last).T
+        unread = np.where(got, 0, both).astype(np.float32) ** 2
+        reach = np.sqrt((s.astype(np.float32) ** 2) @ (~got).T.astype(np.float32) * (side[open_] @ unread.T).astype(np.float64)) * (1 + 1e-4) + 1e-3
+        lower, upper = seen - reach, seen + np.minimum(rest, reach)
+        mine = own[open_]
+        has = np.flatnonzero(mine >= 0)
+        lower[has, mine[has]] = upper[has, mine[has]] = -np.inf
+        least[open_] = np.maximum(least[open_], np.partition(lower, n - k, axis=1)[:, n - k])
+        alive = upper >= least[open_][:, None]
+        done = alive.sum(axis=1) <= k
+        a, b = np.nonzero(alive[done])
+        a = open_[done][a]
+        found.append((a, b, np.einsum("ij,ij->i", q[a], x[b].astype(np.int64))))
+        read[open_[done]] = r * length[open_[done]] + np.bincount(a, length[a] - r * length[a] // n, len(q)).astype(np.int64)[open_[done]]
+        open_, seen = open_[~done], seen[~done]
+        if len(open_) == 0:
+            break
+    if len(open_):  # the lists' ends are read: the bounds are the score
+        read[open_] = n * length[open_]
+        score = seen + signed[open_] @ np.where(had, 0, both).T
+        alive = score >= least[open_][:, None]
+        has = np.flatnonzero(own[open_] >= 0)
+        alive[has, own[open_][has]] = False
+        if n > k + 1:
+            alive &= score >= np.partition(score, n - k - 1, axis=1)[:, n - k - 1][:, None]
+        a, b = np.nonzero(alive)
+        found.append((open_[a], b, score[a, b].astype(np.int64)))
     return *(np.concatenate(p) for p in zip(*found, strict=True)), read
 
 
-def _read(q: np.ndarray, own: int, x: np.ndarray, lists: dict, k: int, floor: float, exact: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows, scores, entries read) of one query over the sorted lists of one segment."""
-    n = len(x)
-    dims = np.flatnonzero(q)
-    w = q[dims].astype(np.int64)
-    side = [lists[1 if c > 0 else -1] for c in w]
-    square, norm = w.astype(np.float64) ** 2, (x[:, dims].astype(np.float64) ** 2).sum(1)
-    met, seen = np.zeros((n, len(dims))), np.zeros(n, np.float64 if exact else np.int64)
-    column = np.arange(len(dims))
-    step = max(1, -(-n // BLOCKS))
-    at = 0
-    while at < n and len(dims):
-        to = min(n, at + step)
-        shown = np.stack([r[at:to, d] for (r, _), d in zip(side, dims, strict=True)], 1)
-        value = np.stack([v[at:to, d] for (_, v), d in zip(side, dims, strict=True)], 1)
-        if exact:
-            seen += np.bincount(shown.ravel(), (value * w).ravel(), n)
-        else:
-            np.add.at(seen, shown.ravel(), (value * w).ravel())
-        norm -= np.bincount(shown.ravel(), (value.astype(np.float64) ** 2).ravel(), n)
-        met[shown, column] = 1.0
-        at = to
-        # Bounds are compared where the depth has doubled, and from half of the lists on after every block.
-        if at == n or at < k or 2 * at < n and at // step & (at // step - 1):
-            continue
-        last = (value[-1] * w).astype(np.float64)
-        known = met @ np.stack([square, last], 1)
-        reach = np.sqrt(np.maximum(norm, 0) * np.maximum(square.sum() - known[:, 0], 0)) * (1 + 1e-9) + 1e-6
-        any_ = known[:, 0] > 0
-        any_[own] &= own < 0  # the query's own row takes no part
-        lower, upper = seen[any_] - reach[any_], seen[any_] + np.minimum(last.sum() - known[any_, 1], reach[any_])
-        least = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf)
-        unseen = n - int(any_.sum()) - (own >= 0)
-        if (unseen and last.sum() >= least) or np.count_nonzero(upper >= least) > k:
-            continue
-        rows = np.flatnonzero(any_)[upper >= least]
-        return rows, x[rows][:, dims] @ w, at * len(dims) + int((met[rows] == 0).sum())
-    score = seen.astype(np.int64)
-    others = np.flatnonzero(np.arange(n) != own)
-    least = max(floor, np.partition(score[others], len(others) - k)[len(others) - k] if len(others) > k else -np.inf)
-    rows = others[score[others] >= least]
-    return rows, score[rows], n * len(dims)
-
-
 def best(qp: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of each query's k best, ties to the smaller id."""
     order = np.lexsort((ids, -score, qp))
