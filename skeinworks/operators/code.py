@@ -1,4 +1,4 @@
-"""Source files: line classes, symbols, their ends, chunks, command dispatch, includes."""
+"""Source files: line classes, ends of symbols, chunks, command dispatch, includes."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions import text as T
 from skeinworks.functions.rules import HEADER, IMPLEMENTATION, suffix
+from skeinworks.operators.symbols import enclosing
 from skeinworks.plans.stage import bounded_batches
 
 # Sizes of chunks in lines, and how far a symbol without a closing brace reaches.
@@ -53,25 +54,6 @@ def loc(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInPandas(count, f"k {kind}, code long, comment long, blank long").withColumnRenamed("k", key)
 
 
-# Patterns of definitions at the start of a line.
-_DEFINE = r"^\s*#\s*define\s+([A-Za-z_]\w*)"
-_TYPE = r"^\s*(class|struct|enum)\s+(?:class\s+)?([A-Za-z_]\w*)[^;()]*$"
-_FUNCTION = r"^(?!\s*(?:return|else|if|for|while|switch|case|do|new|delete|throw|using|typedef)\b)[A-Za-z_][\w\s:<>,*&~]*?(?:\b|(?<=[*&~\s:]))(?:([A-Za-z_]\w*)::)?(~?[A-Za-z_]\w*)\s*\([^;]*$"
-
-
-def symbols(lines: DataFrame) -> DataFrame:
-    """(file, name, kind, line, class) of the definitions that single lines show; lines has (file, line, text).
-
-    A stand-in for a tags program: definitions that are indented functions or span lines before their parenthesis are missed.
-    """
-    t = F.col("text")
-    macro, kind, owner = F.regexp_extract(t, _DEFINE, 1), F.regexp_extract(t, _TYPE, 1), F.regexp_extract(t, _FUNCTION, 1)
-    found = F.when(macro != "", F.struct(macro.alias("name"), F.lit("macro").alias("kind"), F.lit("").alias("class"))).when(
-        kind != "", F.struct(F.regexp_extract(t, _TYPE, 2).alias("name"), kind.alias("kind"), F.lit("").alias("class"))
-    ).when(t.rlike(_FUNCTION), F.struct(F.regexp_extract(t, _FUNCTION, 2).alias("name"), F.lit("function").alias("kind"), owner.alias("class")))
-    return lines.select("file", "line", found.alias("s")).filter("s IS NOT NULL").select("file", "s.name", "s.kind", "line", "s.class")
-
-
 def closing(lines: DataFrame, at: DataFrame) -> DataFrame:
     """(file, line, brace) of each place (file, line): the line of the brace that closes the first one opened there or below.
 
@@ -160,39 +142,58 @@ def chunks(files: DataFrame, ends: DataFrame) -> DataFrame:
     return parts.select(over.columns).unionByName(over)
 
 
-# Patterns of command dispatch in handlers.
-_SWITCH = r"switch\s*\(\s*gcode->([gm])\s*\)"
+# Patterns of command dispatch in handlers, what a command without a number is called, and what each kind is trusted as.
+_SWITCH = r"(?i)switch\s*\(\s*gcode->([gm])\s*\)"
 _CASE = r"\bcase\s+(\d+(?:\.\d+)?)\s*:"
-_DIRECT = r"gcode->([gm])\s*==\s*(\d+(?:\.\d+)?)"
-_NAMED = r"gcode->([gm])\s*==\s*this->([A-Za-z_]\w*)"
-_DEFAULT = r"this->([A-Za-z_]\w*)\s*=.*?by_default\((\d+(?:\.\d+)?)\)->as_number"
+_DIRECT = r"(?i)gcode->([gm])\s*==\s*(\d+(?:\.\d+)?)"
+_NAMED = r"(?i)gcode->([gm])\s*==\s*this->([A-Za-z_]\w*)"
+_DEFAULT = r"(?i)this->([A-Za-z_]\w*)\s*=.*?by_default\((\d+(?:\.\d+)?)\)->as_number"
+_LETTER = r"(?i)has_letter\(\s*['\"]([GM])['\"]\s*\).*?get_value\(\s*['\"]\1['\"]\s*\)"
+UNKNOWN = "unknown"
+CONFIDENCE = {"case": "switch-case", "direct": "static-pattern", "named": "config-default", "letter": "dynamic-letter-value"}
 
 
 def normal_number(n: Column) -> Column:
     return F.when(F.contains(n, F.lit(".")), F.regexp_replace(n, r"\.?0+$", "")).otherwise(n)
 
 
+def _pairs(pattern: str) -> Column:
+    """Both groups of every match in a line."""
+    return F.explode(F.arrays_zip(*(F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "b")))))
+
+
 def dispatch_defaults(lines: DataFrame) -> DataFrame:
     """(file, name, value): the last default that a file's lines (file, line, text) give each variable."""
-    found = lines.filter(F.col("text").rlike(_DEFAULT)).select("file", "line", F.regexp_extract("text", _DEFAULT, 1).alias("name"), F.regexp_extract("text", _DEFAULT, 2).alias("value"))
-    return found.groupBy("file", "name").agg(normal_number(F.max_by("value", "line")).alias("value"))
+    found = lines.select("file", "line", F.posexplode(F.arrays_zip(*(F.regexp_extract_all("text", F.lit(_DEFAULT), F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "b"))))).alias("at", "m"))
+    return found.groupBy("file", F.col("m.a").alias("name")).agg(normal_number(F.max_by("m.b", F.struct("line", "at"))).alias("value"))
 
 
 def dispatch(lines: DataFrame, defaults: DataFrame) -> DataFrame:
-    """(chunk, file, line, command, kind) of commands that chunks handle; lines has (chunk, file, line, text).
+    """(chunk, file, line, command, kind, evidence, confidence) of commands that chunks handle; lines has (chunk, file, line, text).
 
     The letter of a case is that of the last switch at or before its line in the chunk. Comparison with a number is
-    'direct', with a variable 'named' by its default. Each (command, file, line) counts once, for the first chunk.
+    'direct', with a variable 'named' by its default; a letter whose value is read as it comes is 'letter', an unknown command.
+    Each (command, file, line) counts once, for the first chunk.
     """
     w = Window.partitionBy("chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     s = lines.withColumn("letter", F.last(F.upper(F.nullif(F.regexp_extract("text", _SWITCH, 1), F.lit(""))), ignorenulls=True).over(w))
-    case = s.filter("letter IS NOT NULL").select("chunk", "file", "line", F.explode(F.regexp_extract_all("text", F.lit(_CASE), 1)).alias("n"), "letter").select("chunk", "file", "line", F.concat("letter", normal_number(F.col("n"))).alias("command"), F.lit("case").alias("kind"))
-    m = F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(_DIRECT), 1).alias("a"), F.regexp_extract_all("text", F.lit(_DIRECT), 2).alias("b")))
-    direct = lines.select("chunk", "file", "line", m.alias("m")).select("chunk", "file", "line", F.concat(F.upper("m.a"), normal_number(F.col("m.b"))).alias("command"), F.lit("direct").alias("kind"))
-    v = lines.filter(F.col("text").rlike(_NAMED)).select("chunk", "file", "line", F.upper(F.regexp_extract("text", _NAMED, 1)).alias("a"), F.regexp_extract("text", _NAMED, 2).alias("name"))
-    named = v.join(defaults, ["file", "name"]).select("chunk", "file", "line", F.concat("a", "value").alias("command"), F.lit("named").alias("kind"))
-    every = case.unionByName(direct).unionByName(named)
-    return every.groupBy("command", "file", "line").agg(F.min(F.struct("chunk", "kind")).alias("x")).select("x.chunk", "file", "line", "command", "x.kind")
+    row = ["chunk", "file", "line", "text"]
+    told = lambda d, command, kind: d.select(*row, command.alias("command"), F.lit(kind).alias("kind"))
+    case = told(s.filter("letter IS NOT NULL").select(*row, F.explode(F.regexp_extract_all("text", F.lit(_CASE), 1)).alias("n"), "letter"), F.concat("letter", normal_number(F.col("n"))), "case")
+    direct = told(lines.select(*row, _pairs(_DIRECT).alias("m")), F.concat(F.upper("m.a"), normal_number(F.col("m.b"))), "direct")
+    named = told(lines.select(*row, _pairs(_NAMED).alias("m")).withColumn("name", F.col("m.b")).join(defaults, ["file", "name"]), F.concat(F.upper("m.a"), "value"), "named")
+    letter = told(lines.filter(F.col("text").rlike(_LETTER)), F.lit(UNKNOWN), "letter")
+    every = case.unionByName(direct).unionByName(named).unionByName(letter)
+    trust = F.create_map(*(F.lit(x) for pair in CONFIDENCE.items() for x in pair))
+    one = every.groupBy("command", "file", "line").agg(F.min(F.struct("chunk", "kind", "text")).alias("x"))
+    return one.select("x.chunk", "file", "line", "command", "x.kind", F.trim("x.text").alias("evidence"), trust[F.col("x.kind")].alias("confidence"))
+
+
+def handlers(entries: DataFrame, ends: DataFrame) -> DataFrame:
+    """entries (file, line, ...) with `handler`: class and name of the innermost function around the line, by its ends (of symbol_ends); '' outside of all."""
+    ranges = ends.filter("kind = 'function'").select("file", F.col("line").alias("start"), "end", "name", "class")
+    full = F.when(F.col("inner.class") != "", F.concat("inner.class", F.lit("::"), "inner.name")).otherwise(F.col("inner.name"))
+    return enclosing(entries, ranges).withColumn("handler", F.coalesce(full, F.lit(""))).drop("inner")
 
 
 def resolve_paths(wanted: DataFrame, known: DataFrame) -> DataFrame:

@@ -72,3 +72,49 @@ def first_place(ranked: DataFrame, query: list[str], group: str, order: list[Col
     """The best rank of each group in its query."""
     r = F.row_number().over(Window.partitionBy(*query).orderBy(*order))
     return ranked.withColumn("r", r).groupBy(*query, group).agg(F.min("r").cast("long").alias("first"))
+
+
+def symbols_found(expected: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query, symbol, found) of expected symbols (query, symbol): whether a hit (query, file, symbol, class) has that name in any case; for `class::name`, of that class or in a file that names it.
+
+    Names meet by equality, so questions and hits may be any number.
+    """
+    e = expected.select("query", "symbol").distinct()
+    full = F.contains("symbol", F.lit("::"))
+    name = F.lower(F.when(full, F.regexp_replace("symbol", "^.*?::", "")).otherwise(F.col("symbol")))
+    owner = F.when(full, F.lower(F.split_part("symbol", F.lit("::"), F.lit(1))))
+    h = hits.select("query", F.lower("symbol").alias("name"), F.lower(F.coalesce("class", F.lit(""))).alias("__c"), F.lower("file").alias("__f")).distinct()
+    met = e.withColumn("name", name).withColumn("owner", owner).join(h, ["query", "name"]).filter(F.col("owner").isNull() | (F.col("__c") == F.col("owner")) | F.contains("__f", "owner"))
+    return e.join(met.select("query", "symbol").distinct().withColumn("found", F.lit(True)), ["query", "symbol"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def in_answer(symbol: Column, answer: Column) -> Column:
+    """The answer says the symbol; of `class::name` both parts, the class in any case."""
+    owner = F.split_part(symbol, F.lit("::"), F.lit(1))
+    both = F.contains(answer, F.regexp_replace(symbol, "^.*?::", "")) & F.contains(F.lower(answer), F.lower(owner))
+    return F.when(F.contains(symbol, F.lit("::")), both).otherwise(F.contains(answer, symbol))
+
+
+def context_layer(files: DataFrame, symbols: DataFrame, bundle: DataFrame, trimmed: DataFrame) -> DataFrame:
+    """(query, file_cov, sym_bundle, sym_trim, sym_n, trim_loss): what of a question's expected files (query, file) and symbols (query, symbol) its hits hold.
+
+    bundle: all hits (query, file, symbol, class, role); files count by primary ones. trimmed: those that a prompt shows.
+    Nothing expected is covered whole.
+    """
+    primary = bundle.filter("role = 'primary'").select("query", "file").distinct().withColumn("hit", F.lit(1))
+    f = files.select("query", "file").distinct().join(primary, ["query", "file"], "left").groupBy("query").agg((F.count("hit") / F.count("*")).alias("file_cov"))
+    sums = lambda rows, name: symbols_found(symbols, rows).groupBy("query").agg(F.count_if("found").alias(name), F.count("*").alias("n"))
+    s = sums(bundle, "sym_bundle").join(sums(trimmed, "sym_trim").drop("n"), "query")
+    out = f.join(s, "query", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = out.select("query", F.coalesce("file_cov", F.lit(1.0)).alias("file_cov"), zero("sym_bundle"), zero("sym_trim"), F.coalesce("n", F.lit(0)).alias("sym_n"))
+    return out.withColumn("trim_loss", F.col("sym_bundle") - F.col("sym_trim"))
+
+
+def answer_rates(rows: DataFrame) -> DataFrame:
+    """One row of an evaluation's rates: of answers (cite_ok, expected_n, expected_hit, ctx_n, ctx_hit) those with good citations, with all expected files, with all of the context's; and the mean share of the context's files."""
+    every = F.col("expected_hit") == F.col("expected_n")
+    whole = (F.col("ctx_n") > 0) & (F.col("ctx_hit") == F.col("ctx_n"))
+    rate = lambda c: F.coalesce(F.round(F.try_divide(F.count_if(c), F.count("*")), 6), F.lit(0.0))
+    share = F.avg(F.when(F.col("ctx_n") > 0, F.col("ctx_hit") / F.col("ctx_n")))
+    return rows.agg(F.count("*").alias("n"), rate(F.col("cite_ok")).alias("citation_ok_rate"), rate(every).alias("all_expected_files_rate"), rate(whole).alias("context_primary_full_rate"), F.coalesce(F.round(share, 6), F.lit(0.0)).alias("mean_context_primary_ratio"))

@@ -120,9 +120,18 @@ def code_edges(chunks: DataFrame, targets: DataFrame, mentions: DataFrame, inclu
     return every.filter("src <> dst").groupBy("src", "dst", "kind", "label").agg(F.round(F.sum("weight"), 4).alias("weight"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, edges): each node's edges as an array by (to, kind, label)."""
-    return edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct(F.col("dst").alias("to"), "kind", "label", "weight"))).alias("edges"))
+#: Edges that one row of an adjacency list holds on average, at most.
+ROW_EDGES = 4096
+
+
+def adjacency(edges: DataFrame, most: int = ROW_EDGES) -> DataFrame:
+    """(src, part, edges): each node's edges as arrays by (to, kind, label), a hub's in as many rows as it needs, of about `most` edges each.
+
+    Parts go by a hash of the edge's other end, so no task gathers a hub whole. Nodes of up to `most` edges have one part, 0.
+    """
+    parts = edges.groupBy("src").agg(F.ceil(F.count("*") / most).alias("parts")).filter("parts > 1")
+    cut = edges.join(parts, "src", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)))
+    return cut.groupBy("src", "part").agg(F.array_sort(F.collect_list(F.struct(F.col("dst").alias("to"), "kind", "label", "weight"))).alias("edges"))
 
 
 def seeds(primary: DataFrame, exact: DataFrame, tokens: DataFrame, targets: DataFrame) -> DataFrame:
@@ -134,27 +143,38 @@ def seeds(primary: DataFrame, exact: DataFrame, tokens: DataFrame, targets: Data
     return own.unionByName(more).groupBy("query", "id").agg(F.sum("weight").alias("weight"))
 
 
-def personalized(edges: DataFrame, start: DataFrame, rounds: int = 30, damping: float = 0.85) -> DataFrame:
+#: Rank below which a node is let go: a query then never holds more than its inverse of nodes.
+LEAST_RANK = 1e-9
+
+
+def personalized(edges: DataFrame, start: DataFrame, rounds: int = 30, damping: float = 0.85, least: float = LEAST_RANK) -> DataFrame:
     """(query, id, rank) after exactly `rounds` steps from each query's seeds (query, id, weight): restart and dangling mass go to them.
 
-    All queries advance together, and only nodes that a query has reached have rows, so a step is one join with the edges.
+    All queries advance together, and only nodes that a query has reached have rows. What would arrive at a node below `least` goes
+    back to the seeds, like dangling mass: ranks sum to one, so a query holds at most 1 / least nodes however large the graph, and
+    a rank is too low by at most what was let go. least=0 is the exact way, with a row to every node that a query reaches. Sums by
+    query are counted by the tasks first and joined back, so no task gets a query whole.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     e = stage(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w")), "edges")
-    total = Window.partitionBy("query")
-    base = stage(start.filter("weight > 0").groupBy("query", "id").agg(F.sum("weight").alias("s")).select("query", "id", (F.col("s") / F.sum("s").over(total)).alias("p")), "base")
-    rank, held = base.withColumnRenamed("p", "r"), None
-    for k in range(rounds):
+    own = start.filter("weight > 0").groupBy("query", "id").agg(F.sum("weight").alias("s"))
+    base = stage(own.join(own.groupBy("query").agg(F.sum("s").alias("all")), "query").select("query", "id", (F.col("s") / F.col("all")).alias("p")), "base")
+    rank = base.withColumnRenamed("p", "r")
+    held = None
+    for _ in range(rounds):
         flow = rank.join(e, F.col("id") == F.col("src")).groupBy("query", F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("in"))
-        every = flow.select("query", "id", "in", F.lit(0.0).alias("p")).unionByName(base.select("query", "id", F.lit(0.0).alias("in"), "p")).groupBy("query", "id").agg(F.sum("in").alias("in"), F.sum("p").alias("p"))
-        moved = F.sum("in").over(total)  # what did not dangle
-        rank = every.withColumn("m", moved).select("query", "id", (damping * F.col("in") + F.col("p") * (1 - damping + damping * (1 - F.col("m")))).alias("r"))
-        if k % 4 == 3 or k == rounds - 1:
-            new = stage(rank, f"rank-{k}")
-            if held is not None:
-                drop(held)
-            rank = held = new
-    return rank.select("query", "id", F.col("r").alias("rank"))
+        flow = stage(flow.filter(F.col("in") >= least), "flow")
+        moved = flow.groupBy("query").agg(F.sum("in").alias("m"))  # the rest dangled or was let go
+        back = base.join(moved, "query", "left").select("query", "id", (F.col("p") * (1 - damping + damping * (1 - F.coalesce("m", F.lit(0.0))))).alias("r"))
+        rank = flow.select("query", "id", (damping * F.col("in")).alias("r")).unionByName(back).groupBy("query", "id").agg(F.sum("r").alias("r"))
+        if held is not None:
+            drop(held)
+        held = flow
+    out = stage(rank.select("query", "id", F.col("r").alias("rank")), "ranks")
+    for x in (held, base, e):
+        if x is not None:
+            drop(x)
+    return out
 
 
 def ranked_extras(ranks: DataFrame, primary: DataFrame, chunks: DataFrame, k: int = 3, most: int = 50) -> DataFrame:

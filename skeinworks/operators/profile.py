@@ -77,3 +77,47 @@ def vendored(files: DataFrame, signatures: DataFrame, own: str = "src") -> DataF
         .when(big & F.coalesce("foreign", F.lit(False)), "signature")
     )
     return met.select("folder", "lines", why.alias("why")).filter("why IS NOT NULL")
+
+
+# Languages by suffix, suffixes and markers of generated files, and how many lines are searched for them.
+LANGUAGES = {
+    ".c": "C/C++ Header", ".cc": "C++", ".cpp": "C++", ".cxx": "C++", ".h": "C/C++ Header", ".hh": "C/C++ Header", ".hpp": "C/C++ Header", ".hxx": "C/C++ Header",
+    ".rc": "Resource", ".idl": "IDL", ".inl": "Inline", ".def": "Def", ".asm": "Asm", ".s": "Asm",
+}
+GENERATED_SUFFIX, GENERATED_LINES = [".rc"], 40
+GENERATED_MARKERS = ["generated", "auto-generated", "autogenerated", "do not edit", "classwizard", "mfc classwizard", "resource script generated"]
+
+
+def language(suffix: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    return F.coalesce(table[F.lower(suffix)], F.lit("Text"))
+
+
+def generated_head(suffix: Column, lines: Column) -> Column:
+    """By suffix, or by a marker in the first lines."""
+    head = F.lower(F.array_join(F.slice(lines, 1, GENERATED_LINES), "\n"))
+    marked = F.lit(False)
+    for m in GENERATED_MARKERS:
+        marked = marked | F.contains(head, F.lit(m))
+    return F.coalesce(F.lower(suffix).isin(*GENERATED_SUFFIX), F.lit(False)) | F.coalesce(marked, F.lit(False))
+
+
+def longest_prefix(paths: DataFrame, folders: DataFrame) -> DataFrame:
+    """(path, folder) of each path (path) below or at one of the folders (folder), in any case: the longest of them.
+
+    A path stands for its cuts at every slash, as in a trie of path parts, and cuts meet folders by equality; folders that
+    start like a path's part but aren't one don't match.
+    """
+    parts = F.split(F.lower("path"), "/")
+    cuts = paths.select("path").distinct().withColumn("parts", parts).select("path", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"), "parts")
+    cuts = cuts.select("path", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("key"))
+    known = folders.select(F.lower("folder").alias("key"), "folder").groupBy("key").agg(F.min("folder").alias("folder"))
+    return cuts.join(known, "key").groupBy("path").agg(F.max_by("folder", "depth").alias("folder"))
+
+
+def flags(files: DataFrame, vendored_folders: DataFrame) -> DataFrame:
+    """(path, language, generated, vendored, folder) of files (path, lines: array of text); folder is the longest vendored one that holds the file."""
+    suffix = F.regexp_extract("path", r"(\.[^./]+)$", 1)
+    f = files.select("path", language(suffix).alias("language"), generated_head(suffix, F.col("lines")).alias("generated"))
+    f = f.join(longest_prefix(files, vendored_folders), "path", "left")
+    return f.select("path", "language", "generated", F.col("folder").isNotNull().alias("vendored"), "folder")

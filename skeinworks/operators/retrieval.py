@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +16,8 @@ from skeinworks.functions.text import lines, tokens
 from skeinworks.plans.stage import blocks, bounded_batches, spread, stage
 
 
-#: The most terms of queries, and bytes of passages, that are broadcast at once.
-MOST_TERMS, PASSAGE_BYTES = 200_000, 1 << 24
+#: The most terms of queries, and bytes of passages and of query vectors, that are broadcast at once.
+MOST_TERMS, PASSAGE_BYTES, DENSE_BYTES = 200_000, 1 << 24, 1 << 25
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,41 +26,139 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.select(F.explode("t").alias("token"), key, F.size("t").alias("len"))
 
 
+class Best:
+    """The k best (score, key) of each query that a task has seen: greater scores first, then lesser keys. Pruned as it grows, so it holds a few k to a query."""
+
+    def __init__(self, k: int, n_queries: int):
+        self.k, self.most = k, max(1 << 18, 4 * k * n_queries)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, key, score))
+        self.n += len(query)
+        if self.n > self.most:
+            self.parts = [self.kept()]
+            self.n = len(self.parts[0][0])
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, key, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        place = np.empty(len(key), np.int64)
+        place[np.argsort(key, kind="stable")] = np.arange(len(key))
+        order = np.lexsort((place, -score, query))
+        query, key, score = query[order], key[order], score[order]
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.empty(0, np.int64)
+        nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        own = nth < self.k
+        return query[own], key[own], score[own]
+
+    def batch(self, ids: pa.Array, kinds: list, names: list[str]) -> pa.RecordBatch:
+        query, key, score = self.kept() if self.parts else (np.empty(0, np.int64), np.empty(0, object), np.empty(0))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(query)).cast(kinds[0]), pa.array(key.tolist(), kinds[1]), pa.array(score, pa.float64())], names)
+
+
+def _kept(found: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """Of the tasks' best rows (query, key, s) the k best of each query, with their rank r."""
+    order = Window.partitionBy(query).orderBy(F.desc("s"), key)
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+
+
 def bm25(
     docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "item_id", k: int = 200, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, terms: Column | None = None
 ) -> DataFrame:
     """(query, key, score): Okapi scores over distinct tokens, the best k of each query, scaled so that the best has 10.
 
     A negative inverse document frequency becomes epsilon times the mean of all. Rows without a query token don't appear.
-    terms: the queries' tokens, by default those of their text. The queries' terms are broadcast while they are few, so
-    that postings are neither shuffled nor gathered by token, however common one is; beyond, a join by token does it.
+    terms: the queries' tokens, by default those of their text. While they are few they are broadcast, a row is scored for all
+    queries where it lies, and a task sends on no more than the k best of each query: what is shuffled follows queries, k and tasks,
+    not the rows that share a token with a query. Beyond MOST_TERMS, a join by token does it.
     """
-    # Texts are cut into tokens once: the postings are written, and read for counts and for matches.
-    p = stage(postings(spread(docs), key, "text"), "postings", "lz4")
-    n = docs.select(F.count("*").alias("n_docs")).join(F.broadcast(p.select(F.count("*").alias("n_tokens")))).filter("n_docs > 0")
-    df = p.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(n)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # n: one row
+    # Texts are cut into tokens once: they are written, and read for counts and for scores.
+    p = stage(spread(docs).select(F.col(key).alias("key"), tokens(F.col("text")).alias("t")), "tokens", "lz4")
+    each = p.select("key", F.explode("t").alias("token"), F.size("t").alias("len"))
+    n = docs.select(F.count("*").alias("n_docs")).join(F.broadcast(each.select(F.count("*").alias("n_tokens")))).filter("n_docs > 0")
+    df = each.groupBy("token").agg(F.count("*").alias("df"))
+    idf = stage(df.join(F.broadcast(n)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "idf")  # n: one row
     floor = idf.agg((F.avg("idf") * epsilon).alias("floor"))
     idf = idf.join(F.broadcast(floor)).select("token", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"), (F.col("n_tokens") / F.col("n_docs")).alias("avg_len"))
-    q = stage(queries.select(query, F.explode(tokens(F.col("text")) if terms is None else terms).alias("token")).join(idf, "token"), "query-terms")
-    hit = p.join(F.broadcast(q) if q.count() <= MOST_TERMS else q, "token")
-    one = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    raw = hit.groupBy(query, key).agg(F.sum(one).alias("raw")).filter("raw > 0").withColumn("raw", F.round("raw", 9))
-    best = Window.partitionBy(query).orderBy(F.desc("raw"), key)
-    kept = raw.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
-    return kept.select(query, key, F.round(10 * F.col("raw") / F.max("raw").over(Window.partitionBy(query)), 6).alias("score"))
-
-
-def dense(vectors: DataFrame, is_query: Column, k: int = 50, weight: float = 20.0, most: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, score): brute-force inner products of the query rows with all others, best k, scaled by the best.
-
-    Queries are broadcast in blocks of about `most` rows; of each task's scores only the best k of a query are shuffled.
+    q = stage(queries.select(F.col(query).alias("query"), F.explode(tokens(F.col("text")) if terms is None else terms).alias("token")).distinct().join(idf, "token"), "query-terms")
+    if q.count() <= MOST_TERMS:
+        raw = _scored(p, q, k, k1, b)
+    else:
+        hit = each.join(q, "token")
+        one = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+        raw = hit.groupBy("query", "key").agg(F.round(F.sum(one), 9).alias("s")).filter("s > 0")
+    kept = _kept(raw, "query", "key", k)
+    return kept.select(F.col("query").alias(query), F.col("key").alias(key), F.round(10 * F.col("s") / F.max("s").over(Window.partitionBy("query")), 6).alias("score"))
+
+
+def _scored(p: DataFrame, q: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(query, key, s): each task's best k rows of p (key, t) for each query of q (query, token, idf, avg_len), which is small."""
+    terms = q.toPandas()  # MOST_TERMS rows at most
+    kinds = [to_arrow_type(q.schema["query"].dataType), to_arrow_type(p.schema["key"].dataType)]
+    codes, ids = pd.factorize(terms["query"])
+    of = {token: (codes[at], terms["idf"].to_numpy()[at] * (k1 + 1)) for token, at in terms.groupby("token").indices.items()}
+    held = p.sparkSession.sparkContext.broadcast((of, pa.array(ids.tolist(), kinds[0]), float(terms["avg_len"].iloc[0]) if len(terms) else 1.0))
+    bounded_batches(p.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, ids, avg = held.value
+        best, total = Best(k, len(ids)), np.zeros(len(ids))
+        for batch in batches:
+            keys = np.array(batch.column(0).to_pylist(), object)
+            for i, found in enumerate(batch.column(1).to_pylist()):
+                met = [of[x] for x in found or () if x in of]
+                if not met:
+                    continue
+                for query, weight in met:
+                    total[query] += weight
+                some = np.flatnonzero(total)
+                s = np.round(total[some] / (1 + k1 * (1 - b + b * len(found) / avg)), 9)
+                total[some] = 0.0
+                up = s > 0
+                best.add(some[up], np.repeat(keys[i : i + 1], up.sum()), s[up])
+        yield best.batch(ids, kinds, ["query", "key", "s"])
+
+    return p.mapInArrow(run, f"query {q.schema['query'].dataType.simpleString()}, key {p.schema['key'].dataType.simpleString()}, s double")
+
+
+def dense(vectors: DataFrame, is_query: Column, k: int = 50, weight: float = 20.0, most: int = DENSE_BYTES) -> DataFrame:
+    """(query_id, vec_id, r, score): inner products of the query rows with all others, the best k of each query, scaled by the best.
+
+    Queries are broadcast in blocks of about `most` bytes, and multiplied with each batch of rows as matrices; of a task's products
+    only the best k of a query are shuffled. Vectors that are null, hold a null or have another length than most take no part.
     """
-    q = vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))
-    found = [vectors.join(F.broadcast(b), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot, 6).alias("s")).withColumn("r", best).filter(F.col("r") <= k) for b in blocks(q, "query_id", most)]
-    kept = reduce(DataFrame.unionByName, found)
+    whole = vectors.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select("vec_id", "embedding")
+    size = whole.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    whole = whole.filter(F.size("embedding") == (size["size"] if size else 0))
+    asked = whole.filter(is_query)
+    kind, id_type = vectors.schema["vec_id"].dataType.simpleString(), to_arrow_type(vectors.schema["vec_id"].dataType)
+    bounded_batches(vectors.sparkSession)
+
+    def found(block: DataFrame) -> DataFrame:
+        rows = block.collect()  # about `most` bytes
+        ids = [r[0] for r in rows]
+        held = vectors.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64).T))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = held.value
+            best, place = Best(k, len(ids)), {x: i for i, x in enumerate(ids)}
+            for batch in batches if ids else ():
+                keys = np.array(batch.column(0).to_pylist(), object)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+                for at in range(0, len(ids), 1024):
+                    s = np.round(x @ q[:, at : at + 1024], 6).T
+                    top = np.argsort(-s, axis=1, kind="stable") if s.shape[1] <= k else None
+                    least = np.full(len(s), -np.inf) if top is not None else np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1]  # own row beside k others
+                    query, row = np.nonzero(s >= least[:, None])
+                    other = np.array([place.get(key) for key in keys[row]], object) != query + at
+                    best.add(query[other] + at, keys[row[other]], s[query[other], row[other]])
+            yield best.batch(pa.array(ids, id_type), [id_type, id_type], ["query_id", "vec_id", "s"])
+
+        return whole.mapInArrow(run, f"query_id {kind}, vec_id {kind}, s double")
+
+    rows = max(1, most // (8 * max(1, size["size"] if size else 1)))
+    kept = _kept(reduce(DataFrame.unionByName, [found(x) for x in blocks(asked, "vec_id", rows)]), "query_id", "vec_id", k)
     top = F.max("s").over(Window.partitionBy("query_id"))
     return kept.withColumn("top", top).filter("top > 0").select("query_id", "vec_id", "r", F.round(weight * F.col("s") / F.col("top"), 4).alias("score"))
 

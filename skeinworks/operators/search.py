@@ -185,7 +185,7 @@ def hits(merged: DataFrame, focus: DataFrame, chunks: DataFrame, asked: DataFram
     j = j.join(asked.select("query", F.when(rules.structure_question(F.col("text")), 1).otherwise(2).alias("per_file")), "query")
     j = j.withColumn("line_start", F.coalesce("focus", "start")).withColumn("entry", rules.is_entry(F.col("symbol"), F.col("start"), F.col("symbol_start")))
     order = [F.desc("score"), F.desc("entry"), F.col("file"), F.col("line_start"), F.col("chunk")]
-    ranked = j.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).drop("focus")
+    ranked = j.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
     return ranked, diversify(ranked, ["query"], "file", [F.col("place")], F.col("per_file"), k)
 
 

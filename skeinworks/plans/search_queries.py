@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.functions import rules
-from skeinworks.operators import retrieval, search
+from skeinworks.operators import engine, retrieval, search
 from skeinworks.plans.code_queries import SQL_HINTS, sql_any
 from skeinworks.plans.queries import SQL_TOKENS, query
 from skeinworks.plans.stage import stage
@@ -171,27 +171,21 @@ SQL_ALL = (
 )
 
 
+def dense_channel(t) -> DataFrame:
+    return retrieval.dense(t("embeddings"), F.col("vec_id") % 50 == 0).select(F.col("query_id").alias("query"), F.col("vec_id").alias("chunk"), "score")
+
+
 def searched(t, k: int = 10) -> tuple[DataFrame, ...]:
     """(all hits, the kept ones, chunks, asked questions)."""
     chunks, symbols, entries, asked = code(t)
-    of = stage(search.chunks_of(symbols, chunks), "symbol-chunks")
-    focus = search.dispatch(asked, entries, chunks)
-    channels = {"method": search.method(asked, symbols, of), "class": search.class_methods(asked, symbols, of, chunks), "dispatch": focus, "symbol": search.symbol_matches(asked, symbols, of)}
-    channels["bm25"] = retrieval.bm25(chunks.select("chunk", "text"), asked, "chunk", "query", terms=F.col("tokens"))
-    channels = {name: stage(d.select("query", "chunk", "score"), name) for name, d in channels.items()}
-    scores = None
-    for d in channels.values():
-        scores = d if scores is None else scores.unionByName(d)
-    channels["rg"] = search.scan(asked, scores, chunks.select("file", F.col("start").alias("line"), "text"), chunks)
-    dense = retrieval.dense(t("embeddings"), F.col("vec_id") % 50 == 0)
-    channels["dense"] = dense.select(F.col("query_id").alias("query"), F.col("vec_id").alias("chunk"), "score")
-    ranked, kept = search.hits(search.merge(channels, asked, chunks), focus, chunks, asked, k)
+    ranked, kept = engine.run(asked, chunks, symbols, entries, chunks.select("file", F.col("start").alias("line"), "text"), dense_channel(t), k)
     return ranked, kept, chunks, asked
 
 
-@query(f"WITH {SQL_ALL} SELECT query, chunk, file, line_start, source, score, rank FROM kp WHERE rank <= 10")
+@query(f"WITH {SQL_ALL} SELECT query, kp.chunk, kp.file, line_start, source, score, rank, c.text AS snippet FROM kp JOIN c ON c.chunk = kp.chunk WHERE rank <= 10")
 def search_full(t):
-    return searched(t)[1].select("query", "chunk", "file", F.col("line_start").cast("long").alias("line_start"), "source", "score", F.col("rank").cast("long").alias("rank"))
+    """The parts' texts are one line each, so a snippet is all of it."""
+    return searched(t)[1].select("query", "chunk", "file", F.col("line_start").cast("long").alias("line_start"), "source", "score", F.col("rank").cast("long").alias("rank"), "snippet")
 
 
 @query(f"WITH {SQL_ALL} SELECT fl.query, fl.chunk, CASE WHEN fl.g > CASE WHEN fl.structure THEN 1 ELSE 2 END THEN 'file' WHEN fl.place > 10 THEN 'place' ELSE 'unknown' END AS reason FROM fl ANTI JOIN (SELECT * FROM kp WHERE rank <= 10) z USING (query, chunk)")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql.types import BooleanType
 
 from skeinworks.functions.text import line_count
 from skeinworks.plans.stage import bounded_batches
+from skeinworks.sources import tree
 
 # Suffixes of source files, folders that scans skip, kinds of symbols that tag files keep.
 SOURCE = [".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx"]
@@ -20,17 +19,15 @@ KINDS = ["function", "prototype", "class", "struct", "macro", "enum", "typedef"]
 CHUNK = "id string, type string, file string, start_line int, end_line int, symbol string, kind string, class string, text string, symbol_start int, sub_idx int"
 
 
-def _tree(spark: SparkSession, root: str, skip: list[str]) -> DataFrame:
-    """All files, empty ones too: those are in the driver's listing, but Spark's scans leave them out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
-    listed = spark.createDataFrame([(unquote(f).replace("file:///", "file:/", 1),) for f in raw.inputFiles()], "path string")
-    empty = listed.join(raw.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
-    raw = raw.unionByName(empty)
-    folder = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
-    path = F.substring_index("path", folder + "/", -1)
-    parts = F.split(path, "/")
-    kept = raw.select(path.alias("path"), parts.alias("parts"), F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise(".").alias("top_dir"), F.col("length").alias("size_bytes"), "content")
-    return kept.filter(~F.arrays_overlap("parts", F.array(*(F.lit(s) for s in skip)))) if skip else kept
+def _suffix(path: Column) -> Column:
+    return F.regexp_extract(path, r"(\.[^./]+)$", 1)
+
+
+def _read(spark: SparkSession, root: str, skip: list[str], wanted: Column) -> DataFrame:
+    """(path, size_bytes, top_dir, content) of the wanted files below root; only theirs are read."""
+    kept = tree.listed(spark, root, list(skip)).filter(wanted)
+    top = F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1))).otherwise(".")
+    return tree.contents(kept, root).filter("content IS NOT NULL").select("path", "size_bytes", top.alias("top_dir"), "content")
 
 
 def scan(spark: SparkSession, root: str, suffixes: list[str], skip: list[str] = ()) -> DataFrame:
@@ -38,7 +35,7 @@ def scan(spark: SparkSession, root: str, suffixes: list[str], skip: list[str] =
 
     Paths are relative to root; malformed UTF-8 is replaced; top_dir is '.' for files in root itself.
     """
-    kept = _tree(spark, root, skip).filter(F.regexp_extract("path", r"(\.[^./]+)$", 1).isin(*suffixes))
+    kept = _read(spark, root, skip, _suffix(F.col("path")).isin(*suffixes))
     kept = kept.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
     return kept.select("path", "size_bytes", line_count(F.col("text")).alias("lines"), "top_dir", "text")
 
@@ -66,7 +63,7 @@ def encoding(data: Column) -> Column:
 def probe(spark: SparkSession, root: str, suffixes: list[str], skip: list[str] = SKIP) -> DataFrame:
     """(path, size_bytes, top_dir, encoding, digest) of files whose lower-cased suffix is listed; digest is the first 16 hex digits of the content's SHA-256."""
     bounded_batches(spark)
-    kept = _tree(spark, root, list(skip)).filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
+    kept = _read(spark, root, skip, F.lower(_suffix(F.col("path"))).isin(*suffixes))
     return kept.select("path", "size_bytes", "top_dir", encoding(F.col("content")).alias("encoding"), F.substring(F.sha2("content", 256), 1, 16).alias("digest"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions import rules
 from skeinworks.functions import text as T
-from skeinworks.operators import code, evaluate, retrieval
+from skeinworks.operators import code, evaluate, retrieval, symbols
 
 CPP = """#include "b.h"
 #define LIMIT 3
@@ -59,9 +59,10 @@ def tables(spark):
 
 def test_symbols_and_chunks(spark):
     f, lines = tables(spark)
-    s = code.symbols(lines)
-    got = {(r["file"], r["name"], r["kind"], r["line"], r["class"]) for r in s.collect()}
-    assert got == {("a/p.cpp", "LIMIT", "macro", 2, ""), ("a/p.cpp", "run", "function", 3, "Player"), ("a/p.cpp", "idle", "function", 11, ""), ("a/p.h", "Player", "class", 1, "")}
+    s = symbols.symbols(f.select("file", F.array_join("lines", "\n").alias("text")))
+    got = {(r["file"], r["name"], r["kind"], r["line"], r["end_line"], r["class"]) for r in s.collect()}
+    assert got == {("a/p.cpp", "LIMIT", "macro", 2, 2, ""), ("a/p.cpp", "run", "function", 3, 10, "Player"), ("a/p.cpp", "idle", "function", 11, 13, ""), ("a/p.h", "Player", "class", 1, 3, ""), ("a/p.h", "run", "prototype", 2, 2, "Player")}
+    s = s.filter("kind <> 'prototype'").drop("scope_kind")
     ends = code.symbol_ends(f, s.withColumn("end_line", F.lit(None).cast("long")))
     assert {(r["name"], r["end"]) for r in ends.collect()} == {("LIMIT", 2), ("run", 10), ("idle", 13), ("Player", 3)}
     stated = code.symbol_ends(f, s.withColumn("end_line", F.lit(400).cast("long")))
@@ -148,7 +149,7 @@ def test_answers_of_a_stub(spark):
             raise ValueError("no")
         return "see `a.cpp:5` and `b.h:1-2`"
 
-    got = answer.answers(answer.prompts(asked, hits, "{{question}}"), call)
+    got = answer.answers(answer.prompts(asked, hits, "{{question}}"), call, wait=lambda n: 0.0)
     assert {(r["query"], r["answer"], r["error"]) for r in got.collect()} == {(1, "see `a.cpp:5` and `b.h:1-2`", None), (2, None, "ValueError: no")}
     assert {tuple(r) for r in answer.cited(got, hits).collect()} == {(1, 2, 1, False), (2, 0, 0, False)}
 

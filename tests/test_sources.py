@@ -1,6 +1,14 @@
+import json
+import os
+import tempfile
+from unittest import mock
+
+import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skeinworks.sources import files, store
+from skeinworks.sources import files, members, store, tree
 from skeinworks.streaming import log
 
 
@@ -53,3 +61,78 @@ def test_store(spark, tmp_path):
     assert [tuple(r) for r in store.recent(spark, str(tmp_path / "log"), "time_utc string, file_count long", "time_utc", 1).collect()] == [("t2", 9)]
     assert store.recent(spark, str(tmp_path / "none"), "time_utc string", "time_utc", 1).count() == 0
     assert [r["delta_files"] for r in store.sync_history(log).orderBy("time_utc").collect()] == [None, 4]
+
+
+def test_listing_of_many_empty_files(spark, tmp_path):
+    for k in range(100):
+        (tmp_path / f"d{k}").mkdir()
+        for i in range(1000):
+            (tmp_path / f"d{k}/f{i}.h").touch()
+    (tmp_path / "d1/deep/build").mkdir(parents=True)
+    (tmp_path / "d1/deep/build/x.h").write_text("x")
+    (tmp_path / "d1/deep/ü é.h").write_bytes(b"ab\n")
+    os.symlink(tmp_path, tmp_path / "d2/round")
+    found = tree.listed(spark, str(tmp_path), ["build"])
+    assert found.agg(F.count("*"), F.countDistinct("path"), F.sum("size_bytes")).first()[:] == (100_001, 100_001, 3)
+    some = found.filter("path LIKE 'd1/%'")
+    got = tree.contents(some, str(tmp_path), task_bytes=1)
+    assert got.count() == 1001 and got.filter("size_bytes > 0").select("path", "content").first()[:] == ("d1/deep/ü é.h", bytearray(b"ab\n"))
+
+
+def test_contents_in_batches(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        (tmp_path / f"{k}.c").write_bytes(bytes([k]) * k * 100)
+    found = tree.listed(spark, f"file://{tmp_path}")
+    got = {r["path"]: bytes(r["content"]) for r in tree.contents(found, f"file://{tmp_path}", task_bytes=5000).collect()}
+    assert got == {f"{k}.c": bytes([k]) * k * 100 for k in range(40)}
+    (tmp_path / "3.c").unlink()
+    assert [r["path"] for r in tree.contents(found, str(tmp_path)).filter("content IS NULL").collect()] == ["3.c"]
+    assert tree.listed(spark, str(tmp_path / "none")).count() == 0
+
+
+VALUES = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text(st.sampled_from('a\\"{}[],: é\n'), max_size=6), lambda v: st.lists(v, max_size=4) | st.dictionaries(st.text(st.sampled_from('k\\",{]'), max_size=3), v, max_size=4), max_leaves=12)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(VALUES, max_size=6) | st.dictionaries(st.text(st.sampled_from('ab\\",{}é '), max_size=4), VALUES, max_size=6), st.integers(1, 60), st.sampled_from([None, 1]), st.integers(1, 30))
+def test_ranges_of_any_size_find_all_members(value, size, indent, step):
+    """The two passes, without Spark: sums of ranges, their starts, members by owner."""
+    text = json.dumps(value, ensure_ascii=False, indent=indent).encode()
+    with tempfile.NamedTemporaryFile() as f, mock.patch.object(members, "STEP", step):
+        f.write(text)
+        f.flush()
+        ranges = pd.DataFrame([(k, a, min(a + size, len(text))) for k, a in enumerate(range(0, len(text), size))], columns=["n", "start", "end"])
+        sums = pd.concat(members._summary(f.name)(iter([ranges])))
+        state, rows = (False, 0), []
+        for r, s in zip(ranges.itertuples(), sums.itertuples(), strict=True):
+            rows.append((r.start, r.end, *state))
+            state = (state[0] ^ s.turns, state[1] + (s.inside if state[0] else s.outside))
+        got = pd.concat(members._members(f.name, len(text))(iter([pd.DataFrame(rows, columns=["start", "end", "in_string", "depth"])])))
+    assert state == (False, 0)
+    if isinstance(value, dict):
+        assert dict(next(iter(json.loads("{" + m + "}").items())) for m in got.sort_values("at")["member"]) == value
+    else:
+        assert [json.loads(m) for m in got.sort_values("at")["member"]] == value
+
+
+def test_readers_of_one_object_files(spark, tmp_path):
+    mentions = {f"c{i}": [f"s{j}" for j in range(i % 4)] for i in range(50)} | {'q"\\,{': ["x]"]}
+    by = {}
+    for c, found in mentions.items():
+        for s in found:
+            by.setdefault(s, []).append(c)
+    edges = {f"c{i}": [{"to": f"c{i + 1}", "weight": i / 2, "kind": "call", "label": "a, b}"}] * (i % 3) for i in range(40)}
+    entries = [{"command": f"G{i}", "line": i, "handler_file": "a.cpp", "evidence": 'case "1": {'} for i in range(30)]
+    for name, value in (("calls", {"mentioned_by": by, "mentions": mentions}), ("by", {"mentioned_by": by}), ("graph", {"nodes": {"a": {"edges": {}}}, "edges": edges, "stats": {}}), ("dispatch", {"version": 1, "entries": entries}), ("flat", entries), ("odd", "text"), ("none", {})):
+        (tmp_path / name).write_text(json.dumps(value, ensure_ascii=False, indent=1 if name == "graph" else None))
+    (tmp_path / "empty").write_text("")
+    at = lambda name: str(tmp_path / name)
+    want = {(c, s) for c, found in mentions.items() for s in found}
+    for size in (37, 1 << 20):
+        assert {tuple(r) for r in members.call_graph(spark, at("calls"), size).collect()} == want
+        assert {tuple(r) for r in members.edge_map(spark, at("graph"), size).collect()} == {(s, e["to"], e["kind"], e["label"], e["weight"]) for s, found in edges.items() for e in found}
+    assert {tuple(r) for r in members.call_graph(spark, at("by")).collect()} == want
+    for name in ("dispatch", "flat"):
+        assert sorted((r["command"], r["line"], r["evidence"], r["chunk_id"]) for r in members.dispatch_index(spark, at(name), 64).collect()) == sorted((e["command"], e["line"], e["evidence"], None) for e in entries)
+    assert [members.dispatch_index(spark, at(name)).count() for name in ("odd", "none", "empty")] == [0, 0, 0]
+    assert members.edge_map(spark, at("none")).count() == 0
