@@ -4,8 +4,8 @@ A global order sorts all tokens (n-gram hashes). Two sets whose Jaccard similari
 the first n - ceil(t n) + 1 of each, under every global order. Order one is by frequency, rare tokens first: each
 token's sets are counted in its shard, exactly, and what is shared comes back to the set. Tokens of one set alone
 come first and are never sent back; a set with too many of them has no partner. Orders two and three are by hash;
-each set carries its prefixes under them, cut to 16 bits a token (a false match lets a pair through, none is
-lost). A pair must share prefix tokens under order one (found by grouping) and then under the others, before a text is
+each set carries its prefixes under them, cut to 16 or, for longer prefixes, 32 bits a token (a false match lets
+a pair through, none is lost). A pair must share prefix tokens under order one (found by grouping) and then under the others, before a text is
 fetched or a set compared.
 
 Linking needs no list of all pairs. Equal sets are one class from the start. In the first round the members of
@@ -68,20 +68,34 @@ def prefix(tokens: np.ndarray, order: int, percent: int) -> np.ndarray:
     return np.partition(r, p - 1)[:p] if p < len(r) else r
 
 
+#: Prefixes of up to SHORT tokens are kept in 16 bits a token, longer ones in 32: of two prefixes of p and q tokens that share
+#: none, about p q / 2**16 or p q / 2**32 still seem to meet.
+SHORT = 32
+HEAD = np.dtype("<u4")
+
+
 def signature(tokens: np.ndarray, percent: int) -> bytes:
-    """The prefixes under the other orders, 16 bits a token: the length of the first, then all."""
-    parts = [np.unique(prefix(tokens, k, percent).astype(np.uint16)) for k in range(1, len(ORDERS))]
-    return np.array([len(x) for x in parts], np.uint32).tobytes() + np.concatenate(parts).tobytes()
+    """The prefixes under the other orders: the number of tokens of each, then all, in a width that the prefix's size gives."""
+    width = np.uint16 if prefix_size(len(tokens), percent) <= SHORT else np.uint32
+    parts = [np.unique(prefix(tokens, k, percent).astype(width)) for k in range(1, len(ORDERS))]
+    return np.array([*(len(x) for x in parts)], HEAD).tobytes() + np.concatenate(parts).tobytes()
 
 
-def orders_meet(x: bytes, y: bytes) -> bool:
-    """Whether two sets share a prefix token under each of the other orders, as far as 16 bits tell."""
+def _cuts_of(s: bytes) -> list[np.ndarray]:
     k = len(ORDERS) - 1
-    cuts = []
-    for s in (x, y):
-        n = np.cumsum(np.frombuffer(s, np.uint32, k))
-        cuts.append(np.split(np.frombuffer(s, np.uint16, offset=4 * k), n[:-1]))
-    return all(np.intersect1d(p, q, assume_unique=True).size for p, q in zip(*cuts, strict=True))
+    n = np.frombuffer(s, HEAD, k)
+    width = np.uint16 if (len(s) - HEAD.itemsize * k) == 2 * int(n.sum()) else np.uint32
+    return np.split(np.frombuffer(s, width, offset=HEAD.itemsize * k), np.cumsum(n)[:-1])
+
+
+def orders_meet(x: bytes, y: bytes) -> bool:
+    """Whether two sets share a prefix token under each of the other orders, as far as the narrower of their widths tells. A false match lets a pair through; none is lost."""
+    for p, q in zip(_cuts_of(x), _cuts_of(y), strict=True):
+        if p.dtype != q.dtype:
+            p, q = np.unique(p.astype(np.uint16)), np.unique(q.astype(np.uint16))
+        if not np.intersect1d(p, q, assume_unique=True).size:
+            return False
+    return True
 
 
 def _set_key(tokens: np.ndarray) -> int:

@@ -162,6 +162,32 @@ def test_orders_meet_for_every_pair_in_reach():
     assert not ngram_join.orders_meet(ngram_join.signature(np.arange(40, dtype=np.uint64), 75), ngram_join.signature(np.arange(40, 80, dtype=np.uint64), 75))
 
 
+@pytest.mark.parametrize("n", [40, 120, 130, 500, 2000, 8000])
+def test_orders_reject_pairs_that_meet_by_chance(n):
+    """Planted pairs share three rare tokens, which order one puts into both prefixes. About two thirds of them fail under the other orders, short sets and long ones; sets that share none nearly all do."""
+    r = np.random.default_rng(n)
+    shared, apart, tries = 0, 0, 60
+    for _ in range(tries):
+        t = r.integers(1, 1 << 63, 2 * n, dtype=np.uint64)
+        x, y, z = np.unique(t[:n]), np.unique(np.append(t[n:-3], t[:3])), np.unique(t[n:])
+        a, b, c = (ngram_join.signature(v, 75) for v in (x, y, z))
+        shared += not ngram_join.orders_meet(a, b)
+        apart += not ngram_join.orders_meet(a, c)
+    assert shared >= 0.45 * tries and apart >= 0.97 * tries
+
+
+def test_signatures_of_two_widths_meet():
+    """A set of just over the narrow width's size and its near copy just below it."""
+    r = np.random.default_rng(9)
+    for _ in range(50):
+        x = r.integers(1, 1 << 63, 130, dtype=np.uint64)
+        a, b = ngram_join.signature(np.unique(x), 75), ngram_join.signature(np.unique(x[:118]), 75)
+        assert ngram_join.orders_meet(a, b) and ngram_join.orders_meet(b, a)
+        other = ngram_join.signature(np.unique(r.integers(1, 1 << 63, 118, dtype=np.uint64)), 75)
+        assert not ngram_join.orders_meet(a, other)
+    assert len(a) != len(b)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (5, 5), (200, 202)]
     got = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
