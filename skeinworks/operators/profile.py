@@ -121,3 +121,39 @@ def flags(files: DataFrame, vendored_folders: DataFrame) -> DataFrame:
     f = files.select("path", language(suffix).alias("language"), generated_head(suffix, F.col("lines")).alias("generated"))
     f = f.join(longest_prefix(files, vendored_folders), "path", "left")
     return f.select("path", "language", "generated", F.col("folder").isNotNull().alias("vendored"), "folder")
+
+
+def tag_counts(tags: DataFrame) -> DataFrame:
+    """(file, kind, n) of tags (file, kind), with the sums over all files as file null."""
+    return tags.rollup("kind", "file").agg(F.count("*").alias("n")).filter("kind IS NOT NULL").select("file", "kind", "n")
+
+
+def untagged(files: DataFrame, tags: DataFrame) -> DataFrame:
+    """(file) of files (file, binary) that aren't binary and have no tag: empty, or not understood."""
+    return files.filter(~F.coalesce("binary", F.lit(False))).join(tags.select("file").distinct(), "file", "left_anti").select("file")
+
+
+def report(records: DataFrame, tags: DataFrame, long: int = LONG, listed: int = LISTED) -> DataFrame:
+    """One row, a nested report of files (file, top_dir, lines, encoding, binary, generated) and tags (file, kind): totals, counts by folder, encoding and kind, the longest files, those without tags, and the risk.
+
+    Lists hold `listed` entries, counts a row to a folder, an encoding or a kind, so each part is small before it is joined to the others.
+    """
+    def counted(d: DataFrame, key: str, name: str) -> DataFrame:
+        rows = d.groupBy(F.coalesce(key, F.lit("")).alias("key")).agg(F.count("*").alias("n"))
+        return rows.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "key", "n"))).alias("x")).select(F.transform("x", lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n"))).alias(name))
+
+    bare = untagged(records, tags)
+    flagged = records.join(bare.withColumn("__u", F.lit(True)), "file", "left").withColumn("tagged", F.coalesce("binary", F.lit(False)) | F.col("__u").isNull()).withColumn("__all", F.lit("all"))
+    risky = risk(flagged.drop("__u"), ["__all"], long=long).drop("__all")
+    first = lambda d, order, columns, name: d.orderBy(*order).limit(listed).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    parts = [
+        records.agg(F.struct(F.count("*").alias("n_files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("n_lines"), F.count_if("binary").alias("n_binary"), F.count_if("generated").alias("n_generated")).alias("totals")),
+        counted(records, "top_dir", "folders"), counted(records, "encoding", "encodings"), counted(tags, "kind", "kinds"),
+        first(records, [F.desc("lines"), "file"], [(-F.col("lines")).alias("o"), F.col("file"), F.col("lines")], "longest").select(F.transform("longest", lambda x: F.struct(x["file"].alias("file"), x["lines"].alias("lines"))).alias("longest")),
+        first(bare, ["file"], ["file"], "untagged").select(F.transform("untagged", lambda x: x["file"]).alias("untagged")),
+        risky.agg(F.first(F.struct(*risky.columns)).alias("risk")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))  # one row each
+    return out

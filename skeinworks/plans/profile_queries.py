@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.operators import profile, stats, vectors
-from skeinworks.plans.graph_queries import SQL_TREE
-from skeinworks.plans.queries import query
+from skeinworks.plans.graph_queries import SQL_RECORDS, SQL_TREE, records
+from skeinworks.plans.queries import files, query
 from skeinworks.plans.search_queries import SQL_CODE, code
 from skeinworks.plans.stage import stage
 
@@ -55,10 +55,10 @@ def file_flags(t):
     suffix = F.element_at(F.array(*(F.lit(x) for x in SUFFIXES)), (F.col("k") % 8 + 1).cast("int"))
     path = F.concat("top", F.lit("/"), "w1", F.lit("/Sub"), (F.col("k") % 3).cast("string"), F.lit("/f"), F.col("k").cast("string"), suffix)
     lines = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.when((F.col("k") % 17 == 0) & (i == F.col("k") % 60), "// Do Not EDIT").otherwise("int x;"))
-    files = p.select(path.alias("path"), lines.alias("lines"))
+    flagged = p.select(path.alias("path"), lines.alias("lines"))
     one = p.filter("k % 19 = 0").select(F.concat(F.upper("top"), F.lit("/"), "w1").alias("folder"))
     two = p.filter("k % 23 = 0").select(F.concat("top", F.lit("/"), "w1", F.lit("/sub2")).alias("folder"))
-    return profile.flags(files, one.unionByName(two).unionByName(p.sparkSession.createDataFrame([("vendor",)], "folder string")))
+    return profile.flags(flagged, one.unionByName(two).unionByName(p.sparkSession.createDataFrame([("vendor",)], "folder string")))
 
 
 # --- a vector store -----------------------------------------------------------------------------------
@@ -91,3 +91,41 @@ def vector_refresh(t):
 def stale_chunks(t):
     before, after = two_versions(t)
     return vectors.stale(after, vectors.refresh(None, before, "stub", model_stub)[0], "stub")
+
+
+# --- reports ------------------------------------------------------------------------------------------
+
+SQL_TAGS = f"{SQL_RECORDS}, tg AS (SELECT file, CASE doc_id % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'macro' ELSE 'function' END AS kind FROM counted WHERE doc_id % 5 <> 0 UNION ALL SELECT file, 'function' FROM counted WHERE doc_id % 5 = 1)"
+
+
+def tags(t) -> DataFrame:
+    """Files but every fifth have a tag, some two."""
+    d = files(t).select("file", "doc_id")
+    kind = F.when(F.col("doc_id") % 4 == 0, "class").when(F.col("doc_id") % 4 == 1, "macro").otherwise("function")
+    return d.filter("doc_id % 5 <> 0").select("file", kind.alias("kind")).unionByName(d.filter("doc_id % 5 = 1").select("file", F.lit("function").alias("kind")))
+
+
+@query(f"WITH {SQL_TAGS} SELECT file, kind, count(*) AS n FROM tg GROUP BY 1, 2 UNION ALL SELECT NULL, kind, count(*) FROM tg GROUP BY kind")
+def tag_counts(t):
+    return profile.tag_counts(tags(t))
+
+
+@query(f'WITH {SQL_TAGS} SELECT file FROM rec WHERE NOT "binary" AND file NOT IN (SELECT file FROM tg)')
+def untagged_files(t):
+    return profile.untagged(records(t), tags(t))
+
+
+@query(
+    f"WITH {SQL_TAGS}"
+    """, bare AS (SELECT file FROM rec WHERE NOT "binary" AND file NOT IN (SELECT file FROM tg)), co AS (SELECT 'folder' AS what, top_dir AS key, count(*) AS n FROM rec GROUP BY 2 UNION ALL SELECT 'encoding', encoding, count(*) FROM rec GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM tg GROUP BY 2)
+  SELECT 'total' AS what, 'files' AS key, count(*) AS n FROM rec UNION ALL SELECT 'total', 'lines', CAST(sum(lines) AS BIGINT) FROM rec UNION ALL SELECT 'total', 'binary', count(*) FILTER ("binary") FROM rec UNION ALL SELECT 'total', 'generated', count(*) FILTER (generated) FROM rec
+  UNION ALL SELECT what, key, n FROM co UNION ALL SELECT 'longest', file, lines FROM (SELECT file, lines FROM rec ORDER BY lines DESC, file LIMIT 20) UNION ALL SELECT 'untagged', file, 1 FROM (SELECT file FROM bare ORDER BY file LIMIT 20) UNION ALL SELECT 'risk', 'untagged', count(*) FROM bare"""
+)
+def probe_report(t):
+    """The one-row report, told as rows; its lists are 20 long by design."""
+    r = profile.report(records(t).drop("tagged"), tags(t), long=40)
+    told = lambda what, array, key, n: r.select(F.lit(what).alias("what"), F.explode(array).alias("x")).select("what", F.expr(key).alias("key"), F.expr(n).cast("long").alias("n"))
+    out = told("folder", "folders", "x.key", "x.n").unionByName(told("encoding", "encodings", "x.key", "x.n")).unionByName(told("kind", "kinds", "x.key", "x.n")).unionByName(told("longest", "longest", "x.file", "x.lines")).unionByName(told("untagged", "untagged", "x", "1"))
+    for what, key, value in (("total", "files", "totals.n_files"), ("total", "lines", "totals.n_lines"), ("total", "binary", "totals.n_binary"), ("total", "generated", "totals.n_generated"), ("risk", "untagged", "risk.untagged")):
+        out = out.unionByName(r.select(F.lit(what).alias("what"), F.lit(key).alias("key"), F.col(value).cast("long").alias("n")))
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
 from skeinworks.functions.text import line_count
 from skeinworks.plans.stage import bounded_batches
@@ -84,3 +84,19 @@ def line_counts(spark: SparkSession, path: str) -> DataFrame:
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     """A chunk file, JSON lines, by a fixed schema."""
     return spark.read.schema(CHUNK).json(path).filter("id IS NOT NULL")
+
+
+@F.pandas_udf(StringType())
+def _decoded(data: pd.Series, codec: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else b.decode(c, errors="replace") for b, c in zip(data, codec, strict=True)], dtype=object)
+
+
+def preview(data: Column, kind: Column) -> Column:
+    """Text of bytes by the class that `encoding` gave: '' for binary ones, malformed parts replaced. Only what isn't UTF-8 reaches Python."""
+    plain = F.when(kind.isin("binary", "empty") | data.isNull(), "").when(kind == "utf-8", F.make_valid_utf8(data.cast("string")))
+    return F.coalesce(plain, _decoded(F.when(plain.isNull(), data), F.coalesce(kind, F.lit("utf-8"))))
+
+
+def template(spark: SparkSession, path: str) -> str:
+    """A prompt's template, whole."""
+    return spark.read.text(path, wholetext=True).first()[0]

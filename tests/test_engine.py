@@ -225,3 +225,31 @@ def test_hubs_are_cut(spark):
     got = graph.adjacency(e, most=100).collect()
     assert {r["part"] for r in got if r["src"] == 1} == {0} and len([r for r in got if r["src"] == 0]) == 10
     assert sorted(x["to"] for r in got if r["src"] == 0 for x in r["edges"]) == list(range(1000)) and max(len(r["edges"]) for r in got) < 200
+
+
+def test_names_are_looked_up_or_searched(spark):
+    c, s, d, lines = tables(spark)
+    asked = spark.createDataFrame([(1, " player::RUN "), (2, "stop"), (3, "halt now"), (4, ""), (5, None)], "query long, text string")
+    got = {(r["query"], r["place"]): (r["chunk"], r["score"], r["source"]) for r in engine.inspect(asked, c, s, d, lines, k=2).collect()}
+    assert got[1, 1] == (1, 100.0, "symbol") and got[2, 1] == (4, 100.0, "symbol") and got[3, 1][0] == 4 and got[3, 1][2] != "symbol" and not any(q > 3 for q, _ in got)
+    assert engine.inspect(asked.filter("query < 3"), c, s, d, lines).count() == 2
+
+
+def test_weights_are_swept_over_parts(spark):
+    rows = [(1, 1, "a", 1, False, 2, 30.0, [("bm25", 10.0), ("dense", 20.0)]), (1, 2, "b", 1, False, 2, 25.0, [("bm25", 25.0)]), (1, 3, "c", 1, False, 2, 20.0, [("dense", 20.0)])]
+    ranked = spark.createDataFrame(rows, "query long, chunk long, file string, line_start long, entry boolean, per_file int, score double, parts array<struct<channel:string,score:double>>")
+    want = spark.createDataFrame([(1, "a"), (1, "c")], "query long, file string")
+    got = {r["weight"]: (r["mean_coverage"], r["best"]) for r in engine.weight_sweep(ranked, want, [0, 10, 20, 40], k=2).collect()}
+    assert got == {0.0: (0.5, False), 10.0: (0.5, False), 20.0: (0.5, False), 40.0: (1.0, True)}
+    kept = ranked.select("query", "file", F.col("chunk").alias("rank"))
+    assert [tuple(r) for r in engine.named_files(kept, want.unionByName(want), k=2).collect()] == [(1, 0.5, ["a"], ["c"])]
+
+
+def test_reports_of_no_files(spark):
+    f = spark.createDataFrame([], "file string, top_dir string, lines long, encoding string, binary boolean, generated boolean")
+    t = spark.createDataFrame([], "file string, kind string")
+    r = profile.report(f, t).first()
+    assert r["totals"]["n_files"] == 0 and r["folders"] == [] and r["untagged"] == [] and r["risk"] is None
+    one = spark.createDataFrame([("a.c", None, 5, "utf-8", None, False), ("b.c", "x", 9, "binary", True, False)], f.schema)
+    r = profile.report(one, t).first()
+    assert r["untagged"] == ["a.c"] and [x["file"] for x in r["longest"]] == ["b.c", "a.c"] and r["risk"]["untagged"] == 1

