@@ -89,7 +89,19 @@ def generated_flag(t):
     return t("pages").select("page_id", rules.generated(h, T.lines(h)).alias("generated"))
 
 
-@query()
+# Pieces as the line counter reads them; a line is the number of line feeds before a piece, and lines end at line feeds only in the driver's pages.
+SQL_PIECES = r"""//[^\n]*|/\*(?s:.*?)\*/|/\*(?s:.*)|"(?:[^"\\\n]|\\[^\n])*\\?"?|''(?:[^''\\\n]|\\[^\n])*\\?''?|\n|[^\s"''/]+|/"""
+
+
+@query(
+    rf"""WITH h AS (SELECT page_id, coalesce(html, '') AS x FROM pages), n AS (SELECT page_id, x, CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, chr(10), '')) + CASE WHEN ends_with(x, chr(10)) THEN 0 ELSE 1 END END AS lines FROM h),
+  p AS (SELECT page_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(CASE WHEN ends_with(x, chr(10)) THEN left(x, length(x) - 1) ELSE x END, '{SQL_PIECES}') AS l FROM n)),
+  a AS (SELECT page_id, s, coalesce(sum(length(s) - length(replace(s, chr(10), ''))) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM p),
+  c AS (SELECT DISTINCT page_id, line FROM a WHERE s <> chr(10) AND NOT starts_with(s, '//') AND NOT starts_with(s, '/*')),
+  m AS (SELECT DISTINCT page_id, line + k AS line FROM (SELECT page_id, line, unnest(string_split(s, chr(10))) AS part, generate_subscripts(string_split(s, chr(10)), 1) - 1 AS k FROM a WHERE starts_with(s, '//') OR starts_with(s, '/*')) WHERE part <> '')
+  SELECT page_id, (SELECT count(*) FROM c WHERE c.page_id = n.page_id) AS code, (SELECT count(*) FROM m ANTI JOIN c USING (page_id, line) WHERE m.page_id = n.page_id) AS comment,
+    CAST(lines - (SELECT count(*) FROM (SELECT page_id, line FROM c UNION SELECT page_id, line FROM m) AS u WHERE u.page_id = n.page_id) AS BIGINT) AS blank FROM n"""
+)
 def loc_state_machine(t):
     return code.loc(t("pages"), "page_id", "html")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skeinworks.sources.tree import opened
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,3 +49,28 @@ def recent(spark: SparkSession, path: str, schema: str, time: str, n: int) -> Da
 def sync_history(log: DataFrame, time: str = "time_utc", count: str = "file_count") -> DataFrame:
     """The log of synchronisations with each one's change of files against the one before (null for the first); a row to a run."""
     return log.withColumn("delta_files", F.col(count) - F.lag(count).over(Window.orderBy(time)))
+
+
+def revision(root: str) -> str | None:
+    """The commit that a working folder is at, from the files that git keeps in it; None without them. Branches may be loose or packed, and `.git` a file that names another folder."""
+    fs, path = opened(root)
+
+    def read(name: str) -> str | None:
+        if fs.get_file_info(name).type.name != "File":
+            return None
+        with fs.open_input_stream(name) as f:
+            return f.read().decode("utf-8", "replace").strip()
+
+    folder = f"{path}/.git"
+    told = read(folder)
+    if told and told.startswith("gitdir:"):
+        named = told.removeprefix("gitdir:").strip()
+        folder = named if named.startswith("/") else f"{path}/{named}"
+    head = read(f"{folder}/HEAD")
+    if not head or not head.startswith("ref:"):
+        return head or None
+    ref = head.removeprefix("ref:").strip()
+    if sha := read(f"{folder}/{ref}"):
+        return sha
+    packed = (line.split(" ", 1) for line in (read(f"{folder}/packed-refs") or "").splitlines() if line[:1] not in ("#", "^"))
+    return next((sha for sha, name in packed if name == ref), None)

@@ -157,3 +157,20 @@ def test_previews_and_templates(spark, tmp_path):
     assert [r[0] for r in d.select(files.preview(F.col("b"), F.col("kind"))).collect()] == ["a�", "中", "é", "", "", ""]
     (tmp_path / "t.md").write_text("a {{question}}\nb\n")
     assert files.template(spark, str(tmp_path / "t.md")) == "a {{question}}\nb\n"
+
+
+def test_revisions(tmp_path):
+    assert store.revision(str(tmp_path)) is None
+    git = tmp_path / ".git"
+    (git / "refs/heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    assert store.revision(str(tmp_path)) is None
+    (git / "packed-refs").write_text("# pack-refs\n" + "a" * 40 + " refs/heads/other\n" + "b" * 40 + " refs/heads/main\n^" + "c" * 40 + "\n")
+    assert store.revision(f"file://{tmp_path}") == "b" * 40
+    (git / "refs/heads/main").write_text("d" * 40 + "\n")
+    assert store.revision(str(tmp_path)) == "d" * 40
+    (git / "HEAD").write_text("e" * 40)
+    assert store.revision(str(tmp_path)) == "e" * 40
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree/.git").write_text(f"gitdir: {git}\n")
+    assert store.revision(str(tmp_path / "tree")) == "e" * 40
