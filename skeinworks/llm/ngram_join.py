@@ -153,7 +153,7 @@ def _home(block, shards: int):
     return ((block >> BLOCKS) * PARTS + (block & ((1 << BLOCKS) - 1))) % shards
 
 
-def _settled(docs: DataFrame) -> DataFrame:
+def settled(docs: DataFrame) -> DataFrame:
     """docs, written if a lost task could get its rows in another order when it runs again, as sets are known by their places."""
     return stage(docs, "documents") if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
@@ -320,7 +320,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = _settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL"))
+    docs = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL"))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     # About one token for six characters.
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // GROUP)
