@@ -22,7 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows the one with the least doc_id, null last. Rows are told apart by numbers of their own, so repeated and null ids are rows as any other."""
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "numbered")  # written, as numbers may change when computed again
+    # A scan numbers its rows alike whenever it runs, so only what comes from a shuffle is written first.
+    rows = ngram_join.settled(docs.select(*COLUMNS)).select(F.monotonically_increasing_id().alias("row"), *COLUMNS)
     groups = ngram_join.ngram_jaccard_join(rows.select(F.col("row").alias("doc_id"), "text"), n=5, percent=75)
     groups = stage(groups.select(F.col("doc_id").alias("row"), "component_id"), "groups")
     # A row's group is known by its least row. Only groups of two rows or more have rows to drop.
