@@ -4,12 +4,13 @@ For every node of the DOM: C characters, T tags, LC characters in links, LT link
 density is C / T times the logarithm, to a base that grows with the share of link text, of
 (C / LC) * (T / LT); a zero count stands as 1. The node with the greatest sum of its children's densities
 is the main subtree; the least density on its path to the body is the threshold, and other subtrees
-under the body that reach it give their own best subtree. The tree holds all but scripts and form controls: menus,
-adverts and footers are left out because the main subtree isn't there. Where elements or their classes name a part
-of a page (a nav, an aside, comments), its density counts a part only, so it must be so much denser.
+under the body that reach it give their own best subtree. The tree holds all but scripts and form controls. Where elements or
+their classes name a part of a page (a nav, an aside, comments), its density counts a part only, so it must be so much
+denser to hold the main subtree; named parts beside the main subtree's path go, but for those that may hold the article as
+well, which stay if their density sums are a share of the main one's.
 An article is more than its densest subtree: what is found brings all of the article or main that it is in;
-on pages without these, all but blocks of links of the ancestor whose link-free text is mostly found. Named parts
-beside the main subtree's path stay only if their density sums are a share of the main one's.
+on pages without these, all but blocks of links of the ancestor whose link-free text is mostly found. So where a page
+names its parts, menus, adverts and footers are left out by name, and densities decide only where it doesn't.
 All steps take time in proportion to the page.
 """
 

@@ -307,7 +307,7 @@ def article_of(page):
 
 
 def test_html_finds_the_article_by_density_alone(monkeypatch):
-    """Without any name of a part (class, nav, footer) most of the driver's pages give the same texts, and without densities none does."""
+    """Without any name of a part (class, nav, footer) most of the driver's pages give the same texts, and without names and densities none does."""
     pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
     want = pages.map(article_of)
     assert (pages.map(html.main_text) == want).all()
