@@ -1,8 +1,9 @@
 """Steps of the search that met each row too often: the same result, with work that follows what differs."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from skeinworks.operators import search
+from skeinworks.operators import retrieval, search
 
 
 def test_classes_meet_questions_once(spark):
@@ -14,3 +15,38 @@ def test_classes_meet_questions_once(spark):
     assert sorted(map(tuple, got.collect())) == [(q, c, search.CLASS_METHOD) for q in range(5) for c in range(8)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]  # nothing is told apart after the questions have met their chunks
+
+
+def test_copies_and_alike_questions_are_scored_once(spark, monkeypatch):
+    texts = ["red engine valve", "red engine", "blue engine engine", "Valve, valve; cold"]
+    docs = spark.createDataFrame([(i, texts[i * 7 % 4] if i % 9 else f"odd{i} valve") for i in range(120)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, ["engine valve", "valve engine", "cold red"][i % 3]) for i in range(12)], "item_id long, text string")
+    seen, plain = [], retrieval._scored
+
+    def scored(p, q, *rest):
+        seen.append((p.count(), q.select("query").distinct().count()))
+        return plain(p, q, *rest)
+
+    def rows():
+        return sorted((r["item_id"], r["doc_id"], r["score"]) for r in retrieval.bm25(docs, asked, k=5).collect())
+
+    monkeypatch.setattr(retrieval, "_scored", scored)
+    got = rows()
+    assert seen == [(18, 2)]  # 4 texts and 14 odd ones of 120, 2 sets of words of 12 questions
+    monkeypatch.setattr(retrieval, "MOST_BEST", 5)  # a question to a block
+    assert rows() == got
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 0)
+    assert rows() == got and len(got) == 12 * 5
+
+
+def test_rows_behind_the_kth_are_not_taken_in():
+    for kind in (np.int64, object):
+        best = retrieval.Best(2, 2)
+        best.most = 4
+        add = lambda q, key, s: best.add(np.array(q), np.array(key, kind), np.array(s, float))  # noqa: B023, E731
+        add([0, 0, 0, 1, 0], [5, 3, 9, 4, 8], [1, 2, 2, 1, 2])
+        assert best.n == 3
+        add([0, 0, 0], [7, 9, 1], [1, 2, 1.5])
+        assert best.n == 3  # worse, or equal with a greater key
+        add([0, 1], [6, 2], [2, 1])
+        assert [x.tolist() for x in best.kept()] == [[0, 0, 1, 1], [3, 6, 2, 4], [2, 2, 1, 1]]
