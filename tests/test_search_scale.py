@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from skeinworks.operators import retrieval, search
+from skeinworks.operators import engine, retrieval, search
 
 
 def test_classes_meet_questions_once(spark):
@@ -50,3 +50,11 @@ def test_rows_behind_the_kth_are_not_taken_in():
         assert best.n == 3  # worse, or equal with a greater key
         add([0, 1], [6, 2], [2, 1])
         assert [x.tolist() for x in best.kept()] == [[0, 0, 1, 1], [3, 6, 2, 4], [2, 2, 1, 1]]
+
+
+def test_alike_questions_are_searched_for_once(spark):
+    asked = spark.createDataFrame([(3, "a"), (5, "a"), (7, "a"), (4, "b")], "query long, text string")
+    dense = spark.createDataFrame([(5, 1, 2.0)], "query long, chunk long, score double")
+    assert sorted(map(tuple, engine.alike(asked, dense).collect())) == [(3, 3), (4, 4), (5, 5), (7, 3)]
+    assert sorted(map(tuple, engine.alike(asked).collect())) == [(3, 3), (4, 4), (5, 3), (7, 3)]
+    assert sorted(map(tuple, engine.each_of(spark.createDataFrame([(3, 9)], "query long, chunk long"), engine.alike(asked)).collect())) == [(3, 9), (5, 9), (7, 9)]
