@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skeinworks.operators import engine, retrieval, search
+from skeinworks.plans.stage import stage
 
 
 def test_classes_meet_questions_once(spark):
@@ -58,3 +59,14 @@ def test_alike_questions_are_searched_for_once(spark):
     assert sorted(map(tuple, engine.alike(asked, dense).collect())) == [(3, 3), (4, 4), (5, 5), (7, 3)]
     assert sorted(map(tuple, engine.alike(asked).collect())) == [(3, 3), (4, 4), (5, 3), (7, 3)]
     assert sorted(map(tuple, engine.each_of(spark.createDataFrame([(3, 9)], "query long, chunk long"), engine.alike(asked)).collect())) == [(3, 9), (5, 9), (7, 9)]
+
+
+def test_hits_meet_what_is_found_once_for_chunks_and_questions(spark):
+    chunks = spark.createDataFrame([(i, f"src/a/m{i % 3}.c", 10 * i, 10 * i + 5, "function", "on_run", "C11", 10 * i, "run C11") for i in range(9)], "chunk long, file string, start long, end long, type string, symbol string, class string, symbol_start long, text string")
+    asked = stage(search.ask(spark.createDataFrame([(1, "模块系统 C11 register"), (2, "nothing")], "query long, text string")), "asked")
+    found = spark.createDataFrame([(q, c, 50.0) for q in (1, 2) for c in range(9)], "query long, chunk long, score double")
+    merged = search.merge({"rg": found, "bm25": found.filter("chunk < 4")}, asked, stage(chunks, "chunks"))
+    top = merged._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "regexp" not in top and "模块系统" not in top  # neither paths nor questions are read again for each hit
+    got = {(r["query"], r["chunk"]): (r["score"], r["source"]) for r in merged.collect()}
+    assert len(got) == 18 and got[1, 0] == (50 + 50 + 3 + 4 + 6 + 8, "bm25+rg") and got[2, 8] == (50 + 3 + 4 + 6, "rg")
