@@ -70,3 +70,28 @@ def test_hits_meet_what_is_found_once_for_chunks_and_questions(spark):
     assert "regexp" not in top and "模块系统" not in top  # neither paths nor questions are read again for each hit
     got = {(r["query"], r["chunk"]): (r["score"], r["source"]) for r in merged.collect()}
     assert len(got) == 18 and got[1, 0] == (50 + 50 + 3 + 4 + 6 + 8, "bm25+rg") and got[2, 8] == (50 + 3 + 4 + 6, "rg")
+
+
+def test_weights_are_tried_on_hits_that_they_move(spark, monkeypatch):
+    parts = lambda *p: [{"channel": c, "score": float(x)} for c, x in p]
+    rows = [(1, i, f"f{i % 7}", i, i % 2 == 0, 2, float(i * 13 % 17), parts(("bm25", i * 13 % 17))) for i in range(60)]
+    rows += [(1, 100 + i, f"f{i % 9}", i, False, 2, 9.0 + i, parts(("bm25", 5), ("dense", 4 + i)) if i % 3 else parts(("dense", 9 + i))) for i in range(8)]
+    ranked = spark.createDataFrame(rows, "query long, chunk long, file string, line_start long, entry boolean, per_file int, score double, parts array<struct<channel: string, score: double>>")
+    expected = spark.createDataFrame([(1, f"f{i}") for i in range(9)], "query long, file string")
+    weights, want = [0, 5, 20, 40], {}
+    for w in weights:
+        scored = []
+        for _, c, f, line, entry, _, score, p in rows:
+            own = sum(x["score"] for x in p if x["channel"] == "dense")
+            if w or any(x["channel"] != "dense" for x in p):
+                scored.append((-round(score + own * (w / 20 - 1), 2), not entry, f, line, c))
+        held, top = {}, []
+        for x in sorted(scored):
+            held[x[2]] = held.get(x[2], 0) + 1
+            if held[x[2]] <= 2 and len(top) < 5:
+                top.append(x[2])
+        want[float(w)] = round(len(set(top)) / 9, 6)
+    seen, plain = [], retrieval.diversify
+    monkeypatch.setattr(retrieval, "diversify", lambda hits, *rest: seen.append(hits.count()) or plain(hits, *rest))
+    got = {r["weight"]: r["mean_coverage"] for r in engine.weight_sweep(ranked, expected, weights).collect()}
+    assert got == want and max(seen) <= 60  # not 68 hits times 4 weights
