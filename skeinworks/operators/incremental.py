@@ -60,8 +60,9 @@ def edges(mentions: DataFrame, targets: DataFrame, counts: DataFrame, most: int
     mentions, targets: (file, chunk, name), each row once; counts: (name, n) of mentions. Names of over `most` mentions give none.
     """
     quiet = counts.filter(F.col("n") <= most).select("name")
-    t = targets.select("name", F.col("chunk").alias("dst"), F.col("file").alias("__to"))
-    return mentions.join(quiet, "name", "left_semi").join(t, "name").filter("file <> __to").select(F.col("chunk").alias("src"), "dst", "name", "file")
+    # Targets are far fewer than mentions, so they are told apart first.
+    t = targets.join(quiet, "name", "left_semi").select("name", F.col("chunk").alias("dst"), F.col("file").alias("__to"))
+    return mentions.join(t, "name").filter("file <> __to").select(F.col("chunk").alias("src"), "dst", "name", "file")
 
 
 def edges_after(old: DataFrame, paths: DataFrame, mentions: tuple[DataFrame, DataFrame], targets: tuple[DataFrame, DataFrame], counts: tuple[DataFrame, DataFrame], most: int = MOST) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skeinworks.operators import engine, retrieval, search
+from skeinworks.plans import index_queries
+from skeinworks.plans.catalog import QUERIES
 from skeinworks.plans.stage import stage
 
 
@@ -95,3 +97,14 @@ def test_weights_are_tried_on_hits_that_they_move(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "diversify", lambda hits, *rest: seen.append(hits.count()) or plain(hits, *rest))
     got = {r["weight"]: r["mean_coverage"] for r in engine.weight_sweep(ranked, expected, weights).collect()}
     assert got == want and max(seen) <= 60  # not 68 hits times 4 weights
+
+
+def test_incremental_queries_cut_texts_once_and_build_what_they_return(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(index_queries, "stage", lambda df, name, *rest: staged.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or stage(df, name, *rest))
+    for name, built in (("incremental_counts", ["changes", "touched", "before", "fresh", "counts"]), ("incremental_work", ["changes", "touched", "before", "fresh"])):
+        staged.clear()
+        out = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert [x for x, _ in staged] == built  # no edges, no copy of the whole table
+        assert [x for x, plan in staged if "regexp_extract_all" in plan] == ["before", "fresh"] and all(plan.count("regexp_extract_all") <= 1 for _, plan in staged)
+        assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
