@@ -108,3 +108,8 @@ def test_incremental_queries_cut_texts_once_and_build_what_they_return(spark, mo
         assert [x for x, _ in staged] == built  # no edges, no copy of the whole table
         assert [x for x, plan in staged if "regexp_extract_all" in plan] == ["before", "fresh"] and all(plan.count("regexp_extract_all") <= 1 for _, plan in staged)
         assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_reply_is_read_once(spark):
+    plan = QUERIES["plan_parse"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.count("jsontostructs") == 1 and plan.count("try_parse_json") + plan.count("tryParseJson") + plan.count("parseJson") <= 1
