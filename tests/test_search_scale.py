@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from skeinworks.operators import engine, retrieval, search
+from skeinworks.operators import engine, graph, retrieval, search
 from skeinworks.plans import index_queries
 from skeinworks.plans.catalog import QUERIES
 from skeinworks.plans.stage import stage
@@ -113,3 +113,32 @@ def test_incremental_queries_cut_texts_once_and_build_what_they_return(spark, mo
 def test_a_reply_is_read_once(spark):
     plan = QUERIES["plan_parse"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") + plan.count("jsontostructs") == 1 and plan.count("try_parse_json") + plan.count("tryParseJson") + plan.count("parseJson") <= 1
+
+
+def test_ranks_of_equal_seeds_are_found_once_in_pieces(spark, monkeypatch):
+    e = spark.createDataFrame([(k, (k * 7 + j) % 60, 1.0 + j) for k in range(50) for j in range(1, 5)], "src long, dst long, weight double")
+    s = spark.createDataFrame([(q, q % 3 * 5, 1.0 + q) for q in range(9)] + [(9, 0, 1.0), (9, 1, 1.0)], "query long, id long, weight double")
+    step = np.zeros((60, 60))
+    for k in range(50):
+        for j in range(1, 5):
+            step[(k * 7 + j) % 60, k] += (1.0 + j) / 14
+    staged = []
+    monkeypatch.setattr(graph, "stage", lambda df, name, *rest: staged.append(name) or stage(df, name, *rest))
+    for sizes in ((60, 64, 1 << 20), (7, 2, 1 << 20), (30, 64, 60)):
+        for name, size in zip(("PIECE", "COLUMNS", "CELLS"), sizes, strict=True):
+            monkeypatch.setattr(graph, name, size)
+        assert graph.alike_seeds(s.select("query", "id", F.lit(1.0).alias("p"))).select("first").distinct().count() == 4
+        got = {(r["query"], r["id"]): r["rank"] for r in graph.personalized(e, s, rounds=2, least=0.0).collect()}
+        for q in range(10):
+            p = np.zeros(60)
+            p[[0, 1] if q == 9 else [q % 3 * 5]] = 0.5 if q == 9 else 1.0
+            r = p
+            for _ in range(2):
+                x = step @ r
+                r = 0.85 * x + p * (0.15 + 0.85 * (1 - x.sum()))
+            assert np.allclose([got.get((q, i), 0.0) for i in range(60)], r, atol=1e-12)
+    best = graph.personalized(e, s, rounds=2, least=0.0, most=3).collect()
+    for q in range(10):
+        want = sorted((-round(v, 9), i) for (p, i), v in got.items() if p == q)[:3]
+        assert sorted((-round(r["rank"], 9), r["id"]) for r in best if r["query"] == q)[:3] == want
+    assert staged.count("flow") == 3 * 2 + 2
