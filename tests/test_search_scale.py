@@ -149,3 +149,10 @@ def test_texts_that_went_are_not_cut(spark, monkeypatch):
     monkeypatch.setattr(index_queries, "stage", lambda df, name, *rest: cut.update({name: (df.count(), df.columns)}) or stage(df, name, *rest))
     rows = {r["what"]: r["rows"] for r in QUERIES["incremental_work"](spark, "/root/testdata/sf0.001").collect()}
     assert cut["before"][0] + cut["fresh"][0] == rows["files"] and cut["before"][1] == cut["fresh"][1] == ["n"]
+
+
+def test_only_symbols_that_questions_meet_get_chunks_for_answers(spark, monkeypatch):
+    seen, plain = [], search.chunks_of
+    monkeypatch.setattr(search, "chunks_of", lambda symbols, chunks, *rest: seen.append((symbols.count(), chunks.filter("symbol <> ''").count())) or plain(symbols, chunks, *rest))
+    QUERIES["answer_rates"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and 0 < seen[0][0] < seen[0][1] / 4
