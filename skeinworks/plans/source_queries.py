@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skeinworks.functions import text as T
 from skeinworks.operators import code, symbols
 from skeinworks.plans.queries import query
-from skeinworks.plans.stage import stage
+from skeinworks.plans.stage import spread, stage
 
 # What a part of each remainder by 8 writes: @k its key, @s its size by 60, @m its key by 90, @fill a line for each of size by 5.
 PIECES = [
@@ -56,17 +56,22 @@ def sources(t) -> DataFrame:
     return stage(body.select(file.alias("file"), F.lit("src").alias("top_dir"), text.alias("text")), "sources")
 
 
+def lexed(s: DataFrame) -> DataFrame:
+    """The sources' symbols; sources are small for the work that they are, so all cores read them."""
+    return stage(symbols.symbols(spread(s)), "symbols")
+
+
 def parsed(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files with lines, symbols, their ends)."""
     s = sources(t)
-    found = stage(symbols.symbols(s), "symbols")
+    found = lexed(s)
     files = s.select("file", "top_dir", T.lines(F.col("text")).alias("lines"))
     return files, found, stage(code.symbol_ends(files, found), "ends")
 
 
 @query(f"WITH {SQL_SOURCES} SELECT file, name, kind, line, end_line, class, scope_kind FROM y")
 def source_symbols(t):
-    return symbols.symbols(sources(t))
+    return symbols.symbols(spread(sources(t)))
 
 
 SQL_SOURCE_CHUNKS = SQL_SOURCES + r""", sc AS (SELECT file, line, "end", name, kind, class, CASE kind WHEN 'function' THEN 'function' ELSE 'class' END AS type FROM ey WHERE (kind = 'function' AND ends_with(file, '.cpp')) OR (kind IN ('class', 'struct') AND ends_with(file, '.h')))"""
@@ -109,7 +114,7 @@ def dispatch_handlers(t):
 )
 def innermost_symbol(t):
     """Of every line of the sources the smallest symbol around it."""
-    files, found, _ = parsed(t)
-    lines = files.select("file", F.explode(F.sequence(F.lit(1).cast("long"), F.size("lines").cast("long"))).alias("line"))
-    ranges = found.filter("kind <> 'macro'").select("file", F.col("line").alias("start"), F.col("end_line").alias("end"), "name")
+    s = sources(t)
+    lines = s.select("file", F.explode(F.sequence(F.lit(1).cast("long"), F.size(T.lines(F.col("text"))).cast("long"))).alias("line"))
+    ranges = lexed(s).filter("kind <> 'macro'").select("file", F.col("line").alias("start"), F.col("end_line").alias("end"), "name")
     return symbols.enclosing(lines, ranges, step=16).select("file", "line", F.col("inner.name").alias("name"), F.col("inner.start").alias("start"))

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skeinworks.operators import engine, graph, retrieval, search
-from skeinworks.plans import index_queries
+from skeinworks.plans import index_queries, source_queries
 from skeinworks.plans.catalog import QUERIES
 from skeinworks.plans.stage import stage
 
@@ -156,3 +156,12 @@ def test_only_symbols_that_questions_meet_get_chunks_for_answers(spark, monkeypa
     monkeypatch.setattr(search, "chunks_of", lambda symbols, chunks, *rest: seen.append((symbols.count(), chunks.filter("symbol <> ''").count())) or plain(symbols, chunks, *rest))
     QUERIES["answer_rates"](spark, "/root/testdata/sf0.001")
     assert len(seen) == 1 and 0 < seen[0][0] < seen[0][1] / 4
+
+
+def test_sources_are_read_on_all_cores_and_ends_only_where_they_are_asked_for(spark, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(source_queries, "stage", lambda df, name, *rest: staged.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or stage(df, name, *rest))
+    for query, names in (("innermost_symbol", ["sources", "symbols"]), ("source_chunks", ["sources", "symbols", "ends"])):
+        staged.clear()
+        QUERIES[query](spark, "/root/testdata/sf0.001")
+        assert list(staged) == names and "Repartition" in staged["symbols"]
