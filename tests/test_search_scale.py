@@ -165,3 +165,29 @@ def test_sources_are_read_on_all_cores_and_ends_only_where_they_are_asked_for(sp
         staged.clear()
         QUERIES[query](spark, "/root/testdata/sf0.001")
         assert list(staged) == names and "Repartition" in staged["symbols"]
+
+
+def test_methods_behind_another_of_their_file_are_not_merged(spark, monkeypatch):
+    kinds = ["function", "function", "class", "fallback"]
+    rows = []
+    for i in range(240):
+        kind, symbol = kinds[i % 7 % 4], f"on_go{i % 4}" if i % 5 else f"C{i % 2}"
+        rows.append((i, f"src/a/m{i % 6}.c", 20 * i, 20 * i + 9, kind, symbol if kind != "fallback" else "", f"C{i % 2}" if kind == "function" and i % 3 else "", 20 * i - (i % 11 == 0), f"{symbol} C{i % 2} w{i}"))
+    chunks = stage(spark.createDataFrame(rows, "chunk long, file string, start long, end long, type string, symbol string, class string, symbol_start long, text string"), "chunks")
+    symbols = stage(chunks.filter("symbol <> ''").select("file", F.col("symbol").alias("name"), F.col("type").alias("kind"), "class", F.col("symbol_start").alias("line")).distinct(), "symbols")
+    asked = stage(search.ask(spark.createDataFrame([(1, "模块系统 C1 register w7"), (2, "模块系统 C0 C1 register on_go1"), (3, "C1 on_go2"), (4, "模块系统 C1 register w7")], "query long, text string")), "asked")
+    entries = spark.createDataFrame([("G1", "src/a/m1.c", 21, True)], "command string, file string, line long, sure boolean")
+    lines = chunks.select("file", F.col("start").alias("line"), "text")
+    methods = search.class_chunks(search.chunks_of(symbols.filter("kind = 'function' AND class <> ''"), chunks, lines=False), chunks)
+    first = [r["chunk"] for r in search.leading(methods, chunks).select("chunk").distinct().collect()]
+    assert 0 < len(first) < methods.select("chunk").distinct().count() / 3
+    # A vector channel that takes points from those that would come first.
+    for dense in ([(1, c, 3.0 + c % 5) for c in range(0, 240, 30)], [(1, c, -30.0) for c in first[: len(first) // 2]]):
+        sizes, out = [], []
+        monkeypatch.setattr(engine, "stage", lambda df, name, *rest: sizes.append(df.count()) or stage(df, name, *rest) if name == "merged" else stage(df, name, *rest))  # noqa: B023
+        for whole in (True, False):
+            _, ranked, kept, behind = engine.run_alike(asked, chunks, symbols, entries, lines, spark.createDataFrame(dense, "query long, chunk long, score double"), 3, whole)
+            gone = search.drop_reason(ranked, kept, 3)
+            gone = gone if whole else gone.unionByName(behind.withColumn("reason", F.lit("file")))
+            out.append((sorted(map(tuple, kept.select("query", "rank", "chunk", "score", "source", "line_start", "snippet").collect())), sorted(map(tuple, gone.collect()))))
+        assert out[0] == out[1] and out[0][0] and len({r for _, _, r in out[0][1]}) == 2 and sizes[1] < sizes[0]
