@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of words and of command codes.
-WORD = r"([A-Za-z_][\p{L}\p{N}_]*|\p{Nd}+)"
+WORD = r"([A-Za-z_][\w\p{L}\p{N}]*+|\p{Nd}++)"
 COMMAND = r"(?i)\b([GM])\s*[-:]?\s*(\d+(?:\.\d+)?)\b"
 NEWLINE = r"\r\n|\r|\n"
 
 
 def tokens(text: Column) -> Column:
     """Distinct lower-cased identifiers in first-seen order: each word, its camel-case parts, its parts at underscores; two characters at least."""
-    t = F.regexp_replace(F.replace(F.replace(text, F.lit("->"), F.lit(" ")), F.lit("::"), F.lit(" ")), "G-[Cc]ode", "gcode")
+    t = F.replace(F.replace(text, F.lit("->"), F.lit(" ")), F.lit("::"), F.lit(" "))
+    t = F.when(F.contains(text, F.lit("G-")), F.regexp_replace(t, "G-[Cc]ode", "gcode")).otherwise(t)  # few texts hold one
 
     def parts(w):
         rest = F.substring(w, 2, 1 << 30)

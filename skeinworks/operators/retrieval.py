@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -18,6 +19,8 @@ from skeinworks.plans.stage import blocks, bounded_batches, spread, stage
 
 #: The most terms of queries, and bytes of passages and of query vectors, that are broadcast at once, and the most rows that a task's best of all queries hold.
 MOST_TERMS, PASSAGE_BYTES, DENSE_BYTES, MOST_BEST = 200_000, 1 << 24, 1 << 25, 1 << 20
+#: Sums, and what they are made of, that a task holds at once.
+RUN_CELLS = 1 << 20
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -142,25 +145,38 @@ def _scored(p: DataFrame, q: DataFrame, k: int, k1: float, b: float) -> DataFram
     def found(at: int) -> DataFrame:
         own = (codes >= at) & (codes < at + n)
         terms, of_query = every[own], codes[own] - at
-        of = {token: (of_query[rows], terms["idf"].to_numpy()[rows] * (k1 + 1)) for token, rows in terms.groupby("token").indices.items()}
-        held = p.sparkSession.sparkContext.broadcast((of, pa.array(ids[at : at + n].tolist(), kinds[0])))
+        # A term's queries and weights lie together, from first[term] on.
+        term, words = pd.factorize(terms["token"])
+        order = np.argsort(term, kind="stable")
+        first = np.searchsorted(term[order], np.arange(len(words) + 1))
+        whole = (pa.array(words, pa.string()), first, of_query[order], terms["idf"].to_numpy(float)[order] * (k1 + 1), pa.array(ids[at : at + n].tolist(), kinds[0]))
+        held = p.sparkSession.sparkContext.broadcast(whole)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, ids = held.value
-            best, total = Best(k, len(ids)), np.zeros(len(ids))
+            words, first, of_query, weight, ids = held.value
+            best = Best(k, len(ids))
             for batch in batches:
-                keys = _keys(batch.column(0))
-                for i, found in enumerate(batch.column(1).to_pylist()):
-                    met = [of[x] for x in found or () if x in of]
-                    if not met:
+                keys, lists = _keys(batch.column(0)), batch.column(1)
+                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                met = pc.index_in(lists.flatten(), value_set=words)
+                here = np.flatnonzero(pc.is_valid(met).to_numpy(zero_copy_only=False))
+                row, met = np.repeat(np.arange(len(size)), size)[here], met.drop_null().to_numpy().astype(np.int64)
+                wide = first[met + 1] - first[met]
+                # Rows go in pieces of about RUN_CELLS numbers.
+                piece = np.cumsum(np.bincount(row, wide, len(size)).astype(np.int64) + len(ids)) // RUN_CELLS
+                ends = np.searchsorted(piece, np.unique(piece), "right") if len(ids) else []
+                for low, high in zip([0, *ends[:-1]], ends, strict=True):
+                    a, z = np.searchsorted(row, [low, high])
+                    if a == z:
                         continue
-                    for query, weight in met:
-                        total[query] += weight
+                    w = wide[a:z]
+                    at_ = np.repeat(first[met[a:z]] - np.append(0, np.cumsum(w)[:-1]), w) + np.arange(w.sum())
+                    total = np.bincount(np.repeat(row[a:z] - low, w) * len(ids) + of_query[at_], weight[at_], (high - low) * len(ids))
                     some = np.flatnonzero(total)
-                    s = np.round(total[some] / (1 + k1 * (1 - b + b * len(found) / avg)), 9)
-                    total[some] = 0.0
+                    of, query = some // len(ids) + low, some % len(ids)
+                    s = np.round(total[some] / (1 + k1 * (1 - b + b * size[of] / avg)), 9)
                     up = s > 0
-                    best.add(some[up], np.repeat(keys[i : i + 1], up.sum()), s[up])
+                    best.add(query[up], keys[of[up]], s[up])
             yield best.batch(ids, kinds, ["query", "key", "s"])
 
         return p.mapInArrow(run, f"query {q.schema['query'].dataType.simpleString()}, key {p.schema['key'].dataType.simpleString()}, s double")

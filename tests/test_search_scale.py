@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from skeinworks.functions import text
 from skeinworks.operators import engine, graph, retrieval, search
 from skeinworks.plans import index_queries, source_queries
 from skeinworks.plans.catalog import QUERIES
@@ -191,3 +192,26 @@ def test_methods_behind_another_of_their_file_are_not_merged(spark, monkeypatch)
             gone = gone if whole else gone.unionByName(behind.withColumn("reason", F.lit("file")))
             out.append((sorted(map(tuple, kept.select("query", "rank", "chunk", "score", "source", "line_start", "snippet").collect())), sorted(map(tuple, gone.collect()))))
         assert out[0] == out[1] and out[0][0] and len({r for _, _, r in out[0][1]}) == 2 and sizes[1] < sizes[0]
+
+
+def test_rows_are_scored_in_pieces(spark, monkeypatch):
+    texts = [f"aB_c w{i % 7} x{i % 3} x{i % 11} y{i}" if i % 10 else None for i in range(90)]
+    p = spark.createDataFrame([(i, None if x is None else [*dict.fromkeys(x.lower().split())]) for i, x in enumerate(texts)], "key long, t array<string>").coalesce(1)
+    terms = [(q, w, 0.3 + len(w) * 0.1 + q * 0.01, 4.5) for q in range(6) for w in [f"w{q}", f"x{q % 3}", "ab_c", f"y{q * 7}", "gone"]]
+    q = spark.createDataFrame(terms, "query long, token string, idf double, avg_len double")
+    want = {}
+    for key, t in p.collect():
+        for query in range(6):
+            s = sum(idf * 2.5 for of, w, idf, _ in terms if of == query and w in (t or []))
+            if s:
+                want.setdefault(query, []).append((-round(s / (1 + 1.5 * (0.25 + 0.75 * len(t) / 4.5)), 9), key))
+    want = sorted((of, key, -s) for of, rows in want.items() for s, key in sorted(rows)[:4])
+    for cells in (1, 64, 1 << 20):
+        monkeypatch.setattr(retrieval, "RUN_CELLS", cells)
+        assert sorted((r["query"], r["key"], r["s"]) for r in retrieval._scored(p, q, 4, 1.5, 0.75).collect()) == want
+
+
+def test_words_are_cut_alike(spark):
+    texts = ["run G-Code G-code G->Code", "a::B->c fooBar_baz Ünï éa1 x١٢ ٣٤ 9a __x", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(text.tokens(F.col("x"))).collect()]
+    assert got == [["run", "gcode", "code"], ["foobar_baz", "foo", "bar_baz", "foobar", "baz", "nï", "a1", "x١٢", "٣٤", "__x"], [], None]
