@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skeinworks.functions import text
-from skeinworks.operators import engine, graph, retrieval, search
+from skeinworks.operators import engine, graph, retrieval, search, stats
 from skeinworks.plans import index_queries, source_queries
 from skeinworks.plans.catalog import QUERIES
 from skeinworks.plans.stage import stage
@@ -215,3 +215,21 @@ def test_words_are_cut_alike(spark):
     texts = ["run G-Code G-code G->Code", "a::B->c fooBar_baz Ünï éa1 x١٢ ٣٤ 9a __x", "", None]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(text.tokens(F.col("x"))).collect()]
     assert got == [["run", "gcode", "code"], ["foobar_baz", "foo", "bar_baz", "foobar", "baz", "nï", "a1", "x١٢", "٣٤", "__x"], [], None]
+
+
+def test_sparse_traces_get_wide_buckets(spark, monkeypatch):
+    rows = []
+    for trace in range(4):
+        for k in range(40):
+            at, f = k * 5_000_000 + trace, f"f{k % 3}"
+            rows += [(trace, at, 0, f, 1), (trace, at, 1, f, 1), (trace, at + 5, 0, "g", 1), (trace, at + 9, 0, "g", -1), (trace, at + 9, 1, f, -1), (trace, at + 20, 0, f, -1)]
+    log = spark.createDataFrame([*rows, (9, 7, 0, "open", 1)], "trace long, at long, n int, func string, up int")
+    assert stats.bucket_width(log, "trace", "at", 10) > 39 * 5_000_000
+    dense = spark.createDataFrame([(1, i) for i in range(300)], "trace long, at long")
+    monkeypatch.setattr(stats, "BUCKET_ROWS", 8)
+    assert stats.bucket_width(dense.unionByName(spark.createDataFrame([(2, 5), (2, 900_000)], "trace long, at long")), "trace", "at", 2) == 7
+    want = {(f"f{i}", 8 * n, 4 * n, 4 * n * 16, 4 * n * 20) for i, n in enumerate((14, 13, 13))} | {("g", 160, 160, 160 * 4, 160 * 4), ("open", 1, 1, 0, 7 - 7)}
+    for most in (1, 1 << 15):
+        monkeypatch.setattr(stats, "BUCKET_ROWS", most)
+        got = {tuple(r) for r in stats.call_times(log, 1000).select("func", "calls", "outer_calls", "own", "total").collect()}
+        assert got == want
