@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions import text as T
 from skeinworks.operators import graph, retrieval, stats
-from skeinworks.plans.stage import spread, stage
+from skeinworks.plans.stage import pieces, spread, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -275,8 +275,8 @@ SQL_MENTIONS = f"WITH {SQL_TOKENS.replace('{}', 'documents')}, e AS (SELECT doc_
 
 @query(SQL_MENTIONS + " SELECT doc_id, count(*) AS n_symbols, CAST(sum(n) AS BIGINT) AS n_mentions FROM e JOIN k USING (token) GROUP BY doc_id")
 def mention_edges(t):
-    """One shuffle: of a token no task sends on more than 31 documents, as whoever has 31 is left out anyway."""
-    e = spread(t("documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).filter(F.length("token") >= 4)
+    """One shuffle of tokens: of each no task sends on more than 31 documents, as whoever has 31 is left out anyway. A task sorts all its tokens for that, so it gets few texts."""
+    e = pieces(t("documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).filter(F.length("token") >= 4)
     e = e.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy("doc_id"))).filter("r <= 31")
     e = e.withColumn("n", F.max("r").over(Window.partitionBy("token"))).filter("n BETWEEN 2 AND 30")
     return e.groupBy("doc_id").agg(F.count("*").alias("n_symbols"), F.sum("n").cast("long").alias("n_mentions"))

@@ -57,6 +57,11 @@ def spread(df: DataFrame, small: int = 1 << 28) -> DataFrame:
     return df.repartition(cores) if input_bytes(df) < small else df
 
 
+def pieces(df: DataFrame, size: int = 1 << 22) -> DataFrame:
+    """df in partitions of about `size` bytes of its files, at least one to a core, for tasks whose memory follows what a row is blown up to."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // size)))
+
+
 def parts_for(df: DataFrame, rows: int, per_part: int) -> int:
     """Partitions so that each holds about per_part rows, and at least the session's number."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

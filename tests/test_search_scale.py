@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions import text
 from skeinworks.operators import engine, graph, retrieval, search, stats
-from skeinworks.plans import index_queries, source_queries
+from skeinworks.plans import index_queries, queries, source_queries
 from skeinworks.plans.catalog import QUERIES
-from skeinworks.plans.stage import stage
+from skeinworks.plans.stage import input_bytes, pieces, stage
 
 
 def test_classes_meet_questions_once(spark):
@@ -233,3 +233,11 @@ def test_sparse_traces_get_wide_buckets(spark, monkeypatch):
         monkeypatch.setattr(stats, "BUCKET_ROWS", most)
         got = {tuple(r) for r in stats.call_times(log, 1000).select("func", "calls", "outer_calls", "own", "total").collect()}
         assert got == want
+
+
+def test_texts_that_are_blown_up_go_in_pieces(spark, monkeypatch):
+    d, seen = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), []
+    assert pieces(d, 5000).rdd.getNumPartitions() == -(-input_bytes(d) // 5000) > 4 and pieces(d).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(queries, "pieces", lambda df, *rest: seen.append(df.columns) or pieces(df, *rest))
+    QUERIES["mention_edges"](spark, "/root/testdata/sf0.001")
+    assert seen == [["doc_id", "text"]]
