@@ -241,3 +241,31 @@ def test_texts_that_are_blown_up_go_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(queries, "pieces", lambda df, *rest: seen.append(df.columns) or pieces(df, *rest))
     QUERIES["mention_edges"](spark, "/root/testdata/sf0.001")
     assert seen == [["doc_id", "text"]]
+
+
+def test_a_small_graph_is_walked_by_one_task_to_a_block(spark, monkeypatch):
+    e = spark.createDataFrame([(k, (k * 7 + j) % 60, 1.0 + j) for k in range(50) for j in range(1, 5)], "src long, dst long, weight double")
+    s = spark.createDataFrame([(q, q * 5 % 60, 1.0 + q) for q in range(11)], "query long, id long, weight double")
+    staged, best = [], lambda d: {(r["query"], r["id"]): round(r["rank"], 9) for r in d.collect()}
+    monkeypatch.setattr(graph, "stage", lambda df, name, *rest: staged.append(name) or stage(df, name, *rest))
+    for columns, near in ((2, 5), (64, 1 << 11)):
+        monkeypatch.setattr(graph, "COLUMNS", columns)
+        monkeypatch.setattr(graph, "NEAR", near)
+        for least in (0.0, 1e-3):
+            whole = best(graph.personalized(e, s, rounds=5, least=least, most=7))
+            assert "flow" not in staged and "lanes" in staged
+            with monkeypatch.context() as m:
+                m.setattr(graph, "WHOLE", 0)
+                assert whole == best(graph.personalized(e, s, rounds=5, least=least, most=7)) and "flow" in staged
+            staged.clear()
+
+
+def test_flows_are_not_broadcast_by_their_size_on_disk(spark, monkeypatch):
+    # Almost all of a flow is zeros, so its files are small: it must not go through the driver.
+    e = spark.createDataFrame([(k, k + 1, 1.0) for k in range(300)], "src long, dst long, weight double")
+    s = spark.createDataFrame([(q, q, 1.0) for q in range(64)], "query long, id long, weight double")
+    joined = []
+    monkeypatch.setattr(graph, "WHOLE", 0)
+    monkeypatch.setattr(graph, "stage", lambda df, name, *rest: joined.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, name, *rest) if name == "flow" else stage(df, name, *rest))
+    graph.personalized(e, s, rounds=2, most=3)
+    assert "SortMergeJoin [piece" in joined[-1]
