@@ -7,7 +7,7 @@ from skeinworks.functions import text
 from skeinworks.operators import engine, graph, retrieval, search, stats
 from skeinworks.plans import index_queries, queries, source_queries
 from skeinworks.plans.catalog import QUERIES
-from skeinworks.plans.stage import input_bytes, pieces, stage
+from skeinworks.plans.stage import FACTOR, input_bytes, pieces, sized_as_held, stage
 
 
 def test_classes_meet_questions_once(spark):
@@ -269,3 +269,18 @@ def test_flows_are_not_broadcast_by_their_size_on_disk(spark, monkeypatch):
     monkeypatch.setattr(graph, "stage", lambda df, name, *rest: joined.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, name, *rest) if name == "flow" else stage(df, name, *rest))
     graph.personalized(e, s, rounds=2, most=3)
     assert "SortMergeJoin [piece" in joined[-1]
+
+
+def test_tables_are_taken_for_as_large_as_they_are_in_memory(spark):
+    # 400,000 rows are some hundred KB in their file, and tens of MB as a broadcast relation.
+    few = stage(spark.range(400_000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("k"), F.lit("src/a/long_name.cpp").alias("file")), "packed")
+    size, factor = input_bytes(few), spark.conf.get(FACTOR)
+    joined = lambda: stage(spark.range(10), "other").withColumnRenamed("id", "k").join(few.select("*"), "k", "left")._jdf.queryExecution().sparkPlan().toString()
+    try:
+        spark.conf.set(FACTOR, "1.0")
+        assert "BroadcastHashJoin" in joined()
+        sized_as_held(spark)
+        few = spark.read.schema(few.schema).parquet(few.inputFiles()[0].rsplit("/", 1)[0])
+        assert "BroadcastHashJoin" not in joined() and abs(input_bytes(few) - size) < 1000
+    finally:
+        spark.conf.set(FACTOR, factor)
