@@ -271,6 +271,41 @@ def test_flows_are_not_broadcast_by_their_size_on_disk(spark, monkeypatch):
     assert "SortMergeJoin [piece" in joined[-1]
 
 
+def test_places_count_methods_left_aside(spark, monkeypatch):
+    # Classes of many methods in few files; chunks without a class of their own, and a name that two classes have.
+    rows = []
+    for i in range(300):
+        kind, symbol = ("function", "function", "class", "file_overview")[i % 7 % 4], f"on_go{i % 5}" if i % 4 else f"run{i % 3}"
+        owner = "" if i % 10 == 3 else f"C{i % 3}"
+        rows.append((i, f"src/a/m{i % 5}.c", 20 * i, 20 * i + 9, kind, symbol if kind != "file_overview" else "", owner if kind == "function" else "", 20 * i - (i % 11 == 0), f"{symbol} {owner} w{i}"))
+    chunks = stage(spark.createDataFrame(rows, "chunk long, file string, start long, end long, type string, symbol string, class string, symbol_start long, text string"), "chunks")
+    symbols = stage(chunks.filter("symbol <> ''").select("file", F.col("symbol").alias("name"), F.col("type").alias("kind"), "class", F.col("symbol_start").alias("line")).distinct(), "symbols")
+    asked = stage(search.ask(spark.createDataFrame([(1, "模块系统 C1 register w7"), (2, "模块系统 C0 C1 register on_go1 w11"), (3, "C1 on_go2"), (4, "模块系统 C2 m3 register")], "query long, text string")), "asked")
+    entries, lines = spark.createDataFrame([("G1", "src/a/m1.c", 21, True)], "command string, file string, line long, sure boolean"), chunks.select("file", F.col("start").alias("line"), "text")
+    dense = spark.createDataFrame([(q, c, s * (c % 4 - 1.0)) for q in (1, 2, 4) for c, s in zip(range(q, 300, 13), [9.0, -45.0] * 20, strict=False)], "query long, chunk long, score double")
+    monkeypatch.setattr(search, "LIST", 7)
+    _, every, _, _ = engine.run_alike(asked, chunks, symbols, entries, lines, dense, 4)
+    want = {(r["query"], r["chunk"]): r["place"] for r in every.collect()}
+    _, ranked, kept, aside = engine.run_aside(asked, chunks, symbols, entries, lines, dense, 4)
+    short = {(r["query"], r["chunk"]): r["place"] for r in ranked.collect()}
+    got = {(r["query"], r["chunk"]): r["place"] for r in aside.placed(ranked).collect()}
+    assert len(got) < len(want) and got == {k: want[k] for k in got} != short
+    assert sorted(map(tuple, aside.hits().collect())) == sorted(want.keys() - got.keys())
+    assert aside.methods.filter("n > 1").count()
+    # At no weight of the vectors is one of them among the best.
+    expected = every.select("query", "file").distinct()
+    sweep = lambda hits: sorted(map(tuple, engine.weight_sweep(hits, expected, [0, 5, 20, 25], k=3).collect()))
+    assert sweep(every) == sweep(ranked)
+
+
+def test_searches_that_keep_one_hit_of_a_file_do_not_merge_the_rest(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(search, "class_methods", lambda *a: seen.append(a))
+    for name in ("dominant_channels", "named_file_check", "why_not_recalled", "dense_weight_sweep"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not seen
+
+
 def test_tables_are_taken_for_as_large_as_they_are_in_memory(spark):
     # 400,000 rows are some hundred KB in their file, and tens of MB as a broadcast relation.
     few = stage(spark.range(400_000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("k"), F.lit("src/a/long_name.cpp").alias("file")), "packed")
@@ -284,3 +319,14 @@ def test_tables_are_taken_for_as_large_as_they_are_in_memory(spark):
         assert "BroadcastHashJoin" not in joined() and abs(input_bytes(few) - size) < 1000
     finally:
         spark.conf.set(FACTOR, factor)
+
+
+def test_a_class_of_many_chunks_is_dealt(spark, monkeypatch):
+    # One class that all questions name: its chunks go in lists to as many partitions, each pair comes once.
+    chunks = spark.createDataFrame([(i, f"src/a/m{i}.c", 0, 5, "function", "run", "C1" if i % 9 else "C2", 0, "run") for i in range(200)], "chunk long, file string, start long, end long, type string, symbol string, class string, symbol_start long, text string")
+    symbols = chunks.select("file", F.col("symbol").alias("name"), F.lit("function").alias("kind"), "class", F.col("start").alias("line"))
+    asked = search.ask(spark.createDataFrame([(i, "模块系统 C1 C2 register") for i in range(30)], "query long, text string"))
+    monkeypatch.setattr(search, "LIST", 16)
+    got = search.class_methods(asked, symbols, search.chunks_of(symbols, chunks), chunks)
+    assert sorted((r["query"], r["chunk"]) for r in got.collect()) == [(q, c) for q in range(30) for c in range(200)]
+    assert got.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 4
